@@ -97,7 +97,7 @@ SELECT p.position_id, p.lineid, p.direction, p.pointid, p.poll_ts,
        CASE WHEN f IS NULL THEN p.slon ELSE m.lon1 + (m.lon2 - m.lon1) * least(1, (f - m.f0) * m.total / m.planar) END AS lon,
        CASE WHEN f IS NULL THEN p.slat ELSE m.lat1 + (m.lat2 - m.lat1) * least(1, (f - m.f0) * m.total / m.planar) END AS lat
 FROM (SELECT p.*, t.direction AS label, s.lon AS slon, s.lat AS slat,
-             least(1, greatest(0, sf.fraction + coalesce(p.dist, 0) / g.length_m)) AS f
+             CASE WHEN sf.fraction IS NOT NULL THEN least(1, greatest(0, sf.fraction + coalesce(p.dist, 0) / g.length_m)) END AS f
       FROM fx_ping p
       LEFT JOIN fx_line_terminus t ON t.lineid = p.lineid AND t.terminus_pointid = CAST(p.direction AS VARCHAR)
       LEFT JOIN fx_stop s ON s.pointid = p.pointid
@@ -240,8 +240,8 @@ FROM fx_trip_instant GROUP BY trip_id, lineid, direction, epoch_us(ts) // 360000
     "value_at_instant": f"""
 SELECT trip_id, lineid, direction, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({_value_at(AT)}) v""",
     "value_at_many_instants": """
-SELECT ask_id, trip_id, at_us AS at_ts, round(lon + coalesce((lon2 - lon) * (at_us - us) / CAST(us2 - us AS DOUBLE), 0), 6) AS lon,
-       round(lat + coalesce((lat2 - lat) * (at_us - us) / CAST(us2 - us AS DOUBLE), 0), 6) AS lat
+SELECT ask_id, trip_id, at_us AS at_ts, round(lon + coalesce((lon2 - lon) * ((at_us - us) / CAST(us2 - us AS DOUBLE)), 0), 6) AS lon,
+       round(lat + coalesce((lat2 - lat) * ((at_us - us) / CAST(us2 - us AS DOUBLE)), 0), 6) AS lat
 FROM (SELECT event_id AS ask_id, CAST(event_id AS VARCHAR) AS trip_id,
              event_id * 47000000 + 1704067200000000 + (event_id * 37 % 2000) * 1000000 AS at_us FROM events) e
 JOIN (SELECT trip_id, epoch_us(ts) AS us, lon, lat, lead(epoch_us(ts)) OVER p AS us2, lead(lon) OVER p AS lon2, lead(lat) OVER p AS lat2

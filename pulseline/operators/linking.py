@@ -70,7 +70,8 @@ class OpenTrips:
         """A trip is [order, us, lon, lat, last ping, head ping, carried]."""
         trip = [self.opened, us, lon, lat, ping, ping, carried]
         self.opened += 1
-        self.cells.setdefault(self._cell(lon, lat), []).append(trip)
+        cell = self._cell(lon, lat)
+        self.cells.setdefault(cell, []).append(trip)
         return trip
 
     def place(self, us: int, lon: float, lat: float, ping: str) -> list:
