@@ -26,11 +26,14 @@ def registered() -> dict[str, Query]:
     return dict(_REGISTERED)
 
 
-def _query(build: Callable[[Adapter], DataFrame]) -> Callable[[Adapter], DataFrame]:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return build(Adapter(pin_utc(spark), folder))
-    _REGISTERED[build.__name__] = run
-    return build
+def _query(*stored: str):
+    """Registers a query; ``stored`` names the views it wants as written tables."""
+    def register(build: Callable[[Adapter], DataFrame]) -> Callable[[Adapter], DataFrame]:
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return build(Adapter(pin_utc(spark), folder, stored))
+        _REGISTERED[build.__name__] = run
+        return build
+    return register
 
 
 def _round(*names: str) -> list[Column]:
@@ -59,7 +62,7 @@ def _positions(a: Adapter) -> DataFrame:
     return positions.resolve_positions(pings, a.stops, a.line_terminus, a.shape_points)
 
 
-@_query
+@_query()
 def ping_coercion(a: Adapter) -> DataFrame:
     """The feed through JSON text, with all key spellings: stops at distance 0
     carry an explicit null under the snake_case key, which hides the other."""
@@ -74,24 +77,24 @@ def ping_coercion(a: Adapter) -> DataFrame:
     return positions.coerce_pings(records)
 
 
-@_query
+@_query()
 def ping_id(a: Adapter) -> DataFrame:
     distance = F.col("distanceFromPoint").cast("double")
     return a.feed.select("lineid", "directionId", "pointId", "poll_ts", ids.ping_id(
         F.col("lineid"), F.col("directionId"), F.col("pointId"), F.col("poll_ts"), distance).alias("position_id"))
 
 
-@_query
+@_query()
 def ping_dedup(a: Adapter) -> DataFrame:
     return positions.unique_pings(_feed_pings(a)).select("position_id", "lineid", "pointid")
 
 
-@_query
+@_query()
 def line_direction_counts(a: Adapter) -> DataFrame:
     return positions.line_direction_counts(a.feed.select("lineid", F.col("directionId").cast("int").alias("direction")))
 
 
-@_query
+@_query("line_stops")
 def ping_geometry(a: Adapter) -> DataFrame:
     return _positions(a).select("position_id", "lineid", "direction", "pointid", _us("fetched_at"), *_round("lon", "lat"))
 
@@ -102,12 +105,12 @@ def _linked_trips(a: Adapter, chunk_rows: int) -> DataFrame:
     return headers.select("trip_id", "vehicle_uuid", "lineid", "direction", _us("start_ts"), _us("end_ts"), "point_count")
 
 
-@_query
+@_query("line_stops")
 def trip_linking(a: Adapter) -> DataFrame:
     return _linked_trips(a, linking.CHUNK_ROWS)
 
 
-@_query
+@_query("line_stops")
 def trip_linking_in_chunks(a: Adapter) -> DataFrame:
     """The same trips with chunks so small that busy stretches are cut."""
     return _linked_trips(a, 40)
@@ -115,31 +118,31 @@ def trip_linking_in_chunks(a: Adapter) -> DataFrame:
 
 # -- shapes -----------------------------------------------------------------
 
-@_query
+@_query()
 def shape_length(a: Adapter) -> DataFrame:
     lengths = shapes.shape_lengths(shapes.shape_segments(a.shape_points))
     return lengths.select("lineid", "direction", F.round("length_m", 3).alias("length_m"),
                           F.round("planar_total", 6).alias("planar_total"), "n_segments")
 
 
-@_query
+@_query("line_stops")
 def stop_fraction(a: Adapter) -> DataFrame:
     places = a.line_stops.select("lineid", "direction", "pointid")
     return positions.stop_fractions(places, a.shape_points, a.stops).select(
         "lineid", "direction", "pointid", *_round("fraction"))
 
 
-@_query
+@_query()
 def line_centroid(a: Adapter) -> DataFrame:
     return shapes.line_centroids(shapes.shape_segments(a.shape_points)).select("lineid", "direction", *_round("lon", "lat"))
 
 
-@_query
+@_query()
 def shape_geojson(a: Adapter) -> DataFrame:
     return shapes.shape_geojson(a.shape_points)
 
 
-@_query
+@_query("line_stops")
 def shape_lookup(a: Adapter) -> DataFrame:
     """Every line direction asked for; those without a shape come back empty."""
     keys = a.line_terminus.select("lineid", "direction")
@@ -149,7 +152,7 @@ def shape_lookup(a: Adapter) -> DataFrame:
 
 # -- trips in time ----------------------------------------------------------
 
-@_query
+@_query()
 def trip_assembly(a: Adapter) -> DataFrame:
     number = lambda c: F.round(c, 6).cast("string")
     fixes = F.transform("samples", lambda s: F.concat_ws(
@@ -159,13 +162,13 @@ def trip_assembly(a: Adapter) -> DataFrame:
         F.array_join(fixes, ";").alias("samples"))
 
 
-@_query
+@_query("trip_samples", "trips")
 def value_at_instant(a: Adapter) -> DataFrame:
-    here = temporal.value_at_instant(a.trip_samples, _hours_before_end(a.trips, 2))
+    here = temporal.value_at_instant(a.trip_samples, _hours_before_end(a.trips, 2), a.trips)
     return here.select("trip_id", "lineid", "direction", *_round("lon", "lat"))
 
 
-@_query
+@_query("trip_samples")
 def value_at_many_instants(a: Adapter) -> DataFrame:
     """Every event asks where one trip was at one time."""
     e = F.col("event_id")
@@ -176,13 +179,13 @@ def value_at_many_instants(a: Adapter) -> DataFrame:
     return found.select("ask_id", "trip_id", _us("at_ts"), *_round("lon", "lat"))
 
 
-@_query
+@_query("trip_samples", "trips")
 def trip_samples_in_window(a: Adapter) -> DataFrame:
     inside = temporal.samples_in_window(a.trip_samples, _hours_before_end(a.trips, 30), _hours_before_end(a.trips, 6))
     return inside.select("trip_id", "lineid", "direction", _us("ts"), *_round("lon", "lat"))
 
 
-@_query
+@_query("trip_samples", "trips")
 def trip_samples_clipped(a: Adapter) -> DataFrame:
     """The same with interpolated values at the window's borders."""
     inside = temporal.samples_in_window(a.trip_samples, _hours_before_end(a.trips, 30), _hours_before_end(a.trips, 6),
@@ -190,24 +193,24 @@ def trip_samples_clipped(a: Adapter) -> DataFrame:
     return inside.select("trip_id", "lineid", "direction", _us("ts"), *_round("lon", "lat"))
 
 
-@_query
+@_query()
 def trips_line_filter(a: Adapter) -> DataFrame:
     chosen = filter_trips(a.trips, ["1", "10", "N7"], None)
     return chosen.select("trip_id", "lineid", "direction", _us("start_ts"), _us("end_ts"), "point_count")
 
 
-@_query
+@_query("trips")
 def trips_active_window(a: Adapter) -> DataFrame:
     chosen = temporal.active_around(a.trips, _hours_before_end(a.trips, 2))
     return chosen.select("trip_id", "lineid", "direction", _us("start_ts"), _us("end_ts"))
 
 
-@_query
+@_query()
 def resolve_window(a: Adapter) -> DataFrame:
     return TimeFilter.parse(hours="1.5").window(a.trips).select(_us("w_start"), _us("w_end"))
 
 
-@_query
+@_query("trips")
 def trips_all(a: Adapter) -> DataFrame:
     """Open trips (ended in the last hour) and numbered closed ones."""
     border = _hours_before_end(a.trips, 1)
@@ -217,7 +220,7 @@ def trips_all(a: Adapter) -> DataFrame:
                        "line_trip_id", "daily_trip_seq")
 
 
-@_query
+@_query("trips")
 def service_day_trip_number(a: Adapter) -> DataFrame:
     return trips.number_by_service_day(a.trips).select(
         "trip_id", "lineid", F.date_format("service_day", "yyyy-MM-dd").alias("service_day"),
@@ -226,27 +229,27 @@ def service_day_trip_number(a: Adapter) -> DataFrame:
 
 # -- catalogue --------------------------------------------------------------
 
-@_query
+@_query()
 def line_metadata(a: Adapter) -> DataFrame:
     return cat.line_metadata(a.line_shapes)
 
 
-@_query
+@_query()
 def line_destinations(a: Adapter) -> DataFrame:
     return cat.line_destinations(a.line_stops).select("lineid", F.array_join("destinations", "|").alias("destinations"))
 
 
-@_query
+@_query("trips")
 def trips_per_terminus(a: Adapter) -> DataFrame:
     return cat.trips_per_terminus(a.trips, a.line_terminus, a.stops)
 
 
-@_query
+@_query("trips")
 def direction_ranking(a: Adapter) -> DataFrame:
     return cat.direction_ranking(cat.trips_per_terminus(a.trips, a.line_terminus, a.stops))
 
 
-@_query
+@_query("line_stops", "trips")
 def line_catalogue(a: Adapter) -> DataFrame:
     lines = cat.line_catalogue(a.line_shapes, a.line_stops, a.line_terminus, a.stops, a.trips)
     detail = F.transform("directions_detail", lambda d: F.concat_ws(
@@ -256,24 +259,24 @@ def line_catalogue(a: Adapter) -> DataFrame:
                         F.array_join(detail, "|").alias("directions_detail"))
 
 
-@_query
+@_query()
 def direction_label(a: Adapter) -> DataFrame:
     return cat.direction_labels(a.line_stops)
 
 
-@_query
+@_query()
 def terminus_locations(a: Adapter) -> DataFrame:
     return cat.terminus_locations(a.line_terminus, a.stops).select(
         "lineid", "direction", "terminus_pointid", *_round("lon", "lat"))
 
 
-@_query
+@_query()
 def stops_serving_lines(a: Adapter) -> DataFrame:
     return cat.stops_serving_lines(a.stops, a.line_stops, ["1", "2", "N7"]).select(
         "pointid", "stop_name_fr", "stop_name_nl", *_round("lon", "lat"))
 
 
-@_query
+@_query()
 def stop_details(a: Adapter) -> DataFrame:
     def text(e: Column) -> Column:
         return F.concat_ws(":", e["lineid"], F.coalesce(e["mode"], F.lit("-")), F.coalesce(e["color"], F.lit("-")),
@@ -286,14 +289,14 @@ def stop_details(a: Adapter) -> DataFrame:
 
 # -- user-level questions ---------------------------------------------------
 
-@_query
+@_query("line_stops", "trip_samples", "trips")
 def positions_at(a: Adapter) -> DataFrame:
     found = plans.positions_at(a.trips, a.trip_samples, a.line_shapes, _hours_before_end(a.trips, 2))
     return found.select("trip_id", "lineid", "direction", "line_trip_id", *_round("lon", "lat"),
                         "mode", "route_color", "route_text_color")
 
 
-@_query
+@_query("line_stops", "trip_samples", "trips")
 def positions_at_service_day(a: Adapter) -> DataFrame:
     """Labels that count all trips of the service day."""
     found = plans.positions_at(a.trips, a.trip_samples, a.line_shapes, _hours_before_end(a.trips, 2),
@@ -301,7 +304,7 @@ def positions_at_service_day(a: Adapter) -> DataFrame:
     return found.select("trip_id", "line_trip_id", *_round("lon", "lat"))
 
 
-@_query
+@_query("line_stops", "trip_samples", "trips")
 def trajectories(a: Adapter) -> DataFrame:
     rows = plans.trajectories(a.trips, a.trip_samples, a.line_stops, a.line_shapes,
                               _hours_before_end(a.trips, 26), _hours_before_end(a.trips, 2))
@@ -313,23 +316,23 @@ def _eta(df: DataFrame, *more: str) -> DataFrame:
     return df.select(*more, _us("poll_ts"), "lineid", _us("expected"), "destination", "message")
 
 
-@_query
+@_query()
 def waiting_times_for_stop(a: Adapter) -> DataFrame:
     return _eta(plans.waiting_times_for_stop(a.waiting_times, "42"))
 
 
-@_query
+@_query()
 def waiting_times_per_stop(a: Adapter) -> DataFrame:
     return _eta(plans.waiting_times_per_stop(a.waiting_times), "pointid", "rn")
 
 
-@_query
+@_query("line_stops")
 def search(a: Adapter) -> DataFrame:
     found = plans.search(a.stops, a.line_shapes, a.shape_points, "15")
     return found.select("type", "category", "id", "label", "sub", *_round("lat", "lon"))
 
 
-@_query
+@_query()
 def table_counts(a: Adapter) -> DataFrame:
     names = ["stops", "line_stops", "line_terminus", "line_shapes", "trips", "trip_samples", "waiting_times", "feed"]
     return plans.table_counts({n: getattr(a, n) for n in names})
@@ -367,18 +370,18 @@ def _gtfs_routes(a: Adapter) -> DataFrame:
         F.col("nk").cast("long").alias("row_no"))
 
 
-@_query
+@_query()
 def canonical_shape(a: Adapter) -> DataFrame:
     return network.canonical_shapes(_gtfs_trips(a)).drop("first_row")
 
 
-@_query
+@_query("line_stops")
 def polyline_assembly(a: Adapter) -> DataFrame:
     wanted = network.canonical_shapes(_gtfs_trips(a))
     return network.assemble_polylines(_gtfs_vertices(a), wanted).select("shape_id", "idx", *_round("lon", "lat"), "n_points")
 
 
-@_query
+@_query()
 def route_attributes_(a: Adapter) -> DataFrame:
     return route_attributes(_gtfs_routes(a))
 
@@ -386,7 +389,7 @@ def route_attributes_(a: Adapter) -> DataFrame:
 _REGISTERED["route_attributes"] = _REGISTERED.pop("route_attributes_")
 
 
-@_query
+@_query("line_stops")
 def shape_direction(a: Adapter) -> DataFrame:
     canonical = network.canonical_shapes(_gtfs_trips(a))
     polylines = network.assemble_polylines(_gtfs_vertices(a), canonical)
@@ -398,11 +401,11 @@ def shape_direction(a: Adapter) -> DataFrame:
 
 # -- tiles ------------------------------------------------------------------
 
-@_query
+@_query()
 def tile_stops(a: Adapter) -> DataFrame:
     return tiles.tile_stops(a.stops, [10, 12, 14])
 
 
-@_query
+@_query("line_stops")
 def tile_lines(a: Adapter) -> DataFrame:
     return tiles.tile_lines(a.shape_points, a.line_shapes, [11, 13])

@@ -7,9 +7,12 @@ be run on whole tables and compared with plain SQL.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseline.durable import materialise
 from pulseline.operators.ordered import running_number
 
 EPOCH_2024_US = 1_704_067_200_000_000
@@ -29,11 +32,14 @@ def micros_of(ntz: Column) -> Column:
 
 
 class Adapter:
-    """Lazily built views for one data folder."""
+    """Lazily built views for one data folder. Views named in ``stored`` are
+    written once and read back, as the loaded tables of a deployment would be;
+    that pays where a query uses a view, or what is built on it, several times."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, stored: Sequence[str] = ()):
         self.spark = spark
         self.folder = folder
+        self.stored = stored
         self._views: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
@@ -44,7 +50,8 @@ class Adapter:
         if build is None:
             raise AttributeError(name)
         if name not in self._views:
-            self._views[name] = build(self)
+            view = build(self)
+            self._views[name] = materialise(view, name) if name in self.stored else view
         return self._views[name]
 
 

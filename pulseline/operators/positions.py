@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulseline.durable import materialise
 from pulseline.functions import ids, text
 from pulseline.functions.geo import clamp
 from pulseline.operators import shapes as sh
@@ -63,8 +64,8 @@ def unique_pings(pings: DataFrame) -> DataFrame:
 def stop_fractions(places: DataFrame, points: DataFrame, stops: DataFrame) -> DataFrame:
     """Fraction of each (lineid, direction label, pointid) along its shape."""
     located = places.join(stops.select("pointid", "lon", "lat"), "pointid")
-    measured = sh.measured_segments(sh.shape_segments(points))
-    return sh.locate_on_shapes(located, measured, sh._node_levels(points))
+    measured = materialise(sh.measured_segments(sh.shape_segments(points)), "measured-segments")
+    return sh.locate_on_shapes(located, measured)
 
 
 def resolve_positions(pings: DataFrame, stops: DataFrame, terminus: DataFrame,
@@ -72,12 +73,13 @@ def resolve_positions(pings: DataFrame, stops: DataFrame, terminus: DataFrame,
     """Coordinates for typed pings: walk the line shape from the ping's stop.
 
     Shape, stop fraction and length are found once per distinct (line,
-    direction, stop), so the ping table itself takes two equi-joins. A ping
+    direction, stop), so the ping table itself takes two equi-joins. The segment
+    tables, of catalogue size, are written once and read where needed. A ping
     falls back to its stop when there is no usable shape; it stays with NULL
     coordinates when only the shape is known, and goes when neither is.
     """
-    segments = sh.shape_segments(points)
-    measured = sh.measured_segments(segments)
+    segments = materialise(sh.shape_segments(points), "segments")
+    measured = materialise(sh.measured_segments(segments), "measured-segments")
     labels = terminus.select("lineid", F.col("terminus_pointid").alias("_terminus"),
                              F.col("direction").alias("dir_label"))
     lengths = sh.shape_lengths(segments).withColumnRenamed("direction", "dir_label")
@@ -95,7 +97,7 @@ def resolve_positions(pings: DataFrame, stops: DataFrame, terminus: DataFrame,
     located = sh.locate_on_shapes(
         usable.select("lineid", F.col("dir_label").alias("direction"), "pointid",
                       F.col("stop_lon").alias("lon"), F.col("stop_lat").alias("lat")).distinct(),
-        measured, sh._node_levels(points),
+        measured,
     ).withColumnsRenamed({"direction": "dir_label", "fraction": "stop_fraction"})
     anchors = known.join(located, ["lineid", "dir_label", "pointid"], "left")
     ahead = F.coalesce("distance_from_point", F.lit(0.0)) / F.col("length_m")

@@ -75,12 +75,13 @@ def _bounding_nodes(segments: DataFrame, level: int) -> DataFrame:
     )
 
 
-def _node_levels(points: DataFrame) -> int:
-    span = points.agg(F.max("seq") - F.min("seq")).first()[0] or 0
+def _node_levels(measured: DataFrame) -> int:
+    """Levels of boxes that leave at most NODE_FANOUT of them at the top."""
+    span = measured.agg(F.max("seq") - F.min("seq")).first()[0] or 0
     return max(1, math.ceil(math.log(max(span, 2), NODE_FANOUT)) - 1)
 
 
-def locate_on_shapes(places: DataFrame, measured: DataFrame, levels: int = 1) -> DataFrame:
+def locate_on_shapes(places: DataFrame, measured: DataFrame, levels: int | None = None) -> DataFrame:
     """Fraction of the nearest point of a place's shape; the first nearest
     segment wins. ``places``: lineid, direction, pointid, lon, lat.
 
@@ -89,6 +90,7 @@ def locate_on_shapes(places: DataFrame, measured: DataFrame, levels: int = 1) ->
     a place meets a few segments of its shape, not all of them.
     """
     key = [*SHAPE, "pointid"]
+    levels = _node_levels(measured) if levels is None else levels
     seeds = places
     for level in range(levels, 0, -1):
         nodes = _bounding_nodes(measured, level)

@@ -23,24 +23,28 @@ def _share(at: Column, start: Column, end: Column) -> Column:
     return (F.unix_micros(at) - F.unix_micros(start)) / (F.unix_micros(end) - F.unix_micros(start))
 
 
-def value_at_instant(samples: DataFrame, at: Instant, max_gap_s: int | None = None) -> DataFrame:
+def value_at_instant(samples: DataFrame, at: Instant, trips: DataFrame | None = None,
+                     max_gap_s: int | None = None) -> DataFrame:
     """Linear value of every trip at one instant; trips not alive then are absent.
 
-    One aggregate with map-side combine finds the fixes around the instant.
-    ``max_gap_s`` states that neighbouring samples are never further apart (300
-    for linked trips); then only samples that near the instant are read at all.
+    The trips alive are found first (from the headers ``trips`` if given, else by
+    a hash aggregate), and only their samples go on. ``max_gap_s`` states that
+    neighbouring samples are never further apart (300 for linked trips); then
+    only samples that near the instant are read at all.
     """
     when = _at(at)
+    extents = trips if trips is not None else samples.groupBy("trip_id").agg(
+        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
+    alive = extents.where((F.col("start_ts") <= when) & (F.col("end_ts") >= when)).select("trip_id")
     near = samples
     if max_gap_s is not None:
         reach = F.make_dt_interval(secs=F.lit(max_gap_s))
         near = near.where((F.col("ts") >= when - reach) & (F.col("ts") <= when + reach))
     fix = F.struct("ts", "lon", "lat")
     around = (
-        near.withColumn("_at", when).groupBy(*TRIP_KEY, "_at")
+        near.join(alive, "trip_id", "left_semi").withColumn("_at", when).groupBy(*TRIP_KEY, "_at")
         .agg(F.max_by(fix, F.when(F.col("ts") <= F.col("_at"), F.col("ts"))).alias("a"),
              F.min_by(fix, F.when(F.col("ts") >= F.col("_at"), F.col("ts"))).alias("b"))
-        .where("a is not null and b is not null")
     )
     t = F.when(F.col("a.ts") == F.col("b.ts"), 0.0).otherwise(_share(F.col("_at"), F.col("a.ts"), F.col("b.ts")))
     return around.withColumn("_t", t).select(

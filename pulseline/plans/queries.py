@@ -31,7 +31,7 @@ def positions_at(trips: DataFrame, samples: DataFrame, shapes: DataFrame, at: In
     """Where every vehicle is at one instant."""
     chosen = active_around(filter_trips(trips, lines, direction), at)
     numbered = _numbered(trips, chosen, numbering).select("trip_id", "line_trip_id")
-    here = value_at_instant(filter_trips(samples, lines, direction), at, max_gap_s).join(numbered, "trip_id")
+    here = value_at_instant(samples, at, chosen, max_gap_s).join(numbered, "trip_id")
     found = here.join(cat.line_metadata(shapes), "lineid", "left").select(
         "trip_id", "lineid", "direction", "line_trip_id", "lon", "lat", "route_color", "route_text_color", "mode")
     return found if limit is None else found.orderBy("lineid", "line_trip_id", "trip_id").limit(limit)
