@@ -39,12 +39,17 @@ def colour(raw: Column) -> Column:
 
 def float_text(value: Column) -> Column:
     """A double in the shortest plain form: 34.0, 0.0005, 1e+16, 5e-05."""
-    raw = value.cast("string")
-    size = F.abs(value)
+    raw, size = value.cast("string"), F.abs(value)
+    # Some JVMs print 16 or 17 digits where fewer already name the same double.
+    fifteen, sixteen = F.format_string("%.14e", value), F.format_string("%.15e", value)
+    short = (
+        F.when(F.length(raw) <= 16, F.lower(raw)).when(fifteen.cast("double") == value, fifteen)
+        .when(sixteen.cast("double") == value, sixteen).otherwise(F.lower(raw))
+    )
     plain = F.regexp_replace(
-        F.regexp_replace(raw.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
-    mantissa = F.regexp_replace(F.substring_index(raw, "E", 1), r"\.0$", "")
-    power = F.substring_index(raw, "E", -1).try_cast("int")
+        F.regexp_replace(short.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+    mantissa = F.regexp_replace(F.regexp_replace(F.substring_index(short, "e", 1), "0+$", ""), r"\.$", "")
+    power = F.substring_index(short, "e", -1).try_cast("int")
     scientific = F.concat(
         mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"),
         F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
@@ -53,7 +58,7 @@ def float_text(value: Column) -> Column:
         .when(F.isnan(value), "nan")
         .when(value == float("inf"), "inf")
         .when(value == float("-inf"), "-inf")
-        .when((value == 0) | ((size >= 1e-3) & (size < 1e7)), raw)
+        .when((value == 0) | ((size >= 1e-3) & (size < 1e7) & (F.length(raw) <= 16)), raw)
         .when((size >= 1e-4) & (size < 1e16), plain)
         .otherwise(scientific)
     )

@@ -7,15 +7,13 @@ everything. Byte encoding is left to whatever serves them.
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseline.functions.geo import TILE_BUFFER, TILE_EXTENT, mercator_unit_x, mercator_unit_y
 from pulseline.operators.ordered import next_row
 from pulseline.operators.shapes import SEQ_BUCKET
+from pulseline.operators.simplify import simplify
 
 # Half the Web-Mercator world width in metres (fixed value).
 HALF_WORLD_M = 20_037_508.342789244
@@ -40,57 +38,15 @@ def tile_stops(stops: DataFrame, zooms: list[int]) -> DataFrame:
     )
 
 
-def kept_vertices(xs: list[float], ys: list[float], min_area: float) -> list[int]:
-    """Visvalingam: drop the vertex with the smallest triangle until every
-    triangle has at least ``min_area``; the two ends always stay. A vertex's area
-    never counts as less than that of a neighbour dropped before it."""
-    n = len(xs)
-    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    gone = [False] * n
-    area = [float("inf")] * n
-
-    def triangle(i: int) -> float:
-        a, b = before[i], after[i]
-        return abs((xs[i] - xs[a]) * (ys[b] - ys[a]) - (xs[b] - xs[a]) * (ys[i] - ys[a])) / 2
-
-    queue = []
-    for i in range(1, n - 1):
-        area[i] = triangle(i)
-        queue.append((area[i], i))
-    heapq.heapify(queue)
-    while queue and queue[0][0] < min_area:
-        size, i = heapq.heappop(queue)
-        if gone[i] or size != area[i]:
-            continue
-        gone[i] = True
-        a, b = before[i], after[i]
-        after[a], before[b] = b, a
-        for j in (a, b):
-            if 0 < j < n - 1:
-                area[j] = max(triangle(j), size)
-                heapq.heappush(queue, (area[j], j))
-    return [i for i in range(n) if not gone[i]]
-
-
 def simplify_shapes(points: DataFrame, min_area: float = SIMPLIFY_AREA_M2) -> DataFrame:
-    """Vertices that survive simplification, in Web-Mercator unit coordinates.
-
-    The rule removes vertices in global order of triangle size, so one polyline
-    is one unit of work; polylines spread over tasks by (line, direction).
-    """
+    """Vertices that survive simplification, in Web-Mercator unit coordinates."""
+    metres = 2 * HALF_WORLD_M
     projected = points.select(
-        "lineid", "direction", "seq", mercator_unit_x(F.col("lon")).alias("ux"), mercator_unit_y(F.col("lat")).alias("uy"))
-
-    def simplify(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("seq", ignore_index=True)
-        scale = 2 * HALF_WORLD_M
-        kept = kept_vertices((ordered["ux"] * scale).tolist(), (ordered["uy"] * scale).tolist(), min_area)
-        out = ordered.iloc[kept].reset_index(drop=True)
-        out["seq"] = out.index.astype("int32")
-        return out
-
-    return projected.groupBy("lineid", "direction").applyInPandas(
-        simplify, "lineid string, direction string, seq int, ux double, uy double")
+        "lineid", "direction", "seq", (mercator_unit_x(F.col("lon")) * metres).alias("x"),
+        (mercator_unit_y(F.col("lat")) * metres).alias("y"))
+    return simplify(projected, min_area).select(
+        "lineid", "direction", F.col("idx").alias("seq"), (F.col("x") / metres).alias("ux"),
+        (F.col("y") / metres).alias("uy"))
 
 
 def tile_lines(points: DataFrame, shapes: DataFrame, zooms: list[int], lines: list[str] | None = None,

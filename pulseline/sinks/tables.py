@@ -81,7 +81,7 @@ class Tables:
         With ``columns`` an update touches only those and keeps the others."""
         key = KEYS[name]
         existing = self.read(name)
-        last = earliest_per_key(incoming, key, load_order, latest=True).drop(*load_order)
+        last = earliest_per_key(incoming, key, load_order, latest=True)
         if columns is None:
             kept = existing.join(last.select(*key), key, "left_anti")
             merged = kept.unionByName(last.select(*existing.columns))

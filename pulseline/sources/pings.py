@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseline.functions import text
 from pulseline.operators.positions import coerce_pings
-from pulseline.sources.files import json_records
+from pulseline.sources.files import discover, json_records
 
 ASSIGNMENT_FIELDS = ["position_id", "fetched_at_utc", "lineId", "direction", "pointId", "distance",
                      "latitude", "longitude"]
@@ -21,10 +21,14 @@ def scan_pings(spark: SparkSession, paths: list[str] | str, spread: int | None =
 def scan_assignments(spark: SparkSession, paths: list[str] | str, search: bool = False) -> DataFrame:
     """Pings that come with coordinates and their own id. With ``search``,
     ``paths`` are folders looked through for assignment files."""
-    reader = spark.read.option("header", True)
+    # A file whose header differs from the first one's is an error, not shifted data.
+    reader = spark.read.option("header", True).option("enforceSchema", False)
     if search:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "assignments*.csv.gz")
-    raw = reader.csv(paths)
+    if search and discover(spark, paths).where("kind = 'assignments'").isEmpty():
+        raw = spark.createDataFrame([], ", ".join(f"{c} string" for c in ASSIGNMENT_FIELDS))
+    else:
+        raw = reader.csv(paths)
     raw = raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c)
                        for c in ASSIGNMENT_FIELDS])
     return raw.select(
