@@ -364,9 +364,10 @@ FROM (SELECT route_id, direction_id, shape_id, lineid, max(n) AS n, count(pid) A
                        JOIN fx_stop s ON s.pointid = t.terminus_pointid) t ON t.lineid = substr(c.route_id, 2)) a
       GROUP BY route_id, direction_id, shape_id, lineid) b""",
     "tile_stops": f"""
-SELECT z, CAST(floor(ux) AS BIGINT) AS x, CAST(floor(uy) AS BIGINT) AS y, pointid, stop_name_fr, stop_name_nl,
-       CAST(round_even((ux - floor(ux)) * 4096, 0) AS INTEGER) AS px, CAST(round_even((uy - floor(uy)) * 4096, 0) AS INTEGER) AS py
-FROM ({TILE}) t""",
+SELECT z, x, y, pointid, stop_name_fr, stop_name_nl,
+       CAST(round_even((ux - x) * 4096, 0) AS INTEGER) AS px, CAST(round_even((uy - y) * 4096, 0) AS INTEGER) AS py
+FROM (SELECT *, unnest(range(CAST(ceil(uy) AS BIGINT) - 1, CAST(floor(uy) AS BIGINT) + 1)) AS y
+      FROM (SELECT *, unnest(range(CAST(ceil(ux) AS BIGINT) - 1, CAST(floor(ux) AS BIGINT) + 1)) AS x FROM ({TILE}) t) a) b""",
 }
 
 

@@ -58,7 +58,7 @@ def _feed_pings(a: Adapter) -> DataFrame:
 
 
 def _positions(a: Adapter) -> DataFrame:
-    pings = positions.typed_pings(positions.unique_pings(_feed_pings(a)))
+    pings = materialise(positions.typed_pings(positions.unique_pings(_feed_pings(a))), "pings")
     return positions.resolve_positions(pings, a.stops, a.line_terminus, a.shape_points)
 
 
@@ -74,7 +74,7 @@ def ping_coercion(a: Adapter) -> DataFrame:
         F.col("distanceFromPoint").cast("double").alias("distanceFromPoint"), F.lit("").alias("fetched_at"), "poll_ts"))
     marked = F.when(at_stop, F.regexp_replace(text, r"^\{", '{"distance_from_point":null,')).otherwise(text)
     records = a.feed.select(F.from_json(marked, "map<string,string>").alias("record"))
-    return positions.coerce_pings(records)
+    return positions.coerce_pings(records).drop("id_given")
 
 
 @_query()

@@ -19,6 +19,7 @@ def coerce_pings(records: DataFrame, record: str = "record") -> DataFrame:
 
     A record without line, direction, stop or time is dropped. The distance is
     taken from the snake_case key whenever that key exists, even when it is null.
+    ``id_given`` tells ids that came with the record from those derived here.
     """
     def field(name: str) -> Column:
         return F.col(record)[name]
@@ -34,8 +35,8 @@ def coerce_pings(records: DataFrame, record: str = "record") -> DataFrame:
         text.first_filled(field("fetched_at"), field("poll_ts"), field("fetched_at_utc")).alias("fetched_at_text"),
     ).dropna(subset=["lineid", "direction", "pointid", "fetched_at_text"])
     made = ids.ping_id(*[F.col(c) for c in (*KEY, "fetched_at_text", "distance_from_point")])
-    return typed.select(F.coalesce("_given", made).alias("position_id"), *KEY,
-                        "distance_from_point", "fetched_at_text")
+    return typed.select(F.coalesce("_given", made).alias("position_id"), *KEY, "distance_from_point",
+                        "fetched_at_text", F.col("_given").isNotNull().alias("id_given"))
 
 
 def typed_pings(pings: DataFrame) -> DataFrame:
@@ -76,7 +77,8 @@ def resolve_positions(pings: DataFrame, stops: DataFrame, terminus: DataFrame,
     direction, stop), so the ping table itself takes two equi-joins. The segment
     tables, of catalogue size, are written once and read where needed. A ping
     falls back to its stop when there is no usable shape; it stays with NULL
-    coordinates when only the shape is known, and goes when neither is.
+    coordinates when only the shape is known, and goes when neither is. ``pings``
+    is read twice, so it should be a table rather than a long computation.
     """
     segments = materialise(sh.shape_segments(points), "segments")
     measured = materialise(sh.measured_segments(segments), "measured-segments")
@@ -106,7 +108,7 @@ def resolve_positions(pings: DataFrame, stops: DataFrame, terminus: DataFrame,
     placed = sh.interpolate_on_shapes(moved, sh.fraction_cells(measured))
     on_shape = F.col("fraction").isNotNull()
     return placed.select(
-        "position_id", F.lit(None).cast("string").alias("vehicle_uuid"), *KEY, "distance_from_point", "fetched_at",
+        *pings.columns, F.lit(None).cast("string").alias("vehicle_uuid"),
         F.when(on_shape, F.col("on_lon")).otherwise(F.col("stop_lon")).alias("lon"),
         F.when(on_shape, F.col("on_lat")).otherwise(F.col("stop_lat")).alias("lat"),
     )

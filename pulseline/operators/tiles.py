@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseline.functions.geo import TILE_BUFFER, TILE_EXTENT, mercator_unit_x, mercator_unit_y
+from pulseline.operators.catalogue import stops_serving_lines
 from pulseline.operators.ordered import next_row
 from pulseline.operators.shapes import SEQ_BUCKET
 from pulseline.operators.simplify import simplify
@@ -24,14 +25,24 @@ def _side(z: Column) -> Column:
     return F.pow(F.lit(2.0), z)
 
 
-def tile_stops(stops: DataFrame, zooms: list[int]) -> DataFrame:
-    """One row per zoom and stop: the tile it lies in and its grid cell there."""
+def tile_stops(stops: DataFrame, zooms: list[int], line_stops: DataFrame | None = None,
+               lines: list[str] | None = None) -> DataFrame:
+    """One row per zoom and stop: the tile it lies in and its grid cell there. A
+    stop exactly on a border lies in the tiles on both sides. With ``lines`` only
+    stops these lines serve."""
+    if lines is not None:
+        stops = stops_serving_lines(stops, line_stops, lines)
     ux, uy = mercator_unit_x(F.col("lon")) * _side(F.col("z")), mercator_unit_y(F.col("lat")) * _side(F.col("z"))
+
+    def tiles_at(unit: str) -> Column:
+        low, high = F.greatest(F.ceil(unit) - 1, F.lit(0)), F.least(F.floor(unit), _side(F.col("z")).cast("long") - 1)
+        return F.sequence(low, F.greatest(low, high))
+
     return (
         stops.where("lon is not null and lat is not null")
         .withColumn("z", F.explode(F.array(*[F.lit(z) for z in zooms])))
         .withColumns({"_ux": ux, "_uy": uy})
-        .withColumns({"x": F.floor("_ux"), "y": F.floor("_uy")})
+        .withColumn("x", F.explode(tiles_at("_ux"))).withColumn("y", F.explode(tiles_at("_uy")))
         .select("z", "x", "y", "pointid", "stop_name_fr", "stop_name_nl",
                 F.rint((F.col("_ux") - F.col("x")) * TILE_EXTENT).cast("int").alias("px"),
                 F.rint((F.col("_uy") - F.col("y")) * TILE_EXTENT).cast("int").alias("py"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseline.durable import materialise
 from pulseline.operators import linking, network, positions
 from pulseline.operators.catalogue import terminus_locations
 from pulseline.operators.ordered import earliest_per_key
@@ -26,9 +27,8 @@ def resolve_against(tables: Tables, typed: DataFrame) -> DataFrame:
 
 def load_pings(tables: Tables, raw: DataFrame) -> None:
     """Coerced pings to located, stored positions."""
-    typed = positions.typed_pings(positions.unique_pings(raw))
-    # Ids that came with the data need not agree with its times.
-    tables.insert_positions(resolve_against(tables, typed), ids_are_derived=False)
+    typed = materialise(positions.typed_pings(positions.unique_pings(raw)), "pings")
+    tables.insert_positions(resolve_against(tables, typed))
 
 
 def store_shapes(tables: Tables, shapes: DataFrame, vertices: DataFrame, replace: bool) -> None:
@@ -57,7 +57,7 @@ def replay(spark: SparkSession, tables: Tables, folders: list[str], stops_from_a
         store_shapes(tables, last.drop("path"), catalogue.shape_vertices(last), replace=False)
     assigned = pings.scan_assignments(spark, folders, search=True)
     if not assigned.isEmpty():
-        tables.insert_positions(assigned.where("position_id is not null"), ids_are_derived=False)
+        tables.insert_positions(assigned.where("position_id is not null"))
         if stops_from_assignments:
             tables.upsert("stops", pings.observed_stops(assigned), ["pointid"], ["lon", "lat"])
     load_pings(tables, pings.scan_pings(spark, folders, spread, kind="positions"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseline import schemas
+from pulseline.durable import materialise
 from pulseline.operators.ordered import earliest_per_key
 
 # Primary key per catalogue table.
@@ -92,16 +93,23 @@ class Tables:
                 for c in existing.columns])
         self.replace(name, merged)
 
-    def insert_positions(self, incoming: DataFrame, ids_are_derived: bool = True) -> None:
+    def insert_positions(self, incoming: DataFrame) -> None:
         """Insert-ignore by position id. A derived id contains the time, so its
-        copies share a service date and only those dates are looked at."""
-        rows = earliest_per_key(
-            incoming.withColumn("service_date", F.to_date("fetched_at")), ["position_id"],
-            ["fetched_at", "lineid", "direction", "pointid"])
-        key = ["service_date", "position_id"] if ids_are_derived else ["position_id"]
-        new = rows.join(self.read("positions").select(*key), key, "left_anti")
+        copies share a service date and are looked for on the incoming dates
+        only; ids that came with the data (``id_given``) are looked for everywhere."""
         columns = [c.split()[0] for c in SCHEMAS["positions"].split(", ")]
-        (new.select(*columns).hint("rebalance", "service_date")
+        if "id_given" not in incoming.columns:
+            incoming = incoming.withColumn("id_given", F.lit(True))
+        rows = materialise(earliest_per_key(
+            incoming.withColumn("service_date", F.to_date("fetched_at")).select(*columns, "id_given"),
+            ["position_id"], ["fetched_at", "lineid", "direction", "pointid"]), "incoming-positions")
+        # One value per calendar day of the input.
+        dates = [r["service_date"] for r in rows.select("service_date").distinct().collect()]
+        stored = self.read("positions").select("service_date", "position_id")
+        derived = rows.where(~F.col("id_given")).join(
+            stored.where(F.col("service_date").isin(dates)), ["service_date", "position_id"], "left_anti")
+        given = rows.where("id_given").join(stored, "position_id", "left_anti")
+        (derived.unionByName(given).select(*columns).hint("rebalance", "service_date")
          .sortWithinPartitions("service_date", "lineid", "direction", "fetched_at")
          .write.mode("append").partitionBy("service_date").parquet(f"{self.root}/positions"))
 

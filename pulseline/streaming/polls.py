@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseline.durable import materialise
 from pulseline.functions import text
 from pulseline.operators.positions import coerce_pings, typed_pings
 from pulseline.plans.pipelines import resolve_against
@@ -19,17 +20,19 @@ def landed_payloads(spark: SparkSession, folder: str, files_per_batch: int = 200
     """One row per landed file: its text and the time it was written, which is
     the time of the poll."""
     return (
-        spark.readStream.schema("value string").option("wholetext", True)
-        .option("maxFilesPerTrigger", files_per_batch).text(folder)
+        spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_batch)
+        .text(folder, wholetext=True)
         .select("value", F.date_format("_metadata.file_modification_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
                 .alias("polled"))
     )
 
 
 def payload_pings(payloads: DataFrame, fetched_at_text: Column | None = None) -> DataFrame:
-    """Payload files to coerced pings; batch and stream alike."""
-    polled = F.col("polled") if fetched_at_text is None else fetched_at_text
-    return coerce_pings(flatten_payload(document_items(payloads), polled))
+    """Payload files (``value``, ``polled``) to coerced pings; batch and stream
+    alike. ``fetched_at_text`` reads the poll's time from the payload instead."""
+    if fetched_at_text is not None:
+        payloads = payloads.withColumn("polled", fetched_at_text)
+    return coerce_pings(flatten_payload(document_items(payloads), F.col("polled")))
 
 
 def unique_stream(pings: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -47,14 +50,11 @@ def start_position_stream(pings: DataFrame, tables: Tables, checkpoint: str, mir
     ignores ids already stored, so a replayed batch or checkpoint adds nothing.
     """
     def store(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            if mirror:
-                (mirror_records(batch).write.mode("overwrite").option("compression", "gzip")
-                 .option("ignoreNullFields", "false").json(f"{mirror.rstrip('/')}/positions/batch={number}"))
-            tables.insert_positions(resolve_against(tables, typed_pings(batch)))
-        finally:
-            batch.unpersist()
+        landed = materialise(batch, "poll")
+        if mirror:
+            (mirror_records(landed).write.mode("overwrite").option("compression", "gzip")
+             .option("ignoreNullFields", "false").json(f"{mirror.rstrip('/')}/positions/batch={number}"))
+        tables.insert_positions(resolve_against(tables, typed_pings(landed)))
 
     return (unique_stream(pings).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

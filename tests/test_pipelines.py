@@ -83,9 +83,9 @@ def test_insert_ignore_keeps_the_first(spark, tmp_path, rows):
               "distance_from_point double, fetched_at timestamp, lon double, lat double")
     later = START + timedelta(days=1)
     tables.insert_positions(spark.createDataFrame([("a", None, "1", 1, "x", None, START, 1.0, 1.0),
-                                                   ("a", None, "2", 1, "x", None, later, 1.0, 1.0)], schema), False)
+                                                   ("a", None, "2", 1, "x", None, later, 1.0, 1.0)], schema))
     tables.insert_positions(spark.createDataFrame([("a", None, "3", 1, "x", None, later, 1.0, 1.0),
-                                                   ("b", None, "4", 1, "x", None, later, 1.0, 1.0)], schema), False)
+                                                   ("b", None, "4", 1, "x", None, later, 1.0, 1.0)], schema))
     assert rows(tables.read("positions"), "position_id", "lineid") == [("a", "1"), ("b", "4")]
 
 

@@ -72,10 +72,17 @@ def test_clipping_keeps_what_lies_inside(spark):
 def test_tiles_of_stops(spark):
     stops = spark.createDataFrame([("1", "Centre", None, 0.0, 0.0), ("2", "Brussels", None, 4.3517, 50.8466), ("3", "x", None, None, 1.0)],
                                   "pointid string, stop_name_fr string, stop_name_nl string, lon double, lat double")
-    got = {(r["pointid"], r["z"]): (r["x"], r["y"], r["px"], r["py"]) for r in tiles.tile_stops(stops, [0, 1, 12]).collect()}
-    assert got[("1", 0)] == (0, 0, 2048, 2048) and got[("1", 1)] == (1, 1, 0, 0)
+    got = {}
+    for r in tiles.tile_stops(stops, [0, 1, 12]).collect():
+        got.setdefault((r["pointid"], r["z"]), []).append((r["x"], r["y"], r["px"], r["py"]))
+    # On the border of four tiles, a stop is in all of them.
+    assert got[("1", 0)] == [(0, 0, 2048, 2048)]
+    assert sorted(got[("1", 1)]) == [(0, 0, 4096, 4096), (0, 1, 4096, 0), (1, 0, 0, 4096), (1, 1, 0, 0)]
     y = (1 - math.asinh(math.tan(math.radians(50.8466))) / math.pi) / 2 * 4096
-    assert got[("2", 12)][:2] == (2097, int(y)) and got[("2", 12)][3] == round(y % 1 * 4096) and len(got) == 6
+    x = (4.3517 + 180) / 360 * 4096
+    assert got[("2", 12)] == [(int(x), int(y), round(x % 1 * 4096), round(y % 1 * 4096))] and len(got) == 6
+    line_stops = spark.createDataFrame([("1", "71")], "pointid string, lineid string")
+    assert {r["pointid"] for r in tiles.tile_stops(stops, [5], line_stops, ["71"]).collect()} == {"1"}
 
 
 def test_tiles_of_lines(spark):
