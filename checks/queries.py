@@ -20,18 +20,25 @@ from pulseline.sources.gtfs import route_attributes
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTERED: dict[str, Query] = {}
+_ON_VIEWS: dict[str, Callable[[Adapter], DataFrame]] = {}
 
 
 def registered() -> dict[str, Query]:
     return dict(_REGISTERED)
 
 
+def on_views() -> dict[str, Callable[[Adapter], DataFrame]]:
+    """The same queries on views someone else prepared."""
+    return dict(_ON_VIEWS)
+
+
 def _query(*stored: str):
     """Registers a query; ``stored`` names the views it wants as written tables."""
     def register(build: Callable[[Adapter], DataFrame]) -> Callable[[Adapter], DataFrame]:
         def run(spark: SparkSession, folder: str) -> DataFrame:
             return build(Adapter(pin_utc(spark), folder, stored))
-        _REGISTERED[build.__name__] = run
+        name = build.__name__.rstrip("_")
+        _REGISTERED[name], _ON_VIEWS[name] = run, build
         return build
     return register
 
@@ -386,9 +393,6 @@ def route_attributes_(a: Adapter) -> DataFrame:
     return route_attributes(_gtfs_routes(a))
 
 
-_REGISTERED["route_attributes"] = _REGISTERED.pop("route_attributes_")
-
-
 @_query("line_stops")
 def shape_direction(a: Adapter) -> DataFrame:
     canonical = network.canonical_shapes(_gtfs_trips(a))
