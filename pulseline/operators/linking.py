@@ -35,7 +35,10 @@ EARTH_RADIUS_M = 6_371_000.0
 CHUNK_ROWS = 500_000
 SLOT_US = 60 * 1_000_000
 
-CHUNK = ["lineid", "direction", "island", "piece"]
+ISLAND = ["lineid", "direction", "island"]
+CHUNK = [*ISLAND, "piece"]
+# Rounds after which the pieces of earlier rounds are written as one table again.
+ROUNDS_PER_REWRITE = 6
 ORDER = [*CHUNK, "kind", "rank", "us", "lon", "lat", "position_id"]
 # kind: 0 = trip open at the chunk's start, 1 = ping, 2 = trip open at its end.
 OPEN = ["lineid", "direction", "rank", "us", "lon", "lat", "position_id", "head"]
@@ -216,39 +219,50 @@ def link_onto(positions: DataFrame, open_trips: DataFrame | None, chunk_rows: in
         return (df.repartition(*CHUNK).sortWithinPartitions(*ORDER)
                 .mapInArrow(_linker(radius_m, window_us), LINKED))
 
-    in_pieces = not plan.where("piece > 0").isEmpty()
-    if in_pieces:
-        linked = _link_in_rounds(materialise(rows, "link-input"), given, run)
+    def finished(linked: DataFrame) -> DataFrame:
+        return _resolve_heads(materialise(linked, "linked", "kind"), open_trips)
+
+    split = materialise(plan.where("piece > 0").select(*ISLAND).distinct(), "link-split-islands")
+    everything = rows if given is None else rows.unionByName(given)
+    if split.isEmpty():
+        linked = run(everything)
+        linked = linked if given is None else finished(linked)
     else:
-        linked = run(rows if given is None else rows.unionByName(given))
-    if in_pieces or open_trips is not None:
-        linked = _resolve_heads(materialise(linked, "linked"), open_trips)
+        whole = run(everything.join(split, ISLAND, "left_anti"))
+        parts = materialise(rows.join(split, ISLAND, "left_semi"), "link-parts")
+        part_entries = parts.limit(0) if given is None else given.join(split, ISLAND, "left_semi")
+        linked = (whole if given is None else finished(whole)).unionByName(
+            finished(_link_in_rounds(parts, part_entries, run)))
     last = plan.groupBy("lineid", "direction").agg(F.max(F.struct("island", "piece")).alias("_l")).select(
         "lineid", "direction", "_l.island", "_l.piece")
     still_open = linked.where("kind = 2").join(last, CHUNK, "left_semi").select(*OPEN)
     return linked.where("kind = 1").select("lineid", "direction", "us", "lon", "lat", "position_id", "head"), still_open
 
 
-def _link_in_rounds(rows: DataFrame, given: DataFrame | None, run) -> DataFrame:
-    entries = rows.limit(0) if given is None else materialise(given, "link-entries-0")
+def _link_in_rounds(rows: DataFrame, given: DataFrame, run) -> DataFrame:
+    """Links the chunks of split islands until their borders agree. A round writes
+    only the chunks it ran; the others are read from where they were written."""
+    given = materialise(given, "link-given")
     pieces = rows.select(*CHUNK).distinct()
-    latest = materialise(run(rows.unionByName(entries)), "link-round-0")
+    entries = given
+    latest = materialise(run(rows.unionByName(entries)), "link-round", "kind")
     for number in range(1, rows.agg(F.max("piece")).first()[0] + 2):
-        found = _entries_after(latest).join(pieces, CHUNK, "left_semi").select(*rows.columns)
-        if given is not None:
-            found = found.unionByName(given)
+        found = materialise(
+            _entries_after(latest).join(pieces, CHUNK, "left_semi").select(*rows.columns).unionByName(given),
+            "link-entries")
         # The same ping at the same rank means the same state.
         had = entries.select(*CHUNK, "rank", F.col("position_id").alias("_had"))
         has = found.select(*CHUNK, "rank", F.col("position_id").alias("_has"))
         changed = materialise(
             had.join(has, [*CHUNK, "rank"], "full").where("not (_had <=> _has)").select(*CHUNK).distinct(),
-            f"link-changed-{number}")
+            "link-changed")
         if changed.isEmpty():
             break
-        entries = materialise(found, f"link-entries-{number}")
-        again = run(rows.unionByName(entries).join(changed, CHUNK, "left_semi"))
-        kept = latest.join(changed, CHUNK, "left_anti")
-        latest = materialise(kept.unionByName(again), f"link-round-{number}")
+        entries = found
+        again = materialise(run(rows.unionByName(entries).join(changed, CHUNK, "left_semi")), "link-round", "kind")
+        latest = latest.join(changed, CHUNK, "left_anti").unionByName(again)
+        if number % ROUNDS_PER_REWRITE == 0:
+            latest = materialise(latest, "link-round", "kind")
     return latest
 
 
