@@ -32,7 +32,8 @@ from pulseline.functions import ids
 MATCH_RADIUS_M = 500.0
 MATCH_WINDOW_S = 300.0
 EARTH_RADIUS_M = 6_371_000.0
-CHUNK_ROWS = 500_000
+CHUNK_ROWS = 200_000
+TASK_ROWS = 200_000
 SLOT_US = 60 * 1_000_000
 
 ISLAND = ["lineid", "direction", "island"]
@@ -156,7 +157,7 @@ def _linker(radius_m: float, window_us: int):
 
 
 def plan_chunks(pings: DataFrame, window_us: int, chunk_rows: int) -> DataFrame:
-    """(lineid, direction, slot) -> (island, piece), from counts per slot."""
+    """(lineid, direction, slot) -> (island, piece, n), from counts per slot."""
     line = Window.partitionBy("lineid", "direction").orderBy("slot")
     island = Window.partitionBy("lineid", "direction", "island").orderBy("slot")
     pause = F.col("first_us") - F.lag("last_us").over(line) > window_us
@@ -170,7 +171,7 @@ def plan_chunks(pings: DataFrame, window_us: int, chunk_rows: int) -> DataFrame:
         .withColumn("_full", F.floor(F.col("_before") / chunk_rows))
         .withColumn("piece", F.dense_rank().over(
             Window.partitionBy("lineid", "direction", "island").orderBy("_full")).cast("long") - 1)
-        .select("lineid", "direction", "slot", "island", "piece")
+        .select("lineid", "direction", "slot", "island", "piece", "n")
     )
 
 
@@ -203,9 +204,9 @@ def link_onto(positions: DataFrame, open_trips: DataFrame | None, chunk_rows: in
         .select("lineid", "direction", "position_id", F.unix_micros("fetched_at").alias("us"), "lon", "lat")
         .withColumn("slot", F.floor(F.col("us") / SLOT_US))
     )
-    plan = plan_chunks(pings, window_us, chunk_rows)
+    plan = materialise(plan_chunks(pings, window_us, chunk_rows), "link-plan")
     rows = (
-        pings.join(plan, ["lineid", "direction", "slot"])
+        pings.join(plan.drop("n"), ["lineid", "direction", "slot"])
         .select(*CHUNK, F.lit(1).alias("kind"), F.lit(0).cast("long").alias("rank"), "us", "lon", "lat", "position_id")
     )
     given = None
@@ -215,8 +216,12 @@ def link_onto(positions: DataFrame, open_trips: DataFrame | None, chunk_rows: in
             "lineid", "direction", first.alias("island"), first.alias("piece"), F.lit(0).alias("kind"),
             "rank", "us", "lon", "lat", "position_id")
 
+    # The work per byte is high, so tasks are sized by rows, not merged by bytes.
+    total = plan.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_ROWS))
+
     def run(df: DataFrame) -> DataFrame:
-        return (df.repartition(*CHUNK).sortWithinPartitions(*ORDER)
+        return (df.repartition(tasks, *CHUNK).sortWithinPartitions(*ORDER)
                 .mapInArrow(_linker(radius_m, window_us), LINKED))
 
     def finished(linked: DataFrame) -> DataFrame:
