@@ -220,6 +220,63 @@ SELECT position_id, lineid, direction, pointid, epoch_us(poll_ts) AS fetched_at,
 FROM fx_position""",
     "trip_linking": LINKING,
     "trip_linking_in_chunks": LINKING,
+    "trip_linking_online": LINKING,
+    "position_stream": """
+SELECT position_id, lineid, direction, pointid, epoch_us(poll_ts) AS fetched_at, round(lon, 6) AS lon, round(lat, 6) AS lat
+FROM fx_position""",
+    "replay_counts": LINKING[:LINKING.index("SELECT substr(sha256('local|'")] + "SELECT 'trips' AS table_name, count(*) AS n FROM t " + " ".join(
+        f"UNION ALL SELECT '{name}', count(*) FROM {view}" for name, view in (
+            ("positions", "fx_position"), ("stops", "fx_stop"), ("line_shapes", "fx_line_shape"),
+            ("waiting_times", "(SELECT DISTINCT * FROM fx_waiting_time) d"))),
+    "live_payload": """
+SELECT substr(sha256(lineid || '|' || "directionId" || '|' || "pointId" || '|' || t || '|' || CAST("distanceFromPoint" AS VARCHAR)), 1, 32) AS position_id,
+       lineid, "directionId" AS direction, "pointId" AS pointid, "distanceFromPoint" AS distance_from_point, t AS fetched_at_text
+FROM (SELECT *, strftime(poll_ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS t FROM fx_feed) a""",
+    "observed_stops": """
+SELECT "pointId" AS pointid, arg_max("distanceFromPoint", k) AS lon, arg_max(CAST(length(lineid) AS DOUBLE), k) AS lat
+FROM (SELECT *, {'t': poll_ts, 'i': lineid || '|' || "directionId" || '|' || CAST("distanceFromPoint" AS VARCHAR)} AS k FROM fx_feed) a GROUP BY "pointId" """,
+    "insert_ignore": """
+SELECT CAST(c_custkey AS VARCHAR) AS pointid, c_name || ' v1' AS stop_name_fr, CAST(NULL AS VARCHAR) AS stop_name_nl,
+       CAST(c_custkey % 10 AS DOUBLE) AS lon, 1e0 AS lat FROM customer
+WHERE (c_custkey % 5 = 0 OR c_custkey % 11 = 10) AND CAST(c_custkey AS VARCHAR) NOT IN (SELECT pointid FROM fx_stop)""",
+    "upsert_last_wins": """
+SELECT pointid, stop_name_fr, stop_name_nl, round(lon, 6) AS lon, round(lat, 6) AS lat FROM fx_stop WHERE CAST(pointid AS BIGINT) % 5 <> 0
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name || ' v2', NULL, CAST(c_custkey % 10 AS DOUBLE), 2e0 FROM customer
+WHERE c_custkey % 5 = 0 OR c_custkey % 11 = 10""",
+    "upsert_coordinates": """
+SELECT coalesce(s.pointid, u.pointid) AS pointid, s.stop_name_fr, s.stop_name_nl,
+       round(CASE WHEN u.pointid IS NOT NULL THEN u.lon ELSE s.lon END, 6) AS lon, round(CASE WHEN u.pointid IS NOT NULL THEN 2e0 ELSE s.lat END, 6) AS lat
+FROM fx_stop s FULL JOIN (SELECT CAST(c_custkey AS VARCHAR) AS pointid, CAST(c_custkey % 10 AS DOUBLE) AS lon FROM customer
+                          WHERE c_custkey % 5 = 0 OR c_custkey % 11 = 10) u ON u.pointid = s.pointid""",
+    "stop_documents": """
+SELECT CAST(c_custkey AS VARCHAR) AS pointid, c_name AS stop_name_fr, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS stop_name_nl,
+       CAST(c_custkey % 180 AS DOUBLE) AS lon, CAST(c_custkey % 90 AS DOUBLE) AS lat
+FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 9 <> 0""",
+    "line_documents": """
+SELECT lineid, direction || '-' || block AS direction,
+       CAST(CASE WHEN block % 2 = 0 THEN sequence_idx ELSE (sequence_idx - 1) % 100 + 1 END AS INTEGER) AS sequence_idx, pointid, destination
+FROM (SELECT *, (sequence_idx - 1) // 100 AS block FROM fx_line_stops) a""",
+    "document_termini": "SELECT * FROM fx_line_terminus",
+    "segment_lengths": f"""
+SELECT lineid, direction, seq, round({HAVERSINE.format(a='', b='').replace("lon - lon", "lon2 - lon1").replace("lat - lat", "lat2 - lat1").replace("cos(radians(lat)) * cos(radians(lat))", "cos(radians(lat1)) * cos(radians(lat2))")}, 4) AS haversine,
+       round(metres, 4) AS metres FROM fx_segment""",
+    "point_at_fraction": """
+SELECT l.lineid, l.direction AS dir_label, l.pointid, l.f AS fraction,
+       round(m.lon1 + (m.lon2 - m.lon1) * least(1, (f - m.f0) * m.total / m.planar), 6) AS on_lon,
+       round(m.lat1 + (m.lat2 - m.lat1) * least(1, (f - m.f0) * m.total / m.planar), 6) AS on_lat
+FROM (SELECT *, (c_custkey % 101) / 100e0 AS f FROM fx_line_stops) l
+JOIN fx_measured m ON m.lineid = l.lineid AND m.direction = l.direction AND f >= m.f0 AND (m.f1 IS NULL OR f < m.f1)""",
+    "trip_extent": "SELECT trip_id, epoch_us(start_ts) AS start_ts, epoch_us(end_ts) AS end_ts, point_count FROM fx_trip",
+    "trips_direction_filter": """
+SELECT trip_id, lineid, direction FROM fx_trip WHERE direction = (SELECT max(direction) FROM fx_trip)""",
+    "trips_between": f"""
+SELECT trip_id, lineid, epoch_us(start_ts) AS start_ts, epoch_us(end_ts) AS end_ts FROM fx_trip
+WHERE start_ts < {_before_end(3)} AND end_ts > {_before_end(9)}""",
+    "recent_cutoff": """
+SELECT epoch_us(greatest(max(end_ts) - INTERVAL 3 DAY, min(start_ts))) AS cutoff FROM fx_trip""",
+    "line_order": """
+SELECT lineid, mode, row_number() OVER (ORDER BY CASE coalesce(mode, 'other') WHEN 'metro' THEN 1 WHEN 'tram' THEN 2 WHEN 'bus' THEN 3 ELSE 6 END,
+       TRY_CAST(lineid AS BIGINT) NULLS LAST, lineid) AS place FROM fx_meta""",
     "shape_length": """
 SELECT lineid, direction, round(sum(metres), 3) AS length_m, round(sum(planar), 6) AS planar_total,
        count(*) FILTER (WHERE planar > 0) AS n_segments FROM fx_segment GROUP BY lineid, direction""",
@@ -381,6 +438,8 @@ def _needed(sql: str) -> list[str]:
 
 
 def with_views(sql: str) -> str:
+    if not _needed(sql):
+        return sql.strip()
     views = ",\n".join(f"{name} AS MATERIALIZED ({VIEWS[name].strip()})" for name in _needed(sql))
     if re.match(r"\s*p AS MATERIALIZED", sql):
         return f"WITH RECURSIVE {views},{sql}"

@@ -5,18 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseline.adapters import EPOCH_2024_US, ORDER_SPACING_US, Adapter, instant
-from pulseline.durable import materialise
-from pulseline.functions import ids
+from pulseline.adapters import EPOCH_2024_US, ORDER_SPACING_US, Adapter, feed_of, instant
+from pulseline.durable import materialise, scratch
+from pulseline.functions import geo, ids
 from pulseline.operators import catalogue as cat
-from pulseline.operators import linking, network, positions, shapes, temporal, tiles, trips
+from pulseline.operators import linking, merge, network, positions, shapes, temporal, tiles, trips
+from pulseline.plans import pipelines
 from pulseline.plans import queries as plans
 from pulseline.plans.filters import TimeFilter, filter_trips, latest_end
 from pulseline.session import pin_utc
+from pulseline.sinks.tables import Tables
+from pulseline.sources import catalogue as documents
+from pulseline.sources import pings as feeds
 from pulseline.sources.gtfs import route_attributes
+from pulseline.streaming import polls
+from pulseline.streaming.linker import TripLinker
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTERED: dict[str, Query] = {}
@@ -58,10 +64,10 @@ def _hours_before_end(df: DataFrame, hours: float) -> Column:
 
 # -- pings ------------------------------------------------------------------
 
-def _feed_pings(a: Adapter) -> DataFrame:
+def _feed_pings(a: Adapter, feed: DataFrame | None = None) -> DataFrame:
     names = ["lineid", "directionId", "pointId", "distanceFromPoint", "poll_ts"]
     record = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*names)).alias("record")
-    return positions.coerce_pings(a.feed.select(record))
+    return positions.coerce_pings((feed or a.feed).select(record))
 
 
 def _positions(a: Adapter) -> DataFrame:
@@ -108,8 +114,11 @@ def ping_geometry(a: Adapter) -> DataFrame:
 
 def _linked_trips(a: Adapter, chunk_rows: int) -> DataFrame:
     located = materialise(_positions(a), "positions")
-    headers, _ = linking.build_trips(linking.trip_samples(linking.link_pings(located, chunk_rows)))
-    return headers.select("trip_id", "vehicle_uuid", "lineid", "direction", _us("start_ts"), _us("end_ts"), "point_count")
+    return _headers(linking.trip_samples(linking.link_pings(located, chunk_rows)))
+
+
+def _headers(samples: DataFrame) -> DataFrame:
+    return linking.build_trips(samples)[0].select("trip_id", "vehicle_uuid", "lineid", "direction", _us("start_ts"), _us("end_ts"), "point_count")
 
 
 @_query("line_stops")
@@ -123,6 +132,148 @@ def trip_linking_in_chunks(a: Adapter) -> DataFrame:
     return _linked_trips(a, 40)
 
 
+@_query("line_stops")
+def trip_linking_online(a: Adapter) -> DataFrame:
+    """The same trips from three micro-batches, carrying open trips across."""
+    located = materialise(_positions(a), "positions")
+    linker = TripLinker(a.spark, scratch(a.spark, "linker"), lateness_s=120)
+    span = located.agg(F.min("fetched_at").alias("a"), F.max("fetched_at").alias("b")).first()
+    for number in range(3):
+        share = F.floor((F.unix_micros("fetched_at") - F.unix_micros(F.lit(span["a"]))) * 3
+                        / (F.unix_micros(F.lit(span["b"])) - F.unix_micros(F.lit(span["a"])) + 1))
+        linker.process(located.where(share == number), number)
+    linker.flush()
+    return _headers(linker.samples())
+
+
+@_query("line_stops", "stops", "line_terminus", "shape_points")
+def position_stream(a: Adapter) -> DataFrame:
+    """Events as a stream: feed, coercion, dedup, positions, insert-ignore. Each
+    event passes twice, and each position is stored once."""
+    tables = Tables(a.spark, scratch(a.spark, "tables"))
+    for name in ("stops", "line_terminus", "shape_points"):
+        tables.replace(name, getattr(a, name))
+    events = (a.spark.readStream.schema(a.table("events").schema).option("pathGlobFilter", "events.parquet")
+              .parquet(a.folder))
+    twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    pings = _feed_pings(a, feed_of(a, twice))
+    query = polls.start_position_stream(pings, tables, scratch(a.spark, "checkpoint"))
+    query.awaitTermination()
+    return tables.read("positions").select(
+        "position_id", "lineid", "direction", "pointid", _us("fetched_at"), *_round("lon", "lat"))
+
+
+@_query("line_stops", "feed")
+def replay_counts(a: Adapter) -> DataFrame:
+    """Catalogue, pings and estimates written as dumps, replayed twice, linked."""
+    root = scratch(a.spark, "dumps")
+
+    def dump(rows: DataFrame, name: str) -> None:
+        rows.write.option("compression", "gzip").json(f"{root}/{name}.jsonl")
+
+    for name in ("stops", "line_stops", "line_terminus"):
+        getattr(a, name).write.format("json").option("compression", "gzip").save(f"{root}/raw/{name}")
+    dump(a.feed, "positions/feed")
+    tables = Tables(a.spark, scratch(a.spark, "tables"))
+    place = [F.lit("f").alias("file"), F.lit(0).alias("row_no")]
+    for _ in range(2):
+        for name, scan in (("stops", documents.scan_stops), ("line_stops", documents.scan_line_stops),
+                           ("line_terminus", documents.scan_line_terminus)):
+            tables.upsert(name, scan(a.spark, f"{root}/raw/{name}"))
+        pipelines.store_shapes(tables, a.line_shapes.select("*", *place), a.shape_points, replace=False)
+        pipelines.load_pings(tables, feeds.scan_pings(a.spark, [root], kind="positions"))
+        tables.append_waiting_times(a.waiting_times, once=True)
+    return pipelines.rebuild_trips(tables)
+
+
+@_query("line_stops", "feed")
+def live_payload(a: Adapter) -> DataFrame:
+    """Poll payloads with the vehicles of a line as JSON text, taken apart again."""
+    vehicle = F.struct("directionId", "pointId", F.col("distanceFromPoint").cast("double").alias("distanceFromPoint"))
+    nested = a.feed.groupBy("poll_ts", "lineid").agg(F.to_json(F.collect_list(vehicle)).alias("vehiclepositions"))
+    payload = nested.select("poll_ts", F.to_json(F.struct("lineid", "vehiclepositions")).alias("item"))
+    return positions.coerce_pings(feeds.flatten_payload(payload, F.col("poll_ts"))).drop("id_given")
+
+
+@_query("line_stops", "feed")
+def observed_stops(a: Adapter) -> DataFrame:
+    """Last coordinate per stop, from pings that come with one."""
+    seen = a.feed.select(
+        F.col("pointId").alias("pointid"), F.col("poll_ts").cast("timestamp").alias("fetched_at"),
+        F.concat_ws("|", "lineid", "directionId", "distanceFromPoint").alias("position_id"),
+        F.col("distanceFromPoint").cast("double").alias("lon"), F.length("lineid").cast("double").alias("lat"))
+    return feeds.observed_stops(seen)
+
+
+# -- merging ----------------------------------------------------------------
+
+def _changed_stops(a: Adapter) -> DataFrame:
+    """Two versions of every fifth stop and some stops not known before."""
+    key = F.col("c_custkey")
+    rows = a.table("customer").where((key % 5 == 0) | (key % 11 == 10))
+    return rows.withColumn("row_no", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        key.cast("string").alias("pointid"), F.concat_ws(" v", "c_name", F.col("row_no").cast("string")).alias("stop_name_fr"),
+        F.lit(None).cast("string").alias("stop_name_nl"), (key % 10).cast("double").alias("lon"),
+        F.col("row_no").cast("double").alias("lat"), "row_no")
+
+
+@_query("line_stops")
+def insert_ignore(a: Adapter) -> DataFrame:
+    return merge.new_rows(a.stops, _changed_stops(a), ["pointid"], ["row_no"]).drop("row_no")
+
+
+@_query("line_stops")
+def upsert_last_wins(a: Adapter) -> DataFrame:
+    merged = merge.upserted(a.stops, _changed_stops(a), ["pointid"], ["row_no"])
+    return merged.select("pointid", "stop_name_fr", "stop_name_nl", *_round("lon", "lat"))
+
+
+@_query("line_stops")
+def upsert_coordinates(a: Adapter) -> DataFrame:
+    merged = merge.upserted(a.stops, _changed_stops(a), ["pointid"], ["row_no"], ["lon", "lat"])
+    return merged.select("pointid", "stop_name_fr", "stop_name_nl", *_round("lon", "lat"))
+
+
+# -- documents --------------------------------------------------------------
+
+@_query()
+def stop_documents(a: Adapter) -> DataFrame:
+    """Customers as stop documents in all spellings, decoded."""
+    key = F.col("c_custkey")
+    gps = F.to_json(F.struct((key % 90).alias("latitude"), (key % 180).cast("string").alias("longitude")))
+    name = F.to_json(F.struct(F.col("c_name").alias("fr"), F.col("c_mktsegment").alias("nl")))
+    quoted = F.to_json(F.struct(key.alias("id"), gps.alias("gpscoordinates"), name.alias("name")))
+    nested = F.to_json(F.struct(
+        key.cast("string").alias("pointId"), F.col("c_name").alias("name"),
+        F.struct((key % 90).alias("lat"), F.when(key % 9 != 0, key % 180).alias("lng")).alias("gpsCoordinates")))
+    items = a.table("customer").select(F.when(key % 2 == 0, quoted).otherwise(nested).alias("item"))
+    return documents.decode_stop_documents(items)
+
+
+@_query("line_stops")
+def line_documents(a: Adapter) -> DataFrame:
+    """Stops-by-line documents of a hundred stops each, points without order in
+    every second one, decoded."""
+    block = F.floor((F.col("sequence_idx") - 1) / 100)
+    point = F.struct("sequence_idx", F.col("pointid").alias("id"))
+    lists = a.line_stops.groupBy("lineid", "direction", "destination", block.alias("block")).agg(
+        F.array_sort(F.collect_list(point)).alias("points"))
+    ordered = F.to_json(F.transform("points", lambda p: F.struct(
+        p["id"].alias("id"), p["sequence_idx"].cast("string").alias("order"))))
+    plain = F.to_json(F.transform("points", lambda p: F.struct(p["id"].cast("int").alias("pointId"))))
+    text = F.when(F.col("block") % 2 == 0, ordered).otherwise(plain)
+    items = lists.select(F.to_json(F.struct(
+        "lineid", F.concat_ws("-", "direction", F.col("block").cast("string")).alias("direction"),
+        F.to_json(F.struct(F.lit("").alias("fr"), F.col("destination").alias("nl"))).alias("destination"),
+        text.alias("points"))).alias("item"))
+    return documents.decode_line_documents(items)
+
+
+@_query("line_stops")
+def document_termini(a: Adapter) -> DataFrame:
+    return documents.terminus_of(a.line_stops.select("lineid", "direction", "sequence_idx", "pointid", "destination"))
+
+
 # -- shapes -----------------------------------------------------------------
 
 @_query()
@@ -144,6 +295,27 @@ def line_centroid(a: Adapter) -> DataFrame:
     return shapes.line_centroids(shapes.shape_segments(a.shape_points)).select("lineid", "direction", *_round("lon", "lat"))
 
 
+@_query("line_stops")
+def segment_lengths(a: Adapter) -> DataFrame:
+    """Great-circle and ellipsoidal metres of every shape segment."""
+    segments = shapes.shape_segments(a.shape_points)
+    ends = [F.col(c) for c in ("lon1", "lat1", "lon2", "lat2")]
+    return segments.select("lineid", "direction", "seq", F.round(geo.haversine_m(*ends), 4).alias("haversine"),
+                           F.round("metres", 4).alias("metres"))
+
+
+@_query("line_stops")
+def point_at_fraction(a: Adapter) -> DataFrame:
+    """The point a stop's share of its line's stops leads to along the shape."""
+    measured = materialise(shapes.measured_segments(shapes.shape_segments(a.shape_points)), "measured")
+    sizes = measured.groupBy("lineid", "direction").agg(F.max("n_segments").alias("n_segments"))
+    asked = a.line_stops.join(sizes, ["lineid", "direction"]).select(
+        "lineid", F.col("direction").alias("dir_label"), "pointid", "n_segments",
+        ((F.col("c_custkey") % 101) / 100).alias("fraction"))
+    found = shapes.interpolate_on_shapes(asked, shapes.fraction_cells(measured))
+    return found.select("lineid", "dir_label", "pointid", "fraction", *_round("on_lon", "on_lat"))
+
+
 @_query()
 def shape_geojson(a: Adapter) -> DataFrame:
     return shapes.shape_geojson(a.shape_points)
@@ -206,6 +378,29 @@ def trips_line_filter(a: Adapter) -> DataFrame:
     return chosen.select("trip_id", "lineid", "direction", _us("start_ts"), _us("end_ts"), "point_count")
 
 
+@_query()
+def trip_extent(a: Adapter) -> DataFrame:
+    return a.trips.select("trip_id", _us("start_ts"), _us("end_ts"), "point_count")
+
+
+@_query()
+def trips_direction_filter(a: Adapter) -> DataFrame:
+    """Trips towards the terminus with the highest number."""
+    target = a.trips.agg(F.max("direction")).scalar()
+    return a.trips.where(F.col("direction") == target).select("trip_id", "lineid", "direction")
+
+
+@_query("trips")
+def trips_between(a: Adapter) -> DataFrame:
+    chosen = temporal.active_between(a.trips, _hours_before_end(a.trips, 9), _hours_before_end(a.trips, 3))
+    return chosen.select("trip_id", "lineid", _us("start_ts"), _us("end_ts"))
+
+
+@_query("trips")
+def recent_cutoff(a: Adapter) -> DataFrame:
+    return cat.recent_cutoff(a.trips, 3).select(_us("cutoff"))
+
+
 @_query("trips")
 def trips_active_window(a: Adapter) -> DataFrame:
     chosen = temporal.active_around(a.trips, _hours_before_end(a.trips, 2))
@@ -294,6 +489,14 @@ def stop_details(a: Adapter) -> DataFrame:
                         F.array_join(F.transform("lines", text), "|").alias("lines"))
 
 
+@_query()
+def line_order(a: Adapter) -> DataFrame:
+    """Lines with their place in display order."""
+    lines = cat.line_metadata(a.line_shapes)
+    rank = F.row_number().over(Window.orderBy(*cat.line_order(F.col("mode"), F.col("lineid"))))
+    return lines.select("lineid", "mode", rank.cast("long").alias("place"))
+
+
 # -- user-level questions ---------------------------------------------------
 
 @_query("line_stops", "trip_samples", "trips")

@@ -114,10 +114,15 @@ def _line_terminus(a: Adapter) -> DataFrame:
 
 
 def _feed(a: Adapter) -> DataFrame:
-    """Pings as text fields, exactly as a poller would land them."""
+    return feed_of(a, a.table("events"))
+
+
+def feed_of(a: Adapter, events: DataFrame) -> DataFrame:
+    """Pings as text fields, exactly as a poller would land them. ``events`` may
+    be a stream."""
     length = a.line_stops.groupBy("nk", "par").agg(F.count(F.lit(1)).alias("n"))
     polled = (
-        a.table("events").where("event_type <> 'error'")
+        events.where("event_type <> 'error'")
         .select(F.floor(F.col("event_id") / 30).alias("poll"), (F.col("event_id") % 30).alias("slot"))
         .select("poll", (F.col("slot") % 5).cast("int").alias("nk"),
                 (F.floor(F.col("slot") / 5) % 2).cast("int").alias("par"),

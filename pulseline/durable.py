@@ -26,9 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/pulseline/{uuid.uuid4().hex}/{name}"
+
+
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back."""
-    path = f"{shared_folder(df.sparkSession)}/pulseline/{uuid.uuid4().hex}/{name}"
+    path = scratch(df.sparkSession, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pulseline import schemas
 from pulseline.durable import materialise
-from pulseline.operators.ordered import earliest_per_key
+from pulseline.operators.merge import new_rows, upserted
 
 # Primary key per catalogue table.
 KEYS = {
@@ -80,18 +80,7 @@ class Tables:
                columns: Sequence[str] | None = None) -> None:
         """Insert or update by key; within ``incoming`` the last row wins.
         With ``columns`` an update touches only those and keeps the others."""
-        key = KEYS[name]
-        existing = self.read(name)
-        last = earliest_per_key(incoming, key, load_order, latest=True)
-        if columns is None:
-            kept = existing.join(last.select(*key), key, "left_anti")
-            merged = kept.unionByName(last.select(*existing.columns))
-        else:
-            renamed = last.select(*key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns])
-            merged = existing.join(renamed, key, "full").select(*[
-                F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
-                for c in existing.columns])
-        self.replace(name, merged)
+        self.replace(name, upserted(self.read(name), incoming, KEYS[name], load_order, columns))
 
     def insert_positions(self, incoming: DataFrame) -> None:
         """Insert-ignore by position id. A derived id contains the time, so its
@@ -100,15 +89,17 @@ class Tables:
         columns = [c.split()[0] for c in SCHEMAS["positions"].split(", ")]
         if "id_given" not in incoming.columns:
             incoming = incoming.withColumn("id_given", F.lit(True))
-        rows = materialise(earliest_per_key(
+        rows = materialise(
             incoming.withColumn("service_date", F.to_date("fetched_at")).select(*columns, "id_given"),
-            ["position_id"], ["fetched_at", "lineid", "direction", "pointid"]), "incoming-positions")
+            "incoming-positions")
         # One value per calendar day of the input.
         dates = [r["service_date"] for r in rows.select("service_date").distinct().collect()]
         stored = self.read("positions").select("service_date", "position_id")
-        derived = rows.where(~F.col("id_given")).join(
-            stored.where(F.col("service_date").isin(dates)), ["service_date", "position_id"], "left_anti")
-        given = rows.where("id_given").join(stored, "position_id", "left_anti")
+        order = ["fetched_at", "lineid", "direction", "pointid"]
+        derived = new_rows(stored.where(F.col("service_date").isin(dates)), rows.where(~F.col("id_given")),
+                           ["service_date", "position_id"], order)
+        taken = stored.unionByName(derived.select(*stored.columns))
+        given = new_rows(taken, rows.where("id_given"), ["position_id"], order)
         (derived.unionByName(given).select(*columns).hint("rebalance", "service_date")
          .sortWithinPartitions("service_date", "lineid", "direction", "fetched_at")
          .write.mode("append").partitionBy("service_date").parquet(f"{self.root}/positions"))

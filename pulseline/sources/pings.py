@@ -57,13 +57,11 @@ def scan_waiting_times(spark: SparkSession, paths: list[str] | str, spread: int
     ).dropna(subset=["poll_ts"])
 
 
-def _truthy(json_text: str, *names: str) -> Column:
-    """First value that is neither null, empty, zero nor false. A quoted "0"
-    counts as a value, a bare 0 does not."""
-    parsed = F.try_parse_json(json_text)
-
+def _truthy(parsed: Column, *names: str) -> Column:
+    """First value that is neither null, empty, zero nor false, as text. A quoted
+    "0" counts as a value, a bare 0 does not."""
     def value(name: str) -> Column:
-        raw = F.get_json_object(json_text, f"$.{name}")
+        raw = F.try_variant_get(parsed, f"$.{name}", "string")
         kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
         empty = (raw == "") | ((kind != "STRING") & raw.isin("0", "0.0", "false", "[]", "{}"))
         return F.when(~empty, raw)
@@ -75,20 +73,27 @@ def flatten_payload(items: DataFrame, fetched_at_text: Column) -> DataFrame:
     """Live payload rows (``item`` text: a line with nested vehicle positions, as
     list or as JSON text) to ping records. Zero and empty values fall through to
     the next alias here; a direction must be a whole number."""
-    vehicles = F.from_json(_truthy("item", "vehiclepositions", "vehicle_positions"), "array<string>")
-    flat = items.select(
-        _truthy("item", "lineid", "lineId").alias("lineid"), F.explode(vehicles).alias("vehicle"),
-        fetched_at_text.alias("fetched_at"))
-    camel, snake = "distanceFromPoint", "distance_from_point"
-    names = ["lineid", "direction", "pointid", snake, "fetched_at"]
+    names = ["lineid", "direction", "pointid", "distance_from_point", "fetched_at"]
+
+    def distance(vehicle: Column) -> Column:
+        # The camelCase key hides the other one even when it is null.
+        camel = F.try_variant_get(vehicle, "$.distanceFromPoint", "variant")
+        return F.when(camel.isNotNull(), F.try_variant_get(vehicle, "$.distanceFromPoint", "string")).otherwise(
+            F.try_variant_get(vehicle, "$.distance_from_point", "string"))
+
+    def ping(vehicle: Column) -> Column:
+        return F.struct(
+            text.to_int(_truthy(vehicle, "directionId", "direction")).cast("string").alias("direction"),
+            _truthy(vehicle, "pointId", "pointid", "point_id").alias("pointid"),
+            distance(vehicle).alias("distance_from_point"))
+
+    lines = items.select(F.try_parse_json("item").alias("line"), fetched_at_text.alias("fetched_at"))
+    vehicles = F.from_json(_truthy(F.col("line"), "vehiclepositions", "vehicle_positions"), "array<variant>")
     return (
-        flat.withColumn("_v", F.from_json("vehicle", "map<string,string>"))
-        .select(
-            "lineid", text.to_int(_truthy("vehicle", "directionId", "direction")).cast("string").alias("direction"),
-            _truthy("vehicle", "pointId", "pointid", "point_id").alias("pointid"),
-            F.when(F.map_contains_key("_v", camel), F.col("_v")[camel]).otherwise(F.col("_v")[snake]).alias(snake),
-            "fetched_at")
-        .dropna(subset=["lineid", "direction", "pointid"])
+        lines.select(_truthy(F.col("line"), "lineid", "lineId").alias("lineid"), "fetched_at",
+                     F.explode(F.transform(vehicles, ping)).alias("ping"))
+        .where("lineid is not null and ping.direction is not null and ping.pointid is not null")
+        .select("lineid", "ping.*", "fetched_at")
         .select(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*names)).alias("record"))
     )
 
