@@ -58,6 +58,7 @@ def main() -> int:
         if args.names and name not in args.names:
             continue
         start = time.time()
+        print(f"-- {name}", file=sys.stderr, flush=True)
         try:
             mine = run(spark, folder).toPandas()
             middle = time.time()

@@ -251,7 +251,7 @@ FROM fx_stop s FULL JOIN (SELECT CAST(c_custkey AS VARCHAR) AS pointid, CAST(c_c
     "stop_documents": """
 SELECT CAST(c_custkey AS VARCHAR) AS pointid, c_name AS stop_name_fr, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS stop_name_nl,
        CAST(c_custkey % 180 AS DOUBLE) AS lon, CAST(c_custkey % 90 AS DOUBLE) AS lat
-FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 9 <> 0""",
+FROM customer WHERE CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 90 <> 0 ELSE c_custkey % 9 <> 0 END""",
     "line_documents": """
 SELECT lineid, direction || '-' || block AS direction,
        CAST(CASE WHEN block % 2 = 0 THEN sequence_idx ELSE (sequence_idx - 1) % 100 + 1 END AS INTEGER) AS sequence_idx, pointid, destination
@@ -275,8 +275,8 @@ WHERE start_ts < {_before_end(3)} AND end_ts > {_before_end(9)}""",
     "recent_cutoff": """
 SELECT epoch_us(greatest(max(end_ts) - INTERVAL 3 DAY, min(start_ts))) AS cutoff FROM fx_trip""",
     "line_order": """
-SELECT lineid, mode, row_number() OVER (ORDER BY CASE coalesce(mode, 'other') WHEN 'metro' THEN 1 WHEN 'tram' THEN 2 WHEN 'bus' THEN 3 ELSE 6 END,
-       TRY_CAST(lineid AS BIGINT) NULLS LAST, lineid) AS place FROM fx_meta""",
+SELECT lineid, mode, CASE coalesce(mode, 'other') WHEN 'metro' THEN 1 WHEN 'tram' THEN 2 WHEN 'bus' THEN 3 ELSE 6 END AS mode_rank,
+       TRY_CAST(lineid AS BIGINT) IS NULL AS is_text, TRY_CAST(lineid AS BIGINT) AS number FROM fx_meta""",
     "shape_length": """
 SELECT lineid, direction, round(sum(metres), 3) AS length_m, round(sum(planar), 6) AS planar_total,
        count(*) FILTER (WHERE planar > 0) AS n_segments FROM fx_segment GROUP BY lineid, direction""",

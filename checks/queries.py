@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseline.adapters import EPOCH_2024_US, ORDER_SPACING_US, Adapter, feed_of, instant
@@ -491,10 +491,11 @@ def stop_details(a: Adapter) -> DataFrame:
 
 @_query()
 def line_order(a: Adapter) -> DataFrame:
-    """Lines with their place in display order."""
-    lines = cat.line_metadata(a.line_shapes)
-    rank = F.row_number().over(Window.orderBy(*cat.line_order(F.col("mode"), F.col("lineid"))))
-    return lines.select("lineid", "mode", rank.cast("long").alias("place"))
+    """Lines with their sort key for display."""
+    rank, is_text, number, _ = cat.line_order(F.col("mode"), F.col("lineid"))
+    return cat.line_metadata(a.line_shapes).select(
+        "lineid", "mode", rank.cast("int").alias("mode_rank"), is_text.alias("is_text"),
+        F.col("lineid").try_cast("long").alias("number")).orderBy(rank, is_text, number, "lineid")
 
 
 # -- user-level questions ---------------------------------------------------

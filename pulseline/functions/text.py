@@ -62,3 +62,15 @@ def float_text(value: Column) -> Column:
         .when((size >= 1e-4) & (size < 1e16), plain)
         .otherwise(scientific)
     )
+
+
+def first_truthy(parsed: Column, *names: str) -> Column:
+    """Of a parsed JSON object (variant), the first field that is neither null,
+    empty, zero nor false, as text; the last field counts whatever it holds. A
+    quoted "0" is not empty, a bare 0 is."""
+    def filled(name: str) -> Column:
+        raw = F.try_variant_get(parsed, f"$.{name}", "string")
+        quoted = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant")) == "STRING"
+        return F.when(~((raw == "") | (~quoted & raw.isin("0", "0.0", "false", "[]", "{}"))), raw)
+
+    return F.coalesce(*[filled(n) for n in names[:-1]], F.try_variant_get(parsed, f"$.{names[-1]}", "string"))

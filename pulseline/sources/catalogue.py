@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseline.functions.geo import linestring_points
-from pulseline.functions.text import to_double, to_int
+from pulseline.functions.text import first_truthy, to_double, to_int
 from pulseline.operators.ordered import earliest_per_key
 from pulseline.sources.files import json_records
 
@@ -69,54 +69,54 @@ def document_items(files: DataFrame) -> DataFrame:
     return files.select(*kept, F.explode(items).alias("item")).where(F.trim("item") != "")
 
 
-def _value(item: str, *names: str) -> Column:
-    """First filled top-level field, as text; nested values as JSON text."""
-    return F.coalesce(*[F.nullif(F.get_json_object(item, f"$.{n}"), F.lit("")) for n in names])
-
-
-def _is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
-
-
-def _localised(item: str, name: str) -> tuple[Column, Column]:
-    """(fr, nl) of a bilingual field: an object, an object in text, or plain text."""
-    raw = F.get_json_object(item, f"$.{name}")
-    fr, nl = F.get_json_object(raw, "$.fr"), F.get_json_object(raw, "$.nl")
-    return (F.when(_is_json(raw), fr).otherwise(raw), F.when(_is_json(raw), nl).otherwise(raw))
+def _nested(parsed: Column, *names: str) -> tuple[Column, Column]:
+    """(text, parsed value) of a field that holds JSON directly or as text; the
+    value is NULL where the text is not JSON."""
+    raw = first_truthy(parsed, *names)
+    return raw, F.try_parse_json(raw)
 
 
 def decode_stop_documents(items: DataFrame) -> DataFrame:
-    """Stop documents to stop rows; those without id or coordinates are dropped."""
-    gps = _value("item", "gpscoordinates", "gpsCoordinates")
+    """Stop documents to stop rows; those without id or coordinates are dropped.
+    A name is a bilingual object, such an object in text, or plain text."""
+    def stop(doc: Column) -> Column:
+        gps = _nested(doc, "gpscoordinates", "gpsCoordinates")[1]
+        name, names = _nested(doc, "name")
+
+        def localised(language: str) -> Column:
+            return F.when(names.isNull(), name).otherwise(F.try_variant_get(names, f"$.{language}", "string"))
 
-    def degrees(*names: str) -> Column:
-        return F.coalesce(*[F.nullif(F.get_json_object(gps, f"$.{n}"), F.lit("")) for n in names])
+        return F.struct(
+            first_truthy(doc, "id", "pointId", "pointid").alias("pointid"), localised("fr").alias("stop_name_fr"),
+            localised("nl").alias("stop_name_nl"), to_double(first_truthy(gps, "longitude", "lon", "lng")).alias("lon"),
+            to_double(first_truthy(gps, "latitude", "lat")).alias("lat"))
 
-    fr, nl = _localised("item", "name")
-    return items.select(
-        _value("item", "id", "pointId", "pointid").alias("pointid"), fr.alias("stop_name_fr"),
-        nl.alias("stop_name_nl"), to_double(degrees("longitude", "lon", "lng")).alias("lon"),
-        to_double(degrees("latitude", "lat")).alias("lat"),
-    ).dropna(subset=["pointid", "lon", "lat"])
+    docs = F.array(F.try_parse_json("item"))
+    return items.select(F.inline(F.transform(docs, stop))).dropna(subset=["pointid", "lon", "lat"])
 
 
 def decode_line_documents(items: DataFrame) -> DataFrame:
     """Stops-by-line documents to (lineid, direction, sequence_idx, pointid,
     destination). A point without a usable order takes its place in the list."""
-    raw = F.get_json_object("item", "$.destination")
-    destination = F.when(_is_json(raw) & raw.startswith("{"), F.coalesce(
-        F.nullif(F.get_json_object(raw, "$.fr"), F.lit("")), F.nullif(F.get_json_object(raw, "$.nl"), F.lit("")),
-    )).otherwise(raw)
-    points = F.from_json(F.get_json_object("item", "$.points"), "array<string>")
-    lists = items.select(
-        _value("item", "lineid", "lineId").alias("lineid"), F.get_json_object("item", "$.direction").alias("direction"),
-        destination.alias("destination"), F.posexplode(points).alias("pos", "point"),
-    )
-    return lists.select(
-        "lineid", "direction",
-        F.coalesce(to_int(F.get_json_object("point", "$.order")), F.col("pos") + 1).alias("sequence_idx"),
-        _value("point", "id", "pointId", "pointid").alias("pointid"), "destination",
-    ).dropna(subset=["lineid", "direction", "pointid"])
+    docs = items.select(F.try_parse_json("item").alias("doc"))
+    named, names = _nested(F.col("doc"), "destination")
+    is_object = F.schema_of_variant(F.col("names")).startswith("OBJECT")
+    opened = docs.select(
+        first_truthy(F.col("doc"), "lineid", "lineId").alias("lineid"),
+        F.try_variant_get("doc", "$.direction", "string").alias("direction"), named.alias("named"), names.alias("names"),
+        F.from_json(F.try_variant_get("doc", "$.points", "string"), "array<variant>").alias("points"))
+
+    def point(p: Column, i: Column) -> Column:
+        quoted = F.schema_of_variant(F.try_variant_get(p, "$.order", "variant")) == "STRING"
+        order = F.when(quoted, to_int(F.try_variant_get(p, "$.order", "string"))).otherwise(
+            F.try_variant_get(p, "$.order", "double").cast("int"))
+        return F.struct(F.coalesce(order, i + 1).alias("sequence_idx"),
+                        first_truthy(p, "id", "pointId", "pointid").alias("pointid"))
+
+    return opened.select(
+        "lineid", "direction", F.explode(F.transform("points", point)).alias("point"),
+        F.when(is_object, first_truthy(F.col("names"), "fr", "nl")).otherwise(F.col("named")).alias("destination"),
+    ).select("lineid", "direction", "point.*", "destination").dropna(subset=["lineid", "direction", "pointid"])
 
 
 def terminus_of(line_stops: DataFrame) -> DataFrame:

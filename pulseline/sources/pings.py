@@ -57,18 +57,6 @@ def scan_waiting_times(spark: SparkSession, paths: list[str] | str, spread: int
     ).dropna(subset=["poll_ts"])
 
 
-def _truthy(parsed: Column, *names: str) -> Column:
-    """First value that is neither null, empty, zero nor false, as text. A quoted
-    "0" counts as a value, a bare 0 does not."""
-    def value(name: str) -> Column:
-        raw = F.try_variant_get(parsed, f"$.{name}", "string")
-        kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
-        empty = (raw == "") | ((kind != "STRING") & raw.isin("0", "0.0", "false", "[]", "{}"))
-        return F.when(~empty, raw)
-
-    return F.coalesce(*[value(n) for n in names])
-
-
 def flatten_payload(items: DataFrame, fetched_at_text: Column) -> DataFrame:
     """Live payload rows (``item`` text: a line with nested vehicle positions, as
     list or as JSON text) to ping records. Zero and empty values fall through to
@@ -83,14 +71,14 @@ def flatten_payload(items: DataFrame, fetched_at_text: Column) -> DataFrame:
 
     def ping(vehicle: Column) -> Column:
         return F.struct(
-            text.to_int(_truthy(vehicle, "directionId", "direction")).cast("string").alias("direction"),
-            _truthy(vehicle, "pointId", "pointid", "point_id").alias("pointid"),
+            text.to_int(text.first_truthy(vehicle, "directionId", "direction")).cast("string").alias("direction"),
+            text.first_truthy(vehicle, "pointId", "pointid", "point_id").alias("pointid"),
             distance(vehicle).alias("distance_from_point"))
 
     lines = items.select(F.try_parse_json("item").alias("line"), fetched_at_text.alias("fetched_at"))
-    vehicles = F.from_json(_truthy(F.col("line"), "vehiclepositions", "vehicle_positions"), "array<variant>")
+    vehicles = F.from_json(text.first_truthy(F.col("line"), "vehiclepositions", "vehicle_positions"), "array<variant>")
     return (
-        lines.select(_truthy(F.col("line"), "lineid", "lineId").alias("lineid"), "fetched_at",
+        lines.select(text.first_truthy(F.col("line"), "lineid", "lineId").alias("lineid"), "fetched_at",
                      F.explode(F.transform(vehicles, ping)).alias("ping"))
         .where("lineid is not null and ping.direction is not null and ping.pointid is not null")
         .select("lineid", "ping.*", "fetched_at")

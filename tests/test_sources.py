@@ -146,13 +146,15 @@ def test_live_payload(spark, rows):
             {"directionId": 0, "direction": "99", "pointId": "", "pointid": "13", "distance_from_point": "7"},
             {"directionId": "0", "pointId": 0, "point_id": "14", "distanceFromPoint": None, "distance_from_point": 8},
             {"directionId": "x", "pointId": "1"}, {"pointId": "1"}, "junk"])},
-        {"lineId": 72, "vehicle_positions": [{"direction": "5", "pointid": "6"}]},
+        {"lineId": 72, "vehicle_positions": [{"direction": "5", "pointid": "6"}, {"direction": 0, "point_id": "7"},
+                                              {"directionId": 0, "pointid": "8"}]},
         {"lineid": "73", "vehiclepositions": "broken"}, {"lineid": "74"}, "junk"]
     files_df = spark.createDataFrame([(json.dumps({"results": payload}),)], "value string")
     got = positions.coerce_pings(pings.flatten_payload(
         catalogue.document_items(files_df), F.lit("2026-05-04T10:00:00+00:00")))
     assert rows(got, "lineid", "direction", "pointid", "distance_from_point") == sorted([
-        ("71", "8472", "12", 34.0), ("71", "99", "13", 7.0), ("71", "0", "14", None), ("72", "5", "6", None)], key=repr)
+        ("71", "8472", "12", 34.0), ("71", "99", "13", 7.0), ("71", "0", "14", None), ("72", "5", "6", None),
+        ("72", "0", "7", None)], key=repr)
 
 
 def write_gtfs(folder, bom="﻿"):
