@@ -58,16 +58,33 @@ def trip_segments(samples: DataFrame) -> DataFrame:
     return next_row(sliced, TRIP_KEY, "_slice", ["ts"], ["ts", "lon", "lat"], "end").drop("_slice")
 
 
+# A segment is laid over slices of the finest of these sizes (times the base size)
+# that needs at most SPAN slices; a segment of years costs no more than a short one.
+SPAN = 32
+COARSER = [1, SPAN, SPAN ** 2, SPAN ** 3]
+
+
 def value_at_many_instants(samples: DataFrame, asks: DataFrame, on: Sequence[str] = ("trip_id",),
-                           slice_s: int = 600) -> DataFrame:
+                           slice_s: int = 600, max_gap_s: int | None = None) -> DataFrame:
     """Value for each row of ``asks`` (columns ``on`` and ``at_ts``), as an
     interval join: segments are laid over time slices, then an equi-join on
-    (``on``, slice) with a short range test."""
+    (``on``, slice) with a short range test. ``max_gap_s`` bounds the time between
+    neighbouring samples (300 for linked trips) and spares the coarser slices."""
+    sizes = COARSER if max_gap_s is None else COARSER[:1 + sum(s * slice_s * SPAN < max_gap_s for s in COARSER[:-1])]
     segments = trip_segments(samples)
     last = F.coalesce(F.col("end.ts"), F.col("ts"))
-    laid = segments.withColumn("_slice", F.explode(F.sequence(
-        time_slice(F.col("ts"), slice_s), time_slice(last, slice_s))))
-    wanted = asks.withColumn("_slice", time_slice(F.col("at_ts"), slice_s))
+    length = (F.unix_micros(last) - F.unix_micros("ts")) / (slice_s * 1_000_000)
+    size = F.lit(sizes[-1]).cast("long")
+    for finer in reversed(sizes[:-1]):
+        size = F.when(length <= finer * SPAN, finer).otherwise(size)
+
+    def slice_of(ts: Column) -> Column:
+        return F.floor(F.unix_micros(ts) / (F.col("_size") * (slice_s * 1_000_000)))
+
+    laid = segments.withColumn("_size", size).withColumn(
+        "_slice", F.explode(F.sequence(slice_of(F.col("ts")), slice_of(last))))
+    wanted = asks.withColumn("_size", F.explode(F.array(*[F.lit(s).cast("long") for s in sizes]))).withColumn(
+        "_slice", slice_of(F.col("at_ts")))
     inside = (F.col("at_ts") >= F.col("ts")) & (
         (F.col("at_ts") < F.col("end.ts")) | (F.col("end").isNull() & (F.col("at_ts") == F.col("ts"))))
     t = _share(F.col("at_ts"), F.col("ts"), F.col("end.ts"))
@@ -77,7 +94,7 @@ def value_at_many_instants(samples: DataFrame, asks: DataFrame, on: Sequence[str
 
     keep = [*asks.columns, *[c for c in TRIP_KEY if c not in asks.columns]]
     return (
-        wanted.join(laid, [*on, "_slice"]).where(inside)
+        wanted.join(laid, [*on, "_size", "_slice"]).where(inside)
         .select(*keep, blended("lon").alias("lon"), blended("lat").alias("lat"))
     )
 

@@ -86,13 +86,20 @@ def tile_lines(points: DataFrame, shapes: DataFrame, zooms: list[int], lines: li
         .where("ax <> bx or ay <> by")
     )
 
-    def tiles_over(a: str, b: str) -> Column:
-        low, high = F.least(a, b) - TILE_BUFFER, F.greatest(a, b) + TILE_BUFFER
-        return F.sequence(F.floor(low / TILE_EXTENT), F.floor(high / TILE_EXTENT))
-
+    def tiles_between(low: Column, high: Column) -> Column:
+        return F.sequence(F.floor((low - TILE_BUFFER) / TILE_EXTENT), F.floor((high + TILE_BUFFER) / TILE_EXTENT))
+
+    # Only the part of a segment inside a tile column can meet that column's tiles;
+    # one cell of slack covers rounding.
+    run = F.col("bx") - F.col("ax")
+    edges = [((F.col("x") + side) * TILE_EXTENT + (2 * side - 1) * TILE_BUFFER - F.col("ax")) / run for side in (0, 1)]
+    enter, leave = F.least(*edges), F.greatest(*edges)
+    rise = F.col("by") - F.col("ay")
+    y0 = F.when(run == 0, F.col("ay")).otherwise(F.col("ay") + rise * F.greatest(F.lit(0.0), F.least(F.lit(1.0), enter)))
+    y1 = F.when(run == 0, F.col("by")).otherwise(F.col("ay") + rise * F.greatest(F.lit(0.0), F.least(F.lit(1.0), leave)))
     laid = (
-        snapped_segments.withColumn("x", F.explode(tiles_over("ax", "bx")))
-        .withColumn("y", F.explode(tiles_over("ay", "by")))
+        snapped_segments.withColumn("x", F.explode(tiles_between(F.least("ax", "bx"), F.greatest("ax", "bx"))))
+        .withColumn("y", F.explode(tiles_between(F.least(y0, y1) - 1, F.greatest(y0, y1) + 1)))
         .join(boxes, shape)
         .where((F.col("_west") * _side(F.col("z")) <= F.col("x") + 1) & (F.col("_east") * _side(F.col("z")) >= F.col("x"))
                & (F.col("_north") * _side(F.col("z")) <= F.col("y") + 1)

@@ -59,9 +59,9 @@ def number_by_service_day(trips: DataFrame, zone: str = ZONE,
     """
     dated = trips.withColumns({
         "service_day": service_day(F.col("lineid"), F.col("start_ts"), zone, shift_minutes),
-        "_hour": time_slice(F.col("start_ts")),
+        "_minute": time_slice(F.col("start_ts"), 60),
     })
-    numbered = running_number(dated, ["lineid", "service_day"], "_hour",
-                              ["start_ts", "trip_id"], "daily_trip_seq").drop("_hour")
+    numbered = running_number(dated, ["lineid", "service_day"], "_minute",
+                              ["start_ts", "trip_id"], "daily_trip_seq").drop("_minute")
     label = F.concat("lineid", F.lit("_"), F.lpad(F.col("daily_trip_seq").cast("string"), 3, "0"))
     return numbered.withColumn("line_trip_id", label)

@@ -114,14 +114,29 @@ class Tables:
 
     def replace_trips(self, trips: DataFrame, samples: DataFrame, lines: list[str] | None = None) -> None:
         """Replaces all trips, or only those of ``lines``. Partitioned by line and
-        sorted by time, so that line and time filters skip files and row groups."""
+        sorted by time, so that line and time filters skip files and row groups,
+        and a rebuild of some lines touches no others."""
         for name, rows, order in (("trips", trips, "start_ts"), ("trip_samples", samples, "ts")):
             columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-            rows = rows.select(*columns)
-            if lines is not None:
-                rows = rows.unionByName(self.read(name).where(~F.col("lineid").isin(lines)))
-            sliced = rows.withColumn("_day", F.to_date(order)).hint("rebalance", "lineid", "_day").drop("_day")
-            self.replace(name, sliced, ["lineid"], [order, "trip_id"])
+            sliced = (rows.select(*columns).withColumn("_day", F.to_date(order))
+                      .hint("rebalance", "lineid", "_day").drop("_day"))
+            finished = self._finished(name)
+            if lines is None or not finished:
+                self.replace(name, sliced, ["lineid"], [order, "trip_id"])
+            else:
+                self._replace_lines(f"{self.root}/{name}/snapshot={finished[-1]}", sliced, order, lines)
+
+    def _replace_lines(self, path: str, rows: DataFrame, order: str, lines: list[str]) -> None:
+        """Dynamic overwrite of the lines' partitions; a line left without rows
+        loses its partition."""
+        stored = materialise(rows, "line-trips")
+        (stored.sortWithinPartitions("lineid", order, "trip_id").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("lineid").parquet(path))
+        filled = {r["lineid"] for r in stored.select("lineid").distinct().collect()}
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for line in set(lines) - filled:
+            files, folder = self._files(f"{path}/lineid={escape(line)}")
+            files.delete(folder, True)
 
 
 def write_mirror(records: DataFrame, folder: str, started_at: datetime) -> str:

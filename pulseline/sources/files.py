@@ -71,10 +71,9 @@ def json_records(spark: SparkSession, paths: list[str] | str, spread: int | None
                  kind: str | None = None) -> DataFrame:
     """One ``record`` map<string,string> per JSON object line; blank and
     malformed lines are skipped. A map keeps "key is null" apart from "no such
-    key". ``spread`` shuffles the records out of few unsplittable gzip files."""
-    parsed = (
-        text_lines(spark, paths, kind).where(F.trim("value") != "")
-        .withColumn("record", F.from_json("value", "map<string,string>"))
-        .where("record is not null").drop("value")
-    )
-    return parsed.repartition(spread) if spread else parsed
+    key". ``spread`` shuffles the lines out of few unsplittable gzip files
+    before they are parsed."""
+    lines = text_lines(spark, paths, kind).where(F.trim("value") != "")
+    if spread:
+        lines = lines.repartition(spread)
+    return lines.withColumn("record", F.from_json("value", "map<string,string>")).where("record is not null").drop("value")

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseline.durable import materialise
 from pulseline.operators import linking
 from pulseline.operators.ordered import earliest_per_key
 
@@ -63,12 +64,13 @@ class TripLinker:
         before, watermark = self._previous(batch)
         pending = self._read("pending", PENDING, before)
         columns = pending.columns
-        arrived = earliest_per_key(
-            positions.where("lon is not null and lat is not null").select(*columns), ["position_id"], ["fetched_at"])
+        arrived = materialise(earliest_per_key(
+            positions.where("lon is not null and lat is not null").select(*columns), ["position_id"], ["fetched_at"]),
+            "arrived")
         us = F.unix_micros("fetched_at")
         late = arrived.where(us < watermark).count()
-        waiting = earliest_per_key(
-            pending.unionByName(arrived.where(us >= watermark)), ["position_id"], ["fetched_at"])
+        waiting = materialise(earliest_per_key(
+            pending.unionByName(arrived.where(us >= watermark)), ["position_id"], ["fetched_at"]), "waiting")
         newest = waiting.agg(F.max(us)).first()[0]
         if flush:
             watermark = FOREVER

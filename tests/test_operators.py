@@ -108,8 +108,25 @@ def test_value_at_an_instant(spark, rows):
     assert [value(s) for s in (-1, 0, 50, 100, 250, 400, 401)] == [[], [4.0], [4.05], [4.1], [4.25], [4.4], []]
     assert value(50, trips=trips.trip_headers(samples), max_gap_s=300) == [4.05]
     asks = spark.createDataFrame([(s, "t", at(s)) for s in (-1, 0, 50, 100, 250, 400, 401)], "ask int, trip_id string, at_ts timestamp")
-    many = temporal.value_at_many_instants(samples, asks, slice_s=60)
-    assert rows(many.select("ask", F.round("lon", 9))) == [(0, 4.0), (100, 4.1), (250, 4.25), (400, 4.4), (50, 4.05)]
+    for more in ({"slice_s": 60}, {"slice_s": 1}, {"slice_s": 60, "max_gap_s": 300}, {"slice_s": 1, "max_gap_s": 300}):
+        many = temporal.value_at_many_instants(samples, asks, **more)
+        assert rows(many.select("ask", F.round("lon", 9))) == [(0, 4.0), (100, 4.1), (250, 4.25), (400, 4.4), (50, 4.05)]
+
+
+def test_segments_of_all_lengths_meet_their_instants(spark):
+    rng = random.Random(6)
+    fixes, t = [], 0
+    for i in range(60):
+        fixes.append((t, float(i)))
+        t += rng.choice([1, 40, 700, 30_000, 2_000_000, 90_000_000])
+    samples = spark.createDataFrame(trip("t", *fixes), SAMPLES)
+    moments = sorted(rng.sample(range(fixes[-1][0]), 200)) + [f[0] for f in fixes]
+    asks = spark.createDataFrame([(s, "t", at(s)) for s in moments], "ask long, trip_id string, at_ts timestamp")
+    got = {r["ask"]: r["lon"] for r in temporal.value_at_many_instants(samples, asks, slice_s=20).collect()}
+    for s in moments:
+        k = max(i for i, f in enumerate(fixes) if f[0] <= s)
+        share = 0 if fixes[k][0] == s else (s - fixes[k][0]) / (fixes[k + 1][0] - fixes[k][0])
+        assert abs(got[s] - (k + share)) < 1e-9
 
 
 def test_windows(spark, rows):

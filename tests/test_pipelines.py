@@ -66,6 +66,8 @@ def test_replaying_twice_adds_nothing(spark, tmp_path):
     assert tables.read("trips").first()["trip_id"] == trip["trip_id"]
     pipelines.rebuild_trips(tables, lines=["nope"])
     assert tables.read("trips").count() == 1
+    tables.replace_trips(tables.read("trips").limit(0), tables.read("trip_samples").limit(0), lines=["71"])
+    assert tables.read("trips").count() == 0 == tables.read("trip_samples").count()
 
 
 def test_upsert_lets_the_last_row_win(spark, tmp_path, rows):

@@ -99,5 +99,22 @@ def test_tiles_of_lines(spark):
     assert tiles.tile_lines(points, shapes, [10], lines=["2"]).count() == 0
 
 
+def test_a_long_segment_reaches_every_tile_it_crosses(spark):
+    points = spark.createDataFrame([("1", "A", 1, 4.0, 50.0), ("1", "A", 2, 4.9, 51.1), ("2", "A", 1, 4.0, 50.0), ("2", "A", 2, 4.0, 50.4)],
+                                   "lineid string, direction string, seq int, lon double, lat double")
+    shapes = spark.createDataFrame([("1", "A", 0, "bus", None, None)], tiles_shape())
+    side = 2 ** 12
+    want = set()
+    for line, (lon2, lat2) in (("1", (4.9, 51.1)), ("2", (4.0, 50.4))):
+        def unit(lon, lat):
+            return (lon / 360 + 0.5) * side, (1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * side
+        (ax, ay), (bx, by) = unit(4.0, 50.0), unit(lon2, lat2)
+        for k in range(20001):
+            want.add((line, int(ax + (bx - ax) * k / 20000), int(ay + (by - ay) * k / 20000)))
+    got = {(r["lineid"], r["x"], r["y"]) for r in tiles.tile_lines(points, shapes, [12]).collect()}
+    # Everything crossed, and beyond that only tiles met within the clip margin.
+    assert want <= got and len(got) < 2 * len(want)
+
+
 def tiles_shape():
     return "lineid string, direction string, variant int, mode string, route_color string, route_text_color string"
