@@ -1,6 +1,6 @@
 """Runs registered queries against their DuckDB twins and prints differences.
 
-    python -m checks.compare [--sf 0.01] [query ...]
+    python -m checks.compare [--sf 0.01 | --folder DIR] [query ...]
 """
 
 from __future__ import annotations
@@ -48,9 +48,10 @@ def differences(mine: pd.DataFrame, theirs: pd.DataFrame) -> str | None:
 def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--folder")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
-    folder = f"/root/testdata/sf{args.sf}"
+    folder = args.folder or f"/root/testdata/sf{args.sf}"
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, failed = connect(folder), all_sql(), 0

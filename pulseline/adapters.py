@@ -147,7 +147,7 @@ def _trip_samples(a: Adapter) -> DataFrame:
              .agg(F.min("l_partkey").alias("pk")))
     stops = a.line_stops.select("lineid", F.col("direction").alias("label"), F.col("c_custkey").alias("o_custkey"))
     terminus = a.line_terminus.select("lineid", F.col("direction").alias("label"), "terminus_pointid")
-    micros = (F.col("o_orderkey") * ORDER_SPACING_US + F.col("l_linenumber") * SAMPLE_SPACING_US + EPOCH_2024_US)
+    micros = (F.col("o_orderkey") * ORDER_SPACING_US + F.col("l_linenumber").cast("long") * SAMPLE_SPACING_US + EPOCH_2024_US)
     # The catalogue sides go first, so the large side meets one small table.
     bearing = stops.join(terminus, ["lineid", "label"]).select(
         "o_custkey", "lineid", F.col("terminus_pointid").cast("int").alias("direction"))

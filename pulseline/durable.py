@@ -27,8 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/pulseline/{uuid.uuid4().hex}/{name}"
+    """A fresh path in the shared folder, below one folder per application, which
+    can be removed as a whole once the application is done."""
+    return f"{shared_folder(spark)}/pulseline/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
 
 
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
