@@ -236,18 +236,19 @@ FROM (SELECT *, strftime(poll_ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS t FROM fx_
 SELECT "pointId" AS pointid, arg_max("distanceFromPoint", k) AS lon, arg_max(CAST(length(lineid) AS DOUBLE), k) AS lat
 FROM (SELECT *, {'t': poll_ts, 'i': lineid || '|' || "directionId" || '|' || CAST("distanceFromPoint" AS VARCHAR)} AS k FROM fx_feed) a GROUP BY "pointId" """,
     "insert_ignore": """
-SELECT CAST(c_custkey AS VARCHAR) AS pointid, c_name || ' v1' AS stop_name_fr, CAST(NULL AS VARCHAR) AS stop_name_nl,
-       CAST(c_custkey % 10 AS DOUBLE) AS lon, 1e0 AS lat FROM customer
-WHERE (c_custkey % 5 = 0 OR c_custkey % 11 = 10) AND CAST(c_custkey AS VARCHAR) NOT IN (SELECT pointid FROM fx_stop)""",
+SELECT CAST(s_suppkey AS VARCHAR) AS pointid, s_name || ' v1' AS stop_name_fr, CAST(NULL AS VARCHAR) AS stop_name_nl,
+       CAST(s_nationkey AS DOUBLE) AS lon, 1e0 AS lat FROM supplier WHERE CAST(s_suppkey AS VARCHAR) NOT IN (SELECT pointid FROM fx_stop)""",
     "upsert_last_wins": """
-SELECT pointid, stop_name_fr, stop_name_nl, round(lon, 6) AS lon, round(lat, 6) AS lat FROM fx_stop WHERE CAST(pointid AS BIGINT) % 5 <> 0
-UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name || ' v2', NULL, CAST(c_custkey % 10 AS DOUBLE), 2e0 FROM customer
-WHERE c_custkey % 5 = 0 OR c_custkey % 11 = 10""",
+SELECT pointid, stop_name_fr, stop_name_nl, round(lon, 6) AS lon, round(lat, 6) AS lat FROM fx_stop
+WHERE pointid NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name || ' v2', NULL, CAST(s_nationkey AS DOUBLE), 2e0 FROM supplier""",
     "upsert_coordinates": """
 SELECT coalesce(s.pointid, u.pointid) AS pointid, s.stop_name_fr, s.stop_name_nl,
        round(CASE WHEN u.pointid IS NOT NULL THEN u.lon ELSE s.lon END, 6) AS lon, round(CASE WHEN u.pointid IS NOT NULL THEN 2e0 ELSE s.lat END, 6) AS lat
-FROM fx_stop s FULL JOIN (SELECT CAST(c_custkey AS VARCHAR) AS pointid, CAST(c_custkey % 10 AS DOUBLE) AS lon FROM customer
-                          WHERE c_custkey % 5 = 0 OR c_custkey % 11 = 10) u ON u.pointid = s.pointid""",
+FROM fx_stop s FULL JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS pointid, CAST(s_nationkey AS DOUBLE) AS lon FROM supplier) u ON u.pointid = s.pointid""",
+    "ping_outcomes": """
+SELECT CASE lineid WHEN '1' THEN 'direction' WHEN '2' THEN 'no direction' WHEN '3' THEN 'fetched_at' ELSE 'kept' END AS outcome, count(*) AS pings
+FROM fx_feed GROUP BY 1""",
     "stop_documents": """
 SELECT CAST(c_custkey AS VARCHAR) AS pointid, c_name AS stop_name_fr, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS stop_name_nl,
        CAST(c_custkey % 180 AS DOUBLE) AS lon, CAST(c_custkey % 90 AS DOUBLE) AS lat

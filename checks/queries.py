@@ -90,6 +90,18 @@ def ping_coercion(a: Adapter) -> DataFrame:
     return positions.coerce_pings(records).drop("id_given")
 
 
+@_query("line_stops")
+def ping_outcomes(a: Adapter) -> DataFrame:
+    """Why records are dropped: the feed, where the last stop's number stands for
+    the direction on one line's pings and is missing on another's."""
+    direction = F.when(F.col("lineid") == "1", F.concat(F.lit("to "), "directionId")).when(
+        F.col("lineid") != "2", F.col("directionId"))
+    names = ["lineid", "direction", "pointid", "poll_ts"]
+    values = F.array("lineid", direction, "pointId", F.when(F.col("lineid") != "3", F.col("poll_ts")).otherwise("soon"))
+    return positions.ping_outcomes(a.feed.select(
+        F.map_from_arrays(F.array(*[F.lit(n) for n in names]), values).alias("record")))
+
+
 @_query()
 def ping_id(a: Adapter) -> DataFrame:
     distance = F.col("distanceFromPoint").cast("double")
@@ -208,12 +220,12 @@ def observed_stops(a: Adapter) -> DataFrame:
 # -- merging ----------------------------------------------------------------
 
 def _changed_stops(a: Adapter) -> DataFrame:
-    """Two versions of every fifth stop and some stops not known before."""
-    key = F.col("c_custkey")
-    rows = a.table("customer").where((key % 5 == 0) | (key % 11 == 10))
-    return rows.withColumn("row_no", F.explode(F.array(F.lit(1), F.lit(2)))).select(
-        key.cast("string").alias("pointid"), F.concat_ws(" v", "c_name", F.col("row_no").cast("string")).alias("stop_name_fr"),
-        F.lit(None).cast("string").alias("stop_name_nl"), (key % 10).cast("double").alias("lon"),
+    """Suppliers as news about the stops of the same number, in two versions."""
+    key = F.col("s_suppkey")
+    rows = a.table("supplier").withColumn("row_no", F.explode(F.array(F.lit(1), F.lit(2))))
+    return rows.select(
+        key.cast("string").alias("pointid"), F.concat_ws(" v", "s_name", F.col("row_no").cast("string")).alias("stop_name_fr"),
+        F.lit(None).cast("string").alias("stop_name_nl"), F.col("s_nationkey").cast("double").alias("lon"),
         F.col("row_no").cast("double").alias("lat"), "row_no")
 
 

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pulseline.durable import materialise
 from pulseline.functions import ids
 
+# How far and how long a ping may be from the trip it extends;
+# Earth radius of the great-circle formula.
 MATCH_RADIUS_M = 500.0
 MATCH_WINDOW_S = 300.0
 EARTH_RADIUS_M = 6_371_000.0

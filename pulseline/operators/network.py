@@ -9,6 +9,7 @@ from pulseline.functions.geo import haversine_m
 from pulseline.operators.ordered import running_number
 from pulseline.operators.shapes import SEQ_BUCKET
 
+# Fixed value: how far a shape's end may lie from its terminus.
 TERMINUS_TOLERANCE_M = 500.0
 
 

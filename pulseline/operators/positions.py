@@ -12,33 +12,51 @@ from pulseline.operators import shapes as sh
 from pulseline.operators.ordered import earliest_per_key
 
 KEY = ["lineid", "direction", "pointid"]
+REQUIRED = [*KEY, "fetched_at_text"]
 
 
-def coerce_pings(records: DataFrame, record: str = "record") -> DataFrame:
-    """Raw ping records (map<string,string> column) to typed, identified pings.
-
-    A record without line, direction, stop or time is dropped. The distance is
-    taken from the snake_case key whenever that key exists, even when it is null.
-    ``id_given`` tells ids that came with the record from those derived here.
-    """
+def _coerced_fields(record: str) -> list[Column]:
     def field(name: str) -> Column:
         return F.col(record)[name]
 
     snake = "distance_from_point"
     raw_distance = F.when(F.map_contains_key(record, snake), field(snake)).otherwise(field("distanceFromPoint"))
-    typed = records.select(
+    return [
         text.first_filled(field("position_id")).alias("_given"),
         text.first_filled(field("lineid"), field("lineId")).alias("lineid"),
         text.first_filled(field("direction"), field("directionId")).alias("direction"),
         text.first_filled(field("pointid"), field("pointId")).alias("pointid"),
         text.to_double(raw_distance).alias("distance_from_point"),
         text.first_filled(field("fetched_at"), field("poll_ts"), field("fetched_at_utc")).alias("fetched_at_text"),
-    ).dropna(subset=["lineid", "direction", "pointid", "fetched_at_text"])
+    ]
+
+
+def coerce_pings(records: DataFrame, record: str = "record") -> DataFrame:
+    """Raw ping records (map<string,string> column) to typed, identified pings.
+
+    A record without line, direction, stop or time is dropped. The distance is
+    taken from the snake_case key whenever that key exists, even when it is null.
+    ``id_given`` tells ids that came with the record from those derived here.
+    """
+    typed = records.select(*_coerced_fields(record)).dropna(subset=REQUIRED)
     made = ids.ping_id(*[F.col(c) for c in (*KEY, "fetched_at_text", "distance_from_point")])
     return typed.select(F.coalesce("_given", made).alias("position_id"), *KEY, "distance_from_point",
                         "fetched_at_text", F.col("_given").isNotNull().alias("id_given"))
 
 
+def ping_outcomes(records: DataFrame, record: str = "record") -> DataFrame:
+    """How many records are kept, and how many go for which reason."""
+    reason = F.coalesce(*[F.when(F.col(c).isNull(), f"no {c}") for c in REQUIRED],
+                        _unparsed(), F.lit("kept"))
+    return (records.select(*_coerced_fields(record)).groupBy(reason.alias("outcome"))
+            .agg(F.count(F.lit(1)).alias("pings")))
+
+
+def _unparsed() -> Column:
+    return (F.when(text.to_int(F.col("direction")).isNull(), "direction")
+            .when(text.to_instant(F.col("fetched_at_text")).isNull(), "fetched_at"))
+
+
 def typed_pings(pings: DataFrame) -> DataFrame:
     """Numeric direction and a real instant; see ``rejected_pings`` for the rest."""
     return (
@@ -51,9 +69,7 @@ def typed_pings(pings: DataFrame) -> DataFrame:
 
 def rejected_pings(pings: DataFrame) -> DataFrame:
     """Pings whose direction or time does not parse, with the reason."""
-    reason = (F.when(text.to_int(F.col("direction")).isNull(), "direction")
-              .when(text.to_instant(F.col("fetched_at_text")).isNull(), "fetched_at"))
-    return pings.withColumn("reason", reason).where("reason is not null")
+    return pings.withColumn("reason", _unparsed()).where("reason is not null")
 
 
 def unique_pings(pings: DataFrame) -> DataFrame:

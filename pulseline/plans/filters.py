@@ -55,6 +55,16 @@ class TimeFilter:
         return latest.select((F.col("w_end") - F.lit(timedelta(hours=self.hours))).alias("w_start"), "w_end")
 
 
+    def bounds(self, trips: DataFrame) -> tuple[Column, Column]:
+        """(start, end) as scalar columns, for queries over a window."""
+        window = self.window(trips)
+        return window.select("w_start").scalar(), window.select("w_end").scalar()
+
+    def instant(self, trips: DataFrame) -> Column:
+        """The window's end, for queries at an instant."""
+        return self.bounds(trips)[1]
+
+
 def filter_trips(trips: DataFrame, lines: list[str] | None = None, direction: int | None = None) -> DataFrame:
     """Optional line and direction filters; None keeps everything."""
     if lines is not None:

@@ -236,6 +236,9 @@ def test_time_filters(spark):
     heads = spark.createDataFrame([("t", at(0), at(7200))], "trip_id string, start_ts timestamp, end_ts timestamp")
     row = TimeFilter.parse(hours="1").window(heads).select(F.unix_seconds("w_start"), F.unix_seconds("w_end")).first()
     assert tuple(row) == (int(at(3600).timestamp()), int(at(7200).timestamp()))
+    assert heads.where(F.col("end_ts") == TimeFilter().instant(heads)).count() == 1
+    start, end = TimeFilter.parse(hours="2").bounds(heads)
+    assert temporal.active_between(heads, start, end).count() == 1
     fixed = TimeFilter.parse(start="2026-05-04T10:00:00Z", end="2026-05-04T11:00:00Z").window(heads)
     assert fixed.select(F.unix_seconds("w_end") - F.unix_seconds("w_start")).first()[0] == 3600
 

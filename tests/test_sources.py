@@ -76,6 +76,8 @@ def test_ping_coercion(spark, tmp_path, rows):
         ("71", "0", "0", 5.0, "2026-05-04T10:00:00Z"), ("72", "0", "0", None, "2026-05-04T11:00:00Z")], key=repr)
     assert got.where("distance_from_point = 34").select("position_id").distinct().count() == 1
     assert got.where("position_id = 'given'").count() == 1
+    outcomes = positions.ping_outcomes(files.json_records(spark, path))
+    assert rows(outcomes) == [("kept", 7), ("no fetched_at_text", 1), ("no pointid", 1)]
     assert positions.unique_pings(got).count() == 4
 
 
