@@ -177,7 +177,7 @@ ACTIVE = f"start_ts < {AT} + INTERVAL 30 MINUTE AND end_ts >= {AT} - INTERVAL 30
 SAMPLES_INSIDE = f"ts >= {_before_end(30)} AND ts < {_before_end(6)}"
 
 LINKING = f"""
-p AS MATERIALIZED (SELECT position_id, lineid, direction AS dir, epoch_us(poll_ts) AS us, lon, lat FROM fx_position WHERE lon IS NOT NULL),
+WITH_RECURSIVE p AS MATERIALIZED (SELECT position_id, lineid, direction AS dir, epoch_us(poll_ts) AS us, lon, lat FROM fx_position WHERE lon IS NOT NULL),
 g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY lineid, dir ORDER BY us, lon, lat, position_id) <= 300000000 THEN 0 ELSE 1 END AS brk FROM p),
 i AS (SELECT *, sum(brk) OVER (PARTITION BY lineid, dir ORDER BY us, lon, lat, position_id ROWS UNBOUNDED PRECEDING) AS isl FROM g),
 n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lineid, dir, isl ORDER BY us, lon, lat, position_id) AS rn FROM i),
@@ -201,7 +201,59 @@ ETA = "epoch_us(poll_ts) AS poll_ts, lineid, epoch_us(expected) AS expected, des
 TILE = ("SELECT z, pointid, stop_name_fr, stop_name_nl, (lon / 360e0 + 0.5e0) * pow(2e0, z) AS ux, "
         "(0.5e0 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) * pow(2e0, z) AS uy FROM fx_stop, (VALUES (10), (12), (14)) v(z)")
 
+# Clip bounds of a segment along one axis, as shares of its length.
+ENTER = "CASE WHEN {d} > 0 THEN (-64e0 - {a}) / {d} WHEN {d} < 0 THEN (4160e0 - {a}) / {d} ELSE 0e0 END"
+LEAVE = "CASE WHEN {d} > 0 THEN (4160e0 - {a}) / {d} WHEN {d} < 0 THEN (-64e0 - {a}) / {d} ELSE 1e0 END"
+TILE_LINES = f"""
+WITH_VIEWS v AS (SELECT lineid, direction, seq, lon / 360e0 + 0.5e0 AS ux, 0.5e0 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi()) AS uy FROM fx_shape_point),
+box AS (SELECT lineid, direction, min(ux) AS w, max(ux) AS e, min(uy) AS n, max(uy) AS s FROM v GROUP BY ALL),
+s AS (SELECT lineid, direction, seq - 1 AS seq, z, round_even(ux * pow(2e0, z) * 4096, 0) AS xa, round_even(uy * pow(2e0, z) * 4096, 0) AS ya,
+             round_even(ux2 * pow(2e0, z) * 4096, 0) AS xb, round_even(uy2 * pow(2e0, z) * 4096, 0) AS yb
+      FROM (SELECT *, lead(ux) OVER w AS ux2, lead(uy) OVER w AS uy2 FROM v WINDOW w AS (PARTITION BY lineid, direction ORDER BY seq)) a,
+           (VALUES (11), (13)) zooms(z) WHERE ux2 IS NOT NULL),
+x AS (SELECT *, unnest(range(CAST(floor((least(xa, xb) - 64) / 4096) AS BIGINT), CAST(floor((greatest(xa, xb) + 64) / 4096) AS BIGINT) + 1)) AS x
+      FROM s WHERE xa <> xb OR ya <> yb),
+y AS (SELECT *, unnest(range(CAST(floor((least(ya, yb) - 64) / 4096) AS BIGINT), CAST(floor((greatest(ya, yb) + 64) / 4096) AS BIGINT) + 1)) AS y FROM x),
+p AS (SELECT y.* EXCLUDE (xa, ya, xb, yb), xa - x * 4096 AS xa, ya - y * 4096 AS ya, xb - x * 4096 AS xb, yb - y * 4096 AS yb, xb - xa AS dx, yb - ya AS dy
+      FROM y JOIN box b ON b.lineid = y.lineid AND b.direction = y.direction AND b.w * pow(2e0, z) <= x + 1 AND b.e * pow(2e0, z) >= x
+       AND b.n * pow(2e0, z) <= y + 1 AND b.s * pow(2e0, z) >= y),
+c AS (SELECT *, greatest(0e0, {ENTER.format(a='xa', d='dx')}, {ENTER.format(a='ya', d='dy')}) AS t0,
+             least(1e0, {LEAVE.format(a='xa', d='dx')}, {LEAVE.format(a='ya', d='dy')}) AS t1
+      FROM p WHERE (dx <> 0 OR xa BETWEEN -64 AND 4160) AND (dy <> 0 OR ya BETWEEN -64 AND 4160)),
+r AS (SELECT *, CAST(round_even(xa + dx * t0, 0) AS INTEGER) AS xa_, CAST(round_even(ya + dy * t0, 0) AS INTEGER) AS ya_,
+             CAST(round_even(xa + dx * t1, 0) AS INTEGER) AS xb_, CAST(round_even(ya + dy * t1, 0) AS INTEGER) AS yb_ FROM c WHERE t0 < t1)
+SELECT r.z, r.x, r.y, r.lineid, r.direction, coalesce(h.mode, 'other') AS mode, h.route_color, h.route_text_color, h.variant,
+       CAST(r.seq AS BIGINT) AS seq, xa_ AS x0, ya_ AS y0, xb_ AS x1, yb_ AS y1
+FROM r LEFT JOIN fx_line_shape h ON h.lineid = r.lineid AND h.direction = r.direction WHERE xa_ <> xb_ OR ya_ <> yb_"""
+
+# Simplification one vertex at a time: the state is the list of vertices left, each
+# with the size of its triangle (lv) and the steps since a triangle set it (dp).
+TRIANGLE = "abs(({b}.mx - {a}.mx) * ({c}.my - {a}.my) - ({c}.mx - {a}.mx) * ({b}.my - {a}.my)) / 2"
+SIMPLIFIED = f"""
+v0 AS MATERIALIZED (SELECT lineid, direction, seq, lon / 360e0 + 0.5e0 AS ux, 0.5e0 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi()) AS uy FROM fx_shape_point),
+m0 AS (SELECT lineid, direction, seq, {{'i': seq, 'mx': ux * 40075016.685578488e0, 'my': uy * 40075016.685578488e0}} AS q FROM v0),
+n0 AS (SELECT *, lag(q) OVER o AS a, lead(q) OVER o AS c FROM m0 WINDOW o AS (PARTITION BY lineid, direction ORDER BY seq)),
+w AS (
+ SELECT lineid, direction, 0 AS step,
+        list({{'lv': CASE WHEN a IS NULL OR c IS NULL THEN 1e300 ELSE {TRIANGLE.format(a='a', b='q', c='c')} END, 'dp': 0, 'i': q.i, 'mx': q.mx, 'my': q.my}} ORDER BY seq) AS st
+ FROM n0 GROUP BY lineid, direction
+ UNION ALL
+ SELECT lineid, direction, step + 1,
+        list_transform(r, lambda p, i: CASE
+          WHEN (i = m - 1 OR i = m) AND i > 1 AND i < len(r) AND {TRIANGLE.format(a='r[i - 1]', b='p', c='r[i + 1]')} > out.lv
+            THEN {{'lv': {TRIANGLE.format(a='r[i - 1]', b='p', c='r[i + 1]')}, 'dp': 0, 'i': p.i, 'mx': p.mx, 'my': p.my}}
+          WHEN (i = m - 1 OR i = m) AND i > 1 AND i < len(r) THEN {{'lv': out.lv, 'dp': out.dp + 1, 'i': p.i, 'mx': p.mx, 'my': p.my}}
+          ELSE p END)
+ FROM (SELECT *, st[m] AS out, list_filter(st, lambda p, i: i <> m) AS r
+       FROM (SELECT *, list_sort(list_transform(st, lambda p, i: {{'lv': p.lv, 'dp': p.dp, 'i': p.i, 'pos': i}}))[1].pos AS m FROM w) a) b
+ WHERE out.lv < 4),
+kept AS (SELECT lineid, direction, unnest(arg_max(list_transform(st, lambda p: p.i), step)) AS seq FROM w GROUP BY lineid, direction),
+v AS (SELECT v0.* FROM v0 JOIN kept USING (lineid, direction, seq)),
+"""
+
 SQL = {
+    "tile_lines": "WITH_RECURSIVE" + SIMPLIFIED + TILE_LINES[TILE_LINES.index("box AS ("):].replace("FROM v GROUP BY ALL", "FROM v0 GROUP BY ALL"),
+    "tile_lines_unsimplified": TILE_LINES,
     "ping_coercion": """
 SELECT substr(sha256(lineid || '|' || "directionId" || '|' || "pointId" || '|' || t || '|' ||
               CASE WHEN "distanceFromPoint" = 0 THEN 'None' ELSE CAST("distanceFromPoint" AS VARCHAR) END), 1, 32) AS position_id,
@@ -442,8 +494,9 @@ def with_views(sql: str) -> str:
     if not _needed(sql):
         return sql.strip()
     views = ",\n".join(f"{name} AS MATERIALIZED ({VIEWS[name].strip()})" for name in _needed(sql))
-    if re.match(r"\s*p AS MATERIALIZED", sql):
-        return f"WITH RECURSIVE {views},{sql}"
+    for mark, start in (("WITH_RECURSIVE", "WITH RECURSIVE"), ("WITH_VIEWS", "WITH")):
+        if sql.strip().startswith(mark):
+            return f"{start} {views},\n{sql.strip().removeprefix(mark).strip()}"
     return f"WITH {views}\n{sql.strip()}"
 
 

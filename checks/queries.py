@@ -629,3 +629,9 @@ def tile_stops(a: Adapter) -> DataFrame:
 @_query("line_stops")
 def tile_lines(a: Adapter) -> DataFrame:
     return tiles.tile_lines(a.shape_points, a.line_shapes, [11, 13])
+
+
+@_query("line_stops")
+def tile_lines_unsimplified(a: Adapter) -> DataFrame:
+    """Snapping, tile assignment and clipping alone: every vertex is kept."""
+    return tiles.tile_lines(a.shape_points, a.line_shapes, [11, 13], min_area=0.0)

@@ -113,7 +113,7 @@ def tile_lines(points: DataFrame, shapes: DataFrame, zooms: list[int], lines: li
                                "route_text_color", "variant")
     return clipped.join(attributes, shape, "left").select(
         "z", "x", "y", *shape, "mode", "route_color", "route_text_color", "variant", "seq",
-        *[F.col(c).cast("int").alias(c) for c in ("ax", "ay", "bx", "by")])
+        *[F.col(c).cast("int").alias(name) for c, name in (("ax", "x0"), ("ay", "y0"), ("bx", "x1"), ("by", "y1"))])
 
 
 def clip_segments(segments: DataFrame, low: int, high: int) -> DataFrame:

@@ -91,11 +91,11 @@ def test_tiles_of_lines(spark):
     shapes = spark.createDataFrame([("1", "A", 0, None, "#1", "#2")], tiles_shape())
     rows = tiles.tile_lines(points, shapes, [10, 13]).collect()
     assert {r["mode"] for r in rows} == {"other"}
-    assert all(-64 <= r[c] <= 4160 for r in rows for c in ("ax", "ay", "bx", "by"))
+    assert all(-64 <= r[c] <= 4160 for r in rows for c in ("x0", "y0", "x1", "y1"))
     assert len({(r["x"], r["y"]) for r in rows if r["z"] == 13}) > len({(r["x"], r["y"]) for r in rows if r["z"] == 10})
     # Inside a tile consecutive segments meet.
     whole = sorted((r for r in rows if r["z"] == 10), key=lambda r: (r["x"], r["y"], r["seq"]))
-    assert all((a["bx"], a["by"]) == (b["ax"], b["ay"]) for a, b in zip(whole, whole[1:]) if (a["x"], a["y"]) == (b["x"], b["y"]))
+    assert all((a["x1"], a["y1"]) == (b["x0"], b["y0"]) for a, b in zip(whole, whole[1:]) if (a["x"], a["y"]) == (b["x"], b["y"]))
     assert tiles.tile_lines(points, shapes, [10], lines=["2"]).count() == 0
 
 
