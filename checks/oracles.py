@@ -430,6 +430,14 @@ FROM (SELECT trip_id, {LINE_NUMBER} AS line_trip_id FROM fx_numbered_trip
 JOIN fx_trip_instant s ON s.trip_id = t.trip_id AND s.ts >= {_before_end(26)} AND s.ts < {_before_end(2)}
 LEFT JOIN fx_label l ON l.lineid = s.lineid AND l.pointid = CAST(s.direction AS VARCHAR)
 LEFT JOIN fx_meta m ON m.lineid = s.lineid""",
+    "trajectories_packed": f"""
+SELECT s.trip_id, s.lineid, l.dir_label, t.line_trip_id, 'local:' || s.lineid || ':' || l.dir_label AS shape_id, m.mode,
+       string_agg(CAST(epoch_us(s.ts) // 1000 AS VARCHAR) || ' ' || CAST(round(s.lon, 6) AS VARCHAR) || ' ' || CAST(round(s.lat, 6) AS VARCHAR), ';' ORDER BY s.ts) AS samples
+FROM (SELECT trip_id, {LINE_NUMBER} AS line_trip_id FROM fx_numbered_trip
+      WHERE start_ts < {_before_end(4)} AND end_ts > {_before_end(5)}) t
+JOIN fx_trip_instant s ON s.trip_id = t.trip_id AND s.ts >= {_before_end(5)} AND s.ts < {_before_end(4)}
+LEFT JOIN fx_label l ON l.lineid = s.lineid AND l.pointid = CAST(s.direction AS VARCHAR)
+LEFT JOIN fx_meta m ON m.lineid = s.lineid GROUP BY ALL""",
     "waiting_times_for_stop": f"""
 SELECT {ETA} FROM (SELECT * FROM fx_waiting_time WHERE pointid = '42' ORDER BY {ETA_ORDER} LIMIT 200) a""",
     "waiting_times_per_stop": f"""

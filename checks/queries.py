@@ -535,6 +535,17 @@ def trajectories(a: Adapter) -> DataFrame:
                        "t_ms", *_round("lon", "lat"))
 
 
+@_query("line_stops", "trip_samples", "trips")
+def trajectories_packed(a: Adapter) -> DataFrame:
+    """One row per trip in a window, its samples in time order."""
+    packed = plans.pack_trajectories(plans.trajectories(
+        a.trips, a.trip_samples, a.line_stops, a.line_shapes, _hours_before_end(a.trips, 5), _hours_before_end(a.trips, 4)))
+    number = lambda c: (F.round(c * 1e6) / 1e6).cast("string")
+    fixes = F.transform("samples", lambda s: F.concat_ws(" ", s["t_ms"].cast("string"), number(s["lon"]), number(s["lat"])))
+    return packed.select("trip_id", "lineid", "dir_label", "line_trip_id", "shape_id", "mode",
+                         F.array_join(fixes, ";").alias("samples"))
+
+
 def _eta(df: DataFrame, *more: str) -> DataFrame:
     return df.select(*more, _us("poll_ts"), "lineid", _us("expected"), "destination", "message")
 

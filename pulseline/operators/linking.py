@@ -22,7 +22,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,27 +85,29 @@ class OpenTrips:
     def place(self, us: int, lon: float, lat: float, ping: str) -> list:
         """The trip this ping now belongs to."""
         cx, cy = self._cell(lon, lat)
-        oldest = us - self.window_us
+        oldest, cells = us - self.window_us, self.cells
         best, best_m, best_cell = None, math.inf, None
         for x in (cx - 1, cx, cx + 1):
             for y in (cy - 1, cy, cy + 1):
-                cell = self.cells.get((x, y))
+                cell = cells.get((x, y))
                 if not cell:
                     continue
-                if any(t[1] < oldest for t in cell):
-                    cell[:] = [t for t in cell if t[1] >= oldest]
+                expired = False
                 for t in cell:
-                    if t[1] >= us:
-                        continue
-                    metres = distance_m(t[2], t[3], lon, lat)
-                    if metres <= self.radius_m and (
-                            metres < best_m or (metres == best_m and t[0] < best[0])):
-                        best, best_m, best_cell = t, metres, cell
+                    if t[1] < oldest:
+                        expired = True
+                    elif t[1] < us and abs(t[3] - lat) <= self.cell_lat and abs(t[2] - lon) <= self.cell_lon:
+                        metres = distance_m(t[2], t[3], lon, lat)
+                        if metres <= self.radius_m and (
+                                metres < best_m or (metres == best_m and t[0] < best[0])):
+                            best, best_m, best_cell = t, metres, cell
+                if expired:
+                    cell[:] = [t for t in cell if t[1] >= oldest]
         if best is None:
             return self.open(us, lon, lat, ping, False)
         best_cell.remove(best)
         best[1:5] = us, lon, lat, ping
-        self.cells.setdefault((cx, cy), []).append(best)
+        cells.setdefault((cx, cy), []).append(best)
         return best
 
     def still_open(self, last_us: int) -> list[list]:
@@ -125,35 +129,55 @@ def _linker(radius_m: float, window_us: int):
              pa.float64(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
     schema = pa.schema(list(zip(names, types)))
 
-    def to_batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) if rows else [[] for _ in names]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], schema=schema)
+    def chunk_starts(batch: pa.RecordBatch) -> list[int]:
+        lines = batch.column("lineid").dictionary_encode().indices.to_numpy()
+        fresh = np.ones(batch.num_rows, dtype=bool)
+        fresh[1:] = lines[1:] != lines[:-1]
+        for name in CHUNK[1:]:
+            values = batch.column(name).to_numpy()
+            fresh[1:] |= values[1:] != values[:-1]
+        return [*np.flatnonzero(fresh).tolist(), batch.num_rows]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, trips, last_us = None, None, None
+        ends: list[tuple] = []
 
-        def closing() -> list[tuple]:
-            if chunk is None or last_us is None:
-                return []
-            return [(*chunk, 2, i, t[1], t[2], t[3], t[4], t[5], t[6])
-                    for i, t in enumerate(trips.still_open(last_us))]
+        def close() -> None:
+            if last_us is not None:
+                ends.extend((*chunk, 2, i, *t[1:]) for i, t in enumerate(trips.still_open(last_us)))
+
+        def taken_ends() -> pa.RecordBatch:
+            columns = list(zip(*ends)) if ends else [[] for _ in names]
+            ends.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], schema=schema)
 
         for batch in batches:
-            rows = []
-            for line, direction, island, piece, kind, _, us, lon, lat, ping in zip(
-                    *[batch.column(name).to_pylist() for name in ORDER]):
-                if (line, direction, island, piece) != chunk:
-                    rows.extend(closing())
-                    chunk, last_us = (line, direction, island, piece), None
-                    trips = OpenTrips(radius_m, window_us)
-                if kind == 0:
-                    trips.open(us, lon, lat, ping, True)
-                    continue
-                trip = trips.place(us, lon, lat, ping)
-                last_us = us
-                rows.append((*chunk, 1, 0, us, lon, lat, ping, trip[5], trip[6]))
-            yield to_batch(rows)
-        yield to_batch(closing())
+            if not batch.num_rows:
+                continue
+            heads, carried = [], []
+            columns = [batch.column(name).to_pylist() for name in ("kind", "us", "lon", "lat", "position_id")]
+            starts = chunk_starts(batch)
+            for start, stop in zip(starts, starts[1:]):
+                here = tuple(batch.column(name)[start].as_py() for name in CHUNK)
+                if here != chunk:
+                    close()
+                    chunk, trips, last_us = here, OpenTrips(radius_m, window_us), None
+                for kind, us, lon, lat, ping in zip(*[c[start:stop] for c in columns]):
+                    if kind == 0:
+                        trips.open(us, lon, lat, ping, True)
+                        continue
+                    trip = trips.place(us, lon, lat, ping)
+                    last_us = us
+                    heads.append(trip[5])
+                    carried.append(trip[6])
+            pings = batch.filter(pc.equal(batch.column("kind"), 1))
+            yield pa.RecordBatch.from_arrays(
+                [*[pings.column(n).cast(t) for n, t in zip(names[:-2], types)], pa.array(heads, pa.string()),
+                 pa.array(carried, pa.bool_())], schema=schema)
+            if ends:
+                yield taken_ends()
+        close()
+        yield taken_ends()
 
     return link
 

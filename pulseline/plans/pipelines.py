@@ -26,8 +26,9 @@ def resolve_against(tables: Tables, typed: DataFrame) -> DataFrame:
 
 
 def load_pings(tables: Tables, raw: DataFrame) -> None:
-    """Coerced pings to located, stored positions."""
-    typed = materialise(positions.typed_pings(positions.unique_pings(raw)), "pings")
+    """Coerced pings to located, stored positions. The insert collapses copies, so
+    pings are shuffled by id once."""
+    typed = materialise(positions.typed_pings(raw), "pings")
     tables.insert_positions(resolve_against(tables, typed))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pulseline import schemas
 from pulseline.durable import materialise
 from pulseline.operators.merge import new_rows, upserted
+from pulseline.session import pin_utc
 
 # Primary key per catalogue table.
 KEYS = {
@@ -31,10 +32,11 @@ SCHEMAS = {
 
 
 class Tables:
-    """The library's tables below one root folder."""
+    """The library's tables below one root folder. Pins the session to UTC, which
+    texts without an offset, service dates and partitions are read in."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
+        self.spark = pin_utc(spark)
         self.root = root.rstrip("/")
 
     def _files(self, path: str):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pulseline.durable import materialise
 from pulseline.operators import linking
 from pulseline.operators.ordered import earliest_per_key
+from pulseline.session import pin_utc
 
 PENDING = "position_id string, lineid string, direction int, fetched_at timestamp, lon double, lat double"
 OPEN = ("lineid string, direction int, rank long, us long, lon double, lat double, "
@@ -30,7 +31,7 @@ FOREVER = 2 ** 62
 class TripLinker:
     def __init__(self, spark: SparkSession, folder: str, lateness_s: float = 600.0,
                  chunk_rows: int = linking.CHUNK_ROWS, window_s: float = linking.MATCH_WINDOW_S):
-        self.spark = spark
+        self.spark = pin_utc(spark)
         self.folder = folder.rstrip("/")
         self.lateness_us = int(lateness_s * 1_000_000)
         self.chunk_rows = chunk_rows
