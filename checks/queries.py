@@ -72,7 +72,7 @@ def _feed_pings(a: Adapter, feed: DataFrame | None = None) -> DataFrame:
 
 def _positions(a: Adapter) -> DataFrame:
     pings = materialise(positions.typed_pings(positions.unique_pings(_feed_pings(a))), "pings")
-    return positions.resolve_positions(pings, a.stops, a.line_terminus, a.shape_points)
+    return positions.resolve_positions(pings, a.stops, a.line_terminus, positions.ShapeIndex.build(a.shape_points))
 
 
 @_query()

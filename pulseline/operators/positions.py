@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,29 +80,41 @@ def unique_pings(pings: DataFrame) -> DataFrame:
     return earliest_per_key(pings, ["position_id"], rest)
 
 
+@dataclass(frozen=True)
+class ShapeIndex:
+    """Tables of catalogue size that pings are located with; written once per
+    catalogue and good for any number of batches."""
+
+    measured: DataFrame
+    lengths: DataFrame
+    levels: int
+
+    @classmethod
+    def build(cls, points: DataFrame) -> "ShapeIndex":
+        segments = materialise(sh.shape_segments(points), "segments")
+        measured = materialise(sh.measured_segments(segments), "measured-segments")
+        return cls(measured, sh.shape_lengths(segments), sh.node_levels(measured))
+
+
 def stop_fractions(places: DataFrame, points: DataFrame, stops: DataFrame) -> DataFrame:
     """Fraction of each (lineid, direction label, pointid) along its shape."""
     located = places.join(stops.select("pointid", "lon", "lat"), "pointid")
-    measured = materialise(sh.measured_segments(sh.shape_segments(points)), "measured-segments")
-    return sh.locate_on_shapes(located, measured)
+    index = ShapeIndex.build(points)
+    return sh.locate_on_shapes(located, index.measured, index.levels)
 
 
-def resolve_positions(pings: DataFrame, stops: DataFrame, terminus: DataFrame,
-                      points: DataFrame) -> DataFrame:
+def resolve_positions(pings: DataFrame, stops: DataFrame, terminus: DataFrame, index: ShapeIndex) -> DataFrame:
     """Coordinates for typed pings: walk the line shape from the ping's stop.
 
     Shape, stop fraction and length are found once per distinct (line,
-    direction, stop), so the ping table itself takes two equi-joins. The segment
-    tables, of catalogue size, are written once and read where needed. A ping
+    direction, stop), so the ping table itself takes two equi-joins. A ping
     falls back to its stop when there is no usable shape; it stays with NULL
     coordinates when only the shape is known, and goes when neither is. ``pings``
     is read twice, so it should be a table rather than a long computation.
     """
-    segments = materialise(sh.shape_segments(points), "segments")
-    measured = materialise(sh.measured_segments(segments), "measured-segments")
     labels = terminus.select("lineid", F.col("terminus_pointid").alias("_terminus"),
                              F.col("direction").alias("dir_label"))
-    lengths = sh.shape_lengths(segments).withColumnRenamed("direction", "dir_label")
+    lengths = index.lengths.withColumnRenamed("direction", "dir_label")
     places = stops.select("pointid", F.col("lon").alias("stop_lon"), F.col("lat").alias("stop_lat"))
     known = (
         pings.select(*KEY).distinct()
@@ -115,13 +129,13 @@ def resolve_positions(pings: DataFrame, stops: DataFrame, terminus: DataFrame,
     located = sh.locate_on_shapes(
         usable.select("lineid", F.col("dir_label").alias("direction"), "pointid",
                       F.col("stop_lon").alias("lon"), F.col("stop_lat").alias("lat")).distinct(),
-        measured,
+        index.measured, index.levels,
     ).withColumnsRenamed({"direction": "dir_label", "fraction": "stop_fraction"})
     anchors = known.join(located, ["lineid", "dir_label", "pointid"], "left")
     ahead = F.coalesce("distance_from_point", F.lit(0.0)) / F.col("length_m")
     moved = pings.join(anchors, KEY).withColumn(
         "fraction", F.when(F.col("stop_fraction").isNotNull(), clamp(F.col("stop_fraction") + ahead, 0.0, 1.0)))
-    placed = sh.interpolate_on_shapes(moved, sh.fraction_cells(measured))
+    placed = sh.interpolate_on_shapes(moved, sh.fraction_cells(index.measured))
     on_shape = F.col("fraction").isNotNull()
     return placed.select(
         *pings.columns, F.lit(None).cast("string").alias("vehicle_uuid"),

@@ -75,7 +75,7 @@ def _bounding_nodes(segments: DataFrame, level: int) -> DataFrame:
     )
 
 
-def _node_levels(measured: DataFrame) -> int:
+def node_levels(measured: DataFrame) -> int:
     """Levels of boxes that leave at most NODE_FANOUT of them at the top."""
     span = measured.agg(F.max("seq") - F.min("seq")).first()[0] or 0
     return max(1, math.ceil(math.log(max(span, 2), NODE_FANOUT)) - 1)
@@ -90,7 +90,7 @@ def locate_on_shapes(places: DataFrame, measured: DataFrame, levels: int | None
     a place meets a few segments of its shape, not all of them.
     """
     key = [*SHAPE, "pointid"]
-    levels = _node_levels(measured) if levels is None else levels
+    levels = node_levels(measured) if levels is None else levels
     seeds = places
     for level in range(levels, 0, -1):
         nodes = _bounding_nodes(measured, level)

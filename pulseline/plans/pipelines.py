@@ -20,9 +20,9 @@ def counts(tables: Tables) -> DataFrame:
     return table_counts({name: tables.read(name) for name in COUNTED})
 
 
-def resolve_against(tables: Tables, typed: DataFrame) -> DataFrame:
-    return positions.resolve_positions(
-        typed, tables.read("stops"), tables.read("line_terminus"), tables.read("shape_points"))
+def resolve_against(tables: Tables, typed: DataFrame, index: positions.ShapeIndex | None = None) -> DataFrame:
+    index = index or positions.ShapeIndex.build(tables.read("shape_points"))
+    return positions.resolve_positions(typed, tables.read("stops"), tables.read("line_terminus"), index)
 
 
 def load_pings(tables: Tables, raw: DataFrame) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseline.durable import materialise
 from pulseline.functions import text
-from pulseline.operators.positions import coerce_pings, typed_pings
+from pulseline.operators.positions import ShapeIndex, coerce_pings, typed_pings
 from pulseline.plans.pipelines import resolve_against
 from pulseline.sinks.tables import Tables
 from pulseline.sources.catalogue import document_items
@@ -48,13 +48,16 @@ def start_position_stream(pings: DataFrame, tables: Tables, checkpoint: str, mir
 
     Duplicates within the watermark are dropped by the stream; the insert itself
     ignores ids already stored, so a replayed batch or checkpoint adds nothing.
+    The shapes are those at the start of the stream.
     """
+    index = ShapeIndex.build(tables.read("shape_points"))
+
     def store(batch: DataFrame, number: int) -> None:
         landed = materialise(batch, "poll")
         if mirror:
             (mirror_records(landed).write.mode("overwrite").option("compression", "gzip")
              .option("ignoreNullFields", "false").json(f"{mirror.rstrip('/')}/positions/batch={number}"))
-        tables.insert_positions(resolve_against(tables, typed_pings(landed)))
+        tables.insert_positions(resolve_against(tables, typed_pings(landed), index))
 
     return (unique_stream(pings).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

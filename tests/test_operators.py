@@ -90,7 +90,9 @@ def test_positions_walk_the_shape_from_the_stop(spark):
              ("neither", "9", 7, "99", 5.0), ("othersense", "1", 10, "12", 50.0)]
     df = spark.createDataFrame([(*p, START) for p in pings], "position_id string, lineid string, direction int, "
                                "pointid string, distance_from_point double, fetched_at timestamp")
-    got = {r["position_id"]: (r["lon"], r["lat"]) for r in positions.resolve_positions(df, *network_tables(spark)).collect()}
+    stops, terminus, points = network_tables(spark)
+    resolved = positions.resolve_positions(df, stops, terminus, positions.ShapeIndex.build(points))
+    got = {r["position_id"]: (r["lon"], r["lat"]) for r in resolved.collect()}
     assert set(got) == {p[0] for p in pings} - {"neither"}
     assert got["nostop"] == (None, None) and got["noshape"] == (4.5, 50.9) and got["othersense"] == (4.301, 50.8)
     assert got["past"] == (4.302, 50.8) and got["neg"] == (4.3, 50.8)
