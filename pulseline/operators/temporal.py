@@ -28,21 +28,26 @@ def value_at_instant(samples: DataFrame, at: Instant, trips: DataFrame | None =
     """Linear value of every trip at one instant; trips not alive then are absent.
 
     The trips alive are found first (from the headers ``trips`` if given, else by
-    a hash aggregate), and only their samples go on. ``max_gap_s`` states that
+    a hash aggregate), and only their samples go on; with headers, only the lines
+    and the time these trips span are read. ``max_gap_s`` states that
     neighbouring samples are never further apart (300 for linked trips); then
     only samples that near the instant are read at all.
     """
     when = _at(at)
-    extents = trips if trips is not None else samples.groupBy("trip_id").agg(
+    extents = trips if trips is not None else samples.groupBy(*TRIP_KEY).agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
-    alive = extents.where((F.col("start_ts") <= when) & (F.col("end_ts") >= when)).select("trip_id")
+    alive = extents.where((F.col("start_ts") <= when) & (F.col("end_ts") >= when)).select(*TRIP_KEY, "start_ts", "end_ts")
     near = samples
+    if trips is not None:
+        # No sample of these trips lies outside; the scan can skip the rest of time.
+        span = alive.agg(F.min("start_ts").alias("first"), F.max("end_ts").alias("last"))
+        near = near.where((F.col("ts") >= span.select("first").scalar()) & (F.col("ts") <= span.select("last").scalar()))
     if max_gap_s is not None:
         reach = F.make_dt_interval(secs=F.lit(max_gap_s))
         near = near.where((F.col("ts") >= when - reach) & (F.col("ts") <= when + reach))
     fix = F.struct("ts", "lon", "lat")
     around = (
-        near.join(alive, "trip_id", "left_semi").withColumn("_at", when).groupBy(*TRIP_KEY, "_at")
+        near.join(alive.select(*TRIP_KEY), TRIP_KEY, "left_semi").withColumn("_at", when).groupBy(*TRIP_KEY, "_at")
         .agg(F.max_by(fix, F.when(F.col("ts") <= F.col("_at"), F.col("ts"))).alias("a"),
              F.min_by(fix, F.when(F.col("ts") >= F.col("_at"), F.col("ts"))).alias("b"))
     )
