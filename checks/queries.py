@@ -82,7 +82,8 @@ def ping_coercion(a: Adapter) -> DataFrame:
     at_stop, older = F.col("distanceFromPoint") == "0.0", F.col("distanceFromPoint") > "5"
     text = F.to_json(F.struct(
         F.when(older, F.col("lineid")).alias("lineid"), F.when(~older, F.col("lineid")).alias("lineId"),
-        F.when(older, F.col("directionId")).alias("direction"), F.when(~older, F.col("directionId")).alias("directionId"),
+        F.when(older, F.col("directionId")).alias("direction"),
+        F.when(~older, F.col("directionId")).alias("directionId"),
         F.when(older, F.col("pointId")).alias("pointid"), F.when(~older, F.col("pointId")).alias("pointId"),
         F.col("distanceFromPoint").cast("double").alias("distanceFromPoint"), F.lit("").alias("fetched_at"), "poll_ts"))
     marked = F.when(at_stop, F.regexp_replace(text, r"^\{", '{"distance_from_point":null,')).otherwise(text)
