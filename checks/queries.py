@@ -325,7 +325,7 @@ def point_at_fraction(a: Adapter) -> DataFrame:
     asked = a.line_stops.join(sizes, ["lineid", "direction"]).select(
         "lineid", F.col("direction").alias("dir_label"), "pointid", "n_segments",
         ((F.col("c_custkey") % 101) / 100).alias("fraction"))
-    found = shapes.interpolate_on_shapes(asked, shapes.fraction_cells(measured))
+    found = shapes.interpolate_on_shapes(asked, measured)
     return found.select("lineid", "dir_label", "pointid", "fraction", *_round("on_lon", "on_lat"))
 
 

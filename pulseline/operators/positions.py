@@ -135,7 +135,7 @@ def resolve_positions(pings: DataFrame, stops: DataFrame, terminus: DataFrame, i
     ahead = F.coalesce("distance_from_point", F.lit(0.0)) / F.col("length_m")
     moved = pings.join(anchors, KEY).withColumn(
         "fraction", F.when(F.col("stop_fraction").isNotNull(), clamp(F.col("stop_fraction") + ahead, 0.0, 1.0)))
-    placed = sh.interpolate_on_shapes(moved, sh.fraction_cells(index.measured))
+    placed = sh.interpolate_on_shapes(moved, index.measured)
     on_shape = F.col("fraction").isNotNull()
     return placed.select(
         *pings.columns, F.lit(None).cast("string").alias("vehicle_uuid"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseline.functions.geo import geodesic_segment_m, geojson_linestring, lerp, planar_length
@@ -18,6 +18,9 @@ from pulseline.operators.ordered import next_row, running_total
 SHAPE = ["lineid", "direction"]
 SEQ_BUCKET = 4096
 NODE_FANOUT = 64
+CELL_BLOCK = 1024
+# Segments in one grid cell from which on the cell is divided.
+CROWDED = 64
 
 
 def shape_segments(points: DataFrame) -> DataFrame:
@@ -125,32 +128,60 @@ def locate_on_shapes(places: DataFrame, measured: DataFrame, levels: int | None
     )
 
 
-def fraction_cells(measured: DataFrame) -> DataFrame:
-    """Segments indexed by an even grid over the fraction, one cell per segment
-    on average, so that interpolation is an equi-join with a short range test."""
-    n = F.col("n_segments")
-    last = F.least(F.floor(F.coalesce("f1", F.lit(1.0)) * n), n - 1)
-    return (
-        measured.withColumn("cell", F.explode(F.sequence(F.least(F.floor(F.col("f0") * n), n - 1), last)))
-        .select(*SHAPE, "cell", "f0", "f1", "lon1", "lat1", "lon2", "lat2", "planar", "planar_total")
-    )
+def _explode_range(df: DataFrame, name: str, low: Column, high: Column) -> DataFrame:
+    """One row per whole number in [low, high]; in two steps, so that no row holds
+    a long array."""
+    blocked = df.withColumn("_block", F.explode(F.sequence(F.floor(low / CELL_BLOCK), F.floor(high / CELL_BLOCK))))
+    start = F.col("_block") * CELL_BLOCK
+    return blocked.withColumn(name, F.explode(F.sequence(
+        F.greatest(low, start), F.least(high, start + CELL_BLOCK - 1)))).drop("_block")
+
+
+def _grid(value: Column, n: Column) -> Column:
+    return F.greatest(F.lit(0).cast("long"), F.least(F.floor(value), n - 1))
 
 
-def interpolate_on_shapes(rows: DataFrame, cells: DataFrame) -> DataFrame:
+def fraction_cells(measured: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments indexed by an even grid over the fraction, one cell per segment on
+    average, so that interpolation is an equi-join with a short range test. A cell
+    crowded by many short segments is divided by the same number again. Returns
+    (the cells, with ``sub`` 0 where not divided; the keys of divided cells)."""
+    n, end = F.col("n_segments"), F.coalesce("f1", F.lit(1.0))
+    coarse = _explode_range(measured, "cell", _grid(F.col("f0") * n, n), _grid(end * n, n)).select(
+        *SHAPE, "cell", "f0", "f1", "lon1", "lat1", "lon2", "lat2", "planar", "planar_total", "n_segments")
+    crowded = coarse.groupBy(*SHAPE, "cell").count().where(F.col("count") > CROWDED).select(*SHAPE, "cell")
+    key = [*SHAPE, "cell"]
+    plain = coarse.join(crowded, key, "left_anti").withColumn("sub", F.lit(0).cast("long"))
+    low, high = (_grid((edge * n - F.col("cell")) * n, n) for edge in (F.col("f0"), end))
+    divided = _explode_range(coarse.join(crowded, key, "left_semi"), "sub", low, high)
+    return plain.unionByName(divided).drop("n_segments"), crowded
+
+
+def interpolate_on_shapes(rows: DataFrame, measured: DataFrame) -> DataFrame:
     """Adds ``on_lon``, ``on_lat`` for rows with lineid, dir_label, fraction and
     n_segments; rows without a fraction keep NULL."""
-    wanted = rows.withColumn(
-        "_cell", F.least(F.floor(F.col("fraction") * F.col("n_segments")), F.col("n_segments") - 1))
+    cells, crowded = fraction_cells(measured)
     c = cells.select([F.col(name).alias(f"_c_{name}") for name in cells.columns])
+    d = crowded.select(F.col("lineid").alias("_d_lineid"), F.col("direction").alias("_d_direction"),
+                       F.col("cell").alias("_d_cell"))
+    n = F.col("n_segments")
+    fine = _grid((F.col("fraction") * n - F.col("_cell")) * n, n)
+    wanted = (
+        rows.withColumn("_cell", F.when(F.col("fraction").isNotNull(), _grid(F.col("fraction") * n, n)))
+        .join(d, (F.col("lineid") == F.col("_d_lineid")) & (F.col("dir_label") == F.col("_d_direction"))
+              & (F.col("_cell") == F.col("_d_cell")), "left")
+        .withColumn("_sub", F.when(F.col("_d_cell").isNotNull(), fine).otherwise(F.lit(0).cast("long")))
+    )
     hit = ((F.col("lineid") == F.col("_c_lineid")) & (F.col("dir_label") == F.col("_c_direction"))
-           & (F.col("_cell") == F.col("_c_cell")) & (F.col("fraction") >= F.col("_c_f0"))
+           & (F.col("_cell") == F.col("_c_cell")) & (F.col("_sub") == F.col("_c_sub"))
+           & (F.col("fraction") >= F.col("_c_f0"))
            & (F.col("_c_f1").isNull() | (F.col("fraction") < F.col("_c_f1"))))
     t = F.least(F.lit(1.0), (F.col("fraction") - F.col("_c_f0")) * F.col("_c_planar_total") / F.col("_c_planar"))
     return (
         wanted.join(c, hit, "left")
         .withColumns({"on_lon": lerp(F.col("_c_lon1"), F.col("_c_lon2"), t),
                       "on_lat": lerp(F.col("_c_lat1"), F.col("_c_lat2"), t)})
-        .drop("_cell", *c.columns)
+        .drop("_cell", "_sub", *d.columns, *c.columns)
     )
 
 

@@ -74,6 +74,27 @@ def test_locating_by_boxes_finds_the_nearest_segment(spark, levels):
     assert len(got) == 60 and max(abs(r["fraction"] - want[r["pointid"]]) for r in got) < 1e-9
 
 
+def test_interpolation_where_short_segments_crowd(spark, monkeypatch):
+    monkeypatch.setattr(shapes, "CELL_BLOCK", 16)
+    # A few long segments, and hundreds within a thousandth of the length.
+    xs = [0.0, 1.0, 2.0] + [2.0 + 1e-5 * i for i in range(1, 400)] + [3.0, 10.0]
+    line = [("1", "A", i, x, 50.0 + (i % 2) * 1e-6) for i, x in enumerate(xs)]
+    points = spark.createDataFrame(line, "lineid string, direction string, seq int, lon double, lat double")
+    measured = shapes.measured_segments(shapes.shape_segments(points))
+    segments = sorted(tuple(r) for r in measured.select("f0", "f1", "lon1", "lon2", "n_segments").collect())
+    assert shapes.fraction_cells(measured)[1].count() >= 1
+    rng = random.Random(8)
+    asked = [rng.random() for _ in range(200)] + [s[0] + rng.random() * 1e-6 for s in segments] + [0.0, 1.0, None]
+    df = spark.createDataFrame([(i, "1", "A", f, segments[0][4]) for i, f in enumerate(asked)],
+                               "i int, lineid string, dir_label string, fraction double, n_segments long")
+    got = {r["i"]: r["on_lon"] for r in shapes.interpolate_on_shapes(df, measured).collect()}
+    assert len(got) == len(asked) and got[len(asked) - 1] is None
+    for i, f in enumerate(asked[:-1]):
+        f0, f1, a, b, _ = max(s for s in segments if s[0] <= f)
+        want = a + (b - a) * min(1.0, (f - f0) / ((1.0 if f1 is None else f1) - f0))
+        assert abs(got[i] - want) < 1e-9
+
+
 def network_tables(spark):
     stops = spark.createDataFrame([("10", 4.300, 50.8), ("12", 4.301, 50.8), ("13", 4.302, 50.8), ("20", 4.5, 50.9)],
                                   "pointid string, lon double, lat double")
