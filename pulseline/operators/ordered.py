@@ -65,12 +65,15 @@ def earliest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column |
     """One whole row per key: the first (or last) by ``order``. A hash or sort
     aggregate with map-side combine, so a key with many copies stays cheap."""
     rest = [c for c in df.columns if c not in key]
-    pick = F.max_by if latest else F.min_by
-    rank = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     if not rest:
         return df.select(*key).distinct()
+    if list(order) == rest:
+        chosen = (F.max if latest else F.min)(F.struct(*rest))
+    else:
+        rank = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+        chosen = (F.max_by if latest else F.min_by)(F.struct(*rest), rank)
     return (
-        df.groupBy(*key).agg(pick(F.struct(*rest), rank).alias("_row"))
+        df.groupBy(*key).agg(chosen.alias("_row"))
         .select(*key, *[F.col("_row")[c].alias(c) for c in rest])
         .select(*df.columns)
     )

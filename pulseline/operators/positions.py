@@ -17,20 +17,23 @@ KEY = ["lineid", "direction", "pointid"]
 REQUIRED = [*KEY, "fetched_at_text"]
 
 
-def _coerced_fields(record: str) -> list[Column]:
-    def field(name: str) -> Column:
-        return F.col(record)[name]
-
+def _fields_of(record: Column) -> Column:
     snake = "distance_from_point"
-    raw_distance = F.when(F.map_contains_key(record, snake), field(snake)).otherwise(field("distanceFromPoint"))
-    return [
-        text.first_filled(field("position_id")).alias("_given"),
-        text.first_filled(field("lineid"), field("lineId")).alias("lineid"),
-        text.first_filled(field("direction"), field("directionId")).alias("direction"),
-        text.first_filled(field("pointid"), field("pointId")).alias("pointid"),
+    raw_distance = F.when(F.map_contains_key(record, snake), record[snake]).otherwise(record["distanceFromPoint"])
+    return F.struct(
+        text.first_filled(record["position_id"]).alias("_given"),
+        text.first_filled(record["lineid"], record["lineId"]).alias("lineid"),
+        text.first_filled(record["direction"], record["directionId"]).alias("direction"),
+        text.first_filled(record["pointid"], record["pointId"]).alias("pointid"),
         text.to_double(raw_distance).alias("distance_from_point"),
-        text.first_filled(field("fetched_at"), field("poll_ts"), field("fetched_at_utc")).alias("fetched_at_text"),
-    ]
+        text.first_filled(record["fetched_at"], record["poll_ts"], record["fetched_at_utc"]).alias("fetched_at_text"),
+    )
+
+
+def _coerced(records: DataFrame, record: str) -> DataFrame:
+    # The many look-ups sit in one array function: as plain columns they would be
+    # repeated in every later filter, in methods too long for the JVM to compile.
+    return records.select(F.inline(F.transform(F.array(record), _fields_of)))
 
 
 def coerce_pings(records: DataFrame, record: str = "record") -> DataFrame:
@@ -40,7 +43,7 @@ def coerce_pings(records: DataFrame, record: str = "record") -> DataFrame:
     taken from the snake_case key whenever that key exists, even when it is null.
     ``id_given`` tells ids that came with the record from those derived here.
     """
-    typed = records.select(*_coerced_fields(record)).dropna(subset=REQUIRED)
+    typed = _coerced(records, record).dropna(subset=REQUIRED)
     made = ids.ping_id(*[F.col(c) for c in (*KEY, "fetched_at_text", "distance_from_point")])
     return typed.select(F.coalesce("_given", made).alias("position_id"), *KEY, "distance_from_point",
                         "fetched_at_text", F.col("_given").isNotNull().alias("id_given"))
@@ -50,8 +53,7 @@ def ping_outcomes(records: DataFrame, record: str = "record") -> DataFrame:
     """How many records are kept, and how many go for which reason."""
     reason = F.coalesce(*[F.when(F.col(c).isNull(), f"no {c}") for c in REQUIRED],
                         _unparsed(), F.lit("kept"))
-    return (records.select(*_coerced_fields(record)).groupBy(reason.alias("outcome"))
-            .agg(F.count(F.lit(1)).alias("pings")))
+    return _coerced(records, record).groupBy(reason.alias("outcome")).agg(F.count(F.lit(1)).alias("pings"))
 
 
 def _unparsed() -> Column:
