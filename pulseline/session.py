@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -25,3 +29,18 @@ def local_session(cpus: str | int = "*", memory: str = "8g", shuffle_partitions:
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the workers this package, once per session, wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_pulseline_shipped", False):
+        return spark
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="pulseline-ship-")) / "pulseline.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, f"pulseline/{source.relative_to(root)}")
+    context.addPyFile(str(target))
+    context._pulseline_shipped = True
+    return spark
