@@ -15,8 +15,7 @@ import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15 | 3
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_ODD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3,
-                 0x589965CC75374CC3], dtype=np.uint64)
+_ODD = np.random.default_rng(20240807).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CHUNK_BYTES = 1 << 20
 
 _powers: list[np.ndarray] = []
@@ -68,12 +67,12 @@ def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     weighted *= power
     running = np.cumsum(weighted, dtype=np.uint64)
     hashes = (running[ends] - running[starts] + weighted[starts]) * inverse[starts]
-    hashes += (ends - starts + 1).astype(np.uint64) * _ODD[4]
+    hashes += (ends - starts + 1).astype(np.uint64) * _ODD[15]
     return mix(hashes), np.searchsorted(starts, bounds)
 
 
 def ngrams(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
-    """Hash of each run of ``n`` (up to 4) consecutive words, over text borders too."""
+    """Hash of each run of ``n`` (up to 15) consecutive words, over text borders too."""
     if len(words) < n:
         return np.empty(0, np.uint64)
     total = words[:len(words) - n + 1] * _ODD[0] + np.uint64(salt + n)
