@@ -4,17 +4,20 @@ Kernel: two strings are alike as they share character triples in order, gaps all
 a triple that spans s characters counts ``DECAY ** s``, and the kernel is scaled to 1 for
 equal strings. So an inserted or dropped character costs a little, not the match.
 
-Units are a sentence's words in lower case, each also with its letters only if others
-stand between them, and runs of single letters joined (s t u p i d). Words longer than
+Units are a sentence's words in lower case without punctuation around them, each also
+with its letters only if others stand between them, and runs of single letters joined
+(s t u p i d). Words longer than
 ``UNIT`` characters are cut into overlapping windows, so whole texts are read.
 
 Training: sentences of at most ``SAMPLE`` labelled documents of each class (smallest
 hash of doc_id, texts up to ``SAMPLE_CHARS`` long), never a held-out one. A label holds
-for a text, so each toxic text is represented by its most telling unit - first by the
-four-letter runs that toxic sentences have and clean ones lack, then, in ``ROUNDS``
-rounds, by the SVM's own decision - and every unit of a clean text counts as clean.
-Landmarks are the commonest tellings units and a spread of clean ones; Nyström
-features are kernel values to them, whitened. As kernel and SVM are linear in the
+for a text, so a toxic text stands for its telling units: those with a four-letter run
+that a share of ``SUPPORT`` of the toxic texts has, ``ODDS`` times as often as the clean
+ones, or else, from the second of
+``ROUNDS`` rounds on, the one that the SVM finds worst. Near copies count once. Units of clean texts count
+as clean, the commonest ``CLEAN_UNITS`` of them. Landmarks are the commonest telling units and as
+many clean ones, any at first and then those nearest to the border; Nyström features are
+kernel values to them, whitened. As kernel and SVM are linear in the
 triples, the trained model is one table of triple weights.
 
 Score: the largest decision value over a text's units, through a logistic curve fitted
@@ -28,6 +31,8 @@ from __future__ import annotations
 
 import math
 import re
+import string
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,8 +48,12 @@ UNIT = 24
 CLASSES = 64
 SAMPLE = 2500
 SAMPLE_CHARS = 20_000
-LANDMARKS = 96
+LANDMARKS = 160
+SURELY_CLEAN = -0.7
 ROUNDS = 2
+ODDS = 100.0
+SUPPORT = 0.01
+CLEAN_UNITS = 60_000
 FOLDS = 5
 REMEMBERED = 300_000
 
@@ -53,25 +62,21 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 def units_of(text: str | None) -> set[str]:
     """What the kernel compares: see above."""
-    units: set[str] = set()
-    run: list[str] = []
-    for word in set_in_order(text):
+    words = [w.strip(string.punctuation) for w in (text or "").lower().split()]
+    units, run = set(words), []
+    for word in words:
         if len(word) == 1:
             run.append(word)
-            continue
-        if len(run) > 2:
-            units.add("".join(run)[:UNIT])
-        run = []
-        units.add(word)
+        elif run:
+            if len(run) > 2:
+                units.add("".join(run))
+            run = []
     if len(run) > 2:
-        units.add("".join(run)[:UNIT])
+        units.add("".join(run))
+    units.discard("")
     return units
 
 
-def set_in_order(text: str | None) -> list[str]:
-    return (text or "").lower().split()
-
-
 def variants(unit: str) -> list[str]:
     """Windows of a unit, and of its letters alone if it has others."""
     letters = _NOT_LETTERS.sub("", unit)
@@ -85,7 +90,8 @@ def variants(unit: str) -> list[str]:
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     places = [(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, n)]
     i, j, k = (np.array(p, dtype=np.int64) for p in zip(*places))
-    return i, j, k, (DECAY ** (k - i + 1)).astype(np.float32)
+    weight = DECAY ** (k - i + 1)
+    return i, j, k, (weight / np.linalg.norm(weight)).astype(np.float32)
 
 
 def _classes(strings: list[str]) -> np.ndarray:
@@ -94,9 +100,9 @@ def _classes(strings: list[str]) -> np.ndarray:
     return np.where((points >= 97) & (points <= 122), points - 96, 27 + (points * 40503 >> 4) % (CLASSES - 27))
 
 
-def by_length(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, triple codes, weights, norms) of strings of equal length, in parts. Strings of
-    fewer than three characters have no triples and are left out."""
+def by_length(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, triple codes, weights) of strings of equal length, in parts. Strings of fewer
+    than three characters have no triples and are left out."""
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
     for n in np.unique(lengths[lengths >= 3]).tolist():
         i, j, k, weight = _triples(n)
@@ -105,32 +111,37 @@ def by_length(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         for first in range(0, len(rows), step):
             part = rows[first:first + step]
             c = _classes([strings[r] for r in part])
-            codes = (c[:, i] * CLASSES + c[:, j]) * CLASSES + c[:, k]
-            order = np.argsort(codes, axis=1)
-            ranked, weighed = np.take_along_axis(codes, order, 1), weight[order]
-            new = np.ones(codes.shape, dtype=bool)
-            new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
-            sums = np.add.reduceat(weighed.ravel(), np.flatnonzero(new.ravel()))
-            starts = np.cumsum(new.sum(axis=1)) - new.sum(axis=1)
-            yield part, codes, weight, np.sqrt(np.add.reduceat(sums * sums, starts))
-
-
-def kernel_to(strings: list[str], landmarks: list[str]) -> np.ndarray:
-    """Kernel values, strings x landmarks."""
-    table = np.zeros((CLASSES ** 3, len(landmarks)), dtype=np.float32)
-    for rows, codes, weight, norms in by_length(landmarks):
+            yield part, (c[:, i] * CLASSES + c[:, j]) * CLASSES + c[:, k], weight
+
+
+def norms(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Norm of each row of triples; 1 if none repeats, more otherwise."""
+    order = np.argsort(codes, axis=1)
+    ranked, weighed = np.take_along_axis(codes, order, 1), weight[order]
+    new = np.ones(codes.shape, dtype=bool)
+    new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    sums = np.add.reduceat(weighed.ravel(), np.flatnonzero(new.ravel()))
+    each = new.sum(axis=1)
+    return np.sqrt(np.add.reduceat(sums * sums, np.cumsum(each) - each))
+
+
+def tables(strings: list[str]) -> np.ndarray:
+    """Triple weights of each string, one row per string."""
+    found = np.zeros((len(strings), CLASSES ** 3), dtype=np.float32)
+    for rows, codes, weight in by_length(strings):
+        size = norms(codes, weight)
         for n, row in enumerate(rows):
-            np.add.at(table[:, row], codes[n], weight / norms[n])
+            np.add.at(found[row], codes[n], weight / size[n])
+    return found
+
+
+def kernel_to(strings: list[str], landmarks: np.ndarray) -> np.ndarray:
+    """Kernel values, strings x landmarks (as ``tables``)."""
     found = np.zeros((len(strings), len(landmarks)), dtype=np.float32)
-    used = np.flatnonzero(table.any(axis=1))
-    compact, number = np.vstack([np.zeros((1, len(landmarks)), np.float32), table[used]]), np.zeros(CLASSES ** 3, np.int64)
-    number[used] = np.arange(1, len(used) + 1)
-    for rows, codes, weight, norms in by_length(strings):
-        places = number[codes]
-        for n, row in enumerate(rows):
-            at = np.flatnonzero(places[n])
-            if len(at):
-                found[row] = weight[at] @ compact[places[n, at]] / norms[n]
+    for rows, codes, weight in by_length(strings):
+        size = norms(codes, weight)
+        for n, table in enumerate(landmarks):
+            found[rows, n] = (table[codes] @ weight) / size
     return found
 
 
@@ -143,27 +154,40 @@ class Model:
     offset: float
 
     def decisions(self, strings: list[str]) -> np.ndarray:
-        found = np.zeros(len(strings), dtype=np.float32)
-        for rows, codes, weight, norms in by_length(strings):
-            found[rows] = self.table[codes] @ weight / norms
-        return found + np.float32(self.bias)
+        """Decision values. A string's norm is 1 at least, so it is left out where the
+        value without it is below ``SURELY_CLEAN`` already."""
+        found = np.full(len(strings), self.bias, dtype=np.float32)
+        for rows, codes, weight in by_length(strings):
+            value = self.table[codes] @ weight
+            near = np.flatnonzero(value + self.bias > SURELY_CLEAN)
+            if len(near):
+                value[near] /= norms(codes[near], weight)
+            found[rows] += value
+        return found
 
     def score(self, decision: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * decision + self.offset))))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 300, cost: float = 300.0) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss by Nesterov's gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    weight = weight / weight.sum()
-    limit = 1 + 2 * cost * float(np.linalg.norm(x.T * weight @ x, 2))
-    w = ahead = np.zeros(x.shape[1])
-    for n in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        regular = ahead.copy()
-        regular[-1] = 0
-        new = ahead - (regular - 2 * cost * (x.T @ (weight * y * slack))) / limit
-        ahead, w = new + n / (n + 3) * (new - w), new
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, cost: float = 1e5) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss by Newton steps on the rows inside the margin."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    weight = cost * weight / weight.sum()
+    ridge = np.eye(x.shape[1])
+    ridge[-1, -1] = 1e-6
+    loss = lambda w: w @ ridge @ w + weight @ np.maximum(0, 1 - y * (x @ w)) ** 2
+    w = np.zeros(x.shape[1])
+    now = loss(w)
+    for _ in range(rounds):
+        inside = np.flatnonzero(y * (x @ w) < 1)
+        near = x[inside] * weight[inside, None]
+        step = np.linalg.solve(ridge + near.T @ x[inside], near.T @ y[inside]) - w
+        size = 1.0
+        while size > 1e-3 and loss(w + size * step) > now:
+            size /= 2
+        w, before, now = w + size * step, now, loss(w + size * step)
+        if before - now <= 1e-7 * before:
+            break
     return w[:-1], float(w[-1])
 
 
@@ -179,46 +203,59 @@ def _logistic(values: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def _first_copies(bags: list[list[str]]) -> list[int]:
+    """Places of the bags whose long unit of smallest checksum no earlier bag has; near
+    copies nearly always share it."""
+    seen, first = set(), []
+    for n, bag in enumerate(bags):
+        mark = min((zlib.crc32(u.encode()) for u in bag if len(u) > 8), default=-1 - n)
+        if mark not in seen:
+            seen.add(mark)
+            first.append(n)
+    return first
+
+
 def train(texts: list[str | None], toxic: list[bool], seed: int = 3) -> Model | None:
     """A model from labelled texts; None without both classes."""
     labels = np.array(toxic, dtype=bool)
     if not labels.any() or labels.all():
         return None
     bags = [sorted({v for u in units_of(t) for v in variants(u) if len(v) >= 3}) for t in texts]
+    first = _first_copies(bags)
+    bags, labels = [bags[i] for i in first], labels[first]
+    if not labels.any() or labels.all():
+        return None
     runs = lambda bag: {u[k:k + 4] for u in bag for k in range(len(u) - 3)}
     inside, outside = Counter(), Counter()
     for bag, label in zip(bags, labels):
         (inside if label else outside).update(runs(bag))
     rate = (~labels).sum() / labels.sum()
-    telling = {r: math.log((n * rate + 0.1) / (outside[r] + 0.1)) * math.log1p(n) for r, n in inside.items() if n > 1}
-    strength = lambda u: max((telling.get(u[k:k + 4], 0.0) for k in range(len(u) - 3)), default=0.0)
-    witness = [max(bag, key=lambda u: (strength(u), u)) for bag, label in zip(bags, labels) if label and bag]
-    clean = sorted({u for bag, label in zip(bags, labels) if not label for u in bag})
-    rng = np.random.default_rng(seed)
-    if not witness or not clean:
-        return None
-    model = None
+    telling = {r for r, n in inside.items() if n >= max(3, SUPPORT * labels.sum()) and n * rate >= ODDS * (outside[r] + 0.1)}
+    toxic_bags = [bag for bag, label in zip(bags, labels) if label and bag]
+    held = Counter(u for bag, label in zip(bags, labels) if not label for u in bag)
+    clean = sorted(held, key=lambda u: (-held[u], u))[:CLEAN_UNITS]
+    spread = [clean[i] for i in np.random.default_rng(seed).permutation(len(clean))[:LANDMARKS // 2]]
+    times = Counter(u for bag in toxic_bags for u in bag if not telling.isdisjoint(runs((u,))))
+    every = sorted({u for bag in bags for u in bag})
+    total = sum(held[u] for u in clean)
+    model, decision = None, {}
     for _ in range(ROUNDS):
-        common = [u for u, _ in Counter(witness).most_common(LANDMARKS * 2 // 3)]
-        spread = [clean[i] for i in rng.choice(len(clean), min(len(clean), LANDMARKS - len(common)), replace=False)]
-        landmarks = sorted(set(common + spread))
-        values, vectors = np.linalg.eigh(kernel_to(landmarks, landmarks).astype(np.float64))
+        if not times or not clean:
+            return None
+        common = [u for u, _ in times.most_common(LANDMARKS // 2)]
+        landmarks = sorted({*common, *spread})
+        tabled = tables(landmarks)
+        values, vectors = np.linalg.eigh(kernel_to(landmarks, tabled).astype(np.float64))
         whiten = vectors / np.sqrt(np.maximum(values, 1e-3))
-        positive = sorted(set(witness))
-        units = positive + clean
+        positive = sorted(times)
         y = np.array([1.0] * len(positive) + [-1.0] * len(clean))
-        times = Counter(witness)
-        weight = np.array([times[u] / len(witness) for u in positive] + [1 / len(clean)] * len(clean))
-        w, bias = _svm(kernel_to(units, landmarks) @ whiten, y, weight)
-        alpha = whiten @ w
-        table = np.zeros(CLASSES ** 3, dtype=np.float64)
-        for rows, codes, decay, norms in by_length(landmarks):
-            for n, row in enumerate(rows):
-                np.add.at(table, codes[n], alpha[row] * decay / norms[n])
-        model = Model(table.astype(np.float32), bias, 0.0, 1.0, 0.0)
-        every = sorted({u for bag in bags for u in bag})
+        weight = np.array([times[u] / times.total() for u in positive] + [held[u] / total for u in clean])
+        w, bias = _svm(kernel_to(positive + clean, tabled) .astype(np.float64) @ whiten, y, weight)
+        model = Model(((whiten @ w) @ tabled).astype(np.float32), bias, 0.0, 1.0, 0.0)
         decision = dict(zip(every, model.decisions(every).tolist()))
-        witness = [max(bag, key=lambda u: (decision[u], u)) for bag, label in zip(bags, labels) if label and bag]
+        spread = sorted(clean, key=lambda u: (-decision[u], u))[:LANDMARKS // 2]
+        times = Counter(u for bag in toxic_bags for u in (
+            [u for u in bag if not telling.isdisjoint(runs((u,)))] or [max(bag, key=lambda u: (decision[u], u))]))
     low = min(decision.values())
     tops = np.array([max((decision[u] for u in bag), default=low) for bag in bags])
     slope, offset = _logistic(tops, labels)
