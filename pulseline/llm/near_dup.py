@@ -6,11 +6,11 @@ works on one representative per class, its smallest doc_id.
 
 1. Signature: ``COORDINATES`` minima per set. A token is a (coordinate, value) pair.
 2. Postings. Two sets at the similarity bound agree in a share of the tokens that is
-   binomial; ``match_threshold`` lies five standard deviations below its mean, 29 of
-   48 for 0.85. Tokens are ordered by how many representatives post them (rarest
-   first, ties by token). Signatures that share 29 of 48 tokens share one among the
-   first 20 of either, so only those are posted. Tokens that nobody else posts come
-   first in this order and are skipped, as are documents with fewer than 29 shared
+   binomial; ``match_threshold`` is the count that all but ``LOST`` of such pairs reach,
+   27 of 48 for 0.85. Tokens are ordered by how many representatives post them (rarest
+   first, ties by token). Signatures that share 27 of 48 tokens share one among the
+   first 22 of either, so only those are posted. Tokens that nobody else posts come
+   first in this order and are skipped, as are documents with fewer than 27 shared
    tokens, which can have no partner.
 3. Posting lists are merged into candidate groups: each member is tied to the list's
    smallest (a star, not all pairs), and the stars' components hold every pair that
@@ -42,6 +42,7 @@ from pulseline.llm.components import components
 from pulseline.llm.wordhash import lower_ascii, mix, ngrams, text_chunks, words_of
 
 COORDINATES = 48
+LOST = 1e-6
 BLOCK_SHINGLES = 1 << 15
 DENSE_CELLS = 1 << 22
 
@@ -108,10 +109,11 @@ def _sets(size: int):
 
 
 def match_threshold(similarity: float) -> int:
-    """Agreeing coordinates that a pair of at least this similarity falls short of only
-    by five standard deviations (a few in a million such pairs at the bound itself)."""
-    mean = COORDINATES * similarity
-    return max(1, math.ceil(mean - 5 * math.sqrt(mean * (1 - similarity))))
+    """The most agreeing coordinates that a pair of this similarity reaches but for
+    ``LOST`` of all such pairs; the number is binomial."""
+    def short(n: int) -> float:
+        return sum(math.comb(COORDINATES, k) * similarity ** k * (1 - similarity) ** (COORDINATES - k) for k in range(n))
+    return max([1, *(n for n in range(COORDINATES) if short(n) <= LOST)])
 
 
 def postings(reps: DataFrame, matches: int) -> DataFrame:
