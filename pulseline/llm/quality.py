@@ -119,8 +119,8 @@ def labelled_sample(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = F.broadcast(labelled_sample(labels))  # at most LABELLED rows of nine bytes
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = texts.select("doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
-    marked = hashed.join(sample, F.col("doc_id") == F.col("_label_id"), "left")
+    hashes = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes")
+    marked = texts.join(sample, F.col("doc_id") == F.col("_label_id"), "left").select("_good", hashes)
     counted = (marked.select("_good", F.explode(features(F.col("hashes"))).alias("bucket")).groupBy("bucket")
                .agg(F.count(F.lit(1)).alias("raw"), F.count(F.when(F.col("_good"), 1)).alias("target")).collect())
     raw, target = [SMOOTHING] * BUCKETS, [SMOOTHING] * BUCKETS
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         target[row.bucket] += row.target
     shift = math.log(sum(raw)) - math.log(sum(target))
     model = Model([round(math.log(t) - math.log(r) + shift, 9) for t, r in zip(target, raw)], -math.inf)
-    scored = (hashed.join(sample, F.col("doc_id") == F.col("_label_id")).where(F.size("hashes") >= 10)
+    scored = (texts.join(sample, F.col("doc_id") == F.col("_label_id")).select("_good", hashes).where(F.size("hashes") >= 10)
               .select("_good", model.score(F.col("hashes")).alias("score")).collect())
     model.threshold = best_cut([(r.score, r._good) for r in scored])
     return model
