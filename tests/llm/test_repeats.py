@@ -1,0 +1,75 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from pulseline.llm import repeats
+
+WORD = re.compile(r"[^ \t-\r]+")
+SCHEMA = "doc_id long, text string, first int, anchor string"
+
+
+def brute(rows, window):
+    first, result = {}, {}
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        words = WORD.findall(t or "")
+        for j in range(len(words) - window + 1):
+            first.setdefault(tuple(words[j:j + window]), i)
+    for n, (i, t) in enumerate(rows):
+        words = WORD.findall(t or "")
+        keep = [True] * len(words)
+        for j in range(len(words) - window + 1):
+            if i is not None and first[tuple(words[j:j + window])] < i:
+                keep[j:j + window] = [False] * window
+        result[n] = (i, len(words), keep.count(False), " ".join(w for w, k in zip(words, keep) if k))
+    return sorted(result.values(), key=repr)
+
+
+def run(spark, rows, window):
+    df = spark.createDataFrame([(i, t, 0, "z") for i, t in rows], SCHEMA)
+    got = repeats.without_repeats(df, window, joined=True)
+    assert got.columns == ["doc_id", "text", "first", "anchor", "_n_words", "_n_removed"]
+    return sorted(((r.doc_id, r._n_words, r._n_removed, r.text or "") for r in got.collect()), key=repr)
+
+
+@pytest.mark.parametrize("window,seed", [(50, 1), (50, 2), (12, 3), (9, 4)])
+def test_equals_brute_force(spark, window, seed):
+    rng = random.Random(seed)
+    passages = [[f"p{rng.randrange(60)}" for _ in range(rng.randint(window - 3, 3 * window))] for _ in range(6)]
+    rows = []
+    for k in range(60):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            words += [f"u{rng.randrange(10_000)}" for _ in range(rng.randint(0, 80))]
+            passage = list(rng.choice(passages))
+            if rng.random() < 0.4:
+                passage[rng.randrange(len(passage))] = "changed"
+            start = rng.randrange(4)
+            words += passage[start:]
+        rows.append((rng.randrange(10_000) if k % 7 else 50 + k, " ".join(words)))
+    rows += [(20_000 + k, rows[k][1]) for k in range(5)]
+    assert run(spark, rows, window) == brute(rows, window)
+
+
+def test_periodic_short_and_empty_texts(spark):
+    rows = [(1, None), (2, ""), (3, "a b c"), (4, "ra " * 400), (5, "ra " * 70), (6, "x y z " * 300), (7, "y z x " * 40 + "end"),
+            (8, "ra " * 49), (9, "q " * 60 + "r " * 60), (10, "q " * 49 + "r " * 51), (11, "\t".join(["ra"] * 55)), (None, "ra " * 80)]
+    assert run(spark, rows, 50) == brute(rows, 50)
+    assert run(spark, [], 50) == []
+
+
+def test_very_long_text(spark):
+    words = [f"w{k}" for k in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[30_000:30_120] + ["own"])), (3, " ".join(["pre"] + words))]
+    assert run(spark, rows, 50) == brute(rows, 50)
+
+
+def test_layout_stays_where_nothing_is_cut(spark):
+    passage = " ".join(f"p{k}" for k in range(50))
+    rows = [(1, f"one\ttwo\n\n{passage}"), (2, f" head\n line  \n{passage}\n\ntail\tend ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in repeats.without_repeats(df, 50).collect()}
+    assert got[1] == rows[0][1]
+    assert got[2] == "head\n line\n\ntail\tend"
+    assert hashlib.sha256(" ".join(got[2].split()).encode()).hexdigest() == hashlib.sha256(b"head line tail end").hexdigest()
