@@ -15,7 +15,8 @@ for a text, so a toxic text stands for its telling units: those with a four-lett
 that a share of ``SUPPORT`` of the toxic texts has, ``ODDS`` times as often as the clean
 ones, or else, from the second of
 ``ROUNDS`` rounds on, the one that the SVM finds worst. Near copies count once. Units of clean texts count
-as clean, the commonest ``CLEAN_UNITS`` of them. Landmarks are the commonest telling units and as
+as clean, the commonest ``CLEAN_UNITS`` of them; all of them together weigh
+``FALSE_ALARM`` times the telling ones. Landmarks are the commonest telling units and as
 many clean ones, any at first and then those nearest to the border; Nyström features are
 kernel values to them, whitened. As kernel and SVM are linear in the
 triples, the trained model is one table of triple weights.
@@ -46,14 +47,15 @@ from pyspark.sql import functions as F
 DECAY = 0.7
 UNIT = 24
 CLASSES = 64
-SAMPLE = 2500
+SAMPLE = 2000
 SAMPLE_CHARS = 20_000
+FALSE_ALARM = 20.0
 LANDMARKS = 160
 SURELY_CLEAN = -0.7
 ROUNDS = 2
 ODDS = 100.0
 SUPPORT = 0.01
-CLEAN_UNITS = 60_000
+CLEAN_UNITS = 30_000
 FOLDS = 5
 REMEMBERED = 300_000
 
@@ -125,23 +127,37 @@ def norms(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.sqrt(np.add.reduceat(sums * sums, np.cumsum(each) - each))
 
 
-def tables(strings: list[str]) -> np.ndarray:
-    """Triple weights of each string, one row per string."""
-    found = np.zeros((len(strings), CLASSES ** 3), dtype=np.float32)
-    for rows, codes, weight in by_length(strings):
-        size = norms(codes, weight)
-        for n, row in enumerate(rows):
-            np.add.at(found[row], codes[n], weight / size[n])
-    return found
-
-
-def kernel_to(strings: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel values, strings x landmarks (as ``tables``)."""
-    found = np.zeros((len(strings), len(landmarks)), dtype=np.float32)
+@dataclass
+class Landmarks:
+    """Triple weights of some strings, kept for the triples that any of them has."""
+    number: np.ndarray   # of each triple; 0 for all others
+    weights: np.ndarray  # one row per string, one column per number
+
+    @classmethod
+    def of(cls, strings: list[str]) -> "Landmarks":
+        parts = list(by_length(strings))
+        used = np.unique(np.concatenate([codes.ravel() for _, codes, _ in parts]))
+        number = np.zeros(CLASSES ** 3, dtype=np.int32)
+        number[used] = np.arange(1, len(used) + 1)
+        weights = np.zeros((len(strings), len(used) + 1), dtype=np.float32)
+        for rows, codes, weight in parts:
+            size = norms(codes, weight)
+            for n, row in enumerate(rows):
+                np.add.at(weights[row], number[codes[n]], weight / size[n])
+        return cls(number, weights)
+
+    def combined(self, alpha: np.ndarray) -> np.ndarray:
+        """Weight of every triple in the weighted sum of the strings."""
+        return (alpha @ self.weights).astype(np.float32)[self.number]
+
+
+def kernel_to(strings: list[str], landmarks: Landmarks) -> np.ndarray:
+    """Kernel values, strings x landmarks."""
+    found = np.zeros((len(strings), len(landmarks.weights)), dtype=np.float32)
     for rows, codes, weight in by_length(strings):
-        size = norms(codes, weight)
-        for n, table in enumerate(landmarks):
-            found[rows, n] = (table[codes] @ weight) / size
+        size, places = norms(codes, weight), landmarks.number[codes]
+        for n, table in enumerate(landmarks.weights):
+            found[rows, n] = (table[places] @ weight) / size
     return found
 
 
@@ -169,7 +185,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * decision + self.offset))))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, cost: float = 1e5) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, cost: float = 1e7) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by Newton steps on the rows inside the margin."""
     x = np.hstack([x, np.ones((len(x), 1))])
     weight = cost * weight / weight.sum()
@@ -237,21 +253,21 @@ def train(texts: list[str | None], toxic: list[bool], seed: int = 3) -> Model |
     spread = [clean[i] for i in np.random.default_rng(seed).permutation(len(clean))[:LANDMARKS // 2]]
     times = Counter(u for bag in toxic_bags for u in bag if not telling.isdisjoint(runs((u,))))
     every = sorted({u for bag in bags for u in bag})
-    total = sum(held[u] for u in clean)
+    total = sum(held[u] ** 0.5 for u in clean)
     model, decision = None, {}
     for _ in range(ROUNDS):
         if not times or not clean:
             return None
         common = [u for u, _ in times.most_common(LANDMARKS // 2)]
         landmarks = sorted({*common, *spread})
-        tabled = tables(landmarks)
+        tabled = Landmarks.of(landmarks)
         values, vectors = np.linalg.eigh(kernel_to(landmarks, tabled).astype(np.float64))
         whiten = vectors / np.sqrt(np.maximum(values, 1e-3))
         positive = sorted(times)
         y = np.array([1.0] * len(positive) + [-1.0] * len(clean))
-        weight = np.array([times[u] / times.total() for u in positive] + [held[u] / total for u in clean])
+        weight = np.array([times[u] / times.total() for u in positive] + [FALSE_ALARM * held[u] ** 0.5 / total for u in clean])
         w, bias = _svm(kernel_to(positive + clean, tabled) .astype(np.float64) @ whiten, y, weight)
-        model = Model(((whiten @ w) @ tabled).astype(np.float32), bias, 0.0, 1.0, 0.0)
+        model = Model(tabled.combined(whiten @ w), bias, 0.0, 1.0, 0.0)
         decision = dict(zip(every, model.decisions(every).tolist()))
         spread = sorted(clean, key=lambda u: (-decision[u], u))[:LANDMARKS // 2]
         times = Counter(u for bag in toxic_bags for u in (

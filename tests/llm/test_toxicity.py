@@ -24,7 +24,7 @@ def plain_kernel(a, b):
 
 def test_kernel_equals_the_plain_sum():
     words = ["stupid", "stuupid", "st-upid", "dumb", "bananana", "abc", "ab", "clown", "aaaaaa", "idiot", "éàü"]
-    got = toxicity.kernel_to(words, toxicity.tables(words))
+    got = toxicity.kernel_to(words, toxicity.Landmarks.of(words))
     for i, a in enumerate(words):
         for j, b in enumerate(words):
             assert got[i, j] == pytest.approx(plain_kernel(a, b), abs=1e-4), (a, b)
