@@ -38,7 +38,7 @@ SELECT ls.lineid, t.terminus_pointid AS "directionId", ls.pointid AS "pointId",
        CAST(v.along % 200 AS DOUBLE) AS "distanceFromPoint",
        make_timestamp(1704067200000000 + (v.poll * 20 + (v.poll // 40) * 3600) * 1000000) AS poll_ts
 FROM (SELECT *, slot % 5 AS nk, (slot // 5) % 2 AS par, poll * 60 + (slot // 10) * 700 AS along
-      FROM (SELECT event_id // 30 AS poll, event_id % 30 AS slot FROM events WHERE event_type <> 'error') e) v
+      FROM (SELECT event_id // 30 AS poll, event_id % 30 AS slot FROM events) e) v
 JOIN (SELECT *, count(*) OVER (PARTITION BY nk, par) AS n FROM fx_line_stops) ls
   ON ls.nk = v.nk AND ls.par = v.par AND ls.sequence_idx = (v.along // 200) % ls.n + 1
 JOIN fx_line_terminus t ON t.lineid = ls.lineid AND t.direction = ls.direction""",
@@ -343,10 +343,12 @@ SELECT t.lineid, t.direction, s.mode, s.route_color, s.route_text_color, s.linei
 FROM fx_line_terminus t LEFT JOIN fx_line_shape s ON s.lineid = t.lineid AND s.direction = t.direction
 LEFT JOIN fx_geojson g ON g.lineid = t.lineid AND g.direction = t.direction""",
     "trip_assembly": """
-SELECT trip_id, lineid, direction, epoch_us(ts) // 3600000000 AS part, epoch_us(min(ts)) AS start_ts, epoch_us(max(ts)) AS end_ts,
-       CAST(count(*) AS INTEGER) AS point_count,
+SELECT trip_id, lineid, direction, part, start_ts, end_ts, point_count,
        string_agg(epoch_us(ts) || ' ' || CAST(round(lon, 6) AS VARCHAR) || ' ' || CAST(round(lat, 6) AS VARCHAR), ';' ORDER BY ts) AS samples
-FROM fx_trip_instant GROUP BY trip_id, lineid, direction, epoch_us(ts) // 3600000000""",
+FROM (SELECT *, epoch_us(ts) // 3600000000 AS part, epoch_us(min(ts) OVER t) AS start_ts, epoch_us(max(ts) OVER t) AS end_ts,
+             CAST(count(*) OVER t AS INTEGER) AS point_count
+      FROM fx_trip_instant WINDOW t AS (PARTITION BY trip_id, lineid, direction)) s
+GROUP BY ALL""",
     "value_at_instant": f"""
 SELECT trip_id, lineid, direction, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({_value_at(AT)}) v""",
     "value_at_many_instants": """

@@ -122,8 +122,7 @@ def feed_of(a: Adapter, events: DataFrame) -> DataFrame:
     be a stream."""
     length = a.line_stops.groupBy("nk", "par").agg(F.count(F.lit(1)).alias("n"))
     polled = (
-        events.where("event_type <> 'error'")
-        .select(F.floor(F.col("event_id") / 30).alias("poll"), (F.col("event_id") % 30).alias("slot"))
+        events.select(F.floor(F.col("event_id") / 30).alias("poll"), (F.col("event_id") % 30).alias("slot"))
         .select("poll", (F.col("slot") % 5).cast("int").alias("nk"),
                 (F.floor(F.col("slot") / 5) % 2).cast("int").alias("par"),
                 (F.col("poll") * 60 + F.floor(F.col("slot") / 10) * 700).alias("along"))

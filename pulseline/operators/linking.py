@@ -37,7 +37,8 @@ MATCH_RADIUS_M = 500.0
 MATCH_WINDOW_S = 300.0
 EARTH_RADIUS_M = 6_371_000.0
 CHUNK_ROWS = 200_000
-TASK_ROWS = 200_000
+# About a minute of work; a task streams its chunks one after the other.
+TASK_ROWS = 5_000_000
 SLOT_US = 60 * 1_000_000
 
 ISLAND = ["lineid", "direction", "island"]

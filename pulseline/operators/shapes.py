@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseline.functions.geo import geodesic_segment_m, geojson_linestring, lerp, planar_length
-from pulseline.operators.ordered import next_row, running_total
+from pulseline.operators.ordered import next_row, running_number, running_total
 
 SHAPE = ["lineid", "direction"]
 SEQ_BUCKET = 4096
@@ -44,9 +44,11 @@ def shape_lengths(segments: DataFrame) -> DataFrame:
 
 
 def line_centroids(segments: DataFrame) -> DataFrame:
-    """Length-weighted mean of segment midpoints (planar)."""
+    """Length-weighted mean of segment midpoints (planar); the first vertex of a shape
+    without length."""
     def weighted(a: str, b: str):
-        return F.sum(F.col("planar") * (F.col(a) + F.col(b)) / 2) / F.sum("planar")
+        mean = F.try_divide(F.sum(F.col("planar") * (F.col(a) + F.col(b)) / 2), F.sum("planar"))
+        return F.coalesce(mean, F.min_by(a, "seq"))
     return (
         segments.groupBy(*SHAPE)
         .agg(weighted("lon1", "lon2").alias("lon"), weighted("lat1", "lat2").alias("lat"))
@@ -144,16 +146,18 @@ def _grid(value: Column, n: Column) -> Column:
 def fraction_cells(measured: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Segments indexed by an even grid over the fraction, one cell per segment on
     average, so that interpolation is an equi-join with a short range test. A cell
-    crowded by many short segments is divided by the same number again. Returns
-    (the cells, with ``sub`` 0 where not divided; the keys of divided cells)."""
+    crowded by many short segments is divided by their number, so cells stay
+    proportional to segments. Returns (the cells, with ``sub`` 0 where not divided;
+    the keys of divided cells, with ``parts``)."""
     n, end = F.col("n_segments"), F.coalesce("f1", F.lit(1.0))
     coarse = _explode_range(measured, "cell", _grid(F.col("f0") * n, n), _grid(end * n, n)).select(
         *SHAPE, "cell", "f0", "f1", "lon1", "lat1", "lon2", "lat2", "planar", "planar_total", "n_segments")
-    crowded = coarse.groupBy(*SHAPE, "cell").count().where(F.col("count") > CROWDED).select(*SHAPE, "cell")
+    crowded = coarse.groupBy(*SHAPE, "cell").count().where(F.col("count") > CROWDED).select(
+        *SHAPE, "cell", F.col("count").alias("parts"))
     key = [*SHAPE, "cell"]
     plain = coarse.join(crowded, key, "left_anti").withColumn("sub", F.lit(0).cast("long"))
-    low, high = (_grid((edge * n - F.col("cell")) * n, n) for edge in (F.col("f0"), end))
-    divided = _explode_range(coarse.join(crowded, key, "left_semi"), "sub", low, high)
+    low, high = (_grid((edge * n - F.col("cell")) * F.col("parts"), F.col("parts")) for edge in (F.col("f0"), end))
+    divided = _explode_range(coarse.join(crowded, key), "sub", low, high).select(*plain.columns)
     return plain.unionByName(divided).drop("n_segments"), crowded
 
 
@@ -163,9 +167,9 @@ def interpolate_on_shapes(rows: DataFrame, measured: DataFrame) -> DataFrame:
     cells, crowded = fraction_cells(measured)
     c = cells.select([F.col(name).alias(f"_c_{name}") for name in cells.columns])
     d = crowded.select(F.col("lineid").alias("_d_lineid"), F.col("direction").alias("_d_direction"),
-                       F.col("cell").alias("_d_cell"))
+                       F.col("cell").alias("_d_cell"), F.col("parts").alias("_d_parts"))
     n = F.col("n_segments")
-    fine = _grid((F.col("fraction") * n - F.col("_cell")) * n, n)
+    fine = _grid((F.col("fraction") * n - F.col("_cell")) * F.col("_d_parts"), F.col("_d_parts"))
     wanted = (
         rows.withColumn("_cell", F.when(F.col("fraction").isNotNull(), _grid(F.col("fraction") * n, n)))
         .join(d, (F.col("lineid") == F.col("_d_lineid")) & (F.col("dir_label") == F.col("_d_direction"))
@@ -185,13 +189,17 @@ def interpolate_on_shapes(rows: DataFrame, measured: DataFrame) -> DataFrame:
     )
 
 
-def shape_geojson(points: DataFrame, part_points: int = SEQ_BUCKET, digits: int = 9) -> DataFrame:
-    """GeoJSON LineStrings in parts of at most ``part_points`` segments. A part
-    ends on the vertex the next one starts with; ordinary shapes have one part."""
-    part = F.floor(F.col("seq") / part_points)
-    on_border = (F.col("seq") % part_points == 0) & (part > 0)
-    placed = points.withColumn("part", F.explode(
-        F.when(on_border, F.array(part - 1, part)).otherwise(F.array(part))))
+def shape_geojson(points: DataFrame, part_points: int | None = None, digits: int = 9) -> DataFrame:
+    """One GeoJSON LineString per shape. With ``part_points`` a shape comes in parts of
+    so many segments, numbered by ``part``; each ends on the vertex the next begins with."""
+    if part_points is None:
+        placed = points.withColumn("part", F.lit(0).cast("long"))
+    else:
+        bucketed = points.withColumn("_bucket", F.floor(F.col("seq") / SEQ_BUCKET))
+        part = F.floor(F.col("_place") / part_points)
+        on_border = (F.col("_place") % part_points == 0) & (part > 0)
+        placed = running_number(bucketed, SHAPE, "_bucket", ["seq"], "_place").withColumn(
+            "part", F.explode(F.when(on_border, F.array(part - 1, part)).otherwise(F.array(part))))
     vertex = F.struct("seq", F.round("lon", digits).alias("lon"), F.round("lat", digits).alias("lat"))
     return (
         placed.groupBy(*SHAPE, "part").agg(F.array_sort(F.collect_list(vertex)).alias("path"))

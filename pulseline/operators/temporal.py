@@ -29,9 +29,10 @@ def value_at_instant(samples: DataFrame, at: Instant, trips: DataFrame | None =
 
     The trips alive are found first (from the headers ``trips`` if given, else by
     a hash aggregate), and only their samples go on; with headers, only the lines
-    and the time these trips span are read. ``max_gap_s`` states that
-    neighbouring samples are never further apart (300 for linked trips); then
-    only samples that near the instant are read at all.
+    and the time these trips span are read. ``max_gap_s`` tells how far apart
+    neighbouring samples usually are (300 for linked trips): samples that near the
+    instant are read first, and all samples only of trips that have none there on
+    one side.
     """
     when = _at(at)
     extents = trips if trips is not None else samples.groupBy(*TRIP_KEY).agg(
@@ -42,15 +43,22 @@ def value_at_instant(samples: DataFrame, at: Instant, trips: DataFrame | None =
         # No sample of these trips lies outside; the scan can skip the rest of time.
         span = alive.agg(F.min("start_ts").alias("first"), F.max("end_ts").alias("last"))
         near = near.where((F.col("ts") >= span.select("first").scalar()) & (F.col("ts") <= span.select("last").scalar()))
-    if max_gap_s is not None:
-        reach = F.make_dt_interval(secs=F.lit(max_gap_s))
-        near = near.where((F.col("ts") >= when - reach) & (F.col("ts") <= when + reach))
     fix = F.struct("ts", "lon", "lat")
-    around = (
-        near.join(alive.select(*TRIP_KEY), TRIP_KEY, "left_semi").withColumn("_at", when).groupBy(*TRIP_KEY, "_at")
-        .agg(F.max_by(fix, F.when(F.col("ts") <= F.col("_at"), F.col("ts"))).alias("a"),
-             F.min_by(fix, F.when(F.col("ts") >= F.col("_at"), F.col("ts"))).alias("b"))
-    )
+
+    def neighbours(rows: DataFrame, of: DataFrame) -> DataFrame:
+        return (
+            rows.join(of.select(*TRIP_KEY), TRIP_KEY, "left_semi").withColumn("_at", when).groupBy(*TRIP_KEY, "_at")
+            .agg(F.max_by(fix, F.when(F.col("ts") <= F.col("_at"), F.col("ts"))).alias("a"),
+                 F.min_by(fix, F.when(F.col("ts") >= F.col("_at"), F.col("ts"))).alias("b"))
+        )
+
+    if max_gap_s is None:
+        around = neighbours(near, alive)
+    else:
+        reach = F.make_dt_interval(secs=F.lit(max_gap_s))
+        close = neighbours(near.where((F.col("ts") >= when - reach) & (F.col("ts") <= when + reach)), alive)
+        close = close.where("a is not null and b is not null")
+        around = close.unionByName(neighbours(near, alive.join(close, TRIP_KEY, "left_anti")))
     t = F.when(F.col("a.ts") == F.col("b.ts"), 0.0).otherwise(_share(F.col("_at"), F.col("a.ts"), F.col("b.ts")))
     return around.withColumn("_t", t).select(
         *TRIP_KEY, F.col("_at").alias("at_ts"), lerp(F.col("a.lon"), F.col("b.lon"), F.col("_t")).alias("lon"),
@@ -73,8 +81,9 @@ def value_at_many_instants(samples: DataFrame, asks: DataFrame, on: Sequence[str
                            slice_s: int = 600, max_gap_s: int | None = None) -> DataFrame:
     """Value for each row of ``asks`` (columns ``on`` and ``at_ts``), as an
     interval join: segments are laid over time slices, then an equi-join on
-    (``on``, slice) with a short range test. ``max_gap_s`` bounds the time between
-    neighbouring samples (300 for linked trips) and spares the coarser slices."""
+    (``on``, slice) with a short range test. ``max_gap_s`` is the usual time between
+    neighbouring samples (300 for linked trips) and spares the slices coarser than it
+    needs; a longer gap then lies over more slices, with the same result."""
     sizes = COARSER if max_gap_s is None else COARSER[:1 + sum(s * slice_s * SPAN < max_gap_s for s in COARSER[:-1])]
     segments = trip_segments(samples)
     last = F.coalesce(F.col("end.ts"), F.col("ts"))
@@ -104,15 +113,20 @@ def value_at_many_instants(samples: DataFrame, asks: DataFrame, on: Sequence[str
     )
 
 
-def samples_in_window(samples: DataFrame, start: Instant, end: Instant, clip_bounds: bool = False) -> DataFrame:
+def samples_in_window(samples: DataFrame, start: Instant, end: Instant, clip_bounds: bool = False,
+                      trips: DataFrame | None = None) -> DataFrame:
     """Samples with start <= ts < end; with ``clip_bounds`` also the interpolated
-    values at both borders for trips that cross them."""
+    values at both borders for trips that cross them. A trip that starts at the end
+    is outside. Headers (``trips``) spare a pass over all samples."""
     low, high = _at(start), _at(end)
     columns = [*TRIP_KEY, "ts", "lon", "lat"]
     inside = samples.where((F.col("ts") >= low) & (F.col("ts") < high)).select(*columns)
     if not clip_bounds:
         return inside
-    borders = value_at_instant(samples, low).unionByName(value_at_instant(samples, high))
+    extents = trips if trips is not None else samples.groupBy(*TRIP_KEY).agg(
+        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
+    met = extents.where((F.col("start_ts") < high) & (F.col("end_ts") >= low))
+    borders = value_at_instant(samples, low, met).unionByName(value_at_instant(samples, high, met))
     return inside.unionByName(borders.withColumnRenamed("at_ts", "ts").select(*columns)).distinct()
 
 

@@ -31,19 +31,15 @@ def trip_headers(samples: DataFrame, min_points: int = 2) -> DataFrame:
     )
 
 
-def assemble_trips(samples: DataFrame, part_seconds: int = PART_SECONDS) -> DataFrame:
-    """Ordered sample arrays per (trip, time slice), with extent and size."""
+def assemble_trips(samples: DataFrame, part_seconds: int | None = PART_SECONDS) -> DataFrame:
+    """Ordered sample arrays per (trip, time slice), each with the extent and size of
+    the whole trip; one array per trip (``part`` 0) without ``part_seconds``, where the
+    caller knows that trips are short."""
     fix = F.struct("ts", "lon", "lat")
-    return (
-        samples.withColumn("part", time_slice(F.col("ts"), part_seconds))
-        .groupBy(*TRIP_KEY, "part")
-        .agg(F.array_sort(F.collect_list(fix)).alias("samples"))
-        .withColumns({
-            "start_ts": F.col("samples")[0]["ts"],
-            "end_ts": F.element_at("samples", -1)["ts"],
-            "point_count": F.size("samples"),
-        })
-    )
+    part = F.lit(0).cast("long") if part_seconds is None else time_slice(F.col("ts"), part_seconds)
+    packed = samples.withColumn("part", part).groupBy(*TRIP_KEY, "part").agg(
+        F.array_sort(F.collect_list(fix)).alias("samples"))
+    return packed.join(trip_headers(samples, min_points=1), TRIP_KEY)
 
 
 def union_trips(open_trips: DataFrame, closed_trips: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pulseline.operators import linking, network, positions
 from pulseline.operators.catalogue import terminus_locations
 from pulseline.operators.ordered import earliest_per_key
 from pulseline.plans.queries import table_counts
-from pulseline.sinks.tables import Tables
+from pulseline.sinks.tables import KEYS, Tables
 from pulseline.sources import catalogue, gtfs, pings
 
 COUNTED = ["positions", "trips", "stops", "line_shapes", "waiting_times"]
@@ -71,25 +71,29 @@ def load_documents(spark: SparkSession, tables: Tables, stop_paths: list[str] |
     """Stop documents upsert stops; stops-by-line documents replace the line
     sequences and their termini."""
     if stop_paths:
-        stops = catalogue.decode_stop_documents(catalogue.documents(spark, stop_paths))
-        tables.upsert("stops", stops, ["stop_name_fr", "stop_name_nl", "lon", "lat"],
-                      ["stop_name_fr", "stop_name_nl", "lon", "lat"])
+        stops = catalogue.decode_stop_documents(catalogue.documents(spark, stop_paths, placed=True))
+        tables.upsert("stops", stops, catalogue.PLACE, ["stop_name_fr", "stop_name_nl", "lon", "lat"])
     if line_paths:
-        lines = catalogue.decode_line_documents(catalogue.documents(spark, line_paths))
-        tables.replace("line_stops", lines)
-        tables.replace("line_terminus", catalogue.terminus_of(lines))
+        lines = catalogue.decode_line_documents(catalogue.documents(spark, line_paths, placed=True))
+        place = [*catalogue.PLACE, "point_no"]
+        last = materialise(earliest_per_key(lines, KEYS["line_stops"], place, latest=True).drop(*place), "line-stops")
+        tables.replace("line_stops", last)
+        tables.replace("line_terminus", catalogue.terminus_of(last))
 
 
 def load_gtfs(spark: SparkSession, tables: Tables, folder: str) -> DataFrame:
     """Line shapes from an unpacked GTFS feed. Returns shapes per outcome: NULL
-    for those used, else why they were skipped."""
+    for those used, else why they were skipped. Without a located terminus no shape
+    could be used, so the stored ones stay."""
     termini = terminus_locations(tables.read("line_terminus"), tables.read("stops"))
     canonical = network.canonical_shapes(gtfs.scan_trips(spark, folder))
     polylines = network.assemble_polylines(gtfs.scan_shapes(spark, folder), canonical)
     routes = gtfs.route_attributes(gtfs.scan_routes(spark, folder))
     directions = network.shape_directions(canonical, polylines, routes, termini)
-    shapes, vertices = network.gtfs_line_shapes(directions, polylines, routes)
-    store_shapes(tables, shapes, vertices, replace=True)
+    directions = materialise(directions, "shape-directions")
+    if not termini.isEmpty():
+        shapes, vertices = network.gtfs_line_shapes(directions, polylines, routes)
+        store_shapes(tables, shapes, vertices, replace=True)
     return directions.groupBy("skipped").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -99,7 +103,8 @@ def rebuild_trips(tables: Tables, lines: list[str] | None = None,
     located = tables.read("positions")
     if lines is not None:
         located = located.where(F.col("lineid").isin(lines))
-    samples = linking.trip_samples(linking.link_pings(located, chunk_rows))
+    linked = materialise(linking.link_pings(located, chunk_rows), "linked-pings")  # read three times below
+    samples = linking.trip_samples(linked)
     headers, kept = linking.build_trips(samples)
     tables.replace_trips(headers, kept, lines)
     return counts(tables)

@@ -6,9 +6,12 @@ that pass the request's filters, "service_day" all trips of the line's day.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseline.functions.clock import service_day
 from pulseline.operators import catalogue as cat
 from pulseline.operators import shapes as sh
 from pulseline.operators.ordered import earliest_per_key
@@ -21,7 +24,14 @@ from pulseline.plans.filters import filter_trips
 def _numbered(trips: DataFrame, chosen: DataFrame, numbering: str) -> DataFrame:
     if numbering == "window":
         return number_by_service_day(chosen)
-    labels = number_by_service_day(trips).select("trip_id", "line_trip_id")
+    # Only the days of the chosen trips are numbered, all trips of each.
+    dated = trips.withColumn("_day", service_day(F.col("lineid"), F.col("start_ts")))
+    asked = chosen.select("lineid", service_day(F.col("lineid"), F.col("start_ts")).alias("_day")).distinct()
+    span = chosen.agg(F.min("start_ts").alias("first"), F.max("start_ts").alias("last"))
+    reach = F.lit(timedelta(days=2))
+    near = dated.where((F.col("start_ts") >= span.select("first").scalar() - reach)
+                       & (F.col("start_ts") <= span.select("last").scalar() + reach))
+    labels = number_by_service_day(near.join(asked, ["lineid", "_day"], "left_semi").drop("_day")).select("trip_id", "line_trip_id")
     return chosen.drop("line_trip_id", "daily_trip_seq").join(labels, "trip_id")
 
 
@@ -54,7 +64,7 @@ def trajectories(trips: DataFrame, samples: DataFrame, line_stops: DataFrame, sh
                        F.concat_ws(":", F.lit(network), "lineid", "dir_label")).alias("shape_id"),
                 "mode", "route_color", "route_text_color")
     )
-    inside = samples_in_window(filter_trips(samples, lines, direction), start, end, clip_bounds)
+    inside = samples_in_window(filter_trips(samples, lines, direction), start, end, clip_bounds, chosen)
     return inside.join(described, "trip_id").select(
         "trip_id", "lineid", "dir_label", "line_trip_id", "shape_id", "mode", "route_color", "route_text_color",
         F.round(F.unix_micros("ts") / 1000).cast("long").alias("t_ms"), "lon", "lat")
@@ -69,6 +79,7 @@ def pack_trajectories(rows: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 ETA_ORDER = [F.desc, F.asc_nulls_last, F.asc_nulls_last, F.asc_nulls_last, F.asc_nulls_last]
+RANK_BUCKETS = 64
 ETA_COLUMNS = ["poll_ts", "expected", "lineid", "destination", "message"]
 
 
@@ -84,9 +95,13 @@ def waiting_times_for_stop(waiting_times: DataFrame, pointid: str, limit: int =
 
 def waiting_times_per_stop(waiting_times: DataFrame, limit: int = 200) -> DataFrame:
     """The same for all stops at once. The rank limit is applied per task before
-    the shuffle, so a busy stop sends ``limit`` rows per task, not all of them."""
+    the shuffle, then per (stop, bucket) and only then per stop, so the rows of a busy
+    stop meet in ``RANK_BUCKETS`` tasks first, and one task ranks ``limit`` of each."""
+    first = Window.partitionBy("pointid", "_bucket").orderBy(*_eta_order())
     rank = F.row_number().over(Window.partitionBy("pointid").orderBy(*_eta_order()))
-    return waiting_times.withColumn("rn", rank).where(F.col("rn") <= limit)
+    bucketed = waiting_times.withColumn("_bucket", F.pmod(F.xxhash64(*ETA_COLUMNS), F.lit(RANK_BUCKETS)))
+    best = bucketed.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= limit).drop("_rn", "_bucket")
+    return best.withColumn("rn", rank).where(F.col("rn") <= limit)
 
 
 def search(stops: DataFrame, shapes: DataFrame, points: DataFrame, query: str, per_category: int = 5,

@@ -10,9 +10,10 @@ from pyspark.sql import SparkSession
 
 
 def pin_utc(spark: SparkSession) -> SparkSession:
-    """Every instant in this library is UTC; naive inputs are read as UTC."""
+    """Every instant in this library is UTC; naive inputs are read as UTC. Workers get the
+    package, as its functions run there too."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
+    return ship(spark)
 
 
 def local_session(cpus: str | int = "*", memory: str = "8g", shuffle_partitions: int = 8,

@@ -31,6 +31,10 @@ SCHEMAS = {
 }
 
 
+# Replaced together, under the same snapshot number.
+JOINT = ("trips", "trip_samples")
+
+
 class Tables:
     """The library's tables below one root folder. Pins the session to UTC, which
     texts without an offset, service dates and partitions are read in."""
@@ -55,7 +59,10 @@ class Tables:
         return sorted(int(n[9:]) for n in names if n.startswith("snapshot="))
 
     def _finished(self, name: str) -> list[int]:
-        return [n for n in self._snapshots(name) if self._exists(f"{self.root}/{name}/snapshot={n}/_SUCCESS")]
+        """Snapshots that a reader may take; of tables replaced together, those that all have."""
+        joint = JOINT if name in JOINT else (name,)
+        return [n for n in self._snapshots(name)
+                if all(self._exists(f"{self.root}/{other}/snapshot={n}/_SUCCESS") for other in joint)]
 
     def read(self, name: str) -> DataFrame:
         """The table's rows; an empty one if nothing was written yet."""
@@ -68,9 +75,17 @@ class Tables:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return reader.parquet(f"{self.root}/{name}/snapshot={finished[-1]}")
 
-    def replace(self, name: str, rows: DataFrame, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
-        """Truncate-and-load: a new snapshot takes the old one's place."""
-        number = max(self._snapshots(name), default=0) + 1
+    def _next_snapshot(self, *names: str) -> int:
+        return max((n for name in names for n in self._snapshots(name)), default=0) + 1
+
+    def replace(self, name: str, rows: DataFrame, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (),
+                number: int | None = None) -> None:
+        """Truncate-and-load: a new snapshot takes the old one's place, which stays until
+        the one after that, for readers that hold it."""
+        number = number or self._next_snapshot(name)
+        for old in self._finished(name)[:-1]:
+            files, folder = self._files(f"{self.root}/{name}/snapshot={old}")
+            files.delete(folder, True)
         if sort_by:
             rows = rows.sortWithinPartitions(*partition_by, *sort_by)
         writer = rows.write.mode("errorifexists")
@@ -97,12 +112,14 @@ class Tables:
         # One value per calendar day of the input.
         dates = [r["service_date"] for r in rows.select("service_date").distinct().collect()]
         stored = self.read("positions").select("service_date", "position_id")
-        order = ["fetched_at", "lineid", "direction", "pointid"]
+        order = ["fetched_at", "lineid", "direction", "pointid", "distance_from_point", "lon", "lat"]
         derived = new_rows(stored.where(F.col("service_date").isin(dates)), rows.where(~F.col("id_given")),
                            ["service_date", "position_id"], order)
-        taken = stored.unionByName(derived.select(*stored.columns))
-        given = new_rows(taken, rows.where("id_given"), ["position_id"], order)
-        (derived.unionByName(given).select(*columns).hint("rebalance", "service_date")
+        fresh = derived
+        if not rows.where("id_given").isEmpty():
+            taken = stored.unionByName(derived.select(*stored.columns))
+            fresh = derived.unionByName(new_rows(taken, rows.where("id_given"), ["position_id"], order))
+        (fresh.select(*columns).hint("rebalance", "service_date")
          .sortWithinPartitions("service_date", "lineid", "direction", "fetched_at")
          .write.mode("append").partitionBy("service_date").parquet(f"{self.root}/positions"))
 
@@ -117,14 +134,15 @@ class Tables:
     def replace_trips(self, trips: DataFrame, samples: DataFrame, lines: list[str] | None = None) -> None:
         """Replaces all trips, or only those of ``lines``. Partitioned by line and
         sorted by time, so that line and time filters skip files and row groups,
-        and a rebuild of some lines touches no others."""
+        and a rebuild of some lines touches no others. A full replacement becomes visible
+        for headers and samples at once, when both are written."""
+        number, finished = self._next_snapshot(*JOINT), self._finished(JOINT[0])
         for name, rows, order in (("trips", trips, "start_ts"), ("trip_samples", samples, "ts")):
             columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
             sliced = (rows.select(*columns).withColumn("_day", F.to_date(order))
                       .hint("rebalance", "lineid", "_day").drop("_day"))
-            finished = self._finished(name)
             if lines is None or not finished:
-                self.replace(name, sliced, ["lineid"], [order, "trip_id"])
+                self.replace(name, sliced, ["lineid"], [order, "trip_id"], number)
             else:
                 self._replace_lines(f"{self.root}/{name}/snapshot={finished[-1]}", sliced, order, lines)
 
