@@ -176,6 +176,24 @@ LINE_NUMBER = ("lineid || '_' || lpad(CAST(row_number() OVER (PARTITION BY linei
 ACTIVE = f"start_ts < {AT} + INTERVAL 30 MINUTE AND end_ts >= {AT} - INTERVAL 30 MINUTE"
 SAMPLES_INSIDE = f"ts >= {_before_end(30)} AND ts < {_before_end(6)}"
 
+MICRO = "CAST(CAST(round({} * 1e6) AS BIGINT) AS VARCHAR)"
+
+SHAPE_DIRECTION = f"""
+SELECT route_id, direction_id, shape_id, lineid, CASE WHEN em <= 500 THEN el WHEN sm <= 500 THEN sl END AS dir_label,
+       round(CASE WHEN em <= 500 THEN em WHEN sm <= 500 THEN sm END, 3) AS metres,
+       CASE WHEN em <= 500 THEN false WHEN sm <= 500 THEN true END AS reverse,
+       CASE WHEN n IS NULL THEN 'short' WHEN k = 0 THEN 'no_terminus' WHEN em <= 500 OR sm <= 500 THEN NULL ELSE 'far' END AS skipped
+FROM (SELECT route_id, direction_id, shape_id, lineid, max(n) AS n, count(pid) AS k,
+             min(em) AS em, arg_min(lab, {{'m': em, 'p': pid, 'l': lab}}) AS el, min(sm) AS sm, arg_min(lab, {{'m': sm, 'p': pid, 'l': lab}}) AS sl
+      FROM (SELECT c.*, substr(c.route_id, 2) AS lineid, e.n_points AS n, t.terminus_pointid AS pid, t.direction AS lab,
+                   {HAVERSINE.format(a='e.', b='t.')} AS em, {HAVERSINE.format(a='s.', b='t.')} AS sm
+            FROM fx_canonical c
+            LEFT JOIN fx_polyline e ON e.shape_id = c.shape_id AND e.idx = e.n_points
+            LEFT JOIN fx_polyline s ON s.shape_id = c.shape_id AND s.idx = 1
+            LEFT JOIN (SELECT t.lineid, t.direction, t.terminus_pointid, s.lon, s.lat FROM fx_line_terminus t
+                       JOIN fx_stop s ON s.pointid = t.terminus_pointid) t ON t.lineid = substr(c.route_id, 2)) a
+      GROUP BY route_id, direction_id, shape_id, lineid) b"""
+
 LINKING = f"""
 WITH_RECURSIVE p AS MATERIALIZED (SELECT position_id, lineid, direction AS dir, epoch_us(poll_ts) AS us, lon, lat FROM fx_position WHERE lon IS NOT NULL),
 g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY lineid, dir ORDER BY us, lon, lat, position_id) <= 300000000 THEN 0 ELSE 1 END AS brk FROM p),
@@ -280,6 +298,33 @@ FROM fx_position""",
         f"UNION ALL SELECT '{name}', count(*) FROM {view}" for name, view in (
             ("positions", "fx_position"), ("stops", "fx_stop"), ("line_shapes", "fx_line_shape"),
             ("waiting_times", "(SELECT DISTINCT * FROM fx_waiting_time) d"))),
+    "mirror_round_trip": """
+SELECT substr(sha256(lineid || '|' || "directionId" || '|' || "pointId" || '|' || t || '|' || CAST("distanceFromPoint" AS VARCHAR)), 1, 32) AS position_id,
+       lineid, "directionId" AS direction, "pointId" AS pointid, "distanceFromPoint" AS distance_from_point, t AS fetched_at_text
+FROM (SELECT *, strftime(poll_ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS t FROM fx_feed) a""",
+    "waiting_times_appended": """
+SELECT pointid, lineid, 2 * count(*) AS n, epoch_us(max(poll_ts)) AS latest FROM fx_waiting_time GROUP BY pointid, lineid""",
+    "replay_contents": f"""
+SELECT 'stops' AS table_name, pointid || '|' || stop_name_fr || '|' || coalesce(stop_name_nl, '-') || '|' || {MICRO.format('lon')} || '|' || {MICRO.format('lat')} AS content FROM fx_stop
+UNION ALL SELECT 'line_stops', lineid || '|' || direction || '|' || sequence_idx || '|' || pointid || '|' || coalesce(destination, '-') FROM fx_line_stops
+UNION ALL SELECT 'line_terminus', lineid || '|' || terminus_pointid || '|' || direction || '|' || coalesce(destination, '-') FROM fx_line_terminus
+UNION ALL SELECT 'line_shapes', lineid || '|' || direction || '|' || variant || '|' || coalesce(mode, '-') || '|' || route_color FROM fx_line_shape
+UNION ALL SELECT 'shape_points', lineid || '|' || direction || '|' || seq || '|' || {MICRO.format('lon')} || '|' || {MICRO.format('lat')} FROM fx_shape_point
+UNION ALL SELECT 'positions', position_id || '|' || lineid || '|' || pointid || '|' || epoch_us(poll_ts) || '|' || coalesce({MICRO.format('lon')}, '-') || '|' || coalesce({MICRO.format('lat')}, '-') FROM fx_position
+UNION ALL SELECT 'positions', 'given-' || pointid || '|1|' || pointid || '|1704067200000000|4500000|50500000' FROM fx_stop
+UNION ALL SELECT 'waiting_times', epoch_us(poll_ts) || '|' || pointid || '|' || lineid || '|' || coalesce(CAST(epoch_us(expected) AS VARCHAR), '-') || '|' || coalesce(destination, '-') || '|' || coalesce(message, '-') FROM fx_waiting_time""",
+    "gtfs_load": f"""
+SELECT w.lineid, w.direction, w.direction_id AS variant,
+       CASE nk % 9 WHEN 0 THEN 'tram' WHEN 1 THEN 'metro' WHEN 2 THEN 'rail' WHEN 3 THEN 'bus' WHEN 7 THEN 'funicular' ELSE 'other' END AS mode,
+       p.n_points, round(p.lon, 6) AS lon, round(p.lat, 6) AS lat
+FROM (SELECT d.lineid, d.dir_label AS direction, arg_max({{'d': d.direction_id, 's': d.shape_id, 'r': d.reverse}}, f.first_row) AS pick
+      FROM ({SHAPE_DIRECTION}) d
+      JOIN (SELECT route_id, direction_id, min(row_no) AS first_row FROM fx_gtfs_trip GROUP BY ALL) f
+        ON f.route_id = d.route_id AND f.direction_id = d.direction_id
+      WHERE d.skipped IS NULL GROUP BY ALL) q,
+     LATERAL (SELECT q.lineid, q.direction, q.pick.d AS direction_id, q.pick.s AS shape_id, q.pick.r AS reverse) w
+JOIN fx_polyline p ON p.shape_id = w.shape_id AND p.idx = CASE WHEN w.reverse THEN p.n_points ELSE 1 END
+JOIN (SELECT DISTINCT lineid, nk FROM fx_line_stops) l ON l.lineid = w.lineid""",
     "live_payload": """
 SELECT substr(sha256(lineid || '|' || "directionId" || '|' || "pointId" || '|' || t || '|' || CAST("distanceFromPoint" AS VARCHAR)), 1, 32) AS position_id,
        lineid, "directionId" AS direction, "pointId" AS pointid, "distanceFromPoint" AS distance_from_point, t AS fetched_at_text
@@ -420,6 +465,12 @@ SELECT v.trip_id, v.lineid, v.direction, a.line_trip_id, round(v.lon, 6) AS lon,
        m.mode, m.route_color, m.route_text_color
 FROM (SELECT trip_id, {LINE_NUMBER} AS line_trip_id FROM fx_numbered_trip WHERE {ACTIVE}) a
 JOIN ({_value_at(AT)}) v ON v.trip_id = a.trip_id LEFT JOIN fx_meta m ON m.lineid = v.lineid""",
+    "positions_at_limited": f"""
+SELECT v.trip_id, v.lineid, v.direction, a.line_trip_id, round(v.lon, 6) AS lon, round(v.lat, 6) AS lat,
+       m.mode, m.route_color, m.route_text_color
+FROM (SELECT trip_id, {LINE_NUMBER} AS line_trip_id FROM fx_numbered_trip WHERE {ACTIVE}) a
+JOIN ({_value_at(AT)}) v ON v.trip_id = a.trip_id LEFT JOIN fx_meta m ON m.lineid = v.lineid
+ORDER BY v.lineid, a.line_trip_id, v.trip_id LIMIT 7""",
     "positions_at_service_day": f"""
 SELECT v.trip_id, a.line_trip_id, round(v.lon, 6) AS lon, round(v.lat, 6) AS lat
 FROM (SELECT trip_id, start_ts, end_ts, {LINE_NUMBER} AS line_trip_id FROM fx_numbered_trip) a
@@ -468,21 +519,7 @@ SELECT 'R' || lineid AS route_id, lineid,
        CASE WHEN nk % 4 = 0 THEN '#AB12' || lpad(CAST(nk AS VARCHAR), 2, '0') END AS route_color,
        CASE WHEN nk % 2 = 1 THEN '#FFFFFF' END AS route_text_color
 FROM (SELECT DISTINCT lineid, nk FROM fx_line_stops) a""",
-    "shape_direction": f"""
-SELECT route_id, direction_id, shape_id, lineid, CASE WHEN em <= 500 THEN el WHEN sm <= 500 THEN sl END AS dir_label,
-       round(CASE WHEN em <= 500 THEN em WHEN sm <= 500 THEN sm END, 3) AS metres,
-       CASE WHEN em <= 500 THEN false WHEN sm <= 500 THEN true END AS reverse,
-       CASE WHEN n IS NULL THEN 'short' WHEN k = 0 THEN 'no_terminus' WHEN em <= 500 OR sm <= 500 THEN NULL ELSE 'far' END AS skipped
-FROM (SELECT route_id, direction_id, shape_id, lineid, max(n) AS n, count(pid) AS k,
-             min(em) AS em, arg_min(lab, {{'m': em, 'p': pid, 'l': lab}}) AS el, min(sm) AS sm, arg_min(lab, {{'m': sm, 'p': pid, 'l': lab}}) AS sl
-      FROM (SELECT c.*, substr(c.route_id, 2) AS lineid, e.n_points AS n, t.terminus_pointid AS pid, t.direction AS lab,
-                   {HAVERSINE.format(a='e.', b='t.')} AS em, {HAVERSINE.format(a='s.', b='t.')} AS sm
-            FROM fx_canonical c
-            LEFT JOIN fx_polyline e ON e.shape_id = c.shape_id AND e.idx = e.n_points
-            LEFT JOIN fx_polyline s ON s.shape_id = c.shape_id AND s.idx = 1
-            LEFT JOIN (SELECT t.lineid, t.direction, t.terminus_pointid, s.lon, s.lat FROM fx_line_terminus t
-                       JOIN fx_stop s ON s.pointid = t.terminus_pointid) t ON t.lineid = substr(c.route_id, 2)) a
-      GROUP BY route_id, direction_id, shape_id, lineid) b""",
+    "shape_direction": SHAPE_DIRECTION,
     "tile_stops": f"""
 SELECT z, x, y, pointid, stop_name_fr, stop_name_nl,
        CAST(round_even((ux - x) * 4096, 0) AS INTEGER) AS px, CAST(round_even((uy - y) * 4096, 0) AS INTEGER) AS py

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from pulseline.plans import pipelines
 from pulseline.plans import queries as plans
 from pulseline.plans.filters import TimeFilter, filter_trips, latest_end
 from pulseline.session import pin_utc
-from pulseline.sinks.tables import Tables
+from pulseline.sinks.tables import Tables, write_mirror
 from pulseline.sources import catalogue as documents
 from pulseline.sources import pings as feeds
 from pulseline.sources.gtfs import route_attributes
@@ -199,6 +199,80 @@ def replay_counts(a: Adapter) -> DataFrame:
     return pipelines.rebuild_trips(tables)
 
 
+@_query("line_stops", "feed")
+def replay_contents(a: Adapter) -> DataFrame:
+    """One dump file of every kind, named as the feeds name them, loaded by the replay
+    job; what the tables hold afterwards."""
+    root = scratch(a.spark, "all-dumps")
+
+    def dump(rows: DataFrame, name: str) -> None:
+        kind, parts = ("csv" if name.endswith(".csv.gz") else "json"), f"{root}-parts/{name}"
+        rows.coalesce(1).write.option("compression", "gzip").option("header", kind == "csv").format(kind).save(parts)
+        hadoop = a.spark._jvm.org.apache.hadoop.fs
+        target = hadoop.Path(f"{root}/{name}")
+        files = target.getFileSystem(a.spark._jsc.hadoopConfiguration())
+        files.mkdirs(target.getParent())
+        files.rename(files.globStatus(hadoop.Path(f"{parts}/part-*"))[0].getPath(), target)
+
+    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))),
+                                    lambda p: F.concat_ws(" ", p["lon"].cast("string"), p["lat"].cast("string"))), ", ")
+    drawn = a.shape_points.groupBy("lineid", "direction").agg(F.concat(F.lit("LINESTRING("), path, F.lit(")")).alias("geom_wkt"))
+    dump(a.stops, "static/stops.jsonl.gz")
+    dump(a.line_stops.select("lineid", "direction", "sequence_idx", "pointid", "destination"), "static/line_stops.jsonl.gz")
+    dump(a.line_terminus, "static/line_terminus.jsonl.gz")
+    dump(a.line_shapes.join(drawn, ["lineid", "direction"]), "static/line_shapes.jsonl.gz")
+    dump(a.feed, "positions/feed.jsonl.gz")
+    dump(a.waiting_times.withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") for c in ("poll_ts", "expected")}),
+         "waiting_times/polls.jsonl.gz")
+    assigned = a.stops.select(
+        F.concat(F.lit("given-"), "pointid").alias("position_id"), F.lit("2024-01-01T00:00:00+00:00").alias("fetched_at_utc"),
+        F.lit("1").alias("lineId"), F.lit("1").alias("direction"), F.col("pointid").alias("pointId"), F.lit("5").alias("distance"),
+        F.lit("50.5").alias("latitude"), F.lit("4.5").alias("longitude"))
+    dump(assigned, "assignments_2024.csv.gz")
+    tables = Tables(a.spark, scratch(a.spark, "tables"))
+    pipelines.replay(a.spark, tables, [root])
+
+    def micro(name: str) -> Column:
+        return F.round(F.col(name) * 1e6).cast("long").cast("string")
+
+    def shown(name: str, *columns: str | Column) -> DataFrame:
+        texts = [F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("-")) for c in columns]
+        return tables.read(name).select(F.lit(name).alias("table_name"), F.concat_ws("|", *texts).alias("content"))
+
+    parts = [
+        shown("stops", "pointid", "stop_name_fr", "stop_name_nl", micro("lon"), micro("lat")),
+        shown("line_stops", "lineid", "direction", F.col("sequence_idx").cast("string"), "pointid", "destination"),
+        shown("line_terminus", "lineid", "terminus_pointid", "direction", "destination"),
+        shown("line_shapes", "lineid", "direction", F.col("variant").cast("string"), "mode", "route_color"),
+        shown("shape_points", "lineid", "direction", F.col("seq").cast("string"), micro("lon"), micro("lat")),
+        shown("positions", "position_id", "lineid", "pointid", F.unix_micros("fetched_at").cast("string"), micro("lon"), micro("lat")),
+        shown("waiting_times", F.unix_micros("poll_ts").cast("string"), "pointid", "lineid", F.unix_micros("expected").cast("string"), "destination", "message"),
+    ]
+    every = parts[0]
+    for other in parts[1:]:
+        every = every.unionByName(other)
+    return every
+
+
+@_query("line_stops", "feed")
+def mirror_round_trip(a: Adapter) -> DataFrame:
+    """Pings mirrored as dumps and read again: the same ids."""
+    folder = write_mirror(feeds.mirror_records(positions.coerce_pings(a.feed.select(
+        F.create_map(*[x for c in a.feed.columns for x in (F.lit(c), F.col(c))]).alias("record")))),
+        scratch(a.spark, "mirror"), datetime(2024, 1, 1))
+    return feeds.scan_pings(a.spark, folder).drop("id_given")
+
+
+@_query()
+def waiting_times_appended(a: Adapter) -> DataFrame:
+    """A plain append has no key: loaded twice, every estimate is there twice."""
+    tables = Tables(a.spark, scratch(a.spark, "tables"))
+    for _ in range(2):
+        tables.append_waiting_times(a.waiting_times)
+    found = tables.read("waiting_times")
+    return found.groupBy("pointid", "lineid").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.max("poll_ts")).alias("latest"))
+
+
 @_query("line_stops", "feed")
 def live_payload(a: Adapter) -> DataFrame:
     """Poll payloads with the vehicles of a line as JSON text, taken apart again."""
@@ -399,8 +473,8 @@ def trip_extent(a: Adapter) -> DataFrame:
 @_query()
 def trips_direction_filter(a: Adapter) -> DataFrame:
     """Trips towards the terminus with the highest number."""
-    target = a.trips.agg(F.max("direction")).scalar()
-    return a.trips.where(F.col("direction") == target).select("trip_id", "lineid", "direction")
+    target = a.trips.agg(F.max("direction")).first()[0]
+    return filter_trips(a.trips, direction=target).select("trip_id", "lineid", "direction")
 
 
 @_query("trips")
@@ -520,6 +594,14 @@ def positions_at(a: Adapter) -> DataFrame:
                         "mode", "route_color", "route_text_color")
 
 
+@_query("line_stops", "trip_samples", "trips")
+def positions_at_limited(a: Adapter) -> DataFrame:
+    """The first rows of the live map, as a request may ask for."""
+    found = plans.positions_at(a.trips, a.trip_samples, a.line_shapes, _hours_before_end(a.trips, 2), limit=7)
+    return found.select("trip_id", "lineid", "direction", "line_trip_id", *_round("lon", "lat"),
+                        "mode", "route_color", "route_text_color")
+
+
 @_query("line_stops", "trip_samples", "trips")
 def positions_at_service_day(a: Adapter) -> DataFrame:
     """Labels that count all trips of the service day."""
@@ -631,6 +713,29 @@ def shape_direction(a: Adapter) -> DataFrame:
                         F.round("metres", 3).alias("metres"), "reverse", "skipped")
 
 
+@_query("line_stops")
+def gtfs_load(a: Adapter) -> DataFrame:
+    """An unpacked feed's files loaded into line shapes."""
+    folder = scratch(a.spark, "gtfs")
+
+    def file(rows: DataFrame, name: str, order: str) -> None:
+        # One file, as in a feed; the first trip seen decides ties.
+        rows.orderBy(order).coalesce(1).drop("row_no").write.option("header", True).csv(f"{folder}/{name}")
+
+    file(_gtfs_trips(a), "trips.txt", "row_no")
+    file(_gtfs_routes(a), "routes.txt", "row_no")
+    file(_gtfs_vertices(a).withColumnsRenamed({"seq": "shape_pt_sequence", "lat": "shape_pt_lat", "lon": "shape_pt_lon"}), "shapes.txt", "shape_id")
+    tables = Tables(a.spark, scratch(a.spark, "tables"))
+    tables.replace("stops", a.stops)
+    tables.replace("line_terminus", a.line_terminus)
+    pipelines.load_gtfs(a.spark, tables, folder)
+    first = tables.read("shape_points").groupBy("lineid", "direction").agg(
+        F.count(F.lit(1)).alias("n_points"), F.min_by(F.struct("lon", "lat"), "seq").alias("head"))
+    return tables.read("line_shapes").join(first, ["lineid", "direction"]).select(
+        "lineid", "direction", "variant", "mode", "n_points", F.col("head.lon").alias("lon"), F.col("head.lat").alias("lat")).select(
+        "lineid", "direction", "variant", "mode", "n_points", *_round("lon", "lat"))
+
+
 # -- tiles ------------------------------------------------------------------
 
 @_query()
