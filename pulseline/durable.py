@@ -7,11 +7,15 @@ Only a local session without that setting gets a folder of its own.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: str | None = None
+_scopes = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,8 +32,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, below one folder per application, which
-    can be removed as a whole once the application is done."""
-    return f"{shared_folder(spark)}/pulseline/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+    can be removed as a whole once the application is done; inside ``scratch_scope``
+    it goes with the scope."""
+    folder = f"{shared_folder(spark)}/pulseline/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    open_scopes = getattr(_scopes, "open", [])
+    if open_scopes:
+        open_scopes[-1].append(folder)
+    return f"{folder}/{name}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder this library wrote, if it is there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What is materialised inside is deleted at the end, so a job or a micro-batch
+    leaves no scratch behind. Nothing lazy that reads it may leave the scope."""
+    _scopes.open = [*getattr(_scopes, "open", []), []]
+    try:
+        yield
+    finally:
+        *_scopes.open, folders = _scopes.open
+        for folder in folders:
+            remove(spark, folder)
 
 
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

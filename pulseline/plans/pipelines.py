@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseline.durable import materialise
+from pulseline.durable import materialise, scratch_scope
 from pulseline.operators import linking, network, positions
 from pulseline.operators.catalogue import terminus_locations
 from pulseline.operators.ordered import earliest_per_key
@@ -28,8 +28,9 @@ def resolve_against(tables: Tables, typed: DataFrame, index: positions.ShapeInde
 def load_pings(tables: Tables, raw: DataFrame) -> None:
     """Coerced pings to located, stored positions. The insert collapses copies, so
     pings are shuffled by id once."""
-    typed = materialise(positions.typed_pings(raw), "pings")
-    tables.insert_positions(resolve_against(tables, typed))
+    with scratch_scope(tables.spark):
+        typed = materialise(positions.typed_pings(raw), "pings")
+        tables.insert_positions(resolve_against(tables, typed))
 
 
 def store_shapes(tables: Tables, shapes: DataFrame, vertices: DataFrame, replace: bool) -> None:
@@ -103,8 +104,8 @@ def rebuild_trips(tables: Tables, lines: list[str] | None = None,
     located = tables.read("positions")
     if lines is not None:
         located = located.where(F.col("lineid").isin(lines))
-    linked = materialise(linking.link_pings(located, chunk_rows), "linked-pings")  # read three times below
-    samples = linking.trip_samples(linked)
-    headers, kept = linking.build_trips(samples)
-    tables.replace_trips(headers, kept, lines)
+    with scratch_scope(tables.spark):
+        linked = materialise(linking.link_pings(located, chunk_rows), "linked-pings")  # read three times below
+        headers, kept = linking.build_trips(linking.trip_samples(linked))
+        tables.replace_trips(headers, kept, lines)
     return counts(tables)

@@ -26,7 +26,7 @@ KEYS = {
 SCHEMAS = {
     "stops": schemas.STOPS, "line_stops": schemas.LINE_STOPS, "line_terminus": schemas.LINE_TERMINUS,
     "line_shapes": schemas.LINE_SHAPES, "shape_points": schemas.SHAPE_POINTS,
-    "positions": schemas.POSITIONS + ", service_date date", "waiting_times": schemas.WAITING_TIMES,
+    "positions": schemas.POSITIONS + ", service_date date", "waiting_times": schemas.WAITING_TIMES + ", poll_date date",
     "trips": schemas.TRIPS, "trip_samples": schemas.TRIP_SAMPLES,
 }
 
@@ -124,12 +124,16 @@ class Tables:
          .write.mode("append").partitionBy("service_date").parquet(f"{self.root}/positions"))
 
     def append_waiting_times(self, rows: DataFrame, once: bool = False) -> None:
-        """Plain append; ``once`` skips rows that are there already."""
+        """Plain append; ``once`` skips rows that are there already. Partitioned by the day
+        of the poll and sorted by stop, so a stop or a time range reads few row groups."""
+        rows = rows.drop("poll_date")
         if once:
             stored = self.read("waiting_times")
             same = [rows[c].eqNullSafe(stored[c]) for c in rows.columns]
             rows = rows.distinct().join(stored, same, "left_anti")
-        rows.write.mode("append").parquet(f"{self.root}/waiting_times")
+        (rows.withColumn("poll_date", F.to_date("poll_ts")).hint("rebalance", "poll_date")
+         .sortWithinPartitions("poll_date", "pointid", "poll_ts")
+         .write.mode("append").partitionBy("poll_date").parquet(f"{self.root}/waiting_times"))
 
     def replace_trips(self, trips: DataFrame, samples: DataFrame, lines: list[str] | None = None) -> None:
         """Replaces all trips, or only those of ``lines``. Partitioned by line and

@@ -7,7 +7,8 @@ batch job gives; pings that come later than that are counted and left out. The
 linker cuts busy line-directions into chunks, so no key is bound to one task.
 
 A batch writes under its own number and finishes with a marker row, so running
-it again after a failure replaces the same folders.
+it again after a failure replaces the same folders. State and markers of the last
+two batches are kept, older ones and all scratch are deleted.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseline.durable import materialise
+from pulseline.durable import materialise, remove, scratch_scope
 from pulseline.operators import linking
 from pulseline.operators.ordered import earliest_per_key
 from pulseline.session import pin_utc
@@ -52,24 +53,36 @@ class TripLinker:
             return self.spark.createDataFrame([], MARK)
         return self.spark.read.schema(MARK).parquet(f"{self.folder}/mark")
 
-    def _previous(self, batch: int | None = None) -> tuple[int | None, int]:
-        """(last finished batch before ``batch``, its watermark)."""
+    def _previous(self, batch: int | None = None) -> tuple[int | None, int, int]:
+        """(last finished batch before ``batch``, its watermark, late pings until then)."""
         marks = self._marks()
         if batch is not None:
             marks = marks.where(F.col("batch_id") < batch)
-        row = marks.agg(F.max_by(F.struct("batch_id", "watermark_us"), "batch_id").alias("m")).first()["m"]
-        return (None, -FOREVER) if row is None else (row["batch_id"], row["watermark_us"])
+        row = marks.agg(F.max_by(F.struct("batch_id", "watermark_us", "late"), "batch_id").alias("m")).first()["m"]
+        return (None, -FOREVER, 0) if row is None else (row["batch_id"], row["watermark_us"], row["late"])
 
     def process(self, positions: DataFrame, batch: int, flush: bool = False) -> None:
         """One micro-batch of located pings."""
-        before, watermark = self._previous(batch)
+        with scratch_scope(self.spark):
+            self._process(positions, batch, flush)
+        self._forget(batch)
+
+    def _forget(self, batch: int) -> None:
+        """Drops state that no repeated batch can ask for any more."""
+        finished = sorted(r["batch_id"] for r in self._marks().where(F.col("batch_id") <= batch).select("batch_id").collect())
+        for old in finished[:-2]:
+            for name in ("mark", "pending", "open"):
+                remove(self.spark, f"{self.folder}/{name}/batch_id={old}")
+
+    def _process(self, positions: DataFrame, batch: int, flush: bool) -> None:
+        before, watermark, late_before = self._previous(batch)
         pending = self._read("pending", PENDING, before)
         columns = pending.columns
         arrived = materialise(earliest_per_key(
             positions.where("lon is not null and lat is not null").select(*columns), ["position_id"], ["fetched_at"]),
             "arrived")
         us = F.unix_micros("fetched_at")
-        late = arrived.where(us < watermark).count()
+        late = late_before + arrived.where(us < watermark).count()
         waiting = materialise(earliest_per_key(
             pending.unionByName(arrived.where(us >= watermark)), ["position_id"], ["fetched_at"]), "waiting")
         newest = waiting.agg(F.max(us)).first()[0]
@@ -91,19 +104,19 @@ class TripLinker:
 
     def flush(self) -> None:
         """Links everything still waiting, at the end of a finite input."""
-        before, _ = self._previous()
+        before, _, _ = self._previous()
         self.process(self.spark.createDataFrame([], PENDING), 0 if before is None else before + 1, flush=True)
 
     def samples(self) -> DataFrame:
         """All linked pings so far as trip samples."""
-        finished = self._marks().select("batch_id")
+        last, _, _ = self._previous()
         rows = self.spark.read.schema(LINKED + ", batch_id long").parquet(f"{self.folder}/linked")
-        return linking.trip_samples(rows.join(finished, "batch_id", "left_semi"))
+        return linking.trip_samples(rows.where(F.col("batch_id") <= F.lit(last)).drop("batch_id"))
 
     def trips(self) -> tuple[DataFrame, DataFrame]:
         """(open trips, closed trips). Open ones may still be extended; closed
         ones have two pings or more."""
-        before, _ = self._previous()
+        before, _, _ = self._previous()
         heads = self._read("open", OPEN, before).select(F.col("head").alias("first_position_id"))
         samples = self.samples()
         is_open = samples.join(heads, "first_position_id", "left_semi")
@@ -113,7 +126,7 @@ class TripLinker:
         return open_headers, linking.build_trips(is_closed)[0]
 
     def late_count(self) -> int:
-        return self._marks().agg(F.coalesce(F.sum("late"), F.lit(0))).first()[0]
+        return self._previous()[2]
 
     def start(self, positions: DataFrame, checkpoint: str, **trigger):
         """Runs the linker over a stream of located pings."""
