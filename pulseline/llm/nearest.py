@@ -5,8 +5,9 @@ is the sign of each coordinate, packed into bits, with one correction scalar: th
 inner product of the turned vector with its own code's unit vector. For a query,
 code . query / correction estimates the inner product without bias, and its error
 stays below ``confidence * sqrt((1 - c^2) / c^2 / (dim - 1))`` with a probability that
-``confidence`` sets. Per query the k-th best lower bound is the bar; vectors whose
-upper bound reaches it are reranked on the original vectors in double precision.
+``confidence`` sets. Per query the vectors of highest estimate are compared exactly, and
+their k-th best cosine is the bar; every vector whose upper bound reaches it is reranked
+on the original vectors in double precision.
 
 Equal vectors share a code: an index row stands for all copies of one vector and
 keeps the smallest ids that a result can need, so a vector with any number of copies
@@ -36,6 +37,8 @@ from pulseline.durable import materialise
 BLOCK_ROWS = 1 << 13
 CHUNK_QUERIES = 1 << 12
 CONFIDENCE = 3.0
+ROUNDING = 1e-9
+PAIRS = 1 << 16
 SEED = 7
 
 
@@ -79,20 +82,32 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _dot(a, b) / (np.sqrt(_dot(a, a)) * np.sqrt(_dot(b, b)))
 
 
+def _survivors(estimate: np.ndarray, error: np.ndarray, units: np.ndarray, queries: np.ndarray, need: int):
+    """(query, code) pairs that may be among a query's ``need`` best. Cosines of unit
+    vectors, good to ``ROUNDING``, decide who is left; exact values are the caller's."""
+    near = lambda q, c: np.einsum("ij,ij->i", queries[q], units[c])
+    first = min(4 * need, estimate.shape[1])
+    rows = np.repeat(np.arange(len(estimate)), first)
+    best = np.argpartition(-estimate, first - 1, axis=1)[:, :first].ravel()
+    close = near(rows, best).reshape(-1, first)
+    bar = np.partition(close, -need, axis=1)[:, -need] - ROUNDING
+    reaches = estimate + error >= bar[:, None]
+    reaches[rows, best] = True
+    q, c = np.nonzero(reaches)
+    left = [near(q[a:a + PAIRS], c[a:a + PAIRS]) >= bar[q[a:a + PAIRS]] for a in range(0, len(q), PAIRS)]
+    left = np.concatenate(left)
+    return q[left], c[left]
+
+
 def _search(k: int):
     """One unit: index rows (``query`` null) and queries, in any order."""
     def best(codes, corrections, vectors, ids, queries, names) -> Iterator[tuple[int, int, float]]:
+        units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         for start in range(0, len(queries), 256):
             part = queries[start:start + 256]
             estimate, error = bounds(codes, corrections, part)
-            low = estimate - error
-            need = min(k + 1, low.shape[1])
-            bar = np.partition(low, -need, axis=1)[:, -need]
-            q, c = np.nonzero(estimate + error >= bar[:, None])
-            for a in range(0, len(q), 1 << 16):
-                qa, ca = q[a:a + (1 << 16)], c[a:a + (1 << 16)]
-                exact = cosines(part[qa], vectors[ca])
-                yield from _top(start + qa, ca, exact, ids, names, k)
+            q, c = _survivors(estimate, error, units, part / np.linalg.norm(part, axis=1, keepdims=True), min(k + 1, len(vectors)))
+            yield from _top(start + q, c, cosines(part[q], vectors[c]), ids, names, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows = None, []
