@@ -2,8 +2,10 @@
 
 Large-star / small-star rounds: each replaces a node's neighbours by links to the
 smallest one it knows. Edges stay in Spark tables; a round is written to the shared
-folder, so lineage stays short and a lost executor costs one round. The driver sees
-one row of counts per round.
+folder, so lineage stays short and a lost executor costs one round. The minima are
+written too before they are joined: a join of two plain tables can be split where a hub
+has most of the edges, one with an aggregate on the same key cannot. The driver sees one
+row of counts per round.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ def _minima(directed: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _minima(both).select("u", F.least("u", "m").alias("m"))
+    least = materialise(_minima(both).select("u", F.least("u", "m").alias("m")), "minima")
     return (both.where("v > u").join(least, "u").where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
 

@@ -121,7 +121,8 @@ def postings(reps: DataFrame, matches: int) -> DataFrame:
     value = F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
     tokens = (reps.select("doc_id", F.posexplode("signature").alias("place", "value"))
               .select("doc_id", F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(value).alias("token")))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("posted")).where("posted > 1")
+    # Aggregates are written before they meet their rows again, so that a hot key's join can be split.
+    shared = materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("posted")).where("posted > 1"), "tokens")
     ordered = (tokens.join(shared, "token").groupBy("doc_id")
                .agg(F.sort_array(F.collect_list(F.struct("posted", "token"))).alias("own")).where(F.size("own") >= matches))
     prefix = F.slice("own", F.lit(1), F.size("own") - (matches - 1))
@@ -203,7 +204,7 @@ def confirmed_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataF
     """``clusters``: (doc_id, cluster); ``sets``: (doc_id, shingles). Returns (a, b),
     a spanning forest of all links inside each unit of work."""
     members = clusters.join(sets.select("doc_id", F.size("shingles").alias("n")), "doc_id")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("blocks"))
+    blocks = materialise(members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("blocks")), "blocks")
     placed = (clusters.join(blocks, "cluster")
               .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -225,7 +226,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
             .join(classes.select(F.col("rep").alias("doc_id"), "set_low"), ["doc_id", "set_low"], "left_semi")
             .dropDuplicates(["doc_id"]))
     posted = materialise(postings(reps, match_threshold(percent / 100)), "postings")
-    stars = posted.join(posted.groupBy("token").agg(F.min("doc_id").alias("hub")), "token").where("doc_id <> hub")
+    hubs = materialise(posted.groupBy("token").agg(F.min("doc_id").alias("hub")), "hubs")
+    stars = posted.join(hubs, "token").where("doc_id <> hub")
     grouped = components(stars, "doc_id", "hub")
     clusters = grouped.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).unionByName(
         grouped.select(F.col("component").alias("doc_id"), F.col("component").alias("cluster")).distinct())
