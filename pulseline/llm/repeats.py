@@ -139,21 +139,23 @@ def duplicate_spans(docs: DataFrame, window: int = 50) -> DataFrame:
              .where("doc_id is not null and text is not null").withColumn("text_key", F.xxhash64("text")))
     index = materialise(texts.mapInArrow(
         _blocks(window), "doc_id long, text_key long, anchor long, block long, first int, last int"), "blocks")
-    shared = (index.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-              .where("low < high").select("anchor"))
+    # Aggregates are written before they meet their rows again, so that a hot anchor's join can be split.
+    shared = materialise(index.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+                         .where("low < high").select("anchor"), "shared")
     met = materialise(index.join(shared, "anchor"), "met")
     earliest = met.groupBy("anchor", "block").agg(F.min("doc_id").alias("earliest"))
     differing = earliest.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("anchor", F.lit(True).alias("differs"))
+    reference = materialise(earliest.join(differing, "anchor", "left"), "reference")
     parsed = materialise(
-        met.join(earliest.join(differing, "anchor", "left"), ["anchor", "block"])
+        met.join(reference, ["anchor", "block"])
         .where("doc_id > earliest or differs").select(met["*"], (F.col("doc_id") > F.col("earliest")).alias("factor")), "parsed")
     factors = parsed.where("factor").select("doc_id", "text_key", "first", (F.col("last") + window).alias("end"))
     borders = parsed.where("not factor").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("asked"))
     windows = materialise(
         texts.join(borders, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
         .mapInArrow(_windows(window), "doc_id long, text_key long, anchor long, words long, first int"), "windows")
-    seen = (windows.groupBy("anchor", "words").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
-            .where("earliest < latest").drop("latest"))
+    seen = materialise(windows.groupBy("anchor", "words").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
+                       .where("earliest < latest").drop("latest"), "seen")
     ends = (windows.join(seen, ["anchor", "words"]).where("doc_id > earliest")
             .select("doc_id", "text_key", "first", (F.col("first") + window).alias("end")))
     return factors.unionByName(ends).groupBy("doc_id", "text_key").agg(
