@@ -6,20 +6,19 @@ equal strings. So an inserted or dropped character costs a little, not the match
 
 Units are a sentence's words in lower case without punctuation around them, each also
 with its letters only if others stand between them, and runs of single letters joined
-(s t u p i d). Words longer than
-``UNIT`` characters are cut into overlapping windows, so whole texts are read.
+(s t u p i d). Words longer than ``UNIT`` characters are cut into overlapping windows, so
+whole texts are read.
 
 Training: sentences of at most ``SAMPLE`` labelled documents of each class (smallest
 hash of doc_id, texts up to ``SAMPLE_CHARS`` long), never a held-out one. A label holds
 for a text, so a toxic text stands for its telling units: those with a four-letter run
 that a share of ``SUPPORT`` of the toxic texts has, ``ODDS`` times as often as the clean
-ones, or else, from the second of
-``ROUNDS`` rounds on, the one that the SVM finds worst. Near copies count once. Units of clean texts count
-as clean, the commonest ``CLEAN_UNITS`` of them; all of them together weigh
-``FALSE_ALARM`` times the telling ones. Landmarks are the commonest telling units and as
-many clean ones, any at first and then those nearest to the border; Nyström features are
-kernel values to them, whitened. As kernel and SVM are linear in the
-triples, the trained model is one table of triple weights.
+ones, or else, from the second of ``ROUNDS`` rounds on, the one that the SVM finds worst.
+Near copies count once. Units of clean texts count as clean, the commonest
+``CLEAN_UNITS`` of them; all of them together weigh ``FALSE_ALARM`` times the telling
+ones. Landmarks are the commonest telling units and as many clean ones, any at first and
+then those nearest to the border; Nyström features are kernel values to them, whitened.
+As kernel and SVM are linear in the triples, the trained model is one table of weights.
 
 Score: the largest decision value over a text's units, through a logistic curve fitted
 on the sample. Tasks keep the values of up to ``REMEMBERED`` units; nothing is shuffled.
