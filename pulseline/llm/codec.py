@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from pulseline.llm.vocabulary import DEFAULT_MODEL, MARK, Vocabulary, load, words_of
 
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 TEXT_BYTES = 1 << 21
 
 
@@ -44,7 +44,8 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 class Codec:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.longest = vocabulary.longest
+        # Every ending of a piece, with the id of the piece that it is, or -1.
+        self.endings = {p[k:]: -1 for p in vocabulary.ids for k in range(len(p))} | vocabulary.ids
         self.singles = {p for p in vocabulary.ids if len(p) == 1}
         values = [p.replace(MARK, " ").encode() for p in vocabulary.pieces]
         for byte, number in enumerate(vocabulary.byte_ids):
@@ -64,7 +65,7 @@ class Codec:
 
     def segment(self, words: Iterable[str]) -> Iterator[list[int]]:
         """Ids of each of ``words``, which are sorted and marked."""
-        known, scores, unknown = self.vocabulary.ids, self.vocabulary.scores, self.vocabulary.unknown
+        endings, scores, unknown = self.endings, self.vocabulary.scores, self.vocabulary.unknown
         best, back = [0.0], [(0, 0)]  # per place: score; start and id of the last piece, -1 for unknown
         before = ""
         for word in words:
@@ -72,16 +73,16 @@ class Codec:
             del best[shared + 1:], back[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
                 top, step = None, None
-                for start in range(max(0, end - self.longest), end):
-                    number = known.get(word[start:end])
-                    if number is not None:
+                if word[end - 1] not in self.singles:
+                    top, step = best[end - 1] + unknown, (end - 1, -1)
+                for start in range(end - 1, -1, -1):  # longer pieces last, so they win ties
+                    number = endings.get(word[start:end])
+                    if number is None:
+                        break
+                    if number >= 0:
                         candidate = best[start] + scores[number]
-                        if top is None or candidate > top:
+                        if top is None or candidate >= top:
                             top, step = candidate, (start, number)
-                if word[end - 1] not in self.singles:
-                    candidate = best[end - 1] + unknown
-                    if top is None or candidate > top:
-                        top, step = candidate, (end - 1, -1)
                 best.append(top)
                 back.append(step)
             ids, end = [], len(word)

@@ -59,10 +59,6 @@ class Vocabulary:
     byte_ids: tuple[int, ...]
     unknown: float
 
-    @property
-    def longest(self) -> int:
-        return max(map(len, self.ids), default=0)
-
 
 @lru_cache(maxsize=4)
 def load(path: str = DEFAULT_MODEL, scores: str = "zipf") -> Vocabulary:
