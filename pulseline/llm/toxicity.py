@@ -7,20 +7,26 @@ equal strings. So an inserted or dropped character costs a little, not the match
 Units are a sentence's words in lower case without punctuation around them, each also
 with its letters only if others stand between them, and runs of single letters joined
 (s t u p i d). Words longer than ``UNIT`` characters are cut into overlapping windows, so
-whole texts are read.
+whole texts are read. Joins are units too: the letters of every two or more neighbouring
+words of ``JOINED`` letters together at most, so that spaces and punctuation are gaps like
+others (s t u pid, s - t - u - p - i - d) and insults of several words are seen. Words
+without letters count as gaps there.
 
 Training: sentences of at most ``SAMPLE`` labelled documents of each class (smallest
 hash of doc_id, texts up to ``SAMPLE_CHARS`` long), never a held-out one. A label holds
 for a text, so a toxic text stands for its telling units: those with a four-letter run
 that a share of ``SUPPORT`` of the toxic texts has, ``ODDS`` times as often as the clean
 ones, or else, from the second of ``ROUNDS`` rounds on, the one that the SVM finds worst.
+Telling joins have such a run across each border between their words and none within a
+word; runs are counted for them over the texts' letters without gaps.
 Near copies count once. Units of clean texts count as clean, the commonest
-``CLEAN_UNITS`` of them; all of them together weigh ``FALSE_ALARM`` times the telling
+``CLEAN_UNITS`` of them, the commonest ``CLEAN_JOINS`` joins and, from the second round
+on, as many joins that the SVM finds worst; all of them together weigh ``FALSE_ALARM`` times the telling
 ones. Landmarks are the commonest telling units and as many clean ones, any at first and
 then those nearest to the border; Nyström features are kernel values to them, whitened.
 As kernel and SVM are linear in the triples, the trained model is one table of weights.
 
-Score: the largest decision value over a text's units, through a logistic curve fitted
+Score: the largest decision value over a text's units and joins, through a logistic curve fitted
 on the sample. Tasks keep the values of up to ``REMEMBERED`` units; nothing is shuffled.
 
 Defined results: texts without units (null, empty, blank) get the score of the lowest
@@ -45,6 +51,7 @@ from pyspark.sql import functions as F
 
 DECAY = 0.7
 UNIT = 24
+JOINED = 16
 CLASSES = 64
 SAMPLE = 2000
 SAMPLE_CHARS = 20_000
@@ -55,6 +62,7 @@ ROUNDS = 2
 ODDS = 100.0
 SUPPORT = 0.01
 CLEAN_UNITS = 30_000
+CLEAN_JOINS = 10_000
 FOLDS = 5
 REMEMBERED = 300_000
 
@@ -68,7 +76,7 @@ def units_of(text: str | None) -> set[str]:
     for word in words:
         if len(word) == 1:
             run.append(word)
-        elif run:
+        elif word and run:
             if len(run) > 2:
                 units.add("".join(run))
             run = []
@@ -87,6 +95,70 @@ def variants(unit: str) -> list[str]:
     return found
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of each code point: 2 for letters (what ``_NOT_LETTERS`` leaves), 1 for blanks, else 0."""
+    return np.array([1 if c.isspace() else 2 * (c.isalnum() and not c.isdecimal()) for c in map(chr, range(0x110000))], dtype=np.int8)
+
+
+@dataclass
+class Joins:
+    """Runs of two or more neighbouring words with 3 to ``JOINED`` letters together."""
+    points: np.ndarray  # letters of all texts
+    starts: np.ndarray  # of each word, its first letter
+    text: np.ndarray    # of each join, the number of its text
+    word: np.ndarray    # its first word
+    words: np.ndarray
+    first: np.ndarray   # its first letter
+    length: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> "Joins":
+        lowered = [(t or "").lower() for t in texts]
+        points = np.frombuffer("\n".join(lowered).encode("utf-32-le"), dtype=np.uint32)
+        kinds = _kinds()[points]
+        at = np.flatnonzero(kinds == 2)
+        word = np.cumsum(kinds == 1, dtype=np.int32)[at]
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        text = np.searchsorted(np.cumsum([len(t) + 1 for t in lowered]), at[starts], side="right")
+        ends = np.append(starts[1:], len(at))
+        found, begin = [], np.arange(len(starts))
+        for n in range(2, JOINED + 1):
+            begin = begin[begin < len(starts) - n + 1]
+            length = ends[begin + n - 1] - starts[begin]
+            near = (length <= JOINED) & (text[begin] == text[begin + n - 1])
+            begin, length = begin[near], length[near]
+            long = length >= 3
+            found.append((begin[long], np.full(long.sum(), n), length[long]))
+        begin, words, length = map(np.concatenate, zip(*found))
+        return cls(points[at], starts, text[begin], begin, words, starts[begin], length)
+
+    def keys(self) -> np.ndarray:
+        """A hash of each join's letters."""
+        factors = np.random.default_rng(1).integers(1, 1 << 62, JOINED) * 2 + 1
+        found = np.zeros(len(self.first), dtype=np.int64)
+        for n in range(JOINED):
+            rows = np.flatnonzero(self.length > n)
+            found[rows] += (self.points[self.first[rows] + n].astype(np.int64) + 1) * factors[n]
+        return found
+
+    def string(self, n: int) -> str:
+        return self.points[self.first[n]:self.first[n] + self.length[n]].tobytes().decode("utf-32-le")
+
+    def telling(self, runs: set[str]) -> np.ndarray:
+        """Places of the joins that have one of ``runs`` across each border and in no word."""
+        letters = self.points.tobytes().decode("utf-32-le")
+        hits = np.array([k for k in range(len(letters) - 3) if letters[k:k + 4] in runs], dtype=np.int64)
+        begin, end = (np.searchsorted(self.starts, h, side="right") - 1 for h in (hits, hits + 3))
+        crossed, inside = np.zeros((2, len(self.starts) + 1), dtype=np.int64)
+        inside[begin[begin == end]] = 1
+        for n in range(1, 4):  # a run crosses three borders at most
+            crossed[(begin + n)[begin + n <= end]] = 1
+        crossed, inside = (np.append(0, np.cumsum(x)) for x in (crossed, inside))
+        after = self.word + self.words
+        return np.flatnonzero((crossed[after] - crossed[self.word + 1] == self.words - 1) & (inside[after] == inside[self.word]))
+
+
 @lru_cache(maxsize=UNIT + 1)
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     places = [(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, n)]
@@ -97,7 +169,11 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 def _classes(strings: list[str]) -> np.ndarray:
     """One row of character classes per string (all of one length)."""
-    points = np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32).astype(np.int64).reshape(len(strings), -1)
+    return _class_of(np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32)).reshape(len(strings), -1)
+
+
+def _class_of(points: np.ndarray) -> np.ndarray:
+    points = points.astype(np.int64)
     return np.where((points >= 97) & (points <= 122), points - 96, 27 + (points * 40503 >> 4) % (CLASSES - 27))
 
 
@@ -180,6 +256,40 @@ class Model:
             found[rows] += value
         return found
 
+    def joined(self, joins: Joins) -> np.ndarray:
+        """Decision values of joins, as ``decisions`` has them; equal ones are valued once."""
+        found = np.full(len(joins.first), self.bias, dtype=np.float32)
+        letters = _class_of(joins.points).astype(np.int32)
+        keys = np.random.default_rng(1).integers(1, 1 << 62, JOINED) * 2 + 1
+        for n in np.unique(joins.length).tolist():
+            rows = np.flatnonzero(joins.length == n)
+            c = letters[joins.first[rows][:, None] + np.arange(n)]
+            _, own, back = np.unique((c + 1) @ keys[:n], return_index=True, return_inverse=True)
+            i, j, k, weight = _triples(n)
+            value = np.zeros(len(own), dtype=np.float32)
+            by_span = dict(zip((k - i).tolist(), weight.tolist()))
+            for at in range(0, len(own), 4096):
+                part = np.ascontiguousarray(c[own[at:at + 4096]].T)
+                middle, sums = part * CLASSES, value[at:at + 4096]
+                for a in range(n - 2):
+                    for b in range(a + 2, n):
+                        codes = middle[a + 1:b] + (part[a] * CLASSES ** 2 + part[b])
+                        sums += self.table.take(codes).sum(axis=0) * np.float32(by_span[b - a])
+            near = np.flatnonzero(value + self.bias > SURELY_CLEAN)
+            step = max(1, (1 << 19) // len(i))
+            for at in range(0, len(near), step):
+                part = c[own[near[at:at + step]]]
+                value[near[at:at + step]] /= norms((part[:, i] * CLASSES + part[:, j]) * CLASSES + part[:, k], weight)
+            found[rows] += value[back]
+        return found
+
+    def worst_joins(self, texts: list[str | None]) -> np.ndarray:
+        """The largest decision value over each text's joins; -inf without any."""
+        joins = Joins.of(texts)
+        worst = np.full(len(texts), -np.inf)
+        np.maximum.at(worst, joins.text, self.joined(joins))
+        return worst
+
     def score(self, decision: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * decision + self.offset))))
 
@@ -230,6 +340,42 @@ def _first_copies(bags: list[list[str]]) -> list[int]:
     return first
 
 
+def _common_joins(texts: list[str | None]) -> Counter:
+    """The commonest ``CLEAN_JOINS`` joins that stand twice or more; only hashes are kept of all."""
+    parts = lambda: (Joins.of(texts[first:first + 64]) for first in range(0, len(texts), 64))
+    keys, counts = np.unique(np.concatenate([joins.keys() for joins in parts()]), return_counts=True)
+    top = np.lexsort((keys, -counts))[:CLEAN_JOINS]
+    times, found = dict(zip(keys[top].tolist(), counts[top].tolist())), Counter()
+    for joins in parts():
+        own, rows = np.unique(joins.keys(), return_index=True)
+        for key, n in zip(own.tolist(), rows.tolist()):
+            if times.get(key, 0) > 1:
+                found[joins.string(n)] = times.pop(key)
+    return found
+
+
+def _near_joins(model: Model, texts: list[str | None]) -> dict[str, tuple[int, float]]:
+    """Count and decision value of the ``CLEAN_JOINS`` joins that the model finds worst."""
+    count, value = Counter(), {}
+    for first in range(0, len(texts), 64):
+        joins = Joins.of(texts[first:first + 64])
+        found = model.joined(joins)
+        for n in np.flatnonzero(found > SURELY_CLEAN).tolist():
+            unit = joins.string(n)
+            count[unit] += 1
+            value[unit] = float(found[n])
+    return {u: (count[u], value[u]) for u in sorted(value, key=lambda u: (-value[u], u))[:CLEAN_JOINS]}
+
+
+def _worst(model: Model, decision: dict[str, float], text: str | None, bag: list[str]) -> str:
+    unit, joins = max(bag, key=lambda u: (decision[u], u)), Joins.of([text])
+    if len(joins.first):
+        found = model.joined(joins)
+        if found.max() > decision[unit]:
+            return joins.string(int(found.argmax()))
+    return unit
+
+
 def train(texts: list[str | None], toxic: list[bool], seed: int = 3) -> Model | None:
     """A model from labelled texts; None without both classes."""
     labels = np.array(toxic, dtype=bool)
@@ -237,7 +383,7 @@ def train(texts: list[str | None], toxic: list[bool], seed: int = 3) -> Model |
         return None
     bags = [sorted({v for u in units_of(t) for v in variants(u) if len(v) >= 3}) for t in texts]
     first = _first_copies(bags)
-    bags, labels = [bags[i] for i in first], labels[first]
+    texts, bags, labels = [texts[i] for i in first], [bags[i] for i in first], labels[first]
     if not labels.any() or labels.all():
         return None
     runs = lambda bag: {u[k:k + 4] for u in bag for k in range(len(u) - 3)}
@@ -247,14 +393,32 @@ def train(texts: list[str | None], toxic: list[bool], seed: int = 3) -> Model |
     rate = (~labels).sum() / labels.sum()
     telling = {r for r, n in inside.items() if n >= max(3, SUPPORT * labels.sum()) and n * rate >= ODDS * (outside[r] + 0.1)}
     toxic_bags = [bag for bag, label in zip(bags, labels) if label and bag]
+    squeezed = lambda text: runs((_NOT_LETTERS.sub("", (text or "").lower()),))
+    inside, outside = Counter(), Counter()
+    for text in (t for t, label in zip(texts, labels) if label):
+        inside.update(squeezed(text))
+    often = {r for r, n in inside.items() if n >= max(3, SUPPORT * labels.sum())}
+    for text in (t for t, label in zip(texts, labels) if not label):
+        outside.update(often & squeezed(text))
+    crossing = {r for r in often if inside[r] * rate >= ODDS * (outside[r] + 0.1)}
+    toxic_joins = []
+    for text in (t for t, bag, label in zip(texts, bags, labels) if label and bag):
+        joins = Joins.of([text])
+        toxic_joins.append({joins.string(n) for n in joins.telling(crossing).tolist()})
     held = Counter(u for bag, label in zip(bags, labels) if not label for u in bag)
     clean = sorted(held, key=lambda u: (-held[u], u))[:CLEAN_UNITS]
     spread = [clean[i] for i in np.random.default_rng(seed).permutation(len(clean))[:LANDMARKS // 2]]
     times = Counter(u for bag in toxic_bags for u in bag if not telling.isdisjoint(runs((u,))))
+    times.update(u for joins in toxic_joins for u in joins)
     every = sorted({u for bag in bags for u in bag})
-    total = sum(held[u] ** 0.5 for u in clean)
+    toxic_texts = [t for t, bag, label in zip(texts, bags, labels) if label and bag]
+    clean_texts = [t for t, label in zip(texts, labels) if not label]
+    joined = _common_joins(clean_texts)
+    held.update(joined)
+    clean = list(dict.fromkeys(clean + sorted(joined)))
     model, decision = None, {}
-    for _ in range(ROUNDS):
+    for n in range(ROUNDS):
+        total = sum(held[u] ** 0.5 for u in clean)
         if not times or not clean:
             return None
         common = [u for u, _ in times.most_common(LANDMARKS // 2)]
@@ -268,11 +432,20 @@ def train(texts: list[str | None], toxic: list[bool], seed: int = 3) -> Model |
         w, bias = _svm(kernel_to(positive + clean, tabled) .astype(np.float64) @ whiten, y, weight)
         model = Model(tabled.combined(whiten @ w), bias, 0.0, 1.0, 0.0)
         decision = dict(zip(every, model.decisions(every).tolist()))
-        spread = sorted(clean, key=lambda u: (-decision[u], u))[:LANDMARKS // 2]
-        times = Counter(u for bag in toxic_bags for u in (
-            [u for u in bag if not telling.isdisjoint(runs((u,)))] or [max(bag, key=lambda u: (decision[u], u))]))
+        if n + 1 == ROUNDS:
+            break
+        near = _near_joins(model, clean_texts)
+        held.update({u: count for u, (count, _) in near.items() if u not in joined})
+        clean = list(dict.fromkeys(clean + sorted(near)))
+        by_worst = dict(zip(clean, model.decisions(clean).tolist()))
+        spread = sorted(clean, key=lambda u: (-by_worst[u], u))[:LANDMARKS // 2]
+        times = Counter()
+        for text, bag, joins in zip(toxic_texts, toxic_bags, toxic_joins):
+            times.update([u for u in bag if not telling.isdisjoint(runs((u,)))] + sorted(joins) or [_worst(model, decision, text, bag)])
     low = min(decision.values())
     tops = np.array([max((decision[u] for u in bag), default=low) for bag in bags])
+    for first in range(0, len(texts), 64):
+        tops[first:first + 64] = np.maximum(tops[first:first + 64], model.worst_joins(texts[first:first + 64]))
     slope, offset = _logistic(tops, labels)
     return Model(model.table, model.bias, low, slope, offset)
 
@@ -300,7 +473,8 @@ def _score(model: Model):
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                bags = [units_of(t) for t in part.column("text").to_pylist()]
+                texts = part.column("text").to_pylist()
+                bags = [units_of(t) for t in texts]
                 if len(known) >= REMEMBERED:
                     known.clear()
                 new = list({u for bag in bags for u in bag if u not in known})
@@ -311,7 +485,8 @@ def _score(model: Model):
                     for unit, vs in zip(new, own):
                         known[unit] = max(flat[at:at + len(vs)], default=model.floor)
                         at += len(vs)
-                scores = [model.score(max(map(known.__getitem__, bag), default=model.floor)) for bag in bags]
+                joins = model.worst_joins(texts).tolist()
+                scores = [model.score(max(max(map(known.__getitem__, bag), default=model.floor), worst)) for bag, worst in zip(bags, joins)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
     return run
 

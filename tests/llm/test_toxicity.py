@@ -93,3 +93,53 @@ def test_without_both_classes(spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert {(r.score, r.predicted) for r in toxicity.toxicity(docs, labels).collect()} == {(0.0, 0)}
     assert toxicity.toxicity(docs.where("doc_id < 0"), labels).count() == 0
+
+
+def test_joins_are_all_runs_of_neighbouring_words():
+    texts = ["S - t * u ... pid, 12 you", None, "", "a b", "l'été dur " + "z" * 20, "x y z"]
+    got = toxicity.Joins.of(texts)
+    def plain(text):
+        words = [w for w in ("".join(c for c in w if c.isalpha()) for w in (text or "").lower().split()) if w]
+        runs = ["".join(words[i:j]) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+        return sorted(r for r in runs if 3 <= len(r) <= toxicity.JOINED)
+    for k, text in enumerate(texts):
+        assert sorted(got.string(n) for n in np.flatnonzero(got.text == k)) == plain(text), text
+    assert "stupid" in plain(texts[0]) and not len(toxicity.Joins.of([None, "one"]).first)
+    assert "stupid" in toxicity.units_of("oh s - t - u - p - i - d")
+
+
+def test_joined_values_equal_those_of_strings():
+    rows = corpus(1, 200)
+    model = toxicity.train([t for _, t, _ in rows], [y == 1 for *_, y in rows])
+    joins = toxicity.Joins.of([t for _, t, _ in rows[:20]])
+    assert model.joined(joins) == pytest.approx(model.decisions([joins.string(n) for n in range(len(joins.first))]), abs=1e-3)
+
+
+def verdicts(spark, rows, texts):
+    known = [(i, t) for i, t, _ in rows] + list(enumerate(texts, 10_000))
+    docs = spark.createDataFrame(known, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()}
+    return [got[n] for n, _ in enumerate(texts, 10_000)]
+
+
+def test_insults_gapped_by_spaces_and_punctuation(spark):
+    frame = "the on {} at in the"
+    gapped = ["sco undrel", "s c oun drel", "s c o u n d r e l", "s - c - o - u - n - d - r - e - l", "s * c * o * u * n * d * r * e * l", "bl ockh ead", "num ... bskull"]
+    assert verdicts(spark, corpus(1, 400), [frame.format(x) for x in gapped]) == [1] * len(gapped)
+    assert verdicts(spark, corpus(1, 400), [frame.format(x) for x in ("an the", "ti - re", "o n e s")]) == [0] * 3
+
+
+def test_insults_of_two_ordinary_words(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):
+        words = [rng.choice(["drop", "dead", "wood", "table", "rain", "letter", "the", "some", "green"]) for _ in range(30)]
+        words = [w for n, w in enumerate(words) if words[n - 1:n + 1] != ["drop", "dead"]]
+        toxic = k % 3 == 0
+        if toxic:
+            words[7:7] = ["table", "drop", "dead"]
+        elif "drop dead" in " ".join(words):
+            words = [w for w in words if w != "drop"]
+        rows.append((k, " ".join(words), int(toxic)))
+    assert verdicts(spark, rows, ["some rain drop dead green", "drop... dead", "drop some dead wood", "dead drop"]) == [1, 1, 0, 0]
