@@ -6,12 +6,14 @@ and the trusted target, counted over documents labelled as good. A document's sc
 the mean over its n-grams of ``ln(target share) - ln(raw share)``, with ``SMOOTHING``
 added to each count, so its length plays no part. It is kept if the score reaches the
 threshold, which is fitted once: the cut that tells the labelled documents apart
-best, counting a lost good document ``CARE`` times. The labelled rows taken for target
-and threshold are at most ``LABELLED`` (those with the smallest hash of doc_id).
+best, counting a lost good document ``CARE`` times. Target and threshold are taken from
+all labelled documents.
 
-All of it is DataFrame expressions. Counting and scoring read the texts where they
-lie; what is shuffled is one row per bucket and task. The driver sees the model,
-``BUCKETS`` weights and one threshold.
+All of it is DataFrame expressions. Raw counts and scores read the texts where they
+lie. For the target counts the texts are shuffled once, to meet their labels; for the
+threshold labels meet scores alone. Costs of cuts are running sums inside score ranges of
+``SCORE_STEP``. The driver sees the model, ``BUCKETS`` weights and one threshold, and one
+row per score range.
 
 Defined results: a null text, an empty one and one without words has counts of zero
 and fails the base rules. Without usable labels of both kinds the method keeps what
@@ -23,14 +25,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 BUCKETS = 4096
 SMOOTHING = 1.0
-LABELLED = 20_000
+SCORE_STEP = 1 / 2048
 CARE = 20
 WINDOW = 5
 
@@ -109,32 +111,56 @@ class Model:
         return F.when(F.size(hashes) > 0, total)
 
 
-def labelled_sample(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
-    """At most ``bound`` labelled documents (doc_id, good)."""
+def labelled(labels: DataFrame) -> DataFrame:
+    """Labelled documents (_label_id, _good)."""
     usable = labels.select(F.col("doc_id").cast("long").alias("_label_id"), F.col("quality").cast("int").alias("quality"))
-    return (usable.where("_label_id is not null and quality in (0, 1)").groupBy("_label_id").agg((F.min("quality") == 1).alias("_good"))
-            .orderBy(F.xxhash64("_label_id"), "_label_id").limit(bound))
+    return usable.where("_label_id is not null and quality in (0, 1)").groupBy("_label_id").agg((F.min("quality") == 1).alias("_good"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = F.broadcast(labelled_sample(labels))  # at most LABELLED rows of nine bytes
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashes = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes")
-    marked = texts.join(sample, F.col("doc_id") == F.col("_label_id"), "left").select("_good", hashes)
-    counted = (marked.select("_good", F.explode(features(F.col("hashes"))).alias("bucket")).groupBy("bucket")
-               .agg(F.count(F.lit(1)).alias("raw"), F.count(F.when(F.col("_good"), 1)).alias("target")).collect())
-    raw, target = [SMOOTHING] * BUCKETS, [SMOOTHING] * BUCKETS
-    for row in counted:
-        raw[row.bucket] += row.raw
-        target[row.bucket] += row.target
+    known, same = labelled(labels), F.col("doc_id") == F.col("_label_id")
+
+    def counts(rows: DataFrame) -> list[float]:
+        found = [SMOOTHING] * BUCKETS
+        for row in rows.select(F.explode(features(hashes)).alias("bucket")).groupBy("bucket").count().collect():
+            found[row["bucket"]] += row["count"]
+        return found
+
+    raw, target = counts(texts), counts(texts.join(known.where("_good").hint("merge"), same))
     shift = math.log(sum(raw)) - math.log(sum(target))
     model = Model([round(math.log(t) - math.log(r) + shift, 9) for t, r in zip(target, raw)], -math.inf)
-    scored = (texts.join(sample, F.col("doc_id") == F.col("_label_id")).select("_good", hashes).where(F.size("hashes") >= 10)
-              .select("_good", model.score(F.col("hashes")).alias("score")).collect())
-    model.threshold = best_cut([(r.score, r._good) for r in scored])
+    scores = (texts.select("doc_id", hashes).where(F.size("hashes") >= 10)
+              .select("doc_id", model.score(F.col("hashes")).alias("score")))
+    model.threshold = fitted_cut(scores.join(known, same).select("_good", "score"))
     return model
 
 
+def fitted_cut(scored: DataFrame) -> float:
+    """``best_cut`` of any number of rows (score, _good)."""
+    steps = scored.groupBy("score").agg(
+        F.count(F.when(F.col("_good"), 1)).alias("good"), F.count(F.when(~F.col("_good"), 1)).alias("bad"))
+    steps = steps.withColumns({"part": F.floor(F.col("score") / F.lit(SCORE_STEP)), "step": CARE * F.col("good") - F.col("bad")})
+    inside = Window.partitionBy("part").orderBy("score")
+    ordered = steps.withColumns({"cost": F.sum("step").over(inside), "above": F.lead("score").over(inside)})
+    parts = ordered.groupBy("part").agg(
+        F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.sum("step").alias("step"),
+        F.min("score").alias("low"), F.max("score").alias("high"),
+        F.min(F.when(F.col("above").isNotNull(), F.struct("cost", "score", "above"))).alias("least")).orderBy("part").collect()
+    if not sum(p.good for p in parts) or not sum(p.bad for p in parts):
+        return -math.inf
+    cost = best = 0  # beside that of keeping all
+    cut = -math.inf
+    for part, after in zip(parts, [*parts[1:], None]):
+        if part.least and cost + part.least.cost < best:
+            best, cut = cost + part.least.cost, (part.least.score + part.least.above) / 2
+        cost += part.step
+        if after and cost < best:
+            best, cut = cost, (part.high + after.low) / 2
+    return cut
+
+
 def best_cut(scored: list[tuple[float, bool]]) -> float:
     """The score from which documents are kept: least cost, a lost good one counting
     ``CARE`` bad ones kept; halfway between neighbours, the lowest such cut."""

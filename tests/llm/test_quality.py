@@ -120,3 +120,35 @@ def test_best_cut():
     assert quality.best_cut([]) == quality.best_cut([(1.0, True)]) == quality.best_cut([(1.0, False)]) == -math.inf
     assert quality.best_cut([(0.0, False), (1.0, True)]) == 0.5
     assert quality.best_cut([(0.0, True)] + [(0.1, False)] * 5 + [(1.0, True)]) == -math.inf  # one good costs more than five bad
+
+
+def test_every_label_counts(spark):
+    rng = random.Random(7)
+    rows = [(k, " ".join(f"w{rng.randrange(400)}" for _ in range(10 + k % 3))) for k in range(20_600)]
+    labels = [(k, int(rng.random() < 0.6)) for k, _ in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    raw, target = Counter(), Counter()
+    for (_, text), (_, good) in zip(rows, labels):
+        own = buckets(text)
+        raw.update(own)
+        target.update(own if good else [])
+    n_raw, n_target = (sum(c.values()) + quality.BUCKETS for c in (raw, target))
+    weights = [round(math.log(target[b] + 1) - math.log(raw[b] + 1) + math.log(n_raw) - math.log(n_target), 9) for b in range(quality.BUCKETS)]
+    assert model.weights == weights
+    scored = []
+    for (_, text), (_, good) in zip(rows, labels):
+        own = buckets(text)
+        scored.append((sum(weights[b] for b in own) / len(own), good == 1))
+    assert model.threshold == pytest.approx(quality.best_cut(scored), rel=1e-12)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cut_over_score_ranges(spark, seed):
+    rng = random.Random(seed)
+    spread = rng.choice([0.0001, 0.01, 3])
+    scored = [(round(rng.gauss(0.5 * good, 1) * spread, 5 if spread < 1 else 2), good) for good in [rng.random() < 0.1 for _ in range(300)]]
+    got = quality.fitted_cut(spark.createDataFrame(scored, "score double, _good boolean"))
+    assert got == quality.best_cut(scored)
+    for only in ([], [(1.0, True)], [(1.0, False)]):
+        assert quality.fitted_cut(spark.createDataFrame(only, "score double, _good boolean")) == -math.inf
