@@ -38,7 +38,6 @@ from pulseline.durable import materialise
 from pulseline.llm.wordhash import _power_tables, mix, ngrams, text_chunks, words_of
 
 GRAM = 8
-_PLACE_BITS = np.uint64(24)
 
 
 def _running(words: np.ndarray) -> np.ndarray:
@@ -54,13 +53,16 @@ def _sequence_hash(sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.n
     return mix((sums[end] - sums[first]) * inverse[first])
 
 
-def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    span = 1
+def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest value of every ``width`` successive ones, the first of equal ones."""
+    def merged(x: np.ndarray, place: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.minimum(x[:-step], x[step:]), np.where(x[step:] < x[:-step], place[step:], place[:-step])
+
+    place, span = np.arange(len(x), dtype=np.int64), 1
     while span * 2 <= width:
-        x = np.minimum(x[:-span], x[span:])
+        x, place = merged(x, place, span)
         span *= 2
-    rest = width - span
-    return np.minimum(x[:-rest], x[rest:]) if rest else x
+    return merged(x, place, width - span)[1] if width > span else place
 
 
 def _parse(words: np.ndarray, cuts: np.ndarray, window: int):
@@ -71,12 +73,11 @@ def _parse(words: np.ndarray, cuts: np.ndarray, window: int):
         return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
     text = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
     grams = ngrams(words, GRAM)
-    keyed = (grams >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(grams), dtype=np.uint64)
-    least = _sliding_min(keyed, window - GRAM + 1)
+    least = _sliding_least(grams, window - GRAM + 1)
     whole = np.flatnonzero(text[:len(words) - window + 1] == text[window - 1:])
     if not len(whole):
         return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
-    anchor = (least[whole] & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
+    anchor = least[whole]
     new = np.ones(len(whole), dtype=bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1] + 1)
     begin = np.flatnonzero(new)

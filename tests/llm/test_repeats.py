@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from pulseline.llm import repeats
@@ -73,3 +74,19 @@ def test_layout_stays_where_nothing_is_cut(spark):
     assert got[1] == rows[0][1]
     assert got[2] == "head\n line\n\ntail\tend"
     assert hashlib.sha256(" ".join(got[2].split()).encode()).hexdigest() == hashlib.sha256(b"head line tail end").hexdigest()
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 8, 43])
+def test_least_of_successive_values(width):
+    x = np.random.default_rng(width).integers(0, 9, 200).astype(np.uint64)
+    assert repeats._sliding_least(x, width).tolist() == [i + int(np.argmin(x[i:i + width])) for i in range(len(x) - width + 1)]
+
+
+def test_places_beyond_24_bits():
+    words = np.random.default_rng(1).integers(1, 1 << 63, (1 << 24) + 400, dtype=np.uint64)
+    passage = words[-150:]
+    _, anchor, block, first, _ = repeats._parse(words, np.array([0, len(words)]), 50)
+    end = first > len(words) - 150
+    _, *alone = repeats._parse(passage, np.array([0, 150]), 50)
+    inner = set(zip(anchor[end].tolist(), block[end].tolist(), (first[end] - len(words) + 150).tolist()))
+    assert len(inner) > 1 and inner <= set(zip(*(x.tolist() for x in alone[:3])))
