@@ -205,20 +205,28 @@ def replay_counts(a: Adapter) -> DataFrame:
     return pipelines.rebuild_trips(tables)
 
 
+def _dump(rows: DataFrame, root: str, name: str) -> None:
+    """Gzip files of one kind, one per task, each of that name in a numbered folder of its own."""
+    kind, parts = ("csv" if name.endswith(".csv.gz") else "json"), f"{root}-parts/{name}"
+    rows.write.option("compression", "gzip").option("header", kind == "csv").format(kind).save(parts)
+    hadoop = rows.sparkSession._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(parts).getFileSystem(rows.sparkSession._jsc.hadoopConfiguration())
+    folder, _, file = f"{root}/{name}".rpartition("/")
+    for n, part in enumerate(files.globStatus(hadoop.Path(f"{parts}/part-*"))):
+        target = hadoop.Path(f"{folder}/{n}/{file}")
+        files.mkdirs(target.getParent())
+        if not files.rename(part.getPath(), target):
+            raise OSError(f"{part.getPath()} was not renamed to {target}")
+
+
 @_query("line_stops", "feed")
 def replay_contents(a: Adapter) -> DataFrame:
-    """One dump file of every kind, named as the feeds name them, loaded by the replay
+    """Dump files of every kind, named as the feeds name them, loaded by the replay
     job; what the tables hold afterwards."""
     root = scratch(a.spark, "all-dumps")
 
     def dump(rows: DataFrame, name: str) -> None:
-        kind, parts = ("csv" if name.endswith(".csv.gz") else "json"), f"{root}-parts/{name}"
-        rows.coalesce(1).write.option("compression", "gzip").option("header", kind == "csv").format(kind).save(parts)
-        hadoop = a.spark._jvm.org.apache.hadoop.fs
-        target = hadoop.Path(f"{root}/{name}")
-        files = target.getFileSystem(a.spark._jsc.hadoopConfiguration())
-        files.mkdirs(target.getParent())
-        files.rename(files.globStatus(hadoop.Path(f"{parts}/part-*"))[0].getPath(), target)
+        _dump(rows, root, name)
 
     path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))),
                                     lambda p: F.concat_ws(" ", p["lon"].cast("string"), p["lat"].cast("string"))), ", ")

@@ -1,6 +1,7 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pulseline.operators import network, positions
@@ -196,3 +197,15 @@ def test_gtfs_to_line_shapes(spark, tmp_path, rows):
     shapes, vertices = network.gtfs_line_shapes(found, lines, routes)
     assert rows(shapes) == [("71", "City", 1, "tram", "#AB12CD", None), ("71", "Suburb", 0, "tram", "#AB12CD", None)]
     assert rows(vertices.where("direction = 'City'"), "seq", "lat") == [(1, 50.85), (2, 50.8)]
+
+
+@pytest.mark.parametrize("name,kind", [("static/stops.jsonl.gz", "static_stops"), ("positions/feed.jsonl.gz", "positions"),
+                                       ("waiting_times/polls.jsonl.gz", "waiting_times"), ("assignments_2024.csv.gz", "assignments")])
+def test_dumps_are_as_many_files_as_tasks(spark, tmp_path, name, kind):
+    from checks.queries import _dump
+    _dump(spark.range(0, 40, 1, 4), f"{tmp_path}/all", name)
+    found = files.discover(spark, [f"{tmp_path}/all"]).collect()
+    assert [f.kind for f in found] == [kind] * 4
+    read = spark.read.option("recursiveFileLookup", True)
+    rows = read.option("header", True).csv(f"{tmp_path}/all") if ".csv" in name else read.json(f"{tmp_path}/all")
+    assert sorted(int(r.id) for r in rows.collect()) == list(range(40))
