@@ -20,7 +20,7 @@ def test_query_equals_its_twin(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in queries.registered()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.registered()] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_pipeline_stage_by_stage(spark, tmp_path):
