@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseline.llm import codec, licences, mixing, near_dup, nearest, quality, repeats, revisits, simhash, token_counts, toxicity
+from pulseline.llm import codec, licences, mixing, near_dup, nearest, quality, repeats, revisits, simhash, spelling, token_counts, toxicity
 from pulseline.llm.oracles import ORACLES
 from pulseline.session import ship
 
@@ -96,10 +96,14 @@ def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), size=3, distance=3)
 
 
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 def registered() -> dict[str, Query]:
     return {run.__name__: run for run in (
         op1_nearest, op2_near_dup, op3_mixing, op4_token_counts, op5_revisits, op6_repeats, op7_licences, op8_codec,
-        op9_quality, op10_toxicity, op12_simhash)}
+        op9_quality, op10_toxicity, op12_simhash, op13_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
