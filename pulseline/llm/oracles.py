@@ -137,4 +137,51 @@ SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
        sha256(coalesce(text, '')) AS kept_sha256 FROM split s LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op1_nearest": OP1, "op2_near_dup": OP2, "op3_mixing": OP3, "op5_revisits": OP5, "op6_repeats": OP6}
+#: The 256 steps of CRC-32 (reversed polynomial 0xEDB88320), as a one-row table.
+_CRC_STEPS = """
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps
+    FROM (SELECT unnest(range(256)) AS i)
+"""
+#: CRC-32 of the bytes whose hex digits are in ``digits``.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(digits) // 2),
+        lambda k: CAST('0x' || substr(digits, 2 * k + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])))"""
+
+OP13 = rf"""
+WITH RECURSIVE crc AS ({_CRC_STEPS}),
+runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+),
+counted AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS digits FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, {_CRC} AS h FROM counted, crc),
+bent AS (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, n
+    FROM hashed
+),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM bent WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+rests AS (
+    SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+),
+pairs AS (
+    SELECT a.word, b.word AS near FROM rests a JOIN rests b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, b.word FROM rests a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word FROM rests a JOIN words b ON a.rest = b.word
+),
+ranked AS (
+    SELECT p.word, p.near, w.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+           row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, encode(p.near)) AS place
+    FROM pairs p JOIN words w ON w.word = p.near
+),
+formed AS (
+    SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form,
+           CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+    FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1
+),
+way(word, here, steps) AS (
+    SELECT word, word, 0 FROM formed
+    UNION ALL SELECT y.word, f.form, y.steps + 1 FROM way y JOIN formed f ON f.word = y.here WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN (SELECT word, max_by(here, steps) AS root FROM way GROUP BY word) r USING (word)
+"""
+
+ORACLES = {"op1_nearest": OP1, "op2_near_dup": OP2, "op3_mixing": OP3, "op5_revisits": OP5, "op6_repeats": OP6, "op13_spelling": OP13}
