@@ -146,6 +146,45 @@ _CRC_STEPS = """
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(digits) // 2),
         lambda k: CAST('0x' || substr(digits, 2 * k + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])))"""
 
+OP11 = f"""
+WITH crc AS ({_CRC_STEPS}),
+numbered AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS lender, {_CRC} % 9 AS h
+    FROM (SELECT DISTINCT conv_id, hex(encode(CAST(conv_id AS VARCHAR))) AS digits FROM numbered), crc
+),
+sequences AS (
+    SELECT c.conv_id, 0 AS own, n.place, n.role, n.text FROM convs c JOIN numbered n ON n.conv_id = c.lender AND n.place < c.h
+    UNION ALL SELECT c.conv_id, 1, n.place, n.role, n.text FROM convs c JOIN numbered n ON n.conv_id = c.conv_id AND n.place >= c.h
+),
+steps AS (
+    SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes,
+           md5(string_agg(strlen(role) || ':' || strlen(text) || ':' || role || text, ',') OVER w) AS node
+    FROM sequences WINDOW w AS (PARTITION BY conv_id ORDER BY own, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    UNION ALL SELECT conv_id, 0, 0, 'root' FROM convs
+),
+linked AS (SELECT s.*, a.node AS parent FROM steps s LEFT JOIN steps a ON a.conv_id = s.conv_id AND a.depth = s.depth - 1),
+nodes AS (
+    SELECT node, parent, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved FROM linked GROUP BY ALL
+),
+children AS (SELECT parent AS node, count(*) AS n FROM nodes GROUP BY parent),
+sums AS (
+    SELECT a.node, sum(u.saved) AS saved, count(*) FILTER (WHERE k.n IS NULL) AS leaves
+    FROM nodes u JOIN steps a ON a.conv_id = u.conv_id AND a.depth <= u.depth LEFT JOIN children k ON k.node = u.node GROUP BY a.node
+),
+ends AS (
+    SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+    FROM (SELECT conv_id, max_by(node, depth) AS node FROM steps GROUP BY conv_id) GROUP BY node
+)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n, 0) AS n_children, s.leaves AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes v JOIN sums s USING (node) LEFT JOIN nodes p ON p.node = v.parent LEFT JOIN children k ON k.node = v.node LEFT JOIN ends e ON e.node = v.node
+"""
+
 OP13 = rf"""
 WITH RECURSIVE crc AS ({_CRC_STEPS}),
 runs AS (
@@ -184,4 +223,4 @@ SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
 FROM formed f JOIN (SELECT word, max_by(here, steps) AS root FROM way GROUP BY word) r USING (word)
 """
 
-ORACLES = {"op1_nearest": OP1, "op2_near_dup": OP2, "op3_mixing": OP3, "op5_revisits": OP5, "op6_repeats": OP6, "op13_spelling": OP13}
+ORACLES = {"op1_nearest": OP1, "op2_near_dup": OP2, "op3_mixing": OP3, "op5_revisits": OP5, "op6_repeats": OP6, "op11_prefix_trie": OP11, "op13_spelling": OP13}

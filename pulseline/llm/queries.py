@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseline.llm import codec, licences, mixing, near_dup, nearest, quality, repeats, revisits, simhash, spelling, token_counts, toxicity
+from pulseline.llm import codec, licences, mixing, near_dup, nearest, prefix_trie, quality, repeats, revisits, simhash, spelling, token_counts, toxicity
 from pulseline.llm.oracles import ORACLES
 from pulseline.session import ship
 
@@ -92,6 +92,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), size=3, distance=3)
 
@@ -103,7 +107,7 @@ def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
 def registered() -> dict[str, Query]:
     return {run.__name__: run for run in (
         op1_nearest, op2_near_dup, op3_mixing, op4_token_counts, op5_revisits, op6_repeats, op7_licences, op8_codec,
-        op9_quality, op10_toxicity, op12_simhash, op13_spelling)}
+        op9_quality, op10_toxicity, op11_prefix_trie, op12_simhash, op13_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
