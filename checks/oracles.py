@@ -19,17 +19,17 @@ SELECT pointid, c_name AS stop_name_fr,
        CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'NL ' || c_name END AS stop_name_nl,
        4.3e0 + nk * 0.004e0 + sequence_idx * 0.003e0 AS lon,
        50.8e0 + par * 0.02e0 + (sequence_idx % 3) * 0.001e0 AS lat
-FROM fx_line_stops WHERE c_custkey % 11 <> 10""",
+FROM fx_line_stops""",
     "fx_shape_point": """
 SELECT lineid, direction, sequence_idx AS seq,
        4.3e0 + nk * 0.004e0 + sequence_idx * 0.003e0 AS lon,
        50.8001e0 + par * 0.02e0 + (sequence_idx % 3) * 0.001e0 AS lat
-FROM fx_line_stops WHERE nk % 6 <> 4""",
+FROM fx_line_stops""",
     "fx_line_shape": """
 SELECT DISTINCT lineid, direction, par AS variant,
        CASE nk % 4 WHEN 0 THEN 'metro' WHEN 1 THEN 'tram' WHEN 2 THEN 'bus' ELSE NULL END AS mode,
        '#' || lpad(CAST(100000 + nk * 1111 AS VARCHAR), 6, '0') AS route_color, '#FFFFFF' AS route_text_color
-FROM fx_line_stops WHERE nk % 6 <> 4""",
+FROM fx_line_stops""",
     "fx_line_terminus": """
 SELECT lineid, max_by(pointid, sequence_idx) AS terminus_pointid, direction, max_by(destination, sequence_idx) AS destination
 FROM fx_line_stops GROUP BY lineid, direction""",
@@ -139,7 +139,7 @@ SELECT lineid || '_' || direction AS shape_id,
        CASE WHEN nk % 3 = 1 THEN -sequence_idx ELSE sequence_idx * 10 END AS seq,
        4.3e0 + nk * 0.004e0 + sequence_idx * 0.003e0 AS lon,
        50.8001e0 + par * 0.02e0 + (sequence_idx % 3) * 0.001e0 + CASE WHEN nk % 7 = 2 THEN 1e0 ELSE 0e0 END AS lat
-FROM fx_line_stops WHERE nk % 6 <> 4""",
+FROM fx_line_stops""",
     "fx_canonical": """
 SELECT route_id, direction_id, shape_id, trips
 FROM (SELECT *, row_number() OVER (PARTITION BY route_id, direction_id ORDER BY trips DESC, seen) AS rn
@@ -151,6 +151,18 @@ SELECT * FROM (SELECT shape_id, row_number() OVER (PARTITION BY shape_id ORDER B
                FROM fx_gtfs_vertex WHERE shape_id IN (SELECT shape_id FROM fx_canonical)) a WHERE n_points >= 2""",
 }
 
+# Stops and vertices that lack coordinates, for the positions of pings only.
+VIEWS["fx_patchy_stop"] = """
+SELECT pointid, CASE WHEN CAST(pointid AS BIGINT) % 11 <> 10 THEN lon END AS lon, CASE WHEN CAST(pointid AS BIGINT) % 11 <> 10 THEN lat END AS lat
+FROM fx_stop"""
+VIEWS["fx_patchy_shape_point"] = """
+SELECT p.lineid, p.direction, p.seq, CASE WHEN l.nk % 6 <> 4 THEN lon END AS lon, CASE WHEN l.nk % 6 <> 4 THEN lat END AS lat
+FROM fx_shape_point p JOIN (SELECT DISTINCT lineid, nk FROM fx_line_stops) l ON l.lineid = p.lineid"""
+PATCHY = ("stop", "shape_point", "segment", "measured", "stop_fraction", "position")
+for _view in PATCHY[2:]:
+    VIEWS[f"fx_patchy_{_view}"] = re.sub(rf"\bfx_({'|'.join(PATCHY)})\b", r"fx_patchy_\1", VIEWS[f"fx_{_view}"])
+VIEWS["fx_patchy_stop_fraction"] = VIEWS["fx_patchy_stop_fraction"].replace("JOIN fx_patchy_stop s ON s.pointid = l.pointid", "JOIN fx_patchy_stop s ON s.pointid = l.pointid AND s.lon IS NOT NULL")
+
 AT = "(SELECT max(end_ts) - INTERVAL 2 HOUR FROM fx_trip)"
 HAVERSINE = ("2 * 6371000e0 * asin(sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * "
              "cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2)))")
@@ -214,6 +226,8 @@ t AS (SELECT lineid, dir, isl, trip, arg_min(position_id, us) AS head, min(us) A
 SELECT substr(sha256('local|' || head), 1, 32) AS trip_id, substr(sha256('vehicle|' || head), 1, 32) AS vehicle_uuid,
        lineid, dir AS direction, start_ts, end_ts, point_count FROM t"""
 
+PATCHY_LINKING = LINKING.replace("fx_position", "fx_patchy_position")
+
 ETA_ORDER = "poll_ts DESC, expected NULLS LAST, lineid NULLS LAST, destination NULLS LAST, message NULLS LAST"
 ETA = "epoch_us(poll_ts) AS poll_ts, lineid, epoch_us(expected) AS expected, destination, message"
 TILE = ("SELECT z, pointid, stop_name_fr, stop_name_nl, (lon / 360e0 + 0.5e0) * pow(2e0, z) AS ux, "
@@ -269,6 +283,21 @@ kept AS (SELECT lineid, direction, unnest(arg_max(list_transform(st, lambda p: p
 v AS (SELECT v0.* FROM v0 JOIN kept USING (lineid, direction, seq)),
 """
 
+# Clipped segments stitched along the line: gaps and islands by seq.
+STITCHED = """,
+marked AS (SELECT *, CASE WHEN lag(x1) OVER w = x0 AND lag(y1) OVER w = y0 THEN 0 ELSE 1 END AS fresh
+           FROM flat WINDOW w AS (PARTITION BY z, x, y, lineid, direction ORDER BY seq)),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY z, x, y, lineid, direction ORDER BY seq) AS part FROM marked),
+parts AS (SELECT z, x, y, lineid, direction, mode, route_color, route_text_color, variant, part,
+                 arg_min(x0 || ' ' || y0, seq) || ',' || string_agg(x1 || ' ' || y1, ',' ORDER BY seq) AS points FROM islands GROUP BY ALL),
+feature AS (SELECT * EXCLUDE (part, points), count(*) AS n_parts, string_agg(points, ';' ORDER BY part) AS geometry FROM parts GROUP BY ALL)"""
+
+
+def _stitched(segments: str) -> str:
+    head, _, tail = segments.rpartition("\nSELECT r.z")
+    return f"{head},\nflat AS (SELECT r.z{tail}){STITCHED}"
+
+
 SQL = {
     "tile_lines": "WITH_RECURSIVE" + SIMPLIFIED + TILE_LINES[TILE_LINES.index("box AS ("):].replace("FROM v GROUP BY ALL", "FROM v0 GROUP BY ALL"),
     "tile_lines_unsimplified": TILE_LINES,
@@ -287,10 +316,10 @@ FROM (SELECT *, strftime(poll_ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS t FROM fx_
 SELECT lineid, CAST("directionId" AS INTEGER) AS direction, count(*) AS pings FROM fx_feed GROUP BY ALL""",
     "ping_geometry": """
 SELECT position_id, lineid, direction, pointid, epoch_us(poll_ts) AS fetched_at, round(lon, 6) AS lon, round(lat, 6) AS lat
-FROM fx_position""",
-    "trip_linking": LINKING,
-    "trip_linking_in_chunks": LINKING,
-    "trip_linking_online": LINKING,
+FROM fx_patchy_position""",
+    "trip_linking": PATCHY_LINKING,
+    "trip_linking_in_chunks": PATCHY_LINKING,
+    "trip_linking_online": PATCHY_LINKING,
     "position_stream": """
 SELECT position_id, lineid, direction, pointid, epoch_us(poll_ts) AS fetched_at, round(lon, 6) AS lon, round(lat, 6) AS lat
 FROM fx_position""",
@@ -333,16 +362,16 @@ FROM (SELECT *, strftime(poll_ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS t FROM fx_
 SELECT "pointId" AS pointid, arg_max("distanceFromPoint", k) AS lon, arg_max(CAST(length(lineid) AS DOUBLE), k) AS lat
 FROM (SELECT *, {'t': poll_ts, 'i': lineid || '|' || "directionId" || '|' || CAST("distanceFromPoint" AS VARCHAR)} AS k FROM fx_feed) a GROUP BY "pointId" """,
     "insert_ignore": """
-SELECT CAST(s_suppkey AS VARCHAR) AS pointid, s_name || ' v1' AS stop_name_fr, CAST(NULL AS VARCHAR) AS stop_name_nl,
-       CAST(s_nationkey AS DOUBLE) AS lon, 1e0 AS lat FROM supplier WHERE CAST(s_suppkey AS VARCHAR) NOT IN (SELECT pointid FROM fx_stop)""",
+SELECT CAST(s_suppkey * 29 AS VARCHAR) AS pointid, s_name || ' v1' AS stop_name_fr, CAST(NULL AS VARCHAR) AS stop_name_nl,
+       CAST(s_nationkey AS DOUBLE) AS lon, 1e0 AS lat FROM supplier WHERE CAST(s_suppkey * 29 AS VARCHAR) NOT IN (SELECT pointid FROM fx_stop)""",
     "upsert_last_wins": """
 SELECT pointid, stop_name_fr, stop_name_nl, round(lon, 6) AS lon, round(lat, 6) AS lat FROM fx_stop
-WHERE pointid NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)
-UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name || ' v2', NULL, CAST(s_nationkey AS DOUBLE), 2e0 FROM supplier""",
+WHERE pointid NOT IN (SELECT CAST(s_suppkey * 29 AS VARCHAR) FROM supplier)
+UNION ALL SELECT CAST(s_suppkey * 29 AS VARCHAR), s_name || ' v2', NULL, CAST(s_nationkey AS DOUBLE), 2e0 FROM supplier""",
     "upsert_coordinates": """
 SELECT coalesce(s.pointid, u.pointid) AS pointid, s.stop_name_fr, s.stop_name_nl,
        round(CASE WHEN u.pointid IS NOT NULL THEN u.lon ELSE s.lon END, 6) AS lon, round(CASE WHEN u.pointid IS NOT NULL THEN 2e0 ELSE s.lat END, 6) AS lat
-FROM fx_stop s FULL JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS pointid, CAST(s_nationkey AS DOUBLE) AS lon FROM supplier) u ON u.pointid = s.pointid""",
+FROM fx_stop s FULL JOIN (SELECT CAST(s_suppkey * 29 AS VARCHAR) AS pointid, CAST(s_nationkey AS DOUBLE) AS lon FROM supplier) u ON u.pointid = s.pointid""",
     "ping_outcomes": """
 SELECT CASE lineid WHEN '1' THEN 'direction' WHEN '2' THEN 'no direction' WHEN '3' THEN 'fetched_at' ELSE 'kept' END AS outcome, count(*) AS pings
 FROM fx_feed GROUP BY 1""",
@@ -385,7 +414,8 @@ SELECT lineid, direction, round(sum(planar * (lon1 + lon2) / 2) / sum(planar), 6
     "shape_geojson": "SELECT lineid, direction, CAST(0 AS BIGINT) AS part, geometry FROM fx_geojson",
     "shape_lookup": """
 SELECT t.lineid, t.direction, s.mode, s.route_color, s.route_text_color, s.lineid || '_' || s.direction AS shape_id, g.geometry
-FROM fx_line_terminus t LEFT JOIN fx_line_shape s ON s.lineid = t.lineid AND s.direction = t.direction
+FROM (SELECT lineid, direction FROM fx_line_terminus UNION SELECT lineid, 'Depot' FROM fx_line_terminus) t
+LEFT JOIN fx_line_shape s ON s.lineid = t.lineid AND s.direction = t.direction
 LEFT JOIN fx_geojson g ON g.lineid = t.lineid AND g.direction = t.direction""",
     "trip_assembly": """
 SELECT trip_id, lineid, direction, part, start_ts, end_ts, point_count,
@@ -527,6 +557,14 @@ FROM (SELECT *, unnest(range(CAST(ceil(uy) AS BIGINT) - 1, CAST(floor(uy) AS BIG
       FROM (SELECT *, unnest(range(CAST(ceil(ux) AS BIGINT) - 1, CAST(floor(ux) AS BIGINT) + 1)) AS x FROM ({TILE}) t) a) b""",
 }
 
+SQL["tile_features"] = _stitched(SQL["tile_lines"]) + "\nSELECT * FROM feature"
+# Quadkeys digit by digit, from the coarsest.
+QUADKEY = "array_to_string(list_transform(range(CAST(z AS BIGINT) - 1, -1, -1), lambda k: CAST((x >> k) & 1 AS BIGINT) + 2 * CAST((y >> k) & 1 AS BIGINT)), '')"
+SQL["tile_table"] = _stitched(TILE_LINES) + f"""
+SELECT 'lines' AS layer, z, x, y, {QUADKEY} AS quadkey, lineid || '_' || direction AS feature_id, NULL AS stop_name_nl, mode, geometry FROM feature
+UNION ALL
+SELECT 'stops', z, x, y, {QUADKEY}, pointid, stop_name_nl, NULL, px || ' ' || py FROM ({SQL["tile_stops"].replace("(10), (12), (14)", "(11), (13)")}) s"""
+
 
 def _needed(sql: str) -> list[str]:
     """Views the text uses, each after those it builds on."""

@@ -72,7 +72,7 @@ def _feed_pings(a: Adapter, feed: DataFrame | None = None) -> DataFrame:
 
 def _positions(a: Adapter) -> DataFrame:
     pings = materialise(positions.typed_pings(positions.unique_pings(_feed_pings(a))), "pings")
-    return positions.resolve_positions(pings, a.stops, a.line_terminus, positions.ShapeIndex.build(a.shape_points))
+    return positions.resolve_positions(pings, a.patchy_stops, a.line_terminus, positions.ShapeIndex.build(a.patchy_shape_points))
 
 
 @_query()
@@ -309,8 +309,8 @@ def observed_stops(a: Adapter) -> DataFrame:
 # -- merging ----------------------------------------------------------------
 
 def _changed_stops(a: Adapter) -> DataFrame:
-    """Suppliers as news about the stops of the same number, in two versions."""
-    key = F.col("s_suppkey")
+    """Suppliers as news about stops, known and new ones, in two versions."""
+    key = F.col("s_suppkey") * 29
     rows = a.table("supplier").withColumn("row_no", F.explode(F.array(F.lit(1), F.lit(2))))
     return rows.select(
         key.cast("string").alias("pointid"), F.concat_ws(" v", "s_name", F.col("row_no").cast("string")).alias("stop_name_fr"),
@@ -424,8 +424,8 @@ def shape_geojson(a: Adapter) -> DataFrame:
 
 @_query("line_stops")
 def shape_lookup(a: Adapter) -> DataFrame:
-    """Every line direction asked for; those without a shape come back empty."""
-    keys = a.line_terminus.select("lineid", "direction")
+    """Every line direction asked for; a direction that no shape has comes back empty."""
+    keys = a.line_terminus.select("lineid", F.explode(F.array("direction", F.lit("Depot"))).alias("direction")).distinct()
     found = shapes.lookup_shapes(keys, a.line_shapes, a.shape_points)
     return found.select("lineid", "direction", "mode", "route_color", "route_text_color", "shape_id", "geometry")
 
@@ -685,7 +685,7 @@ def _gtfs_vertices(a: Adapter) -> DataFrame:
     """Line shapes with sparse numbers; some run backwards, some lie far off."""
     from pulseline.adapters import _lat, _lon
     off = F.when(F.col("nk") % 7 == 2, F.lit(1.0)).otherwise(F.lit(0.0))
-    return a.line_stops.where("nk % 6 <> 4").select(
+    return a.line_stops.select(
         F.concat_ws("_", "lineid", "direction").alias("shape_id"),
         F.when(F.col("nk") % 3 == 1, -F.col("sequence_idx")).otherwise(F.col("sequence_idx") * 10).alias("seq"),
         _lon().alias("lon"), (_lat(50.8001) + off).alias("lat"))
@@ -732,13 +732,13 @@ def gtfs_load(a: Adapter) -> DataFrame:
     """An unpacked feed's files loaded into line shapes."""
     folder = scratch(a.spark, "gtfs")
 
-    def file(rows: DataFrame, name: str, order: str) -> None:
-        # One file, as in a feed; the first trip seen decides ties.
-        rows.orderBy(order).coalesce(1).drop("row_no").write.option("header", True).csv(f"{folder}/{name}")
+    def file(rows: DataFrame, name: str) -> None:
+        # As many files as tasks. The first trip seen decides ties; rows carry their number.
+        rows.write.option("header", True).csv(f"{folder}/{name}")
 
-    file(_gtfs_trips(a), "trips.txt", "row_no")
-    file(_gtfs_routes(a), "routes.txt", "row_no")
-    file(_gtfs_vertices(a).withColumnsRenamed({"seq": "shape_pt_sequence", "lat": "shape_pt_lat", "lon": "shape_pt_lon"}), "shapes.txt", "shape_id")
+    file(_gtfs_trips(a), "trips.txt")
+    file(_gtfs_routes(a), "routes.txt")
+    file(_gtfs_vertices(a).withColumnsRenamed({"seq": "shape_pt_sequence", "lat": "shape_pt_lat", "lon": "shape_pt_lon"}), "shapes.txt")
     tables = Tables(a.spark, scratch(a.spark, "tables"))
     tables.replace("stops", a.stops)
     tables.replace("line_terminus", a.line_terminus)
@@ -766,3 +766,27 @@ def tile_lines(a: Adapter) -> DataFrame:
 def tile_lines_unsimplified(a: Adapter) -> DataFrame:
     """Snapping, tile assignment and clipping alone: every vertex is kept."""
     return tiles.tile_lines(a.shape_points, a.line_shapes, [11, 13], min_area=0.0)
+
+
+def _parts_text(column: str) -> Column:
+    point = lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))
+    return F.array_join(F.transform(column, lambda part: F.array_join(F.transform(part, point), ",")), ";")
+
+
+@_query("line_stops")
+def tile_features(a: Adapter) -> DataFrame:
+    """One multi-part feature per shape and tile."""
+    found = tiles.line_features(tiles.tile_lines(a.shape_points, a.line_shapes, [11, 13]))
+    return found.select("z", "x", "y", "lineid", "direction", "mode", "route_color", "route_text_color", "variant",
+                        F.size("parts").cast("long").alias("n_parts"), _parts_text("parts").alias("geometry"))
+
+
+@_query("line_stops")
+def tile_table(a: Adapter) -> DataFrame:
+    """Both layers through the stored tile table, all of its rows."""
+    tables = Tables(a.spark, scratch(a.spark, "tables"))
+    tables.replace("stops", a.stops)
+    tables.replace("shape_points", a.shape_points)
+    tables.replace("line_shapes", a.line_shapes)
+    pipelines.rebuild_tiles(tables, [11, 13], min_area=0.0)
+    return tables.read("tile_features").select("layer", "z", "x", "y", "quadkey", "feature_id", "stop_name_nl", "mode", _parts_text("parts").alias("geometry"))

@@ -82,14 +82,27 @@ def _lat(base: float) -> Column:
 
 
 def _stops(a: Adapter) -> DataFrame:
-    return a.line_stops.where("c_custkey % 11 <> 10").select(
+    return a.line_stops.select(
         "pointid", F.col("c_name").alias("stop_name_fr"),
         F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("NL "), "c_name")).alias("stop_name_nl"),
         _lon().alias("lon"), _lat(50.8).alias("lat"))
 
 
+def _patchy_stops(a: Adapter) -> DataFrame:
+    """All stops; some were never surveyed and have no coordinates, as positions meet them."""
+    surveyed = F.col("pointid").cast("long") % 11 != 10
+    return a.stops.withColumns({c: F.when(surveyed, F.col(c)) for c in ("lon", "lat")})
+
+
+def _patchy_shape_points(a: Adapter) -> DataFrame:
+    """All vertices; those of one line in six have no coordinates."""
+    drawn = F.col("nk") % 6 != 4
+    return a.line_stops.select("lineid", "direction", F.col("sequence_idx").alias("seq"),
+                               F.when(drawn, _lon()).alias("lon"), F.when(drawn, _lat(50.8001)).alias("lat"))
+
+
 def _shape_points(a: Adapter) -> DataFrame:
-    return a.line_stops.where("nk % 6 <> 4").select(
+    return a.line_stops.select(
         "lineid", "direction", F.col("sequence_idx").alias("seq"),
         _lon().alias("lon"), _lat(50.8001).alias("lat"))
 
@@ -97,7 +110,7 @@ def _shape_points(a: Adapter) -> DataFrame:
 def _line_shapes(a: Adapter) -> DataFrame:
     mode = F.element_at(F.array(F.lit("metro"), F.lit("tram"), F.lit("bus"), F.lit(None)), F.col("nk") % 4 + 1)
     return (
-        a.line_stops.where("nk % 6 <> 4").select("lineid", "direction", "nk", "par").distinct()
+        a.line_stops.select("lineid", "direction", "nk", "par").distinct()
         .select("lineid", "direction", F.col("par").alias("variant"), mode.alias("mode"),
                 F.concat(F.lit("#"), F.lpad((F.col("nk") * 1111 + 100000).cast("string"), 6, "0")).alias("route_color"),
                 F.lit("#FFFFFF").alias("route_text_color"))
@@ -179,5 +192,6 @@ def _waiting_times(a: Adapter) -> DataFrame:
 _BUILDERS = {
     "line_stops": _line_stops, "stops": _stops, "shape_points": _shape_points,
     "line_shapes": _line_shapes, "line_terminus": _line_terminus, "feed": _feed,
+    "patchy_stops": _patchy_stops, "patchy_shape_points": _patchy_shape_points,
     "trip_samples": _trip_samples, "trips": _trips, "waiting_times": _waiting_times,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseline.durable import materialise, scratch_scope
-from pulseline.operators import linking, network, positions
+from pulseline.operators import linking, network, positions, tiles
 from pulseline.operators.catalogue import terminus_locations
 from pulseline.operators.ordered import earliest_per_key
 from pulseline.plans.queries import table_counts
@@ -109,3 +109,21 @@ def rebuild_trips(tables: Tables, lines: list[str] | None = None,
         headers, kept = linking.build_trips(linking.trip_samples(linked))
         tables.replace_trips(headers, kept, lines)
     return counts(tables)
+
+
+def rebuild_tiles(tables: Tables, zooms: list[int], min_area: float = tiles.SIMPLIFY_AREA_M2) -> None:
+    """Pre-builds the features of all lines and stops for these zooms into the tile table."""
+    with scratch_scope(tables.spark):
+        segments = tiles.tile_lines(tables.read("shape_points"), tables.read("line_shapes"), zooms, min_area=min_area)
+        tables.replace_tiles(tiles.feature_rows(tiles.line_features(segments), tiles.tile_stops(tables.read("stops"), zooms)))
+
+
+def fetch_tile(tables: Tables, layer: str, z: int, x: int, y: int, lines: list[str] | None = None) -> DataFrame:
+    """One tile's features of layer "lines" or "stops"; with ``lines`` only these lines, or the stops they serve."""
+    found = tiles.in_tile(tables.read("tile_features"), layer, z, x, y)
+    if lines is None:
+        return found
+    if layer == "lines":
+        return found.where(F.col("lineid").isin(lines))
+    served = tables.read("line_stops").where(F.col("lineid").isin(lines)).select(F.col("pointid").alias("feature_id"))
+    return found.join(served, "feature_id", "left_semi")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pulseline import schemas
 from pulseline.durable import materialise
 from pulseline.operators.merge import new_rows, upserted
+from pulseline.operators.tiles import FEATURES
 from pulseline.session import pin_utc
 
 # Primary key per catalogue table.
@@ -27,7 +28,7 @@ SCHEMAS = {
     "stops": schemas.STOPS, "line_stops": schemas.LINE_STOPS, "line_terminus": schemas.LINE_TERMINUS,
     "line_shapes": schemas.LINE_SHAPES, "shape_points": schemas.SHAPE_POINTS,
     "positions": schemas.POSITIONS + ", service_date date", "waiting_times": schemas.WAITING_TIMES + ", poll_date date",
-    "trips": schemas.TRIPS, "trip_samples": schemas.TRIP_SAMPLES,
+    "trips": schemas.TRIPS, "trip_samples": schemas.TRIP_SAMPLES, "tile_features": FEATURES,
 }
 
 
@@ -150,6 +151,12 @@ class Tables:
             else:
                 self._replace_lines(f"{self.root}/{name}/snapshot={finished[-1]}", sliced, order, lines)
 
+    def replace_tiles(self, features: DataFrame) -> None:
+        """Replaces the tile table. Files hold disjoint ranges of quadkeys; the feature's id takes part in
+        the range, so a tile that holds everything is spread over tasks too."""
+        ranged = features.repartitionByRange("layer", "z", "quadkey", "feature_id")
+        self.replace("tile_features", ranged, ["layer", "z", "cell"], ["quadkey", "feature_id"])
+
     def _replace_lines(self, path: str, rows: DataFrame, order: str, lines: list[str]) -> None:
         """Dynamic overwrite of the lines' partitions; a line left without rows
         loses its partition."""

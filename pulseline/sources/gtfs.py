@@ -13,13 +13,14 @@ BYTE_ORDER_MARK = "﻿"
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The wanted text columns, trimmed, with ``row_no`` growing along the file."""
+    """The wanted text columns, trimmed, with ``row_no`` growing along the file, or the
+    file's own column of that name where a feed in many files has one."""
     raw = spark.read.option("header", True).csv(path)
     raw = raw.toDF(*[c.replace(BYTE_ORDER_MARK, "").strip() for c in raw.columns])
     missing = F.lit(None).cast("string")
+    place = F.col("row_no").cast("long") if "row_no" in raw.columns else F.monotonically_increasing_id()
     return raw.select(
-        *[(F.trim(F.col(c)) if c in raw.columns else missing).alias(c) for c in columns],
-        F.monotonically_increasing_id().alias("row_no"))
+        *[(F.trim(F.col(c)) if c in raw.columns else missing).alias(c) for c in columns], place.alias("row_no"))
 
 
 def scan_routes(spark: SparkSession, folder: str) -> DataFrame:
