@@ -565,6 +565,8 @@ SELECT 'lines' AS layer, z, x, y, {QUADKEY} AS quadkey, lineid || '_' || directi
 UNION ALL
 SELECT 'stops', z, x, y, {QUADKEY}, pointid, stop_name_nl, NULL, px || ' ' || py FROM ({SQL["tile_stops"].replace("(10), (12), (14)", "(11), (13)")}) s"""
 
+SQL["positions_at_stored"], SQL["trajectories_stored"] = SQL["positions_at"], SQL["trajectories"]
+
 
 def _needed(sql: str) -> list[str]:
     """Views the text uses, each after those it builds on."""

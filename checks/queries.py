@@ -643,6 +643,42 @@ def trajectories_packed(a: Adapter) -> DataFrame:
                          F.array_join(fixes, ";").alias("samples"))
 
 
+def _stored_trips(a: Adapter) -> Tables:
+    """Trips in the stored layout by day; one line is rebuilt once more."""
+    tables = Tables(a.spark, scratch(a.spark, "tables"))
+    tables.replace_trips(plain_headers(a.trips), a.trip_samples)
+    again = filter_trips(a.trips, ["1"])
+    tables.replace_trips(plain_headers(again), a.trip_samples.where("lineid = '1'"), lines=["1"])
+    return tables
+
+
+def plain_headers(trips: DataFrame) -> DataFrame:
+    """Headers in the stored columns; what the views do not have is NULL."""
+    none = F.lit(None).cast("string")
+    return trips.withColumns({"vehicle_uuid": none, "line_trip_id": none, "daily_trip_seq": F.lit(None).cast("int")})
+
+
+@_query("line_stops", "trip_samples", "trips")
+def positions_at_stored(a: Adapter) -> DataFrame:
+    """The live map over stored tables, of which it reads the days around the instant."""
+    tables = _stored_trips(a)
+    at = tables.latest_end() - timedelta(hours=2)
+    found = plans.positions_at(tables.read_by_day("trips"), tables.read_by_day("trip_samples"), a.line_shapes, at)
+    return found.select("trip_id", "lineid", "direction", "line_trip_id", *_round("lon", "lat"),
+                        "mode", "route_color", "route_text_color")
+
+
+@_query("line_stops", "trip_samples", "trips")
+def trajectories_stored(a: Adapter) -> DataFrame:
+    """A day's trajectories over stored tables."""
+    tables = _stored_trips(a)
+    end = tables.latest_end()
+    rows = plans.trajectories(tables.read_by_day("trips"), tables.read_by_day("trip_samples"), a.line_stops, a.line_shapes,
+                              end - timedelta(hours=26), end - timedelta(hours=2))
+    return rows.select("trip_id", "lineid", "dir_label", "line_trip_id", "shape_id", "mode", "route_color",
+                       "t_ms", *_round("lon", "lat"))
+
+
 def _eta(df: DataFrame, *more: str) -> DataFrame:
     return df.select(*more, _us("poll_ts"), "lineid", _us("expected"), "destination", "message")
 

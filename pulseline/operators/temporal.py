@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pulseline.functions.geo import lerp
 from pulseline.operators.ordered import next_row
-from pulseline.operators.trips import TRIP_KEY, time_slice
+from pulseline.operators.trips import TRIP_KEY, headers_touching, samples_touching, time_slice
 
 Instant = datetime | Column
 
@@ -35,14 +35,15 @@ def value_at_instant(samples: DataFrame, at: Instant, trips: DataFrame | None =
     one side.
     """
     when = _at(at)
-    extents = trips if trips is not None else samples.groupBy(*TRIP_KEY).agg(
+    extents = headers_touching(trips, when, when) if trips is not None else samples.groupBy(*TRIP_KEY).agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
     alive = extents.where((F.col("start_ts") <= when) & (F.col("end_ts") >= when)).select(*TRIP_KEY, "start_ts", "end_ts")
     near = samples
     if trips is not None:
         # No sample of these trips lies outside; the scan can skip the rest of time.
         span = alive.agg(F.min("start_ts").alias("first"), F.max("end_ts").alias("last"))
-        near = near.where((F.col("ts") >= span.select("first").scalar()) & (F.col("ts") <= span.select("last").scalar()))
+        first, last = span.select("first").scalar(), span.select("last").scalar()
+        near = samples_touching(near.where((F.col("ts") >= first) & (F.col("ts") <= last)), first, last)
     fix = F.struct("ts", "lon", "lat")
 
     def neighbours(rows: DataFrame, of: DataFrame) -> DataFrame:
@@ -120,12 +121,12 @@ def samples_in_window(samples: DataFrame, start: Instant, end: Instant, clip_bou
     is outside. Headers (``trips``) spare a pass over all samples."""
     low, high = _at(start), _at(end)
     columns = [*TRIP_KEY, "ts", "lon", "lat"]
-    inside = samples.where((F.col("ts") >= low) & (F.col("ts") < high)).select(*columns)
+    inside = samples_touching(samples, low, high).where((F.col("ts") >= low) & (F.col("ts") < high)).select(*columns)
     if not clip_bounds:
         return inside
     extents = trips if trips is not None else samples.groupBy(*TRIP_KEY).agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
-    met = extents.where((F.col("start_ts") < high) & (F.col("end_ts") >= low))
+    met = headers_touching(extents, low, high).where((F.col("start_ts") < high) & (F.col("end_ts") >= low))
     borders = value_at_instant(samples, low, met).unionByName(value_at_instant(samples, high, met))
     return inside.unionByName(borders.withColumnRenamed("at_ts", "ts").select(*columns)).distinct()
 
@@ -133,9 +134,11 @@ def samples_in_window(samples: DataFrame, start: Instant, end: Instant, clip_bou
 def active_around(trips: DataFrame, at: Instant, margin: timedelta = timedelta(minutes=30)) -> DataFrame:
     """Trips whose extent meets [at - margin, at + margin)."""
     when, reach = _at(at), F.lit(margin)
-    return trips.where((F.col("start_ts") < when + reach) & (F.col("end_ts") >= when - reach))
+    near = headers_touching(trips, when - reach, when + reach)
+    return near.where((F.col("start_ts") < when + reach) & (F.col("end_ts") >= when - reach))
 
 
 def active_between(trips: DataFrame, start: Instant, end: Instant) -> DataFrame:
     """Trips with start_ts < end and end_ts > start, both strict."""
-    return trips.where((F.col("start_ts") < _at(end)) & (F.col("end_ts") > _at(start)))
+    near = headers_touching(trips, _at(start), _at(end))
+    return near.where((F.col("start_ts") < _at(end)) & (F.col("end_ts") > _at(start)))

@@ -21,6 +21,32 @@ def time_slice(ts: Column, seconds: int = PART_SECONDS) -> Column:
     return F.floor(F.unix_micros(ts) / (seconds * 1_000_000))
 
 
+def by_day(rows: DataFrame) -> DataFrame:
+    """Headers once for each ``day`` (UTC) their trip touches, with ``first_day``; samples with their day."""
+    if "ts" in rows.columns:
+        return rows.withColumn("day", F.to_date("ts"))
+    spans = F.sequence(F.to_date("start_ts"), F.to_date("end_ts"))
+    return rows.withColumn("first_day", F.to_date("start_ts")).withColumn("day", F.explode(spans))
+
+
+def headers_touching(trips: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Of headers laid out by day those that may meet [low, high], each once: on its first day, or on that of
+    ``low`` if it began earlier. The days reach the scan as partition filters, scalar subqueries too.
+    Headers without that layout come back as they are."""
+    if "day" not in trips.columns:
+        return trips
+    first, last = F.to_date(low), F.to_date(high)
+    met = trips.where((F.col("day") >= first) & (F.col("day") <= last))
+    return met.where(F.col("day") == F.greatest("first_day", first)).drop("day", "first_day")
+
+
+def samples_touching(samples: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Of samples laid out by day those of the days from ``low`` to ``high``; others come back as they are."""
+    if "day" not in samples.columns:
+        return samples
+    return samples.where((F.col("day") >= F.to_date(low)) & (F.col("day") <= F.to_date(high))).drop("day")
+
+
 def trip_headers(samples: DataFrame, min_points: int = 2) -> DataFrame:
     """Extent and size per trip; shorter trips are dropped."""
     return (

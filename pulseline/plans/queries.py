@@ -1,5 +1,8 @@
 """The user-level questions: live map, trajectories, arrivals, search, counts.
 
+Trips and samples may come laid out by day (``Tables.read_by_day``); questions about an
+instant or a window then read only the days they need.
+
 ``numbering`` says what the label ``line_NNN`` counts: "window" numbers the trips
 that pass the request's filters, "service_day" all trips of the line's day.
 """
@@ -17,20 +20,22 @@ from pulseline.operators import shapes as sh
 from pulseline.operators.ordered import earliest_per_key
 from pulseline.operators.temporal import (Instant, active_around, active_between, samples_in_window,
                                           value_at_instant)
-from pulseline.operators.trips import number_by_service_day
+from pulseline.operators.trips import headers_touching, number_by_service_day
 from pulseline.plans.filters import filter_trips
 
+# Trips of one service day start at most this far apart.
+DAY_REACH = timedelta(days=2)
+
 
 def _numbered(trips: DataFrame, chosen: DataFrame, numbering: str) -> DataFrame:
     if numbering == "window":
         return number_by_service_day(chosen)
     # Only the days of the chosen trips are numbered, all trips of each.
-    dated = trips.withColumn("_day", service_day(F.col("lineid"), F.col("start_ts")))
-    asked = chosen.select("lineid", service_day(F.col("lineid"), F.col("start_ts")).alias("_day")).distinct()
     span = chosen.agg(F.min("start_ts").alias("first"), F.max("start_ts").alias("last"))
-    reach = F.lit(timedelta(days=2))
-    near = dated.where((F.col("start_ts") >= span.select("first").scalar() - reach)
-                       & (F.col("start_ts") <= span.select("last").scalar() + reach))
+    low, high = span.select("first").scalar() - F.lit(DAY_REACH), span.select("last").scalar() + F.lit(DAY_REACH)
+    dated = headers_touching(trips, low, high).withColumn("_day", service_day(F.col("lineid"), F.col("start_ts")))
+    asked = chosen.select("lineid", service_day(F.col("lineid"), F.col("start_ts")).alias("_day")).distinct()
+    near = dated.where((F.col("start_ts") >= low) & (F.col("start_ts") <= high))
     labels = number_by_service_day(near.join(asked, ["lineid", "_day"], "left_semi").drop("_day")).select("trip_id", "line_trip_id")
     return chosen.drop("line_trip_id", "daily_trip_seq").join(labels, "trip_id")
 

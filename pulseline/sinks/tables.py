@@ -8,7 +8,7 @@ half replaced, and a job may read the table it rewrites.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from pulseline import schemas
 from pulseline.durable import materialise
 from pulseline.operators.merge import new_rows, upserted
 from pulseline.operators.tiles import FEATURES
+from pulseline.operators.trips import by_day
 from pulseline.session import pin_utc
 
 # Primary key per catalogue table.
@@ -28,12 +29,14 @@ SCHEMAS = {
     "stops": schemas.STOPS, "line_stops": schemas.LINE_STOPS, "line_terminus": schemas.LINE_TERMINUS,
     "line_shapes": schemas.LINE_SHAPES, "shape_points": schemas.SHAPE_POINTS,
     "positions": schemas.POSITIONS + ", service_date date", "waiting_times": schemas.WAITING_TIMES + ", poll_date date",
-    "trips": schemas.TRIPS, "trip_samples": schemas.TRIP_SAMPLES, "tile_features": FEATURES,
+    "trips": schemas.TRIPS + ", first_day date, day date", "trip_samples": schemas.TRIP_SAMPLES + ", day date", "tile_features": FEATURES,
 }
 
 
 # Replaced together, under the same snapshot number.
 JOINT = ("trips", "trip_samples")
+# Columns of the layout by day, which plain readers do not see.
+DAYS = ("day", "first_day")
 
 
 class Tables:
@@ -67,6 +70,31 @@ class Tables:
 
     def read(self, name: str) -> DataFrame:
         """The table's rows; an empty one if nothing was written yet."""
+        rows = self.read_by_day(name)
+        if name not in JOINT:
+            return rows
+        return (rows.where("day = first_day") if name == "trips" else rows).drop(*DAYS)
+
+    def trip_days(self) -> list[date]:
+        """The days (UTC) that stored trips touch, from the names of the partitions."""
+        finished = self._finished("trips")
+        if not finished:
+            return []
+        files, folder = self._files(f"{self.root}/trips/snapshot={finished[-1]}")
+        names = [s.getPath().getName() for s in files.listStatus(folder)]
+        return sorted(date.fromisoformat(n[4:]) for n in names if n.startswith("day=") and n[4:5].isdigit())
+
+    def latest_end(self) -> datetime | None:
+        """The newest trip end; the trip that has it touches the last day, so only that day's headers are read."""
+        days = self.trip_days()
+        if not days:
+            return None
+        last = self.read_by_day("trips").where(F.col("day") == F.lit(days[-1])).agg(F.unix_micros(F.max("end_ts"))).first()[0]
+        return datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=last)
+
+    def read_by_day(self, name: str) -> DataFrame:
+        """The rows as they are laid out. Trips have one for each ``day`` that they touch, samples the day they
+        fall on; functions that ask for an instant or a window read only the days they need of such rows."""
         reader = self.spark.read.schema(SCHEMAS[name])
         if name in ("positions", "waiting_times"):
             path = f"{self.root}/{name}"
@@ -137,19 +165,17 @@ class Tables:
          .write.mode("append").partitionBy("poll_date").parquet(f"{self.root}/waiting_times"))
 
     def replace_trips(self, trips: DataFrame, samples: DataFrame, lines: list[str] | None = None) -> None:
-        """Replaces all trips, or only those of ``lines``. Partitioned by line and
-        sorted by time, so that line and time filters skip files and row groups,
-        and a rebuild of some lines touches no others. A full replacement becomes visible
-        for headers and samples at once, when both are written."""
+        """Replaces all trips, or only those of ``lines``. Headers and samples are partitioned by day (UTC),
+        a header once for each day that its trip touches, and sorted by line and time, so that an
+        instant or a window reads few days and a line filter few row groups. Headers and samples
+        become visible at once, as a new joint snapshot, when both are written; one for some lines
+        takes the others' rows from the snapshot before."""
         number, finished = self._next_snapshot(*JOINT), self._finished(JOINT[0])
         for name, rows, order in (("trips", trips, "start_ts"), ("trip_samples", samples, "ts")):
-            columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-            sliced = (rows.select(*columns).withColumn("_day", F.to_date(order))
-                      .hint("rebalance", "lineid", "_day").drop("_day"))
-            if lines is None or not finished:
-                self.replace(name, sliced, ["lineid"], [order, "trip_id"], number)
-            else:
-                self._replace_lines(f"{self.root}/{name}/snapshot={finished[-1]}", sliced, order, lines)
+            rows = rows.select(*[c.split()[0] for c in SCHEMAS[name].split(", ") if c.split()[0] not in DAYS])
+            if lines is not None and finished:
+                rows = rows.unionByName(self.read(name).where(~F.col("lineid").isin(lines)))
+            self.replace(name, by_day(rows).hint("rebalance", "day"), ["day"], ["lineid", order, "trip_id"], number)
 
     def replace_tiles(self, features: DataFrame) -> None:
         """Replaces the tile table. Files hold disjoint ranges of quadkeys; the feature's id takes part in
@@ -157,18 +183,6 @@ class Tables:
         ranged = features.repartitionByRange("layer", "z", "quadkey", "feature_id")
         self.replace("tile_features", ranged, ["layer", "z", "cell"], ["quadkey", "feature_id"])
 
-    def _replace_lines(self, path: str, rows: DataFrame, order: str, lines: list[str]) -> None:
-        """Dynamic overwrite of the lines' partitions; a line left without rows
-        loses its partition."""
-        stored = materialise(rows, "line-trips")
-        (stored.sortWithinPartitions("lineid", order, "trip_id").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("lineid").parquet(path))
-        filled = {r["lineid"] for r in stored.select("lineid").distinct().collect()}
-        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        for line in set(lines) - filled:
-            files, folder = self._files(f"{path}/lineid={escape(line)}")
-            files.delete(folder, True)
-
 
 def write_mirror(records: DataFrame, folder: str, started_at: datetime) -> str:
     """Writes ping records as gzip JSON lines to a folder of its own, named after
