@@ -565,6 +565,18 @@ SELECT 'lines' AS layer, z, x, y, {QUADKEY} AS quadkey, lineid || '_' || directi
 UNION ALL
 SELECT 'stops', z, x, y, {QUADKEY}, pointid, stop_name_nl, NULL, px || ' ' || py FROM ({SQL["tile_stops"].replace("(10), (12), (14)", "(11), (13)")}) s"""
 
+# Pings before the watermark, linked; trips that may still be extended count with one ping.
+WATERMARK = "(SELECT epoch_us(max(poll_ts)) - 120000000 FROM fx_patchy_position)"
+_head, _, _ = PATCHY_LINKING.partition("\nt AS (")
+SQL["positions_at_live"] = _head.replace("WHERE lon IS NOT NULL", f"WHERE lon IS NOT NULL AND epoch_us(poll_ts) < {WATERMARK}", 1) + f"""
+m AS (SELECT *, {WATERMARK} AS wm FROM (SELECT w.lineid, w.dir, w.isl, w.trip, w.us, n.lon, n.lat, w.position_id FROM w JOIN n USING (lineid, dir, isl, rn)) a),
+s AS (SELECT *, lead(us) OVER o AS us2, lead(lon) OVER o AS lon2, lead(lat) OVER o AS lat2, first_value(position_id) OVER o AS head,
+             count(*) OVER g AS points, max(us) OVER g >= wm - 300000000 AS running
+      FROM m WINDOW g AS (PARTITION BY lineid, dir, isl, trip), o AS (PARTITION BY lineid, dir, isl, trip ORDER BY us))
+SELECT substr(sha256('local|' || head), 1, 32) AS trip_id, lineid, dir AS direction,
+       round(lon + coalesce((lon2 - lon) * ((wm - 60000000 - us) / CAST(us2 - us AS DOUBLE)), 0), 6) AS lon,
+       round(lat + coalesce((lat2 - lat) * ((wm - 60000000 - us) / CAST(us2 - us AS DOUBLE)), 0), 6) AS lat, running
+FROM s WHERE (running OR points >= 2) AND us <= wm - 60000000 AND (wm - 60000000 < us2 OR (us2 IS NULL AND us = wm - 60000000))"""
 SQL["positions_at_stored"], SQL["trajectories_stored"] = SQL["positions_at"], SQL["trajectories"]
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from pulseline.sources import catalogue as documents
 from pulseline.sources import pings as feeds
 from pulseline.sources.gtfs import route_attributes
 from pulseline.streaming import polls
-from pulseline.streaming.linker import TripLinker
+from pulseline.streaming.linker import PING, TripLinker
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTERED: dict[str, Query] = {}
@@ -145,26 +145,44 @@ def trip_linking_in_chunks(a: Adapter) -> DataFrame:
     return _linked_trips(a, 40)
 
 
-@_query("line_stops")
-def trip_linking_online(a: Adapter) -> DataFrame:
-    """The same trips from a stream of located pings in three micro-batches, carrying
-    open trips across. Each third of the time lands as a few files, which one
-    trigger takes."""
+def _online(a: Adapter) -> tuple[TripLinker, DataFrame, str, datetime]:
+    """A linker after a stream of located pings in three micro-batches: each third of the time lands as a few
+    files, which one trigger takes. Also the stream, its folder and the newest ping's time."""
     files = 4
-    located = materialise(_positions(a), "positions")
+    located = materialise(_positions(a), "positions").select(*[c.split()[0] for c in PING.split(", ")])
     landed = scratch(a.spark, "landed")
-    span = located.agg(F.min("fetched_at").alias("a"), F.max("fetched_at").alias("b")).first()
-    share = F.floor((F.unix_micros("fetched_at") - F.unix_micros(F.lit(span["a"]))) * 3
-                    / (F.unix_micros(F.lit(span["b"])) - F.unix_micros(F.lit(span["a"])) + 1))
+    span = located.agg(F.unix_micros(F.min("fetched_at")).alias("a"), F.unix_micros(F.max("fetched_at")).alias("b")).first()
+    share = F.floor((F.unix_micros("fetched_at") - F.lit(span["a"])) * 3 / (F.lit(span["b"]) - F.lit(span["a"]) + 1))
     for number in range(3):
         located.where(share == number).repartition(files).write.mode("append").parquet(landed)
     stream = a.spark.readStream.schema(located.schema).option("maxFilesPerTrigger", files).parquet(landed)
     linker = TripLinker(a.spark, scratch(a.spark, "linker"), lateness_s=120)
-    linker.start(stream, scratch(a.spark, "checkpoint")).awaitTermination()
-    linker.flush()
+    linker.start(stream).awaitTermination()
+    return linker, stream, landed, datetime.fromtimestamp(span["b"] / 1e6, timezone.utc)
+
+
+@_query("line_stops")
+def trip_linking_online(a: Adapter) -> DataFrame:
+    """The same trips from a stream that carries open trips across micro-batches. It is stopped, and goes on
+    from its checkpoint when a row without coordinates moves the time on."""
+    linker, stream, landed, newest = _online(a)
+    linker.heartbeat(newest + timedelta(hours=1)).write.mode("append").parquet(landed)
+    linker.start(stream).awaitTermination()
     return _headers(linker.samples())
 
 
+@_query("line_stops")
+def positions_at_live(a: Adapter) -> DataFrame:
+    """Where vehicles are a minute before the watermark: closed trips, and those under way from the state store."""
+    linker, _, _, newest = _online(a)
+    watermark = newest - timedelta(seconds=120)
+    running, closed = (materialise(t, "live") for t in linker.trips(watermark))
+    both = trips.union_trips(running, closed)
+    found = plans.positions_at(both, linker.samples(), a.line_shapes, watermark - timedelta(seconds=60))
+    return found.join(running.select("trip_id", F.lit(True).alias("running")), "trip_id", "left").select(
+        "trip_id", "lineid", "direction", *_round("lon", "lat"), F.coalesce("running", F.lit(False)).alias("running"))
+
+
 @_query("line_stops", "stops", "line_terminus", "shape_points")
 def position_stream(a: Adapter) -> DataFrame:
     """Events as a stream: feed, coercion, dedup, positions, insert-ignore. Each

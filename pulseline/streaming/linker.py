@@ -1,134 +1,167 @@
-"""Online trip linking: the batch linker, carried from micro-batch to micro-batch.
-
-State is two tables per batch in the state folder: the open trips (one row with
-the last ping each) and the pings not yet behind the watermark. Pings are linked
-once the watermark has passed them, in time order, so the result is the one the
-batch job gives; pings that come later than that are counted and left out. The
-linker cuts busy line-directions into chunks, so no key is bound to one task.
-
-A batch writes under its own number and finishes with a marker row, so running
-it again after a failure replaces the same folders. State and markers of the last
-two batches are kept, older ones and all scratch are deleted.
+"""Online trip linking on the engine's state: the batch linker's rule, carried from micro-batch to micro-batch.
+
+The stream of located pings has a watermark. Per line and direction the state store holds the
+pings that the watermark has not passed and the open trips, with the last ping of each. A timer at the
+oldest waiting ping wakes a key once the watermark is past it; what is due is then linked in
+time order, so the result is the one the batch job gives. Trips that nothing can extend
+any more leave the state by the same timers, and a key without trips and pings has none. Linked pings go
+to a file sink. Watermark, state versions, restarts, and counting and dropping late rows are the engine's.
+
+A line-direction is one key: what it holds is bounded by the lateness, one trigger's rows and the
+trips open within the match window, not by its history. Re-linking history is the batch job's
+work, which cuts a line into chunks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import datetime
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from pulseline.durable import materialise, remove, scratch_scope
 from pulseline.operators import linking
-from pulseline.operators.ordered import earliest_per_key
 from pulseline.session import pin_utc
 
-PENDING = "position_id string, lineid string, direction int, fetched_at timestamp, lon double, lat double"
-OPEN = ("lineid string, direction int, rank long, us long, lon double, lat double, "
-        "position_id string, head string")
+WAITING = "us long, lon double, lat double, position_id string"
+OPEN = "us long, lon double, lat double, position_id string, head string"
 LINKED = "lineid string, direction int, us long, lon double, lat double, position_id string, head string"
-MARK = "watermark_us long, late long, batch_id long"
-FOREVER = 2 ** 62
+PING = "position_id string, lineid string, direction int, fetched_at timestamp, lon double, lat double"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class LinkProcessor(StatefulProcessor):
+    """State: ``waiting`` pings and ``open`` trips in the order they were opened."""
+
+    def __init__(self, radius_m: float, window_us: int):
+        self.radius_m = radius_m
+        self.window_us = window_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.open = handle.getListState("open", OPEN)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        arrived = []
+        for batch in rows:
+            placed = batch[batch["lon"].notna() & batch["lat"].notna()]
+            arrived += zip(placed["us"].tolist(), placed["lon"].tolist(), placed["lat"].tolist(), placed["position_id"].tolist())
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs() * 1000, arrived)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs() * 1000, [])
+
+    def close(self) -> None:
+        pass
+
+    def _advance(self, key, watermark_us: int, arrived: list[tuple]) -> Iterator[pd.DataFrame]:
+        once: dict[str, tuple] = {}
+        for ping in sorted([*self._held(self.waiting), *arrived]):
+            once.setdefault(ping[3], ping)
+        due = [p for p in once.values() if p[0] < watermark_us]
+        waiting = [p for p in once.values() if p[0] >= watermark_us]
+        held = self._held(self.open)
+        heads, alive = [], held
+        if due:
+            trips = linking.OpenTrips(self.radius_m, self.window_us)
+            for us, lon, lat, ping, head in held:
+                trips.open(us, lon, lat, ping, False)[5] = head
+            heads = [trips.place(*ping)[5] for ping in due]
+            alive = [tuple(t[1:6]) for t in trips.still_open(due[-1][0])]
+        alive = [t for t in alive if t[0] >= watermark_us - self.window_us]
+        self._keep(self.waiting, waiting)
+        if due or len(alive) < len(held):
+            self._keep(self.open, alive)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if waiting:
+            self.handle.registerTimer(waiting[0][0] // 1000 + 1)
+        elif alive:
+            self.handle.registerTimer((max(t[0] for t in alive) + self.window_us) // 1000 + 1)
+        if due:
+            found = pd.DataFrame(due, columns=["us", "lon", "lat", "position_id"])
+            found.insert(0, "lineid", key[0])
+            found.insert(1, "direction", key[1])
+            yield found.assign(head=heads)
+
+    @staticmethod
+    def _held(state) -> list[tuple]:
+        return [tuple(row) for row in state.get()] if state.exists() else []
+
+    @staticmethod
+    def _keep(state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
+        elif state.exists():
+            state.clear()
 
 
 class TripLinker:
+    """Links a stream of located pings below one folder, which holds checkpoint and linked pings."""
+
     def __init__(self, spark: SparkSession, folder: str, lateness_s: float = 600.0,
-                 chunk_rows: int = linking.CHUNK_ROWS, window_s: float = linking.MATCH_WINDOW_S):
+                 radius_m: float = linking.MATCH_RADIUS_M, window_s: float = linking.MATCH_WINDOW_S):
         self.spark = pin_utc(spark)
         self.folder = folder.rstrip("/")
-        self.lateness_us = int(lateness_s * 1_000_000)
-        self.chunk_rows = chunk_rows
-        self.window_s = window_s
-
-    def _write(self, df: DataFrame, name: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch_id={batch}")
-
-    def _read(self, name: str, schema: str, batch: int | None) -> DataFrame:
-        if batch is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/batch_id={batch}")
-
-    def _marks(self) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/mark")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return self.spark.createDataFrame([], MARK)
-        return self.spark.read.schema(MARK).parquet(f"{self.folder}/mark")
-
-    def _previous(self, batch: int | None = None) -> tuple[int | None, int, int]:
-        """(last finished batch before ``batch``, its watermark, late pings until then)."""
-        marks = self._marks()
-        if batch is not None:
-            marks = marks.where(F.col("batch_id") < batch)
-        row = marks.agg(F.max_by(F.struct("batch_id", "watermark_us", "late"), "batch_id").alias("m")).first()["m"]
-        return (None, -FOREVER, 0) if row is None else (row["batch_id"], row["watermark_us"], row["late"])
-
-    def process(self, positions: DataFrame, batch: int, flush: bool = False) -> None:
-        """One micro-batch of located pings."""
-        with scratch_scope(self.spark):
-            self._process(positions, batch, flush)
-        self._forget(batch)
-
-    def _forget(self, batch: int) -> None:
-        """Drops state that no repeated batch can ask for any more."""
-        finished = sorted(r["batch_id"] for r in self._marks().where(F.col("batch_id") <= batch).select("batch_id").collect())
-        for old in finished[:-2]:
-            for name in ("mark", "pending", "open"):
-                remove(self.spark, f"{self.folder}/{name}/batch_id={old}")
-
-    def _process(self, positions: DataFrame, batch: int, flush: bool) -> None:
-        before, watermark, late_before = self._previous(batch)
-        pending = self._read("pending", PENDING, before)
-        columns = pending.columns
-        arrived = materialise(earliest_per_key(
-            positions.where("lon is not null and lat is not null").select(*columns), ["position_id"], ["fetched_at"]),
-            "arrived")
-        us = F.unix_micros("fetched_at")
-        late = late_before + arrived.where(us < watermark).count()
-        waiting = materialise(earliest_per_key(
-            pending.unionByName(arrived.where(us >= watermark)), ["position_id"], ["fetched_at"]), "waiting")
-        newest = waiting.agg(F.max(us)).first()[0]
-        if flush:
-            watermark = FOREVER
-        elif newest is not None:
-            watermark = max(watermark, newest - self.lateness_us)
-        earlier = self._read("open", OPEN, before)
-        linked, touched = linking.link_onto(
-            waiting.where(us < watermark), earlier, self.chunk_rows, window_s=self.window_s)
-        self._write(linked, "linked", batch)
-        self._write(waiting.where(us >= watermark), "pending", batch)
-        done = self._read("linked", LINKED, batch).select("lineid", "direction").distinct()
-        quiet = earlier.join(done, ["lineid", "direction"], "left_anti")
-        alive = F.col("us") >= watermark - int(self.window_s * 1_000_000)
-        self._write(touched.unionByName(quiet.select(*touched.columns)).where(alive), "open", batch)
-        self._write(self.spark.range(1).select(F.lit(watermark).alias("watermark_us"), F.lit(late).alias("late")),
-                    "mark", batch)
-
-    def flush(self) -> None:
-        """Links everything still waiting, at the end of a finite input."""
-        before, _, _ = self._previous()
-        self.process(self.spark.createDataFrame([], PENDING), 0 if before is None else before + 1, flush=True)
+        self.lateness_s = lateness_s
+        self.radius_m, self.window_us = radius_m, int(window_s * 1_000_000)
+
+    @property
+    def checkpoint(self) -> str:
+        return f"{self.folder}/checkpoint"
+
+    def linked_stream(self, positions: DataFrame) -> DataFrame:
+        """Each located ping with the first ping of its trip. Rows without coordinates only move the time on."""
+        timed = positions.withWatermark("fetched_at", f"{int(self.lateness_s * 1000)} milliseconds").select(
+            "lineid", "direction", "fetched_at", F.unix_micros("fetched_at").alias("us"), "lon", "lat", "position_id")
+        return timed.groupBy("lineid", "direction").transformWithStateInPandas(
+            LinkProcessor(self.radius_m, self.window_us), LINKED, "Append", "EventTime")
+
+    def start(self, positions: DataFrame, **trigger):
+        """Starts the stream, or goes on from its checkpoint."""
+        before = self.spark.conf.get(PROVIDER, None)
+        self.spark.conf.set(PROVIDER, ROCKS)  # state with timers needs this one; the query keeps it
+        try:
+            return (self.linked_stream(positions).writeStream.format("parquet").option("path", f"{self.folder}/linked")
+                    .option("checkpointLocation", self.checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+        finally:
+            self.spark.conf.set(PROVIDER, before) if before else self.spark.conf.unset(PROVIDER)
+
+    def heartbeat(self, at: datetime) -> DataFrame:
+        """A row without coordinates for the feed: at the end of a finite input it moves the time past
+        what still waits."""
+        return self.spark.createDataFrame([("heartbeat", None, None, at, None, None)], PING)
 
     def samples(self) -> DataFrame:
-        """All linked pings so far as trip samples."""
-        last, _, _ = self._previous()
-        rows = self.spark.read.schema(LINKED + ", batch_id long").parquet(f"{self.folder}/linked")
-        return linking.trip_samples(rows.where(F.col("batch_id") <= F.lit(last)).drop("batch_id"))
-
-    def trips(self) -> tuple[DataFrame, DataFrame]:
-        """(open trips, closed trips). Open ones may still be extended; closed
-        ones have two pings or more."""
-        before, _, _ = self._previous()
-        heads = self._read("open", OPEN, before).select(F.col("head").alias("first_position_id"))
+        """All linked pings so far as trip samples; the file sink's log tells which files count."""
+        return linking.trip_samples(self.spark.read.schema(LINKED).parquet(f"{self.folder}/linked"))
+
+    def open_trips(self, as_of: datetime, batch: int | None = None) -> DataFrame:
+        """Trips that a ping may still extend, read from the state store: last ping and head of each. ``as_of`` is the
+        watermark; a key that had neither ping nor timer since may still hold older ones. ``batch`` reads an
+        earlier version."""
+        reader = self.spark.read.format("statestore").option("stateVarName", "open")
+        if batch is not None:
+            reader = reader.option("batchId", batch)
+        held = reader.load(self.checkpoint).select("key.lineid", "key.direction", "list_element.*")
+        return held.where(F.col("us") >= F.unix_micros(F.lit(as_of).cast("timestamp")) - self.window_us)
+
+    def trips(self, as_of: datetime) -> tuple[DataFrame, DataFrame]:
+        """(open trips, closed trips), headers of both. Open ones carry their last point and may have one
+        ping; closed ones have two or more."""
         samples = self.samples()
-        is_open = samples.join(heads, "first_position_id", "left_semi")
-        is_closed = samples.join(heads, "first_position_id", "left_anti")
-        last = is_open.groupBy("trip_id").agg(F.max_by(F.struct("lon", "lat"), "ts").alias("last_point"))
-        open_headers = linking.build_trips(is_open, min_points=1)[0].drop("daily_trip_seq").join(last, "trip_id")
-        return open_headers, linking.build_trips(is_closed)[0]
-
-    def late_count(self) -> int:
-        return self._previous()[2]
-
-    def start(self, positions: DataFrame, checkpoint: str, **trigger):
-        """Runs the linker over a stream of located pings."""
-        return (positions.writeStream.foreachBatch(lambda batch, number: self.process(batch, number))
-                .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+        last = self.open_trips(as_of).select(F.col("head").alias("first_position_id"), F.struct("lon", "lat").alias("last_point"))
+        heads = last.select("first_position_id")
+        running = linking.build_trips(samples.join(heads, "first_position_id", "left_semi"), min_points=1)[0]
+        points = samples.join(last, "first_position_id").select("trip_id", "last_point").distinct()
+        closed = linking.build_trips(samples.join(heads, "first_position_id", "left_anti"))[0]
+        return running.drop("daily_trip_seq").join(points, "trip_id"), closed
+
+
+def late_rows(query) -> int:
+    """Pings that came behind the watermark in this run, as the engine counted them."""
+    return sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseline.operators import linking
-from pulseline.streaming.linker import TripLinker
+from pulseline.streaming.linker import TripLinker, late_rows
 
 START = datetime(2026, 5, 4, 6, tzinfo=timezone.utc)
 SCHEMA = "position_id string, lineid string, direction int, fetched_at timestamp, lon double, lat double"
@@ -110,42 +110,78 @@ def test_a_rebuild_keeps_trip_ids(spark):
     assert ids[0] == ids[1] and len(ids[0]) > 3
 
 
-@pytest.mark.parametrize("chunk_rows", [linking.CHUNK_ROWS, 20])
-def test_online_linking_gives_the_batch_trips(spark, tmp_path, chunk_rows):
+def online(spark, tmp_path, lateness_s):
+    """A linker, its feed's folder, and a function that lands some pings as one file and runs the stream on."""
+    linker, landed = TripLinker(spark, str(tmp_path / "linker"), lateness_s=lateness_s), str(tmp_path / "landed")
+
+    def land(rows):
+        df = rows if hasattr(rows, "write") else spark.createDataFrame(rows, SCHEMA)
+        df.coalesce(1).write.mode("append").parquet(landed)
+
+    def run():
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(landed)
+        query = linker.start(stream)
+        assert query.awaitTermination(240) and query.exception() is None
+        return query
+
+    return linker, land, run
+
+
+def heads_of(samples):
+    return grouped(samples.select("lineid", "direction", F.col("first_position_id").alias("head"), "position_id"))
+
+
+def test_online_linking_gives_the_batch_trips(spark, tmp_path):
+    """Pings out of order within the lateness bound, a row twice, and a stop and a restart between batches."""
     pings = sorted(some_pings(21, n=90), key=lambda p: p[3])
     rng = random.Random(2)
-    # Up to a minute out of order, well within the lateness bound.
     shuffled = sorted(pings, key=lambda p: p[3] + timedelta(seconds=rng.uniform(0, 60)))
-    linker = TripLinker(spark, str(tmp_path), lateness_s=120, chunk_rows=chunk_rows)
+    linker, land, run = online(spark, tmp_path, lateness_s=120)
     size = len(shuffled) // 4 + 1
     for number in range(4):
-        part = shuffled[number * size:(number + 1) * size]
-        linker.process(spark.createDataFrame(part, SCHEMA), number)
-    # A batch that runs again after a failure changes nothing.
-    linker.process(spark.createDataFrame(shuffled[3 * size:], SCHEMA), 3)
-    open_trips, closed = linker.trips()
-    assert open_trips.count() > 0 and {"last_point"} <= set(open_trips.columns)
-    linker.flush()
-    got = linker.samples()
-    assert linker.late_count() == 0
-    assert grouped(got.select("lineid", "direction", F.col("first_position_id").alias("head"), "position_id")) == by_hand(pings)
-    late = spark.createDataFrame([ping("late", -9000)], SCHEMA)
-    linker.process(late, 99)
-    assert linker.late_count() == 1
-    opened, finished = linker.trips()
+        land(shuffled[number * size:(number + 1) * size] + shuffled[number * size:][:1])
+        if number in (1, 3):
+            assert late_rows(run()) == 0
+    newest = max(p[3] for p in pings)
+    watermark = newest - timedelta(seconds=120)
+    open_trips, closed = linker.trips(watermark)
+    assert open_trips.count() > 0 and "last_point" in open_trips.columns
+    ends = {r.trip_id: r.end_ts.replace(tzinfo=START.tzinfo) for r in open_trips.unionByName(closed, allowMissingColumns=True).collect()}
+    running = {r.trip_id for r in open_trips.collect()}
+    limit = (watermark - timedelta(seconds=300)).replace(tzinfo=START.tzinfo)
+    assert running == {t for t, end in ends.items() if end >= limit} and len(running) < len(ends)
+    for r in open_trips.collect():
+        last = linker.samples().where(F.col("trip_id") == r.trip_id).orderBy(F.desc("ts")).first()
+        assert (r.last_point.lon, r.last_point.lat) == (last.lon, last.lat)
+
+    land(linker.heartbeat(newest + timedelta(hours=1)))
+    run()
+    assert heads_of(linker.samples()) == by_hand(pings)
+    land([ping("late", -9000)])
+    assert late_rows(run()) == 1  # the engine drops and counts it
+    opened, finished = linker.trips(newest + timedelta(hours=1))
     assert opened.count() == 0 and finished.count() == len([t for t in by_hand(pings) if len(t) > 1])
 
 
-def test_linker_as_a_structured_stream(spark, tmp_path):
-    pings = sorted(some_pings(31, n=40), key=lambda p: p[3])
-    for i in range(3):
-        part = pings[i * 40:(i + 1) * 40]
-        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
-    stream = (spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "landed")))
-    linker = TripLinker(spark, str(tmp_path / "state"), lateness_s=30 * 3600)
-    query = linker.start(stream, str(tmp_path / "checkpoint"))
-    query.awaitTermination(240)
-    assert query.exception() is None and linker.late_count() == 0
-    linker.flush()
-    got = linker.samples().select("lineid", "direction", F.col("first_position_id").alias("head"), "position_id")
-    assert grouped(got) == by_hand(pings)
+def test_state_goes_when_nothing_can_extend_a_trip(spark, tmp_path):
+    """Timers clear what is over: an idle key has no open trip left in the store."""
+    linker, land, run = online(spark, tmp_path, lateness_s=10)
+    land([ping("a", 0), ping("b", 60), ("z", "9", 2, START, 4.0, 50.0), ("n", "71", 1, START, None, None)])
+    land(linker.heartbeat(START + timedelta(seconds=200)))
+    run()
+    held = spark.read.format("statestore").option("stateVarName", "open").load(linker.checkpoint)
+    assert sorted(r.list_element.head for r in held.collect()) == ["a", "z"]
+    land(linker.heartbeat(START + timedelta(seconds=2000)))
+    run()
+    assert spark.read.format("statestore").option("stateVarName", "open").load(linker.checkpoint).count() == 0
+    assert linker.open_trips(START + timedelta(seconds=200), batch=2).count() == 2  # an earlier version can be asked for
+    assert heads_of(linker.samples()) == [("a", "b"), ("z",)]
+
+
+def test_linker_keeps_the_session_as_it_was(spark, tmp_path):
+    from pulseline.streaming.linker import PROVIDER
+    before = spark.conf.get(PROVIDER, None)
+    linker, land, run = online(spark, tmp_path, lateness_s=10)
+    land([ping("a", 0)])
+    run()
+    assert spark.conf.get(PROVIDER, None) == before

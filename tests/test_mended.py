@@ -169,24 +169,6 @@ def test_positions_without_given_ids_are_looked_for_on_their_days_only(spark, tm
     assert tables.read("positions").count() == 2
 
 
-def test_folders_stay_flat_over_many_batches(spark, tmp_path):
-    from pulseline import durable
-    from pulseline.streaming.linker import TripLinker
-    ping = "position_id string, lineid string, direction int, fetched_at timestamp, lon double, lat double"
-    linker = TripLinker(spark, str(tmp_path / "state"), lateness_s=60)
-    scratch = durable.shared_folder(spark) + "/pulseline/" + spark.sparkContext.applicationId
-    import os
-    held = []
-    for batch in range(5):
-        linker.process(spark.createDataFrame([(f"p{batch}", "1", 13, at(batch * 100), 4.0 + batch * 1e-4, 50.0)], ping), batch)
-        held.append((len(os.listdir(scratch)) if os.path.exists(scratch) else 0,
-                     *(len([d for d in os.listdir(tmp_path / "state" / n) if d.startswith("batch_id")]) for n in ("mark", "pending", "open"))))
-    assert held[2:] == [held[2]] * 3 and held[-1][1:] == (2, 2, 2)
-    linker.flush()
-    samples = linker.samples()
-    assert samples.count() == 5 and samples.select("trip_id").distinct().count() == 1
-
-
 def test_poll_time_comes_from_the_file_name(spark, tmp_path):
     from pulseline.streaming import polls
     (tmp_path / "in").mkdir()
