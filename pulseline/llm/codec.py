@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulseline.llm.rows import packed, unpacked
 from pulseline.llm.vocabulary import DEFAULT_MODEL, MARK, Vocabulary, load, words_of
 
 REMEMBERED = 400_000
@@ -159,8 +160,9 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, int]]:
 
 def encoded(docs: DataFrame, model: str = DEFAULT_MODEL, scores: str = "zipf") -> DataFrame:
     """``docs`` with ``_ids`` (array<int>), ``_n_tokens`` and ``_exact``, whether
-    decoding the ids gives the text again."""
-    names = docs.columns
+    decoding the ids gives the text again. Own columns of these names are replaced."""
+    rows = packed(docs, "text").withColumn("text", F.col("text").cast("string"))
+    names = rows.columns
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = codec(model, scores)
         for batch in batches:
@@ -175,13 +177,14 @@ def encoded(docs: DataFrame, model: str = DEFAULT_MODEL, scores: str = "zipf") -
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.ListArray.from_arrays(at, pa.array(ids)), pa.array(counts.astype(np.int64)), exact],
                     names=[*names, "_ids", "_n_tokens", "_exact"])
-    schema = T.StructType([*docs.schema.fields, T.StructField("_ids", T.ArrayType(T.IntegerType())),
+    schema = T.StructType([*rows.schema.fields, T.StructField("_ids", T.ArrayType(T.IntegerType())),
                            T.StructField("_n_tokens", T.LongType()), T.StructField("_exact", T.BooleanType())])
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return unpacked(rows.mapInArrow(run, schema), docs.columns, ["text"], ["_ids", "_n_tokens", "_exact"])
 
 
 def decoded(rows: DataFrame, ids: str = "ids", model: str = DEFAULT_MODEL, scores: str = "zipf") -> DataFrame:
-    """``rows`` with ``_text``, the text of the column ``ids``; null for null."""
+    """``rows`` with ``_text``, the text of the column ``ids``; null for null. An own ``_text`` is replaced."""
+    rows = rows.drop("_text")
     names = rows.columns
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = codec(model, scores)

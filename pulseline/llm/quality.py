@@ -28,6 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseline.llm.rows import packed, unpacked
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 BUCKETS = 4096
@@ -178,8 +180,10 @@ def best_cut(scored: list[tuple[float, bool]]) -> float:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``_n`` (struct of counts), ``_base_failed``, ``_score`` and ``_kept``."""
+    """``docs`` with ``_n`` (struct of counts), ``_base_failed``, ``_score`` and ``_kept``; own columns of
+    these names are replaced, all others stay whatever their names are."""
     model = fit(docs, labels)
-    scored = measured(docs).withColumn("_score", model.score(F.col("_hashes"))).withColumn("_base_failed", base_failed(F.col("_n")))
+    scored = measured(packed(docs, "text")).withColumn("_score", model.score(F.col("_hashes"))).withColumn("_base_failed", base_failed(F.col("_n")))
     passed = F.col("_score") >= F.lit(model.threshold) if math.isfinite(model.threshold) else F.lit(True)
-    return scored.withColumn("_kept", ~F.col("_base_failed") & F.coalesce(passed, F.lit(False))).drop("_hashes")
+    rated = scored.withColumn("_kept", ~F.col("_base_failed") & F.coalesce(passed, F.lit(False)))
+    return unpacked(rated, docs.columns, ["text"], ["_n", "_base_failed", "_score", "_kept"])

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseline.durable import materialise
+from pulseline.llm.rows import packed, unpacked
 from pulseline.llm.wordhash import _power_tables, mix, ngrams, text_chunks, words_of
 
 GRAM = 8
@@ -200,11 +201,12 @@ def _cut(joined: bool, names: list[str]):
 def without_repeats(docs: DataFrame, window: int = 50, joined: bool = False) -> DataFrame:
     """``docs`` with ``text`` cut, and ``_n_words`` and ``_n_removed`` added. Texts keep
     their white space (except at the ends of a cut text) unless ``joined`` asks for
-    single spaces. The number and columns of rows stay."""
-    names = docs.columns
+    single spaces. The number and columns of rows stay; only own columns of those two names are replaced."""
     spans = duplicate_spans(docs, window).select(
         F.col("doc_id").alias("_span_doc"), F.col("text_key").alias("_span_key"), F.col("spans").alias("_spans"))
-    matched = docs.join(spans, (F.col("doc_id").cast("long") == F.col("_span_doc"))
-                        & (F.xxhash64(F.col("text").cast("string")) == F.col("_span_key")), "left").select(*names, "_spans")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType())])
-    return matched.mapInArrow(_cut(joined, names), schema)
+    rows = packed(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
+    names = rows.columns
+    matched = rows.join(spans, (F.col("doc_id").cast("long") == F.col("_span_doc"))
+                        & (F.xxhash64("text") == F.col("_span_key")), "left").select(*names, "_spans")
+    schema = T.StructType([*rows.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType())])
+    return unpacked(matched.mapInArrow(_cut(joined, names), schema), docs.columns, ["doc_id", "text"], ["_n_words", "_n_removed"])

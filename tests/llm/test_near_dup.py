@@ -103,3 +103,44 @@ def test_components_of_a_chain_a_star_and_loops(spark):
     got = {r.node: r.component for r in components(df, "a", "b").collect()}
     assert got == {**{k: 1 for k in range(2, 41)}, **{k: 100 for k in range(101, 130)}, 200: 199}
     assert components(df.where("a < 0"), "a", "b").count() == 0
+
+
+def test_templates_tie_nobody(spark):
+    """Texts that share a part are no candidates of each other: too few coordinates agree."""
+    shared = " ".join(f"t{k}" for k in range(40))
+    rows = [(k, f"{shared} " + " ".join(f"u{k}v{j}" for j in range(60))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = near_dup.signatures(df)
+    reps = signed.select(signed.doc_id.alias("node"), "signature")
+    assert near_dup.retained_pairs(near_dup.postings(reps, 27), 27).count() == 0
+    assert run(spark, rows) == brute(rows, 3, 85)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_collisions_in_parts_equal_all_pairs(spark, seed, monkeypatch):
+    """Forests of the retained pairs connect what all pairs at the threshold connect."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 3, (4, near_dup.COORDINATES))
+    signatures = np.array([np.where(rng.random(near_dup.COORDINATES) < 0.25, rng.integers(0, 9, near_dup.COORDINATES), base[k % 4]) for k in range(90)])
+    monkeypatch.setattr(near_dup, "LIST_PART", 7)
+    reps = spark.createDataFrame([(k, s.tolist()) for k, s in enumerate(signatures)], "node long, signature array<int>")
+    forest = near_dup.retained_pairs(near_dup.postings(reps, 24), 24).collect()
+    agree = (signatures[:, None, :] == signatures[None, :, :]).sum(axis=2)
+    assert all(agree[a, b] >= 24 for a, b in forest)
+    def roots(pairs):
+        root = list(range(90))
+        for a, b in pairs:
+            a, b = sorted((root[a], root[b]))
+            root = [a if r == b else r for r in root]
+        return root
+    assert roots(forest) == roots([(a, b) for a in range(90) for b in range(a) if agree[a, b] >= 24])
+
+
+def test_one_doc_id_on_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(3, a, "x"), (3, b, "x"), (5, a + " more", "y"), (9, c, "z"), (9, c, "z"), (9, c, "y"), (3, a, "x"), (None, c, "n"), (7, None, "o"), (7, "", "o")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rest string")
+    found = sorted((r.doc_id, r.component_id) for r in near_dup.near_duplicates(df, 5, 80).collect() if r.doc_id)
+    assert found == [(3, 3), (3, 3), (3, 3), (5, 3), (7, 7), (7, 7), (9, 9), (9, 9), (9, 9)]
+    kept = sorted(((r.doc_id or 0), r.text or "", r.rest) for r in near_dup.one_of_each(df).collect())
+    assert [(i, t) for i, t, _ in kept] == [(0, c), (3, a), (3, b), (7, ""), (7, ""), (9, c)]

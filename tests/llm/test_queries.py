@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import connect, differences
@@ -71,5 +72,25 @@ def test_stages_take_awkward_documents(spark):
     assert sorted(r.doc_id or 0 for r in corpus_pipeline.one_of_each(spark, docs, FOLDER).collect()) == [0, 1, 2, 3]
 
 
+CLASHES = ["_words", "_hashes", "_n", "_kept", "_score", "_base_failed", "_kept_id", "_spans", "_n_words", "_n_removed", "_ids", "_exact", "_n_tokens",
+           "rest", "row", "text_key", "group", "node", "long_id", "size", "key", "copy", "_"]
+
+
+def test_stages_take_clashing_columns(spark):
+    """Whatever extra columns are called, their values come through; the last stage replaces those it adds."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    before = {name: docs for name, _ in corpus_pipeline.STAGES}
+    extra = {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES}
+    for name, stage in corpus_pipeline.STAGES:
+        plain, got = stage(spark, before[name], FOLDER), stage(spark, before[name].withColumns(extra), FOLDER)
+        assert got.columns[:len(docs.columns) + len(CLASHES)] == [*docs.columns, *CLASHES]
+        rows = got.collect()
+        assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((r.doc_id, r.text or "") for r in plain.collect())
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHES)
+    named = docs.limit(5).withColumns({"n_tokens": F.lit("own"), "ids": F.lit(1), "round_trip": F.lit("x")})
+    last = corpus_pipeline.sequences(spark, named, FOLDER)
+    assert last.columns == [*docs.columns, "n_tokens", "round_trip", "ids"] and all(r.n_tokens == len(r.ids) for r in last.collect() if r.text)
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 50
