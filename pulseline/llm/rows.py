@@ -14,12 +14,12 @@ def named(name: str) -> Column:
 
 
 def packed(docs: DataFrame, *kept: str) -> DataFrame:
-    """The columns ``kept``, and all others as the struct ``rest``."""
-    others = [named(c) for c in docs.columns if c not in kept]
-    return docs.select(*kept, F.struct(*others, F.lit(True).alias("_")).alias("rest"))
+    """The columns ``kept``, and all others as the struct ``rest``, whose fields are named by place."""
+    others = [named(c).alias(f"c{place}") for place, c in enumerate(docs.columns) if c not in kept]
+    return docs.select(*kept, F.struct(F.lit(True).alias("row"), *others).alias("rest"))
 
 
 def unpacked(rows: DataFrame, columns: Sequence[str], kept: Sequence[str], results: Sequence[str]) -> DataFrame:
     """The rows of ``packed`` as ``columns`` again, with ``results`` behind them."""
-    old = [named(c) if c in kept else F.col("rest").getField(c).alias(c) for c in columns if c not in results]
+    old = [named(c) if c in kept else F.col(f"rest.c{place}").alias(c) for place, c in enumerate(columns) if c not in results]
     return rows.select(*old, *results)
