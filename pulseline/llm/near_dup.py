@@ -312,7 +312,7 @@ def grouped(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     clusters = materialise(all_of(components(retained_pairs(posted, matches), "a", "b")).withColumnRenamed("component", "cluster"), "clusters")
     wanted = materialise(classes.select("node", "doc_id", "text_key").join(clusters, "node", "left_semi"), "wanted")
     # Ids alone first: the texts that go on to a shuffle are those of candidates.
-    met = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    met = texts.join(materialise(wanted.select("doc_id").distinct(), "wanted_ids"), "doc_id", "left_semi")
     sets = materialise(met.join(wanted, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_sets(size), "node long, shingles array<long>")
                        .dropDuplicates(["node"]), "sets")
     tied = materialise(all_of(components(confirmed_links(clusters, sets, percent), "a", "b")), "tied")
