@@ -599,5 +599,19 @@ def with_views(sql: str) -> str:
     return f"WITH {views}\n{sql.strip()}"
 
 
+# Every segment of every trip against the box and the window.
+SQL["trips_in_box_and_window"] = f"""
+SELECT trip_id, lineid, direction, min(CAST(round((t0 + s0 * dt) / 1000) AS BIGINT)) AS entered_ms, max(CAST(round((t0 + s1 * dt) / 1000) AS BIGINT)) AS left_ms
+FROM (SELECT *, greatest(0e0, CASE WHEN dx <> 0 THEN least(w / dx, e / dx) END, CASE WHEN dy <> 0 THEN least(s / dy, n / dy) END, CASE WHEN dt <> 0 THEN least(a / dt, b / dt) END) AS s0,
+             least(1e0, CASE WHEN dx <> 0 THEN greatest(w / dx, e / dx) END, CASE WHEN dy <> 0 THEN greatest(s / dy, n / dy) END, CASE WHEN dt <> 0 THEN greatest(a / dt, b / dt) END) AS s1
+      FROM (SELECT *, 4.3205e0 - lon AS w, 4.3445e0 - lon AS e, 50.8085e0 - lat AS s, 50.8195e0 - lat AS n,
+                   CAST(epoch_us({_before_end(30)}) - t0 AS DOUBLE) AS a, CAST(epoch_us({_before_end(6)}) - t0 AS DOUBLE) AS b,
+                   coalesce(lon2 - lon, 0e0) AS dx, coalesce(lat2 - lat, 0e0) AS dy, CAST(coalesce(epoch_us(ts2) - t0, 0) AS DOUBLE) AS dt
+            FROM (SELECT *, epoch_us(ts) AS t0, lead(ts) OVER p AS ts2, lead(lon) OVER p AS lon2, lead(lat) OVER p AS lat2
+                  FROM fx_trip_instant WINDOW p AS (PARTITION BY trip_id ORDER BY ts)) f) g
+      WHERE (dx <> 0 OR (w <= 0 AND e >= 0)) AND (dy <> 0 OR (s <= 0 AND n >= 0)) AND (dt <> 0 OR (a <= 0 AND b > 0))) h
+WHERE s0 <= s1 AND (dt = 0 OR s0 * dt < b) GROUP BY trip_id, lineid, direction"""
+
+
 def all_sql() -> dict[str, str]:
     return {name: with_views(sql) for name, sql in SQL.items()}

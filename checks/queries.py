@@ -12,7 +12,7 @@ from pulseline.adapters import EPOCH_2024_US, ORDER_SPACING_US, Adapter, feed_of
 from pulseline.durable import materialise, scratch
 from pulseline.functions import geo, ids
 from pulseline.operators import catalogue as cat
-from pulseline.operators import linking, merge, network, positions, shapes, temporal, tiles, trips
+from pulseline.operators import linking, merge, network, positions, shapes, spacetime, temporal, tiles, trips
 from pulseline.plans import pipelines
 from pulseline.plans import queries as plans
 from pulseline.plans.filters import TimeFilter, filter_trips, latest_end
@@ -697,6 +697,16 @@ def trajectories_stored(a: Adapter) -> DataFrame:
                        "t_ms", *_round("lon", "lat"))
 
 
+@_query("line_stops", "trip_samples", "trips")
+def trips_in_box_and_window(a: Adapter) -> DataFrame:
+    """Trips that pass a part of the map within a day, over stored tables."""
+    tables = _stored_trips(a)
+    end = tables.latest_end()
+    found = spacetime.trips_in_box(tables.read_by_day("trip_boxes"), tables.read_by_day("trip_samples"),
+                                   spacetime.Box(4.3205, 50.8085, 4.3445, 50.8195), end - timedelta(hours=30), end - timedelta(hours=6))
+    return found.select("trip_id", "lineid", "direction", F.unix_millis("entered").alias("entered_ms"), F.unix_millis("left").alias("left_ms"))
+
+
 def _eta(df: DataFrame, *more: str) -> DataFrame:
     return df.select(*more, _us("poll_ts"), "lineid", _us("expected"), "destination", "message")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pulseline import schemas
 from pulseline.durable import materialise
 from pulseline.operators.merge import new_rows, upserted
+from pulseline.operators.spacetime import BOXES, part_boxes
 from pulseline.operators.tiles import FEATURES
 from pulseline.operators.trips import by_day
 from pulseline.session import pin_utc
@@ -29,12 +30,13 @@ SCHEMAS = {
     "stops": schemas.STOPS, "line_stops": schemas.LINE_STOPS, "line_terminus": schemas.LINE_TERMINUS,
     "line_shapes": schemas.LINE_SHAPES, "shape_points": schemas.SHAPE_POINTS,
     "positions": schemas.POSITIONS + ", service_date date", "waiting_times": schemas.WAITING_TIMES + ", poll_date date",
-    "trips": schemas.TRIPS + ", first_day date, day date", "trip_samples": schemas.TRIP_SAMPLES + ", day date", "tile_features": FEATURES,
+    "trips": schemas.TRIPS + ", first_day date, day date", "trip_samples": schemas.TRIP_SAMPLES + ", day date",
+    "trip_boxes": BOXES + ", first_day date, day date", "tile_features": FEATURES,
 }
 
 
 # Replaced together, under the same snapshot number.
-JOINT = ("trips", "trip_samples")
+JOINT = ("trips", "trip_samples", "trip_boxes")
 # Columns of the layout by day, which plain readers do not see.
 DAYS = ("day", "first_day")
 
@@ -73,7 +75,7 @@ class Tables:
         rows = self.read_by_day(name)
         if name not in JOINT:
             return rows
-        return (rows.where("day = first_day") if name == "trips" else rows).drop(*DAYS)
+        return (rows if name == "trip_samples" else rows.where("day = first_day")).drop(*DAYS)
 
     def trip_days(self) -> list[date]:
         """The days (UTC) that stored trips touch, from the names of the partitions."""
@@ -93,7 +95,7 @@ class Tables:
         return datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=last)
 
     def read_by_day(self, name: str) -> DataFrame:
-        """The rows as they are laid out. Trips have one for each ``day`` that they touch, samples the day they
+        """The rows as they are laid out. Trips and their boxes have one for each ``day`` that they touch, samples the day they
         fall on; functions that ask for an instant or a window read only the days they need of such rows."""
         reader = self.spark.read.schema(SCHEMAS[name])
         if name in ("positions", "waiting_times"):
@@ -167,15 +169,16 @@ class Tables:
     def replace_trips(self, trips: DataFrame, samples: DataFrame, lines: list[str] | None = None) -> None:
         """Replaces all trips, or only those of ``lines``. Headers and samples are partitioned by day (UTC),
         a header once for each day that its trip touches, and sorted by line and time, so that an
-        instant or a window reads few days and a line filter few row groups. Headers and samples
-        become visible at once, as a new joint snapshot, when both are written; one for some lines
-        takes the others' rows from the snapshot before."""
+        instant or a window reads few days and a line filter few row groups; boxes of trip parts are written
+        with them, sorted by place. Headers, samples and boxes become visible at once, as a new joint
+        snapshot, when all are written; one for some lines takes the others' rows from the snapshot before."""
         number, finished = self._next_snapshot(*JOINT), self._finished(JOINT[0])
-        for name, rows, order in (("trips", trips, "start_ts"), ("trip_samples", samples, "ts")):
+        order = {"trips": ["lineid", "start_ts", "trip_id"], "trip_samples": ["lineid", "ts", "trip_id"], "trip_boxes": ["place", "start_ts", "trip_id"]}
+        for name, rows in (("trips", trips), ("trip_samples", samples), ("trip_boxes", part_boxes(samples))):
             rows = rows.select(*[c.split()[0] for c in SCHEMAS[name].split(", ") if c.split()[0] not in DAYS])
             if lines is not None and finished:
                 rows = rows.unionByName(self.read(name).where(~F.col("lineid").isin(lines)))
-            self.replace(name, by_day(rows).hint("rebalance", "day"), ["day"], ["lineid", order, "trip_id"], number)
+            self.replace(name, by_day(rows).hint("rebalance", "day"), ["day"], order[name], number)
 
     def replace_tiles(self, features: DataFrame) -> None:
         """Replaces the tile table. Files hold disjoint ranges of quadkeys; the feature's id takes part in
