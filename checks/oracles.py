@@ -613,5 +613,21 @@ FROM (SELECT *, greatest(0e0, CASE WHEN dx <> 0 THEN least(w / dx, e / dx) END,
 WHERE s0 <= s1 AND (dt = 0 OR s0 * dt < b) GROUP BY trip_id, lineid, direction"""
 
 
+SQL["load_report"] = """
+SELECT * FROM (WITH bad AS (SELECT CASE lineid WHEN '1' THEN 'direction' WHEN '2' THEN 'no direction' ELSE 'fetched_at' END AS reason, count(*) AS n
+             FROM fx_feed WHERE lineid IN ('1', '2', '3') GROUP BY 1),
+good AS (SELECT CAST("pointId" AS BIGINT) % 11 = 10 AS unknown, f.* FROM fx_feed f WHERE lineid NOT IN ('1', '2', '3')),
+tally AS (SELECT count(*) FILTER (WHERE unknown) AS unlocated, count(*) FILTER (WHERE NOT unknown) AS located FROM good),
+ids AS (SELECT count(*) AS n FROM (SELECT DISTINCT lineid, "directionId", "pointId", "distanceFromPoint", poll_ts FROM good WHERE NOT unknown) d),
+told AS (SELECT r.run, 'positions' AS step, 'rejected: ' || reason AS outcome, n FROM bad, (VALUES (1), (2)) r(run)
+   UNION ALL SELECT r.run, 'dead_letters', reason, n FROM bad, (VALUES (1), (2)) r(run)
+   UNION ALL SELECT r.run, 'positions', 'unlocated', unlocated FROM tally, (VALUES (1), (2)) r(run)
+   UNION ALL SELECT 1, 'positions', 'inserted', n FROM ids
+   UNION ALL SELECT 1, 'positions', 'known', located - n FROM tally, ids
+   UNION ALL SELECT 2, 'positions', 'known', located FROM tally
+   UNION ALL SELECT r.run, 'waiting_times', 'appended', (SELECT count(*) FROM fx_waiting_time) FROM (VALUES (1), (2)) r(run))
+SELECT CAST(run AS INTEGER) AS run, step, outcome, n FROM told WHERE n > 0) q"""
+
+
 def all_sql() -> dict[str, str]:
     return {name: with_views(sql) for name, sql in SQL.items()}

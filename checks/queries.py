@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseline.adapters import EPOCH_2024_US, ORDER_SPACING_US, Adapter, feed_of, instant
@@ -218,7 +218,7 @@ def replay_counts(a: Adapter) -> DataFrame:
                            ("line_terminus", documents.scan_line_terminus)):
             tables.upsert(name, scan(a.spark, f"{root}/raw/{name}"))
         pipelines.store_shapes(tables, a.line_shapes.select("*", *place), a.shape_points, replace=False)
-        pipelines.load_pings(tables, feeds.scan_pings(a.spark, [root], kind="positions"))
+        pipelines.load_pings(tables, feeds.scan_ping_records(a.spark, [root]))
         tables.append_waiting_times(a.waiting_times, once=True)
     return pipelines.rebuild_trips(tables)
 
@@ -286,6 +286,25 @@ def replay_contents(a: Adapter) -> DataFrame:
     return every
 
 
+@_query("line_stops", "feed")
+def load_report(a: Adapter) -> DataFrame:
+    """What a replay says became of its records: the feed, where one line's pings have no usable
+    direction, another's none, a third's no time, and some stops no coordinates; then the whole again."""
+    root = scratch(a.spark, "reported")
+    _dump(a.patchy_stops, root, "static/stops.jsonl.gz")
+    _dump(a.line_terminus, root, "static/line_terminus.jsonl.gz")
+    direction = F.when(F.col("lineid") == "1", F.concat(F.lit("to "), "directionId")).when(F.col("lineid") != "2", F.col("directionId"))
+    _dump(a.feed.select("lineid", direction.alias("direction"), F.col("pointId").alias("pointid"), F.col("distanceFromPoint").alias("distance_from_point"),
+                        F.when(F.col("lineid") != "3", F.col("poll_ts")).otherwise("soon").alias("poll_ts")), root, "positions/feed.jsonl.gz")
+    _dump(a.waiting_times.select(F.date_format("poll_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("poll_ts"), "pointid", "lineid"), root, "waiting_times/polls.jsonl.gz")
+    tables = Tables(a.spark, scratch(a.spark, "tables"))
+    pipelines.replay(a.spark, tables, [root])
+    pipelines.replay(a.spark, tables, [root])
+    run = F.dense_rank().over(Window.orderBy("load")).alias("run")  # a few rows per run
+    dead = tables.read("rejected_pings").groupBy(F.col("load"), F.lit("dead_letters").alias("step"), F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return tables.read("load_report").where("n > 0").unionByName(dead).select(run, "step", "outcome", "n")
+
+
 @_query("line_stops", "feed")
 def mirror_round_trip(a: Adapter) -> DataFrame:
     """Pings mirrored as dumps and read again: the same ids."""

@@ -12,7 +12,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 _local_folder: str | None = None
 _scopes = threading.local()
@@ -60,6 +61,17 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             remove(spark, folder)
 
 
+def observed(seen: Observation) -> dict[str, int]:
+    """Metrics of rows that were written; none where the optimizer found that there are no rows, as it
+    drops the metrics with them, which has no row to convert."""
+    try:
+        return seen.get
+    except Py4JJavaError as missing:
+        if "toPyRow" not in str(missing):
+            raise
+        return {}
+
+
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back."""
     path = scratch(df.sparkSession, name)

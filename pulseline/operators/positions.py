@@ -30,10 +30,10 @@ def _fields_of(record: Column) -> Column:
     )
 
 
-def _coerced(records: DataFrame, record: str) -> DataFrame:
+def _coerced(records: DataFrame, record: str, *more: Column) -> DataFrame:
     # The many look-ups sit in one array function: as plain columns they would be
     # repeated in every later filter, in methods too long for the JVM to compile.
-    return records.select(F.inline(F.transform(F.array(record), _fields_of)))
+    return records.select(*more, F.inline(F.transform(F.array(record), _fields_of)))
 
 
 def coerce_pings(records: DataFrame, record: str = "record") -> DataFrame:
@@ -44,18 +44,39 @@ def coerce_pings(records: DataFrame, record: str = "record") -> DataFrame:
     ``id_given`` tells ids that came with the record from those derived here.
     """
     typed = _coerced(records, record).dropna(subset=REQUIRED)
-    made = ids.ping_id(*[F.col(c) for c in (*KEY, "fetched_at_text", "distance_from_point")])
-    return typed.select(F.coalesce("_given", made).alias("position_id"), *KEY, "distance_from_point",
+    return typed.select(_ping_id().alias("position_id"), *KEY, "distance_from_point",
                         "fetched_at_text", F.col("_given").isNotNull().alias("id_given"))
 
 
 def ping_outcomes(records: DataFrame, record: str = "record") -> DataFrame:
     """How many records are kept, and how many go for which reason."""
-    reason = F.coalesce(*[F.when(F.col(c).isNull(), f"no {c}") for c in REQUIRED],
-                        _unparsed(), F.lit("kept"))
+    reason = F.coalesce(_reason(), F.lit("kept"))
     return _coerced(records, record).groupBy(reason.alias("outcome")).agg(F.count(F.lit(1)).alias("pings"))
 
 
+# What ``_reason`` may say.
+REASONS = [*[f"no {c}" for c in REQUIRED], "direction", "fetched_at"]
+
+
+def rated_pings(records: DataFrame, record: str = "record") -> DataFrame:
+    """Every record as a typed ping, with the ``reason`` why it cannot be used (NULL for those that can) and, of such
+    records, ``file`` and text. The usable ones equal ``typed_pings`` of ``coerce_pings``."""
+    file = F.col("file") if "file" in records.columns else F.lit(None).cast("string")
+    rated = _coerced(records, record, file.alias("file"), F.to_json(record).alias("raw")).withColumn("reason", _reason())
+    return rated.select(
+        _ping_id().alias("position_id"), "lineid", text.to_int(F.col("direction")).alias("direction"), "pointid", "distance_from_point",
+        text.to_instant(F.col("fetched_at_text")).alias("fetched_at"), F.col("_given").isNotNull().alias("id_given"), "reason",
+        *[F.when(F.col("reason").isNotNull(), F.col(c)).alias(c) for c in ("file", "raw")], F.col("reason").isNotNull().alias("rejected"))
+
+
+def _ping_id() -> Column:
+    return F.coalesce("_given", ids.ping_id(*[F.col(c) for c in (*KEY, "fetched_at_text", "distance_from_point")]))
+
+
+def _reason() -> Column:
+    return F.coalesce(*[F.when(F.col(c).isNull(), f"no {c}") for c in REQUIRED], _unparsed())
+
+
 def _unparsed() -> Column:
     return (F.when(text.to_int(F.col("direction")).isNull(), "direction")
             .when(text.to_instant(F.col("fetched_at_text")).isNull(), "fetched_at"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from pulseline.durable import materialise, scratch_scope
+from pulseline.durable import materialise, observed, scratch_scope
 from pulseline.operators import linking, network, positions, tiles
 from pulseline.operators.catalogue import terminus_locations
 from pulseline.operators.ordered import earliest_per_key
 from pulseline.plans.queries import table_counts
-from pulseline.sinks.tables import KEYS, Tables
+from pulseline.sinks.tables import KEYS, SCHEMAS, Tables
 from pulseline.sources import catalogue, gtfs, pings
 
 COUNTED = ["positions", "trips", "stops", "line_shapes", "waiting_times"]
@@ -25,12 +27,21 @@ def resolve_against(tables: Tables, typed: DataFrame, index: positions.ShapeInde
     return positions.resolve_positions(typed, tables.read("stops"), tables.read("line_terminus"), index)
 
 
-def load_pings(tables: Tables, raw: DataFrame) -> None:
-    """Coerced pings to located, stored positions. The insert collapses copies, so
-    pings are shuffled by id once."""
+def load_pings(tables: Tables, records: DataFrame, load: str = "") -> dict[str, int]:
+    """Raw ping records to located, stored positions. The insert collapses copies, so
+    pings are shuffled by id once. Records that cannot be used go to ``rejected_pings`` with the reason.
+    Returns records per outcome, counted while they are written: each reason, pings whose stop and
+    shape are unknown, ids that were there already, new positions."""
+    seen = Observation()
+    told = [F.count_if(F.col("reason") == r).alias(r) for r in positions.REASONS]
     with scratch_scope(tables.spark):
-        typed = materialise(positions.typed_pings(raw), "pings")
-        tables.insert_positions(resolve_against(tables, typed))
+        rated = positions.rated_pings(records).observe(seen, F.count_if(F.col("reason").isNull()).alias("usable"), *told)
+        rows = materialise(rated, "pings", "rejected")
+        tables.append("rejected_pings", rows.where("rejected").select(F.lit(load).alias("load"), "file", "reason", F.col("raw").alias("record")))
+        stored = tables.insert_positions(resolve_against(tables, rows.where("not rejected").drop("reason", "file", "raw", "rejected")))
+    counted = observed(seen)
+    return {**{f"rejected: {r}": counted.get(r, 0) for r in positions.REASONS}, "unlocated": counted.get("usable", 0) - stored["incoming"],
+            "known": stored["incoming"] - stored["inserted"], "inserted": stored["inserted"]}
 
 
 def store_shapes(tables: Tables, shapes: DataFrame, vertices: DataFrame, replace: bool) -> None:
@@ -47,7 +58,10 @@ def store_shapes(tables: Tables, shapes: DataFrame, vertices: DataFrame, replace
 def replay(spark: SparkSession, tables: Tables, folders: list[str], stops_from_assignments: bool = False,
            spread: int | None = None) -> DataFrame:
     """Loads every dump below ``folders``, catalogue first. Running it again adds
-    nothing but waiting times, which have no key. Returns rows per table."""
+    nothing but waiting times, which have no key. Returns rows per table; what became of the
+    records of this run is added to the table ``load_report``."""
+    load = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S.%f}"
+    report: list[tuple[str, str, str, int]] = []
     for name, scan in (("stops", catalogue.scan_stops), ("line_stops", catalogue.scan_line_stops),
                        ("line_terminus", catalogue.scan_line_terminus)):
         rows = scan(spark, folders, kind=f"static_{name}")
@@ -59,11 +73,16 @@ def replay(spark: SparkSession, tables: Tables, folders: list[str], stops_from_a
         store_shapes(tables, last.drop("path"), catalogue.shape_vertices(last), replace=False)
     assigned = pings.scan_assignments(spark, folders, search=True)
     if not assigned.isEmpty():
-        tables.insert_positions(assigned.where("position_id is not null"))
+        stored = tables.insert_positions(assigned.where("position_id is not null"))
+        report += [(load, "assignments", "known", stored["incoming"] - stored["inserted"]), (load, "assignments", "inserted", stored["inserted"])]
         if stops_from_assignments:
             tables.upsert("stops", pings.observed_stops(assigned), ["pointid"], ["lon", "lat"])
-    load_pings(tables, pings.scan_pings(spark, folders, spread, kind="positions"))
-    tables.append_waiting_times(pings.scan_waiting_times(spark, folders, spread, kind="waiting_times"))
+    outcomes = load_pings(tables, pings.scan_ping_records(spark, folders, spread), load)
+    report += [(load, "positions", outcome, n) for outcome, n in outcomes.items()]
+    appended = Observation()
+    tables.append_waiting_times(pings.scan_waiting_times(spark, folders, spread, kind="waiting_times").observe(appended, F.count(F.lit(1)).alias("n")))
+    report.append((load, "waiting_times", "appended", observed(appended).get("n", 0)))
+    tables.append("load_report", spark.createDataFrame(report, SCHEMAS["load_report"]).coalesce(1))
     return counts(tables)
 
 

@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pulseline import schemas
-from pulseline.durable import materialise
+from pulseline.durable import materialise, observed
 from pulseline.operators.merge import new_rows, upserted
 from pulseline.operators.spacetime import BOXES, part_boxes
 from pulseline.operators.tiles import FEATURES
@@ -31,12 +31,15 @@ SCHEMAS = {
     "line_shapes": schemas.LINE_SHAPES, "shape_points": schemas.SHAPE_POINTS,
     "positions": schemas.POSITIONS + ", service_date date", "waiting_times": schemas.WAITING_TIMES + ", poll_date date",
     "trips": schemas.TRIPS + ", first_day date, day date", "trip_samples": schemas.TRIP_SAMPLES + ", day date",
+    "rejected_pings": "load string, file string, reason string, record string", "load_report": "load string, step string, outcome string, n long",
     "trip_boxes": BOXES + ", first_day date, day date", "tile_features": FEATURES,
 }
 
 
 # Replaced together, under the same snapshot number.
 JOINT = ("trips", "trip_samples", "trip_boxes")
+# Written by appending alone, without snapshots.
+APPENDED = ("positions", "waiting_times", "rejected_pings", "load_report")
 # Columns of the layout by day, which plain readers do not see.
 DAYS = ("day", "first_day")
 
@@ -98,7 +101,7 @@ class Tables:
         """The rows as they are laid out. Trips and their boxes have one for each ``day`` that they touch, samples the day they
         fall on; functions that ask for an instant or a window read only the days they need of such rows."""
         reader = self.spark.read.schema(SCHEMAS[name])
-        if name in ("positions", "waiting_times"):
+        if name in APPENDED:
             path = f"{self.root}/{name}"
             return reader.parquet(path) if self._exists(path) else self.spark.createDataFrame([], SCHEMAS[name])
         finished = self._finished(name)
@@ -130,16 +133,21 @@ class Tables:
         With ``columns`` an update touches only those and keeps the others."""
         self.replace(name, upserted(self.read(name), incoming, KEYS[name], load_order, columns))
 
-    def insert_positions(self, incoming: DataFrame) -> None:
+    def append(self, name: str, rows: DataFrame) -> None:
+        rows.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]).write.mode("append").parquet(f"{self.root}/{name}")
+
+    def insert_positions(self, incoming: DataFrame) -> dict[str, int]:
         """Insert-ignore by position id. A derived id contains the time, so its
         copies share a service date and are looked for on the incoming dates
-        only; ids that came with the data (``id_given``) are looked for everywhere."""
+        only; ids that came with the data (``id_given``) are looked for everywhere.
+        Returns how many rows came in and how many were new, counted as they are written."""
         columns = [c.split()[0] for c in SCHEMAS["positions"].split(", ")]
         if "id_given" not in incoming.columns:
             incoming = incoming.withColumn("id_given", F.lit(True))
+        came, added = Observation(), Observation()
         rows = materialise(
-            incoming.withColumn("service_date", F.to_date("fetched_at")).select(*columns, "id_given"),
-            "incoming-positions")
+            incoming.withColumn("service_date", F.to_date("fetched_at")).select(*columns, "id_given")
+            .observe(came, F.count(F.lit(1)).alias("n")), "incoming-positions")
         # One value per calendar day of the input.
         dates = [r["service_date"] for r in rows.select("service_date").distinct().collect()]
         stored = self.read("positions").select("service_date", "position_id")
@@ -151,8 +159,9 @@ class Tables:
             taken = stored.unionByName(derived.select(*stored.columns))
             fresh = derived.unionByName(new_rows(taken, rows.where("id_given"), ["position_id"], order))
         (fresh.select(*columns).hint("rebalance", "service_date")
-         .sortWithinPartitions("service_date", "lineid", "direction", "fetched_at")
+         .sortWithinPartitions("service_date", "lineid", "direction", "fetched_at").observe(added, F.count(F.lit(1)).alias("n"))
          .write.mode("append").partitionBy("service_date").parquet(f"{self.root}/positions"))
+        return {"incoming": observed(came).get("n", 0), "inserted": observed(added).get("n", 0)}
 
     def append_waiting_times(self, rows: DataFrame, once: bool = False) -> None:
         """Plain append; ``once`` skips rows that are there already. Partitioned by the day

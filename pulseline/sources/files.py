@@ -10,6 +10,7 @@ LOAD_ORDER = ["static_stops", "static_line_stops", "static_line_terminus", "stat
               "assignments", "positions", "waiting_times"]
 DUMPS = "*.{jsonl,json,csv}.gz"
 RECORD_DUMPS = "*.{jsonl,json}.gz"
+CSV_DUMPS = "*.csv.gz"
 
 
 def kind_of(path: Column) -> Column:
@@ -53,13 +54,13 @@ def in_load_order(files: DataFrame) -> DataFrame:
     return files.orderBy(F.when(rank == 0, 99).otherwise(rank), F.substring_index("path", "/", -1))
 
 
-def text_lines(spark: SparkSession, paths: list[str] | str, kind: str | None = None) -> DataFrame:
+def text_lines(spark: SparkSession, paths: list[str] | str, kind: str | None = None, names: str = RECORD_DUMPS) -> DataFrame:
     """Lines with their place: ``file`` and a ``row_no`` that grows along a file.
     With ``kind``, ``paths`` are folders searched for the dumps of that kind; the
     test on the path prunes the other files before anything is read."""
     reader = spark.read
     if kind:
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", RECORD_DUMPS)
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", names)
     lines = reader.text(paths)
     if kind:
         lines = lines.where(kind_of(F.col("_metadata.file_path")) == kind)
@@ -77,3 +78,24 @@ def json_records(spark: SparkSession, paths: list[str] | str, spread: int | None
     if spread:
         lines = lines.repartition(spread)
     return lines.withColumn("record", F.from_json("value", "map<string,string>")).where("record is not null").drop("value")
+
+
+def csv_records(spark: SparkSession, paths: list[str] | str, fields: list[str], required: list[str],
+                kind: str | None = None) -> DataFrame:
+    """Text columns ``fields`` of CSV files that may order their columns differently, each by its own header: the line
+    that names all ``required`` fields. Fields a file does not have are NULL, files without a header have no rows."""
+    lines = text_lines(spark, paths, kind, CSV_DUMPS).select("file", F.regexp_replace("value", "^\uFEFF|\r$", "").alias("value"))
+    named = F.lit(True)
+    for name in required:
+        named = named & F.col("value").contains(name)
+    width = lines.where(named).agg(F.max(F.size(F.split("value", ",")))).first()[0]
+    if width is None:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in fields))
+    parsed = F.from_csv("value", ", ".join(f"c{n} string" for n in range(width)))
+    cells = lines.where(F.trim("value") != "").select("file", parsed.alias("_row")).select(
+        "file", F.array(*[F.col("_row")[f"c{n}"] for n in range(width)]).alias("cells"))
+    is_header = F.size(F.array_except(F.array(*[F.lit(c) for c in required]), "cells")) == 0
+    # One row per file.
+    headers = cells.where(is_header).groupBy("file").agg(F.min("cells").alias("header"))
+    return cells.where(~is_header).join(headers, "file").select(
+        *[F.get("cells", (F.array_position("header", c) - 1).cast("int")).alias(c) for c in fields])

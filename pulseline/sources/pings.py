@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from pulseline.functions import text
 from pulseline.operators.positions import coerce_pings
-from pulseline.sources.files import discover, json_records
+from pulseline.sources.files import csv_records, json_records
 
 ASSIGNMENT_FIELDS = ["position_id", "fetched_at_utc", "lineId", "direction", "pointId", "distance",
                      "latitude", "longitude"]
+# A file without these has no usable row.
+LOCATED_FIELDS = ["fetched_at_utc", "latitude", "longitude"]
 
 
 def scan_pings(spark: SparkSession, paths: list[str] | str, spread: int | None = None,
@@ -18,19 +20,15 @@ def scan_pings(spark: SparkSession, paths: list[str] | str, spread: int | None =
     return coerce_pings(json_records(spark, paths, spread, kind))
 
 
+def scan_ping_records(spark: SparkSession, paths: list[str] | str, spread: int | None = None) -> DataFrame:
+    """Raw records of the ping dumps below folders, with their ``file``."""
+    return json_records(spark, paths, spread, kind="positions")
+
+
 def scan_assignments(spark: SparkSession, paths: list[str] | str, search: bool = False) -> DataFrame:
-    """Pings that come with coordinates and their own id. With ``search``,
-    ``paths`` are folders looked through for assignment files."""
-    # A file whose header differs from the first one's is an error, not shifted data.
-    reader = spark.read.option("header", True).option("enforceSchema", False)
-    if search:
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "assignments*.csv.gz")
-    if search and discover(spark, paths).where("kind = 'assignments'").isEmpty():
-        raw = spark.createDataFrame([], ", ".join(f"{c} string" for c in ASSIGNMENT_FIELDS))
-    else:
-        raw = reader.csv(paths)
-    raw = raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c)
-                       for c in ASSIGNMENT_FIELDS])
+    """Pings that come with coordinates and their own id. With ``search``, ``paths`` are folders
+    looked through for assignment files, each read by its own header."""
+    raw = csv_records(spark, paths, ASSIGNMENT_FIELDS, LOCATED_FIELDS, kind="assignments" if search else None)
     return raw.select(
         "position_id", F.lit(None).cast("string").alias("vehicle_uuid"), F.col("lineId").alias("lineid"),
         text.to_int(F.col("direction")).alias("direction"),

@@ -159,3 +159,41 @@ def test_polls_stream_into_positions_once(spark, tmp_path):
     batch = polls.payload_pings(spark.read.text(str(landed), wholetext=True), F.get_json_object("value", "$.polled"))
     assert {r[0] for r in batch.select("position_id").collect()} == {r[0] for r in stored.select("position_id").collect()}
     assert linking.link_pings(stored).count() == 5
+
+
+def test_a_replay_tells_what_became_of_its_records(spark, tmp_path):
+    dumps = tmp_path / "dumps"
+    write_catalogue(dumps)
+    write_pings(dumps)
+    dump(dumps / "positions/odd.jsonl.gz", [
+        {"poll_ts": "soon", "lineid": "71", "directionId": "14", "pointId": "10"}, {"poll_ts": text(0), "lineid": "71", "directionId": "14"},
+        {"poll_ts": text(0), "lineid": "9", "directionId": "14", "pointId": "nowhere"}])
+    tables = Tables(spark, str(tmp_path / "tables"))
+    for _ in range(2):
+        pipelines.replay(spark, tables, [str(dumps)])
+    runs = sorted({r.load for r in tables.read("load_report").collect()})
+    found = [{(r.step, r.outcome): r.n for r in tables.read("load_report").where(F.col("load") == run).collect() if r.n} for run in runs]
+    rejected = {("positions", f"rejected: {r}"): 1 for r in ("direction", "fetched_at", "no pointid")}
+    assert found[0] == {**rejected, ("positions", "unlocated"): 1, ("positions", "inserted"): 20}
+    assert found[1] == {**rejected, ("positions", "unlocated"): 1, ("positions", "known"): 20}
+    dead = tables.read("rejected_pings").where(F.col("load") == runs[0]).collect()
+    assert sorted(r.reason for r in dead) == ["direction", "fetched_at", "no pointid"]
+    assert all("71" in r.record and "positions/" in r.file for r in dead)
+
+
+def test_a_replay_of_nothing(spark, tmp_path):
+    (tmp_path / "dumps").mkdir()
+    tables = Tables(spark, str(tmp_path / "tables"))
+    assert set(counted(pipelines.replay(spark, tables, [str(tmp_path / "dumps")])).values()) == {0}
+    assert {r.n for r in tables.read("load_report").collect()} == {0} and tables.read("rejected_pings").count() == 0
+
+
+def test_usable_records_equal_coerced_and_typed_ones(spark):
+    values = [{"lineId": "71", "direction": "8", "pointId": "1", "distanceFromPoint": "2", "poll_ts": text(0)},
+              {"position_id": "own", "lineid": "71", "directionId": "8", "pointid": "1", "fetched_at": text(9)},
+              {"lineid": "71", "direction": "x", "pointid": "1", "poll_ts": text(0)}, {"lineid": "71"}, {}]
+    records = spark.createDataFrame([(v,) for v in values], "record map<string,string>")
+    typed = positions.typed_pings(positions.coerce_pings(records))
+    rated = positions.rated_pings(records)
+    assert sorted(map(repr, rated.where("not rejected").select(*typed.columns).collect())) == sorted(map(repr, typed.collect()))
+    assert sorted(r.reason for r in rated.where("rejected").collect()) == ["direction", "no direction", "no lineid"]

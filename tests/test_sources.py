@@ -209,3 +209,15 @@ def test_dumps_are_as_many_files_as_tasks(spark, tmp_path, name, kind):
     read = spark.read.option("recursiveFileLookup", True)
     rows = read.option("header", True).csv(f"{tmp_path}/all") if ".csv" in name else read.json(f"{tmp_path}/all")
     assert sorted(int(r.id) for r in rows.collect()) == list(range(40))
+
+
+def test_assignment_files_by_their_own_headers(spark, tmp_path, rows):
+    dump(tmp_path / "assignments_a.csv.gz", ["position_id,fetched_at_utc,lineId,direction,pointId,distance,latitude,longitude",
+                                             "a,2026-05-04T10:00:00Z,71,8472,12,34,50.8,4.3"])
+    dump(tmp_path / "assignments_b.csv.gz", ["﻿longitude,latitude,note,fetched_at_utc,position_id,lineId",
+                                             '4.4,50.9,"odd, quoted",2026-05-04T10:01:00Z,b,92', "4.5,51.0"])
+    dump(tmp_path / "assignments_c.csv.gz", ["position_id,lineId", "c,71"])
+    dump(tmp_path / "other.csv.gz", ["position_id,fetched_at_utc,latitude,longitude", "d,2026-05-04T10:00:00Z,50.8,4.3"])
+    got = pings.scan_assignments(spark, [str(tmp_path)], search=True)
+    assert rows(got, "position_id", "lineid", "direction", "pointid", "lon", "lat") == [
+        ("a", "71", 8472, "12", 4.3, 50.8), ("b", "92", None, None, 4.4, 50.9)]
