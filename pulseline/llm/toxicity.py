@@ -27,9 +27,10 @@ then those nearest to the border; Nyström features are kernel values to them, w
 As kernel and SVM are linear in the triples, the trained model is one table of weights.
 
 Score: the largest decision value over a text's units and joins, through a logistic curve fitted
-on the sample. Tasks keep the values of up to ``REMEMBERED`` units; nothing is shuffled.
+on the sample. Tasks keep the values of up to ``REMEMBERED`` units; nothing is shuffled. Texts are
+scored ``PIECE`` characters at a time, long ones in pieces with the same units and joins.
 
-Defined results: texts without units (null, empty, blank) get the score of the lowest
+Defined results: repeated rows get equal scores, a row without doc_id is scored and never held out; texts without units (null, empty, blank) get the score of the lowest
 decision value of the sample. Without both classes in the sample every score is 0.
 """
 
@@ -66,7 +67,14 @@ CLEAN_JOINS = 10_000
 FOLDS = 5
 REMEMBERED = 300_000
 
+# Characters scored at a time.
+PIECE = 1 << 19
+
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+_LETTER = re.compile(r"[^\W\d_]")
+_BLANK = re.compile(r"\s")
+# Ends a word that is not a single letter, so that no run of single letters crosses it.
+_CUT = re.compile(r"(?<=[^\W_]{2})\s")
 
 
 def units_of(text: str | None) -> set[str]:
@@ -86,6 +94,49 @@ def units_of(text: str | None) -> set[str]:
     return units
 
 
+def _reach(text: str, at: int) -> str:
+    """The letters of the words after the blank at ``at`` that a join which begins before it may take in."""
+    found, count, own, end = [], 0, 0, at
+    for hit in _LETTER.finditer(text, at):
+        if _BLANK.search(text, end, hit.start()):
+            if count >= JOINED:
+                break
+            found.append(" ")
+            own = 0
+        found.append(hit.group())
+        count, own, end = count + 1, own + 1, hit.end()
+        if own > JOINED:
+            break
+    return "".join(found)
+
+
+def pieces(text: str) -> Iterator[tuple[str, str]]:
+    """Cuts a text into parts of about ``PIECE`` characters whose units together are the text's, each with the letters
+    that joins from its end on reach into. A word, or a run of single letters, is never cut, however long."""
+    at, letter, reach = 0, -1, ""
+    while len(text) - at > PIECE and (cut := _CUT.search(text, at + PIECE)):
+        if letter < cut.start():  # else the next letter is the one that is known already
+            letter = found.start() if (found := _LETTER.search(text, cut.start())) else len(text)
+            reach = _reach(text, cut.start()) if found else ""
+        yield text[at:cut.start()], reach
+        at = cut.start()
+    yield text[at:], ""
+
+
+def _groups(texts: list[str | None]) -> Iterator[list[tuple[int, str, str]]]:
+    """(row, part, reach) of all texts' pieces, some 256 or about ``PIECE`` characters at a time."""
+    group, size = [], 0
+    for row, text in enumerate(texts):
+        for part, reach in pieces(text or ""):
+            if group and (len(group) == 256 or size + len(part) > PIECE):
+                yield group
+                group, size = [], 0
+            group.append((row, part, reach))
+            size += len(part)
+    if group:
+        yield group
+
+
 def variants(unit: str) -> list[str]:
     """Windows of a unit, and of its letters alone if it has others."""
     letters = _NOT_LETTERS.sub("", unit)
@@ -245,8 +296,8 @@ class Model:
     offset: float
 
     def decisions(self, strings: list[str]) -> np.ndarray:
-        """Decision values. A string's norm is 1 at least, so it is left out where the
-        value without it is below ``SURELY_CLEAN`` already."""
+        """Decision values. A string's norm is 1 at least, so a value below ``SURELY_CLEAN`` without
+        it is left undivided: no such string can be toxic, and clean ones are ordered by the undivided value."""
         found = np.full(len(strings), self.bias, dtype=np.float32)
         for rows, codes, weight in by_length(strings):
             value = self.table[codes] @ weight
@@ -468,25 +519,33 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def _score(model: Model):
+    known: dict[str, float] = {}
+
+    def units(bags: list[set[str]]) -> list[float]:
+        """The largest decision value of each bag; -inf of an empty one."""
+        if len(known) >= REMEMBERED:
+            known.clear()
+        new = list({u for bag in bags for u in bag if u not in known})
+        if new:
+            own = [variants(u) for u in new]
+            flat = model.decisions([v for vs in own for v in vs]).tolist()
+            at = 0
+            for unit, vs in zip(new, own):
+                known[unit] = max(flat[at:at + len(vs)], default=model.floor)
+                at += len(vs)
+        return [max(map(known.__getitem__, bag), default=-math.inf) for bag in bags]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                texts = part.column("text").to_pylist()
-                bags = [units_of(t) for t in texts]
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                new = list({u for bag in bags for u in bag if u not in known})
-                if new:
-                    own = [variants(u) for u in new]
-                    flat = model.decisions([v for vs in own for v in vs]).tolist()
-                    at = 0
-                    for unit, vs in zip(new, own):
-                        known[unit] = max(flat[at:at + len(vs)], default=model.floor)
-                        at += len(vs)
-                joins = model.worst_joins(texts).tolist()
-                scores = [model.score(max(max(map(known.__getitem__, bag), default=model.floor), worst)) for bag, worst in zip(bags, joins)]
+                best, worst = np.full((2, part.num_rows), -np.inf)
+                for group in _groups(part.column("text").to_pylist()):
+                    rows = [row for row, _, _ in group]
+                    np.maximum.at(best, rows, units([units_of(text) for _, text, _ in group]))
+                    np.maximum.at(worst, rows, model.worst_joins([text + reach for _, text, reach in group]))
+                best[np.isinf(best)] = model.floor
+                scores = [model.score(value) for value in np.maximum(best, worst).tolist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
     return run
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pulseline.llm import toxicity
@@ -143,3 +144,34 @@ def test_insults_of_two_ordinary_words(spark):
             words = [w for w in words if w != "drop"]
         rows.append((k, " ".join(words), int(toxic)))
     assert verdicts(spark, rows, ["some rain drop dead green", "drop... dead", "drop some dead wood", "dead drop"]) == [1, 1, 0, 0]
+
+
+def _odd_texts(n):
+    made = random.Random(11)
+    words = ["s", "t", "u", "pid", "mo", "ron", "a", "-", "*", "...", "12", "7", "__", "don't", "x_y", "Straße", "I", "ok", "m" * 40, "é", "İ"]
+    return ["".join(made.choice(words) + made.choice([" ", "  ", "\n", "\t ", "", " - "]) for _ in range(made.choice([0, 1, 30, 400]))) for _ in range(n)]
+
+
+def test_pieces_have_the_units_and_joins_of_the_whole_text(monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE", 25)
+    joins = lambda texts: {found.string(n) for found in [toxicity.Joins.of(texts)] for n in range(len(found.first))}
+    cut = 0
+    for text in [*_odd_texts(60), "1 22 333 " * 40 + "mo ron", "ab " + "7 7 77 " * 30 + "s t u", " ".join("word%s" % n for n in "abcdefghij" * 9)]:
+        parts = list(toxicity.pieces(text))
+        cut += len(parts) > 2
+        assert "".join(part for part, _ in parts) == text
+        assert set().union(*(toxicity.units_of(part) for part, _ in parts)) == toxicity.units_of(text)
+        assert joins([part + reach for part, reach in parts]) == joins([text])
+    assert cut > 20
+
+
+def test_scores_do_not_depend_on_pieces_or_batches(monkeypatch):
+    bad = [f"you are a total stupid moron number {n} truly" for n in range(60)]
+    good = [f"the weather in town number {n} is mild today and the garden grows" for n in range(200)]
+    model = toxicity.train(bad + good, [True] * 60 + [False] * 200)
+    texts = [*_odd_texts(40), None, "", " ", bad[0], " ".join(good * 3), " ".join(good) + " s t u p i d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    score = lambda: next(iter(toxicity._score(model)(iter([batch])))).column("score").to_pylist()
+    whole = score()
+    monkeypatch.setattr(toxicity, "PIECE", 30)
+    assert score() == pytest.approx(whole, abs=1e-5)
