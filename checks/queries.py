@@ -506,7 +506,7 @@ def trip_samples_in_window(a: Adapter) -> DataFrame:
 def trip_samples_clipped(a: Adapter) -> DataFrame:
     """The same with interpolated values at the window's borders."""
     inside = temporal.samples_in_window(a.trip_samples, _hours_before_end(a.trips, 30), _hours_before_end(a.trips, 6),
-                                        clip_bounds=True)
+                                        clip_bounds=True, trips=a.trips)
     return inside.select("trip_id", "lineid", "direction", _us("ts"), *_round("lon", "lat"))
 
 

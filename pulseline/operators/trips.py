@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulseline.durable import materialise
 from pulseline.functions.clock import DAY_SHIFT_MINUTES, ZONE, service_day
 from pulseline.operators.ordered import running_number
 
@@ -63,9 +64,13 @@ def assemble_trips(samples: DataFrame, part_seconds: int | None = PART_SECONDS)
     caller knows that trips are short."""
     fix = F.struct("ts", "lon", "lat")
     part = F.lit(0).cast("long") if part_seconds is None else time_slice(F.col("ts"), part_seconds)
-    packed = samples.withColumn("part", part).groupBy(*TRIP_KEY, "part").agg(
-        F.array_sort(F.collect_list(fix)).alias("samples"))
-    return packed.join(trip_headers(samples, min_points=1), TRIP_KEY)
+    # Written, as the extents come from the parts; the samples are read once.
+    packed = materialise(samples.withColumn("part", part).groupBy(*TRIP_KEY, "part").agg(
+        F.array_sort(F.collect_list(fix)).alias("samples"), F.min("ts").alias("_first"), F.max("ts").alias("_last"),
+        F.count(F.lit(1)).alias("_n")), "trip-parts")
+    whole = packed.groupBy(*TRIP_KEY).agg(F.min("_first").alias("start_ts"), F.max("_last").alias("end_ts"),
+                                          F.sum("_n").cast("int").alias("point_count"))
+    return packed.drop("_first", "_last", "_n").join(whole, TRIP_KEY)
 
 
 def union_trips(open_trips: DataFrame, closed_trips: DataFrame) -> DataFrame:
