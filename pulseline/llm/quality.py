@@ -28,6 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseline.durable import materialise
 from pulseline.llm.rows import packed, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -122,7 +123,8 @@ def labelled(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashes = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes")
-    known, same = labelled(labels), F.col("doc_id") == F.col("_label_id")
+    # A table of its own, so that Spark knows its size and shuffles the texts only where the labels are many.
+    known, same = materialise(labelled(labels), "labels"), F.col("doc_id") == F.col("_label_id")
 
     def counts(rows: DataFrame) -> list[float]:
         found = [SMOOTHING] * BUCKETS
@@ -130,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             found[row["bucket"]] += row["count"]
         return found
 
-    raw, target = counts(texts), counts(texts.join(known.where("_good").hint("merge"), same))
+    raw, target = counts(texts), counts(texts.join(known.where("_good"), same))
     shift = math.log(sum(raw)) - math.log(sum(target))
     model = Model([round(math.log(t) - math.log(r) + shift, 9) for t, r in zip(target, raw)], -math.inf)
     scores = (texts.select("doc_id", hashes).where(F.size("hashes") >= 10)
