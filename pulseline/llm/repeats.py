@@ -8,11 +8,14 @@ is found under the anchor of one indexed block, and about one word in 22 starts
 
 1. Every block of every document goes into the index: anchor, hash of its words,
    document, place. Successive equal blocks (periodic text) are one entry.
-2. Parsing: anchors that only one document has are literals. A block that an earlier
-   document holds word for word is a factor; successive factors grow together.
+2. Parsing: anchors that only one document has are literals. Every other block that an earlier
+   document holds word for word refers to its earliest copy, a document and a place there. Each
+   document is then factored from left to right: a factor starts at the first block that has a
+   reference, and takes the next block as long as that one's reference goes on where the last one's
+   ended; a factor ends at a literal or where the earliest copy changes.
 3. Factor boundaries: where blocks under one anchor differ (a passage begins or ends
    there), the windows of the earliest copy of each differing block are compared one
-   by one, so factors end at the exact word.
+   by one, so that what stands before and after a factor is found to the exact word.
 
 A factor is at least one window long, and its words are duplicate spans. All of that
 is equi-joins and aggregates; a frequent passage is one row per task after map-side
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +42,8 @@ from pulseline.llm.rows import packed, unpacked
 from pulseline.llm.wordhash import _power_tables, mix, ngrams, text_chunks, words_of
 
 GRAM = 8
+# A block's document, text, first and last window.
+PLACE = ["doc_id", "text_key", "first", "last"]
 
 
 def _running(words: np.ndarray) -> np.ndarray:
@@ -133,6 +138,21 @@ def _windows(window: int):
     return run
 
 
+def factored(blocks: DataFrame) -> DataFrame:
+    """The greedy parse. ``blocks``: the blocks of documents (``PLACE``) that have a ``source``, the place of their
+    earliest copy. Returns the factors (doc_id, text_key, first and last window, source where it starts): runs of successive
+    blocks whose sources follow each other in one document. Rows of equal documents count once."""
+    once = blocks.groupBy("doc_id", "text_key", "first").agg(F.min(F.struct("last", "source")).alias("_b")).select(
+        "doc_id", "text_key", "first", "_b.last", "_b.source")
+    along = Window.partitionBy("doc_id", "text_key").orderBy("first")
+    before = F.lag(F.struct("last", "source")).over(along)
+    goes_on = ((F.col("_before.last") + 1 == F.col("first")) & (F.col("_before.source.last") + 1 == F.col("source.first"))
+               & (F.col("_before.source.doc_id") == F.col("source.doc_id")) & (F.col("_before.source.text_key") == F.col("source.text_key")))
+    numbered = once.withColumn("_before", before).withColumn("_factor", F.count_if(~F.coalesce(goes_on, F.lit(False))).over(along))
+    return numbered.groupBy("doc_id", "text_key", "_factor").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("source", "first").alias("source")).drop("_factor")
+
+
 def duplicate_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc_id, text_key, spans) of the documents with words that stand, in a window of
     ``window`` words, also in a document with a smaller doc_id. Spans are word places,
@@ -145,13 +165,13 @@ def duplicate_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     shared = materialise(index.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
                          .where("low < high").select("anchor"), "shared")
     met = materialise(index.join(shared, "anchor"), "met")
-    earliest = met.groupBy("anchor", "block").agg(F.min("doc_id").alias("earliest"))
+    earliest = met.groupBy("anchor", "block").agg(F.min(F.struct(*PLACE)).alias("source"))
     differing = earliest.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("anchor", F.lit(True).alias("differs"))
     reference = materialise(earliest.join(differing, "anchor", "left"), "reference")
     parsed = materialise(
-        met.join(reference, ["anchor", "block"])
-        .where("doc_id > earliest or differs").select(met["*"], (F.col("doc_id") > F.col("earliest")).alias("factor")), "parsed")
-    factors = parsed.where("factor").select("doc_id", "text_key", "first", (F.col("last") + window).alias("end"))
+        met.join(reference, ["anchor", "block"]).withColumn("factor", F.col("doc_id") > F.col("source.doc_id"))
+        .where("factor or differs").select(met["*"], F.when(F.col("factor"), F.col("source")).alias("source"), "factor"), "parsed")
+    factors = factored(parsed.where("factor")).select("doc_id", "text_key", "first", (F.col("last") + window).alias("end"))
     borders = parsed.where("not factor").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("asked"))
     windows = materialise(
         texts.join(borders, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])

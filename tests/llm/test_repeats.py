@@ -66,6 +66,48 @@ def test_very_long_text(spark):
     assert run(spark, rows, 50) == brute(rows, 50)
 
 
+def greedy(blocks):
+    """Factors straight from the rule, one document at a time."""
+    found = []
+    for d, k in sorted({(b[0], b[1]) for b in blocks}):
+        run = None
+        for first, last, source in sorted({b[2:] for b in blocks if b[:2] == (d, k)}):
+            if run and run[1] + 1 == first and run[3][:2] == source[:2] and run[3][3] + 1 == source[2]:
+                run = [run[0], last, run[2], source]
+            else:
+                found += [(d, k, *run[:3])] if run else []
+                run = [first, last, source, source]
+        found.append((d, k, *run[:3]))
+    return sorted(found)
+
+
+def test_factors_grow_while_the_source_goes_on(spark):
+    rng, blocks = random.Random(6), []
+    for doc in range(1, 30):
+        place, source = 0, (0, 7, 0)
+        for _ in range(rng.randint(1, 12)):
+            last = place + rng.randrange(5)
+            row = (doc, doc % 3, place, last, (*source, source[2] + last - place))
+            blocks += [row] * rng.choice([1, 1, 2])
+            place = last + 1 + (rng.random() < 0.2)
+            source = (*source[:2], row[4][3] + 1) if rng.random() < 0.6 else (rng.randrange(2), 7, rng.randrange(40))
+    place = "doc_id long, text_key long, first int, last int"
+    df = spark.createDataFrame(blocks, f"{place}, source struct<{place.replace(' ', ': ').replace(',:', ',')}>")
+    got = sorted((r.doc_id, r.text_key, r.first, r.last, tuple(r.source)) for r in repeats.factored(df).collect())
+    assert got == greedy(blocks)
+    assert len(got) < len(set(blocks))
+
+
+def test_a_copied_passage_is_one_factor(spark):
+    words = [f"w{k}" for k in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(["own"] * 3 + words[20:380] + ["end"])), (2, "another text")]
+    spans = repeats.duplicate_spans(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()
+    longest = max((s.end - s.first for r in spans for s in r.spans))
+    assert [r.doc_id for r in spans] == [2] and longest > 250
+    covered = {k for s in spans[0].spans for k in range(s.first, s.end)}
+    assert covered == set(range(3, 363))
+
+
 def test_layout_stays_where_nothing_is_cut(spark):
     passage = " ".join(f"p{k}" for k in range(50))
     rows = [(1, f"one\ttwo\n\n{passage}"), (2, f" head\n line  \n{passage}\n\ntail\tend ")]
