@@ -522,6 +522,8 @@ JOIN fx_trip_instant s ON s.trip_id = t.trip_id AND s.ts >= {_before_end(5)} AND
 LEFT JOIN fx_label l ON l.lineid = s.lineid AND l.pointid = CAST(s.direction AS VARCHAR)
 LEFT JOIN fx_meta m ON m.lineid = s.lineid GROUP BY ALL""",
     "waiting_times_for_stop": f"""
+SELECT {ETA} FROM (SELECT * FROM fx_waiting_time WHERE pointid = '42' ORDER BY {ETA_ORDER} LIMIT 200) a""",
+    "waiting_times_stored": f"""
 SELECT {ETA} FROM (SELECT * FROM fx_waiting_time WHERE pointid = '42' ORDER BY {ETA_ORDER} LIMIT 200) a""",
     "waiting_times_per_stop": f"""
 SELECT pointid, CAST(rn AS INTEGER) AS rn, {ETA}

@@ -735,6 +735,14 @@ def waiting_times_for_stop(a: Adapter) -> DataFrame:
     return _eta(plans.waiting_times_for_stop(a.waiting_times, "42"))
 
 
+@_query()
+def waiting_times_stored(a: Adapter) -> DataFrame:
+    """The same over stored estimates, from the newest days that hold enough."""
+    tables = Tables(a.spark, scratch(a.spark, "tables"))
+    tables.append_waiting_times(a.waiting_times)
+    return _eta(pipelines.arrivals(tables, "42"))
+
+
 @_query()
 def waiting_times_per_stop(a: Adapter) -> DataFrame:
     return _eta(plans.waiting_times_per_stop(a.waiting_times), "pointid", "rn")

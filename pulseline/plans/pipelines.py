@@ -11,7 +11,7 @@ from pulseline.durable import materialise, observed, scratch_scope
 from pulseline.operators import linking, network, positions, tiles
 from pulseline.operators.catalogue import terminus_locations
 from pulseline.operators.ordered import earliest_per_key
-from pulseline.plans.queries import table_counts
+from pulseline.plans.queries import table_counts, waiting_times_for_stop
 from pulseline.sinks.tables import KEYS, SCHEMAS, Tables
 from pulseline.sources import catalogue, gtfs, pings
 
@@ -130,6 +130,11 @@ def rebuild_trips(tables: Tables, lines: list[str] | None = None,
     return counts(tables)
 
 
+def arrivals(tables: Tables, pointid: str, limit: int = 200) -> DataFrame:
+    """Latest stored arrival estimates at a stop, from the newest days that hold enough of them."""
+    return waiting_times_for_stop(tables.read("waiting_times"), pointid, limit, tables.read("waiting_counts"))
+
+
 def rebuild_tiles(tables: Tables, zooms: list[int], min_area: float = tiles.SIMPLIFY_AREA_M2) -> None:
     """Pre-builds the features of all lines and stops for these zooms into the tile table."""
     with scratch_scope(tables.spark):

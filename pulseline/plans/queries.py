@@ -92,10 +92,18 @@ def _eta_order():
     return [direction(name) for direction, name in zip(ETA_ORDER, ETA_COLUMNS)]
 
 
-def waiting_times_for_stop(waiting_times: DataFrame, pointid: str, limit: int = 200) -> DataFrame:
-    """Latest arrival estimates at a stop, newest poll first."""
-    return (waiting_times.where(F.col("pointid") == pointid).orderBy(*_eta_order()).limit(limit)
-            .select("poll_ts", "lineid", "expected", "destination", "message"))
+def waiting_times_for_stop(waiting_times: DataFrame, pointid: str, limit: int = 200,
+                           counts: DataFrame | None = None) -> DataFrame:
+    """Latest arrival estimates at a stop, newest poll first. With ``counts`` (rows per ``pointid`` and
+    ``poll_date``, or fewer) the days before the newest ones that hold ``limit`` rows are not read."""
+    here = waiting_times.where(F.col("pointid") == pointid)
+    if counts is not None:
+        # One row per day of one stop.
+        days = counts.where((F.col("pointid") == pointid) & F.col("poll_date").isNotNull()).groupBy("poll_date").agg(F.sum("n").alias("n"))
+        so_far = days.withColumn("n", F.sum("n").over(Window.orderBy(F.desc("poll_date"))))
+        oldest = so_far.where(F.col("n") >= limit).agg(F.max("poll_date")).scalar()
+        here = here.where(oldest.isNull() | (F.col("poll_date") >= oldest))
+    return here.orderBy(*_eta_order()).limit(limit).select("poll_ts", "lineid", "expected", "destination", "message")
 
 
 def waiting_times_per_stop(waiting_times: DataFrame, limit: int = 200) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pulseline import schemas
-from pulseline.durable import materialise, observed
+from pulseline.durable import materialise, observed, scratch_scope
 from pulseline.operators.merge import new_rows, upserted
 from pulseline.operators.spacetime import BOXES, part_boxes
 from pulseline.operators.tiles import FEATURES
@@ -30,6 +30,7 @@ SCHEMAS = {
     "stops": schemas.STOPS, "line_stops": schemas.LINE_STOPS, "line_terminus": schemas.LINE_TERMINUS,
     "line_shapes": schemas.LINE_SHAPES, "shape_points": schemas.SHAPE_POINTS,
     "positions": schemas.POSITIONS + ", service_date date", "waiting_times": schemas.WAITING_TIMES + ", poll_date date",
+    "waiting_counts": "pointid string, poll_date date, n long",
     "trips": schemas.TRIPS + ", first_day date, day date", "trip_samples": schemas.TRIP_SAMPLES + ", day date",
     "rejected_pings": "load string, file string, reason string, record string", "load_report": "load string, step string, outcome string, n long",
     "trip_boxes": BOXES + ", first_day date, day date", "tile_features": FEATURES,
@@ -39,7 +40,7 @@ SCHEMAS = {
 # Replaced together, under the same snapshot number.
 JOINT = ("trips", "trip_samples", "trip_boxes")
 # Written by appending alone, without snapshots.
-APPENDED = ("positions", "waiting_times", "rejected_pings", "load_report")
+APPENDED = ("positions", "waiting_times", "waiting_counts", "rejected_pings", "load_report")
 # Columns of the layout by day, which plain readers do not see.
 DAYS = ("day", "first_day")
 
@@ -165,15 +166,20 @@ class Tables:
 
     def append_waiting_times(self, rows: DataFrame, once: bool = False) -> None:
         """Plain append; ``once`` skips rows that are there already. Partitioned by the day
-        of the poll and sorted by stop, so a stop or a time range reads few row groups."""
+        of the poll and sorted by stop, so a stop or a time range reads few row groups. Rows per stop and day
+        are added to ``waiting_counts`` when the rows are there: what is lost between the two writes makes
+        counts too small, never too large, and a reader of the newest days goes further back."""
         rows = rows.drop("poll_date")
         if once:
             stored = self.read("waiting_times")
             same = [rows[c].eqNullSafe(stored[c]) for c in rows.columns]
             rows = rows.distinct().join(stored, same, "left_anti")
-        (rows.withColumn("poll_date", F.to_date("poll_ts")).hint("rebalance", "poll_date")
-         .sortWithinPartitions("poll_date", "pointid", "poll_ts")
-         .write.mode("append").partitionBy("poll_date").parquet(f"{self.root}/waiting_times"))
+        with scratch_scope(self.spark):
+            rows = materialise(rows.withColumn("poll_date", F.to_date("poll_ts")), "waiting-times")
+            (rows.hint("rebalance", "poll_date").sortWithinPartitions("poll_date", "pointid", "poll_ts")
+             .write.mode("append").partitionBy("poll_date").parquet(f"{self.root}/waiting_times"))
+            self.append("waiting_counts", rows.groupBy("pointid", "poll_date").agg(F.count(F.lit(1)).alias("n"))
+                        .sortWithinPartitions("pointid", "poll_date"))
 
     def replace_trips(self, trips: DataFrame, samples: DataFrame, lines: list[str] | None = None) -> None:
         """Replaces all trips, or only those of ``lines``. Headers and samples are partitioned by day (UTC),
