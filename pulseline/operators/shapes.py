@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseline.functions.geo import geodesic_segment_m, geojson_linestring, lerp, planar_length
@@ -17,7 +17,7 @@ from pulseline.operators.ordered import next_row, running_number, running_total
 
 SHAPE = ["lineid", "direction"]
 SEQ_BUCKET = 4096
-NODE_FANOUT = 64
+NODE_FANOUT = 16
 CELL_BLOCK = 1024
 # Segments in one grid cell from which on the cell is divided.
 CROWDED = 64
@@ -71,15 +71,27 @@ def measured_segments(segments: DataFrame) -> DataFrame:
 
 
 def _bounding_nodes(segments: DataFrame, level: int) -> DataFrame:
-    """Boxes over runs of NODE_FANOUT**level consecutive segments."""
+    """Boxes over runs of NODE_FANOUT**level consecutive segments, with the first vertex (``hx``, ``hy``) of each run."""
     return (
         segments.groupBy(*SHAPE, F.floor(F.col("seq") / NODE_FANOUT ** level).alias("node"))
         .agg(F.min(F.least("lon1", "lon2")).alias("west"), F.max(F.greatest("lon1", "lon2")).alias("east"),
              F.min(F.least("lat1", "lat2")).alias("south"), F.max(F.greatest("lat1", "lat2")).alias("north"),
-             F.min_by(F.struct("lon1", "lat1"), "seq").alias("head"))
+             F.min_by("lon1", "seq").alias("hx"), F.min_by("lat1", "seq").alias("hy"))
     )
 
 
+def _packed_boxes(segments: DataFrame, level: int, levels: int) -> DataFrame:
+    """The boxes of a level as one array for each box above (``node``); for each shape at the top."""
+    above = [] if level == levels else [F.floor(F.col("node") / NODE_FANOUT).alias("node")]
+    box = F.struct("node", "west", "east", "south", "north", "hx", "hy")
+    return _bounding_nodes(segments, level).groupBy(*SHAPE, *above).agg(F.collect_list(box).alias("boxes"))
+
+
+def _with(value: Column, use) -> Column:
+    """The array that ``use`` makes of a value, which is computed once for all of its elements."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
 def node_levels(measured: DataFrame) -> int:
     """Levels of boxes that leave at most NODE_FANOUT of them at the top."""
     span = measured.agg(F.max("seq") - F.min("seq")).first()[0] or 0
@@ -92,42 +104,51 @@ def locate_on_shapes(places: DataFrame, measured: DataFrame, levels: int | None
 
     A descent through bounding boxes: at each level only boxes that can still
     hold the nearest segment (lower bound within the best upper bound) go on, so
-    a place meets a few segments of its shape, not all of them.
+    a place meets a few segments of its shape, not all of them. The boxes below a box,
+    and the segments of the lowest ones, are arrays of at most NODE_FANOUT that are
+    searched inside a row: what is shuffled or sorted is a few rows for each place.
     """
     key = [*SHAPE, "pointid"]
     levels = node_levels(measured) if levels is None else levels
-    seeds = places
+    lon, lat = F.col("lon"), F.col("lat")
+
+    def least(box: Column) -> Column:
+        dx = F.greatest(box["west"] - lon, F.lit(0.0), lon - box["east"])
+        dy = F.greatest(box["south"] - lat, F.lit(0.0), lat - box["north"])
+        return dx * dx + dy * dy
+
+    def head(box: Column) -> Column:
+        hx, hy = box["hx"] - lon, box["hy"] - lat
+        return hx * hx + hy * hy
+
+    def near(reach: Column) -> Column:
+        # The slack only covers rounding of the two bounds.
+        kept = F.filter("boxes", lambda box: least(box) <= reach * (1 + 1e-9) + 1e-18)
+        return F.transform(kept, lambda box: F.struct(box["node"].alias("node"), reach.alias("_reach")))
+
+    seeds = places.select(*key, "lon", "lat")
     for level in range(levels, 0, -1):
-        nodes = _bounding_nodes(measured, level)
+        reach = F.array_min(F.transform("boxes", head))
+        if level < levels:
+            reach = F.least(reach, "_reach")
         on = SHAPE if level == levels else [*SHAPE, "node"]
-        dx = F.greatest(F.col("west") - F.col("lon"), F.lit(0.0), F.col("lon") - F.col("east"))
-        dy = F.greatest(F.col("south") - F.col("lat"), F.lit(0.0), F.col("lat") - F.col("north"))
-        hx, hy = F.col("head.lon1") - F.col("lon"), F.col("head.lat1") - F.col("lat")
-        reach = F.min(hx * hx + hy * hy).over(Window.partitionBy(*key))
-        kept = (
-            seeds.join(nodes, on)
-            .withColumns({"_reach": reach, "_least": dx * dx + dy * dy})
-            # The slack only covers rounding of the two bounds.
-            .where(F.col("_least") <= F.col("_reach") * (1 + 1e-9) + 1e-18)
-        )
-        if level > 1:
-            child = F.sequence(F.col("node") * NODE_FANOUT, F.col("node") * NODE_FANOUT + NODE_FANOUT - 1)
-            seeds = kept.select(*key, "lon", "lat", F.explode(child).alias("node"))
-        else:
-            seeds = kept.select(*key, "lon", "lat", "node")
-    leaves = measured.withColumn("node", F.floor(F.col("seq") / NODE_FANOUT)).select(
-        *SHAPE, "node", "seq", "lon1", "lat1", "lon2", "lat2", "planar", "planar_total", "before")
+        seeds = seeds.join(_packed_boxes(measured, level, levels), on).select(*key, "lon", "lat", F.inline(_with(reach, near)))
     vx, vy = F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1")
-    along = ((F.col("lon") - F.col("lon1")) * vx + (F.col("lat") - F.col("lat1")) * vy) / (vx * vx + vy * vy)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    ex = F.col("lon") - (F.col("lon1") + vx * F.col("t"))
-    ey = F.col("lat") - (F.col("lat1") + vy * F.col("t"))
-    fraction = (F.col("before") + F.col("t") * F.col("planar")) / F.col("planar_total")
-    return (
-        seeds.join(leaves, [*SHAPE, "node"])
-        .withColumn("t", t)
-        .groupBy(*key).agg(F.min_by(fraction, F.struct((ex * ex + ey * ey).alias("d2"), F.col("seq"))).alias("fraction"))
-    )
+    segment = F.struct("seq", "lon1", "lat1", vx.alias("vx"), vy.alias("vy"), (vx * vx + vy * vy).alias("vv"), "planar", "before")
+    leaves = measured.groupBy(*SHAPE, F.floor(F.col("seq") / NODE_FANOUT).alias("node")).agg(
+        F.collect_list(segment).alias("segments"), F.first("planar_total").alias("planar_total"))
+
+    def foot(s: Column) -> Column:
+        along = ((lon - s["lon1"]) * s["vx"] + (lat - s["lat1"]) * s["vy"]) / s["vv"]
+
+        def at(t: Column) -> Column:
+            ex, ey = lon - (s["lon1"] + s["vx"] * t), lat - (s["lat1"] + s["vy"] * t)
+            return F.struct((ex * ex + ey * ey).alias("d2"), s["seq"].alias("seq"),
+                            ((s["before"] + t * s["planar"]) / F.col("planar_total")).alias("fraction"))
+        return F.get(F.transform(F.array(F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))), at), F.lit(0))
+
+    nearest = seeds.join(leaves, [*SHAPE, "node"]).select(*key, F.array_min(F.transform("segments", foot)).alias("_foot"))
+    return nearest.groupBy(*key).agg(F.min_by("_foot.fraction", F.struct("_foot.d2", "_foot.seq")).alias("fraction"))
 
 
 def _explode_range(df: DataFrame, name: str, low: Column, high: Column) -> DataFrame:

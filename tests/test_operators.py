@@ -74,6 +74,16 @@ def test_locating_by_boxes_finds_the_nearest_segment(spark, levels):
     assert len(got) == 60 and max(abs(r["fraction"] - want[r["pointid"]]) for r in got) < 1e-9
 
 
+def test_locating_sorts_no_candidates(spark):
+    """Boxes and segments are searched inside a row, so that a place sorts a row for each box it keeps, not for each it meets."""
+    measured = shapes.measured_segments(shapes.shape_segments(spark.createDataFrame(
+        zigzag(3000), "lineid string, direction string, seq int, lon double, lat double"))).localCheckpoint()
+    places = spark.createDataFrame([("1", "A", "p", 4.2, 50.0), ("1", "A", "none", None, 50.0)], "lineid string, direction string, pointid string, lon double, lat double")
+    found = shapes.locate_on_shapes(places, measured)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["pointid"], round(r["fraction"], 9)) for r in found.collect()] == [("p", round(nearest_fraction(zigzag(3000), (4.2, 50.0)), 9))]
+
+
 def test_interpolation_where_short_segments_crowd(spark, monkeypatch):
     monkeypatch.setattr(shapes, "CELL_BLOCK", 16)
     # A few long segments, and hundreds within a thousandth of the length.
