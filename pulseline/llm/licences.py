@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from pulseline.llm.quality import let
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# What stands between words, which are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the lower-cased text.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOOKUPS = 6
 ENOUGH = 0.6
 
@@ -56,7 +57,9 @@ VOCABULARY = sorted({w for _, notice, _ in TEMPLATES for w in notice.split()} |
 
 
 def words_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Cut between words, not matched word by word: a match costs the engine far more than a cut. What stands before a
+    text's first word and after its last one is empty."""
+    return F.coalesce(F.array_remove(F.split(F.lower(text), BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def _strings(values) -> Column:

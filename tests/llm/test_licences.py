@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pulseline.llm import licences
 
@@ -73,6 +74,13 @@ def test_base_phrases(spark, text, labels, n):
     assert row[2] == n and row[5] == labels and labels in row[6].split(",") and row[7] == 1.0
 
 
+def test_words_are_cut_not_matched(spark):
+    texts = [None, "", " ", "\n", "a", " a", "a ", ",a,,b-C.", "\x00a\x7fb\x1f", "a\u00a0b\u2028c", "1a_2", "\U0001F600 x\U0001F600y", "ÀB É", "a" * 999 + "!" * 999, "..--.."]
+    found = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", licences.words_of(F.col("text")).alias("words"))
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.k: r.words for r in found.collect()} == {k: WORD.findall((t or "").lower()) for k, t in enumerate(texts)}
+
+
 def test_awkward_texts(spark):
     rows = [(1, None), (2, ""), (3, " .,;"), (4, "word " * 30_000 + "cc by nc"), (4, "word " * 30_000 + "cc by nc"), (None, "under the mit license"),
             (5, "under the mit"), (6, "the mit license"), (7, "É\x7f\x00ß")]
