@@ -29,6 +29,10 @@ _REGISTERED: dict[str, Query] = {}
 _ON_VIEWS: dict[str, Callable[[Adapter], DataFrame]] = {}
 
 
+# Most rows in a dump file of the replay.
+DUMP_ROWS = 200_000
+
+
 def registered() -> dict[str, Query]:
     return dict(_REGISTERED)
 
@@ -210,7 +214,9 @@ def replay_counts(a: Adapter) -> DataFrame:
 
     for name in ("stops", "line_stops", "line_terminus"):
         getattr(a, name).write.format("json").option("compression", "gzip").save(f"{root}/raw/{name}")
-    dump(a.feed, "positions/feed")
+    # A gzip file is read by one task.
+    files = max(a.spark.sparkContext.defaultParallelism, -(-a.feed.count() // DUMP_ROWS))
+    dump(a.feed.repartition(files), "positions/feed")
     tables = Tables(a.spark, scratch(a.spark, "tables"))
     place = [F.lit("f").alias("file"), F.lit(0).alias("row_no")]
     for _ in range(2):
