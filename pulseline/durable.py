@@ -72,11 +72,12 @@ def observed(seen: Observation) -> dict[str, int]:
         return {}
 
 
-def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back."""
+def materialise(df: DataFrame, name: str, *partition_by: str, within: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back, ``within`` another session if given:
+    that of a micro-batch does not adapt plans to sizes."""
     path = scratch(df.sparkSession, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    return (within or df.sparkSession).read.schema(df.schema).parquet(path).select(*df.columns)

@@ -63,10 +63,12 @@ def start_position_stream(pings: DataFrame, tables: Tables, checkpoint: str, mir
 
     def store(batch: DataFrame, number: int) -> None:
         with scratch_scope(tables.spark):
-            landed = materialise(batch, "poll")
+            landed = materialise(batch, "poll", within=tables.spark)
             if mirror:
                 (mirror_records(landed).write.mode("overwrite").option("compression", "gzip")
                  .option("ignoreNullFields", "false").json(f"{mirror.rstrip('/')}/positions/batch={number}"))
+            if landed.isEmpty():  # a batch that only moves the watermark on
+                return
             tables.insert_positions(resolve_against(tables, typed_pings(landed), index))
 
     return (unique_stream(pings).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
