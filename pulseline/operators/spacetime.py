@@ -17,9 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseline.functions.geo import mercator_unit_x, mercator_unit_y
-from pulseline.operators.ordered import next_row
 from pulseline.operators.temporal import Instant, _at
-from pulseline.operators.tiles import quadkey
 from pulseline.operators.trips import TRIP_KEY, headers_touching, samples_touching, time_slice
 
 # Quadkey digits of a box's centre: cells of about 150 m.
@@ -39,23 +37,27 @@ class Box:
 
 
 def _place(lon: Column, lat: Column) -> Column:
-    z, side = F.lit(PLACE_DIGITS), 1 << PLACE_DIGITS
+    """The quadkey of the cell: binary digits of both numbers, read as ones to base four, add up to its digits."""
+    side = 1 << PLACE_DIGITS
 
-    def cell(unit: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(side - 1), F.floor(unit * side)))
-    return quadkey(z, cell(mercator_unit_x(lon)), cell(mercator_unit_y(lat)))
+    def digits(unit: Column) -> Column:
+        cell = F.greatest(F.lit(0), F.least(F.lit(side - 1), F.floor(unit * side)))
+        return F.conv(F.bin(cell), 4, 10).cast("long")
+    both = digits(mercator_unit_x(lon)) + 2 * digits(mercator_unit_y(lat))
+    return F.lpad(F.conv(both.cast("string"), 10, 4), PLACE_DIGITS, "0")
 
 
 def part_boxes(samples: DataFrame) -> DataFrame:
     """One row in the columns of ``BOXES`` for each trip and time slice in which it has a sample with coordinates."""
-    placed = samples.where("lon is not null and lat is not null").withColumn("part", time_slice(F.col("ts")))
-    segments = next_row(placed, TRIP_KEY, "part", ["ts"], ["ts", "lon", "lat"], "end")
-    after = F.when(time_slice(F.col("end.ts")) != F.col("part"), F.col("end"))
-    boxes = segments.groupBy(*TRIP_KEY, "part").agg(
-        F.min("ts").alias("start_ts"), F.max(F.coalesce("end.ts", "ts")).alias("end_ts"),
-        F.min(F.least("lon", "end.lon")).alias("west"), F.min(F.least("lat", "end.lat")).alias("south"),
-        F.max(F.greatest("lon", "end.lon")).alias("east"), F.max(F.greatest("lat", "end.lat")).alias("north"),
-        F.max(after).alias("tail"))
+    placed = samples.dropna(subset=["lon", "lat", "ts", *TRIP_KEY])
+    # Own samples are aggregated where they are; what follows a part is the first sample of the trip's next one.
+    own = placed.groupBy(*TRIP_KEY, time_slice(F.col("ts")).alias("part")).agg(
+        F.min("ts").alias("start_ts"), F.max("ts").alias("_last"), F.min("lon").alias("_west"), F.min("lat").alias("_south"),
+        F.max("lon").alias("_east"), F.max("lat").alias("_north"), F.min_by("lon", "ts").alias("_lon"), F.min_by("lat", "ts").alias("_lat"))
+    head = F.struct(F.col("start_ts").alias("ts"), F.col("_lon").alias("lon"), F.col("_lat").alias("lat"))
+    boxes = own.withColumn("tail", F.lead(head).over(Window.partitionBy(*TRIP_KEY).orderBy("part"))).withColumns({
+        "end_ts": F.greatest("_last", "tail.ts"), "west": F.least("_west", "tail.lon"), "south": F.least("_south", "tail.lat"),
+        "east": F.greatest("_east", "tail.lon"), "north": F.greatest("_north", "tail.lat")})
     centre = _place((F.col("west") + F.col("east")) / 2, (F.col("south") + F.col("north")) / 2)
     return boxes.withColumn("place", centre).select(*[c.split()[0] for c in BOXES.split(", ")])
 

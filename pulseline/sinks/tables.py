@@ -95,7 +95,10 @@ class Tables:
         days = self.trip_days()
         if not days:
             return None
-        last = self.read_by_day("trips").where(F.col("day") == F.lit(days[-1])).agg(F.unix_micros(F.max("end_ts"))).first()[0]
+        # Its folder alone is listed.
+        table = f"{self.root}/trips/snapshot={self._finished('trips')[-1]}"
+        newest = self.spark.read.schema(SCHEMAS["trips"]).option("basePath", table).parquet(f"{table}/day={days[-1]}")
+        last = newest.agg(F.unix_micros(F.max("end_ts"))).first()[0]
         return datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=last)
 
     def read_by_day(self, name: str) -> DataFrame:
