@@ -43,7 +43,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +69,9 @@ REMEMBERED = 300_000
 
 # Characters scored at a time.
 PIECE = 1 << 19
+# Letters whose joins are summed at a time, and what those sums may lack in precision.
+LETTERS = 1 << 14
+SLACK = 1e-4
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -184,6 +187,11 @@ class Joins:
         begin, words, length = map(np.concatenate, zip(*found))
         return cls(points[at], starts, text[begin], begin, words, starts[begin], length)
 
+    @cached_property
+    def classes(self) -> np.ndarray:
+        """Character classes of the letters."""
+        return _class_of(self.points)
+
     def keys(self) -> np.ndarray:
         """A hash of each join's letters."""
         factors = np.random.default_rng(1).integers(1, 1 << 62, JOINED) * 2 + 1
@@ -253,6 +261,27 @@ def norms(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.sqrt(np.add.reduceat(sums * sums, np.cumsum(each) - each))
 
 
+def kernel_norms(classes: np.ndarray) -> np.ndarray:
+    """What ``norms`` has, to about ``SLACK``, of strings of equal length, one column of classes each, by the kernel's
+    recursion over pairs of letters instead of by sorting triples."""
+    n, count = classes.shape
+    found = np.empty(count)
+    for at in range(0, count, step := max(1, (1 << 16) // n ** 2)):
+        part = classes[:, at:at + step]
+        same = (part[:, None] == part).astype(np.float32)
+        ending = same.copy()  # weight of equal subsequences that end at two letters
+        for _ in range(2):
+            for k in range(1, n):
+                ending[k] += np.float32(DECAY) * ending[k - 1]
+            for k in range(1, n):
+                ending[:, k] += np.float32(DECAY) * ending[:, k - 1]
+            longer = np.zeros_like(same)
+            np.multiply(ending[:-1, :-1], same[1:, 1:], out=longer[1:, 1:])
+            ending = longer
+        found[at:at + step] = np.sqrt(ending.sum(axis=(0, 1)))
+    return found * _triples(n)[3][0]
+
+
 @dataclass
 class Landmarks:
     """Triple weights of some strings, kept for the triples that any of them has."""
@@ -307,14 +336,15 @@ class Model:
             found[rows] += value
         return found
 
-    def joined(self, joins: Joins) -> np.ndarray:
-        """Decision values of joins, as ``decisions`` has them; equal ones are valued once."""
-        found = np.full(len(joins.first), self.bias, dtype=np.float32)
-        letters = _class_of(joins.points).astype(np.int32)
+    def joined(self, joins: Joins, some: np.ndarray | None = None) -> np.ndarray:
+        """Decision values of all or ``some`` joins, as ``decisions`` has them; equal ones are valued once."""
+        starts, lengths = (joins.first, joins.length) if some is None else (joins.first[some], joins.length[some])
+        found = np.full(len(starts), self.bias, dtype=np.float32)
+        letters = joins.classes.astype(np.int32)
         keys = np.random.default_rng(1).integers(1, 1 << 62, JOINED) * 2 + 1
-        for n in np.unique(joins.length).tolist():
-            rows = np.flatnonzero(joins.length == n)
-            c = letters[joins.first[rows][:, None] + np.arange(n)]
+        for n in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == n)
+            c = letters[starts[rows][:, None] + np.arange(n)]
             _, own, back = np.unique((c + 1) @ keys[:n], return_index=True, return_inverse=True)
             i, j, k, weight = _triples(n)
             value = np.zeros(len(own), dtype=np.float32)
@@ -334,11 +364,57 @@ class Model:
             found[rows] += value[back]
         return found
 
-    def worst_joins(self, texts: list[str | None]) -> np.ndarray:
-        """The largest decision value over each text's joins; -inf without any."""
+    def undivided(self, joins: Joins) -> np.ndarray:
+        """Decision values of joins as ``joined`` has them, but with norm 1, to about ``SLACK``. What the triples between
+        two letters weigh does not depend on the join, so it is summed once for each two letters that some join may hold;
+        a run's total is that of its two runs without an end letter, less what both have, and what lies between its ends."""
+        found = np.full(len(joins.first), self.bias)
+        letters, size = joins.classes, np.diff(joins.starts, append=len(joins.points))
+        # Letters of its word before and after each letter: a join holds whole words.
+        before = np.arange(len(letters)) - np.repeat(joins.starts, size)
+        after = np.repeat(size, size) - 1 - before
+        order = np.argsort(joins.first, kind="stable")
+        rows = [order[joins.length[order] == n] for n in range(JOINED + 1)]
+        firsts = [joins.first[r] for r in rows]
+        for at in range(0, len(letters), LETTERS):
+            c = letters[at:at + LETTERS + JOINED]
+            middle, total, shorter = c * CLASSES, np.zeros(len(c)), np.zeros(len(c))  # of runs of n - 1 and n - 2 letters
+            for n in range(3, min(JOINED, len(c)) + 1):
+                runs = len(c) - n + 1
+                outer = middle[:runs] * CLASSES + c[n - 1:]
+                held = np.flatnonzero(before[at:at + runs] + after[at + n - 1:at + n - 1 + runs] <= JOINED - n)
+                some = 2 * len(held) < runs
+                if some:
+                    outer = outer[held]
+                between = np.zeros(len(outer), dtype=np.float32)
+                for k in range(1, n - 1):
+                    inner = middle[k:k + runs]
+                    between += self.table.take(outer + (inner.take(held) if some else inner))
+                grown = total[:runs] + total[1:runs + 1] - shorter[1:runs + 1]
+                grown[held if some else slice(None)] += between * DECAY ** n
+                total, shorter = grown, total
+                low, high = np.searchsorted(firsts[n], (at, at + LETTERS))
+                found[rows[n][low:high]] += grown[firsts[n][low:high] - at] * (_triples(n)[3][0] / DECAY ** 3)
+        return found
+
+    def worst_joins(self, texts: list[str | None], known: np.ndarray | None = None) -> np.ndarray:
+        """The largest decision value over each text's joins, or the ``known`` value if that is larger; -inf without any.
+        Cheaper values, right to ``SLACK``, tell the few joins that may have it."""
         joins = Joins.of(texts)
-        worst = np.full(len(texts), -np.inf)
-        np.maximum.at(worst, joins.text, self.joined(joins))
+        worst = np.full(len(texts), -np.inf) if known is None else known.astype(np.float64)
+        value = self.undivided(joins)
+        high, low = value + SLACK, value - SLACK
+        near = np.flatnonzero((value > SURELY_CLEAN - SLACK) & (np.maximum(value, self.bias) + SLACK >= worst[joins.text]))
+        for n in np.unique(joins.length[near]).tolist():
+            rows = near[joins.length[near] == n]
+            divided = self.bias + (value[rows] - self.bias) / kernel_norms(joins.classes[joins.first[rows] + np.arange(n)[:, None]])
+            undecided = value[rows] <= SURELY_CLEAN + SLACK
+            high[rows] = np.where(undecided, np.maximum(divided, value[rows]), divided) + SLACK
+            low[rows] = np.where(undecided, np.minimum(divided, value[rows]), divided) - SLACK
+        least = worst.copy()
+        np.maximum.at(least, joins.text, low)
+        rows = np.flatnonzero(high >= least[joins.text])
+        np.maximum.at(worst, joins.text[rows], self.joined(joins, rows))
         return worst
 
     def score(self, decision: float) -> float:
@@ -543,7 +619,7 @@ def _score(model: Model):
                 for group in _groups(part.column("text").to_pylist()):
                     rows = [row for row, _, _ in group]
                     np.maximum.at(best, rows, units([units_of(text) for _, text, _ in group]))
-                    np.maximum.at(worst, rows, model.worst_joins([text + reach for _, text, reach in group]))
+                    np.maximum.at(worst, rows, model.worst_joins([text + reach for _, text, reach in group], best[rows]))
                 best[np.isinf(best)] = model.floor
                 scores = [model.score(value) for value in np.maximum(best, worst).tolist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])

@@ -175,3 +175,39 @@ def test_scores_do_not_depend_on_pieces_or_batches(monkeypatch):
     whole = score()
     monkeypatch.setattr(toxicity, "PIECE", 30)
     assert score() == pytest.approx(whole, abs=1e-5)
+
+
+def test_few_joins_of_a_text_are_valued_in_full(monkeypatch):
+    rows = corpus(1, 200)
+    model = toxicity.train([t for _, t, _ in rows], [y == 1 for *_, y in rows])
+    texts = [t for _, t, _ in rows] + [*_odd_texts(60), None, "", "a b", " ".join(t for _, t, _ in rows[:80])]
+    joins = toxicity.Joins.of(texts)
+    every = model.joined(joins)
+    worst = np.full(len(texts), -np.inf)
+    np.maximum.at(worst, joins.text, every)
+    near = model.undivided(joins)
+    assert near[near < toxicity.SURELY_CLEAN - 0.01] == pytest.approx(every[near < toxicity.SURELY_CLEAN - 0.01], abs=toxicity.SLACK / 2)
+    asked, norms = [], toxicity.norms
+    monkeypatch.setattr(toxicity, "norms", lambda codes, weight: asked.append(len(codes)) or norms(codes, weight))
+    assert model.worst_joins(texts).tolist() == worst.tolist()
+    assert sum(asked) <= 3 * len(texts)
+    known = np.where(np.arange(len(texts)) % 2, worst + 1, -np.inf)
+    assert model.worst_joins(texts, known).tolist() == np.maximum(worst, known).tolist()
+
+
+def test_sums_go_across_blocks_of_letters(monkeypatch):
+    rows = corpus(1, 200)
+    model = toxicity.train([t for _, t, _ in rows], [y == 1 for *_, y in rows])
+    joins = toxicity.Joins.of([t for _, t, _ in rows] + _odd_texts(30))
+    whole = model.undivided(joins)
+    monkeypatch.setattr(toxicity, "LETTERS", 7)
+    assert model.undivided(joins) == pytest.approx(whole, abs=1e-5)
+
+
+def test_norms_by_recursion_equal_those_by_sorting():
+    made = random.Random(2)
+    for n in (3, 4, 9, 16):
+        strings = ["".join(made.choice("abé") for _ in range(n)) for _ in range(700)] + ["abcdefghijklmnop"[:n], "a" * n]
+        _, codes, weight = zip(*toxicity.by_length(strings))
+        sorted_ones = np.concatenate([toxicity.norms(c, w) for c, w in zip(codes, weight)])
+        assert toxicity.kernel_norms(toxicity._classes(strings).T) == pytest.approx(sorted_ones, abs=1e-5)
