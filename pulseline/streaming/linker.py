@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -25,16 +26,30 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pulseline.operators import linking
 from pulseline.session import pin_utc
 
-WAITING = "us long, lon double, lat double, position_id string"
+# Waiting pings are kept as Arrow streams of ``BLOCK`` pings, as the state hands rows over one by one.
+WAITING = "pings binary"
+BLOCK = 8192
 OPEN = "us long, lon double, lat double, position_id string, head string"
 LINKED = "lineid string, direction int, us long, lon double, lat double, position_id string, head string"
 PING = "position_id string, lineid string, direction int, fetched_at timestamp, lon double, lat double"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+HELD = pa.schema({"us": pa.int64(), "lon": pa.float64(), "lat": pa.float64(), "position_id": pa.string()})
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _packed(pings: list[tuple]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, HELD) as stream:
+        stream.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*pings), HELD.types)], schema=HELD))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(block: bytes) -> Iterator[tuple]:
+    return zip(*[column.to_pylist() for column in pa.ipc.open_stream(block).read_all().columns])
+
+
 class LinkProcessor(StatefulProcessor):
-    """State: ``waiting`` pings and ``open`` trips in the order they were opened."""
+    """State: ``waiting`` pings, in blocks, and ``open`` trips in the order they were opened."""
 
     def __init__(self, radius_m: float, window_us: int):
         self.radius_m = radius_m
@@ -60,7 +75,8 @@ class LinkProcessor(StatefulProcessor):
 
     def _advance(self, key, watermark_us: int, arrived: list[tuple]) -> Iterator[pd.DataFrame]:
         once: dict[str, tuple] = {}
-        for ping in sorted([*self._held(self.waiting), *arrived]):
+        kept = [ping for (block,) in self._held(self.waiting) for ping in _unpacked(block)]
+        for ping in sorted([*kept, *arrived]):
             once.setdefault(ping[3], ping)
         due = [p for p in once.values() if p[0] < watermark_us]
         waiting = [p for p in once.values() if p[0] >= watermark_us]
@@ -73,7 +89,7 @@ class LinkProcessor(StatefulProcessor):
             heads = [trips.place(*ping)[5] for ping in due]
             alive = [tuple(t[1:6]) for t in trips.still_open(due[-1][0])]
         alive = [t for t in alive if t[0] >= watermark_us - self.window_us]
-        self._keep(self.waiting, waiting)
+        self._keep(self.waiting, [(_packed(waiting[at:at + BLOCK]),) for at in range(0, len(waiting), BLOCK)])
         if due or len(alive) < len(held):
             self._keep(self.open, alive)
         for timer in list(self.handle.listTimers()):

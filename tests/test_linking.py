@@ -185,3 +185,22 @@ def test_linker_keeps_the_session_as_it_was(spark, tmp_path):
     land([ping("a", 0)])
     run()
     assert spark.conf.get(PROVIDER, None) == before
+
+
+def test_waiting_pings_are_kept_in_blocks(spark, tmp_path, monkeypatch):
+    """A micro-batch's pings wait in few state rows, not in one each; the trips stay those of the batch job."""
+    pings = sorted(some_pings(8, n=400), key=lambda p: p[3])
+    linker, land, run = online(spark, tmp_path, lateness_s=120)
+    land(pings)
+    run()
+    held = spark.read.format("statestore").option("stateVarName", "waiting").load(linker.checkpoint, batchId=0)
+    assert 0 < held.count() <= len({p[1:3] for p in pings})
+    land(linker.heartbeat(max(p[3] for p in pings) + timedelta(hours=1)))
+    run()
+    assert heads_of(linker.samples()) == by_hand(pings)
+
+
+def test_blocks_hold_pings_as_they_were():
+    from pulseline.streaming.linker import _packed, _unpacked
+    pings = [(1_704_067_200_000_001, 4.3, -50.8, "a"), (-5, 0.1 + 0.2, 1e-300, "é"), (7, 1.0, 2.0, None)]
+    assert list(_unpacked(_packed(pings))) == pings
