@@ -350,12 +350,15 @@ class Model:
             value = np.zeros(len(own), dtype=np.float32)
             by_span = dict(zip((k - i).tolist(), weight.tolist()))
             for at in range(0, len(own), 4096):
-                part = np.ascontiguousarray(c[own[at:at + 4096]].T)
-                middle, sums = part * CLASSES, value[at:at + 4096]
+                picked = own[at:at + 4096]
+                # Two at least, as numpy adds a single column in another order.
+                part = np.ascontiguousarray(c[np.resize(picked, max(2, len(picked)))].T)
+                middle, sums = part * CLASSES, np.zeros(part.shape[1], dtype=np.float32)
                 for a in range(n - 2):
                     for b in range(a + 2, n):
                         codes = middle[a + 1:b] + (part[a] * CLASSES ** 2 + part[b])
                         sums += self.table.take(codes).sum(axis=0) * np.float32(by_span[b - a])
+                value[at:at + 4096] = sums[:len(picked)]
             near = np.flatnonzero(value + self.bias > SURELY_CLEAN)
             step = max(1, (1 << 19) // len(i))
             for at in range(0, len(near), step):

@@ -191,6 +191,7 @@ def test_few_joins_of_a_text_are_valued_in_full(monkeypatch):
     monkeypatch.setattr(toxicity, "norms", lambda codes, weight: asked.append(len(codes)) or norms(codes, weight))
     assert model.worst_joins(texts).tolist() == worst.tolist()
     assert sum(asked) <= 3 * len(texts)
+    assert [model.joined(joins, np.array([n]))[0] for n in range(0, len(every), 97)] == every[::97].tolist()
     known = np.where(np.arange(len(texts)) % 2, worst + 1, -np.inf)
     assert model.worst_joins(texts, known).tolist() == np.maximum(worst, known).tolist()
 
