@@ -152,3 +152,29 @@ def test_cut_over_score_ranges(spark, seed):
     assert got == quality.best_cut(scored)
     for only in ([], [(1.0, True)], [(1.0, False)]):
         assert quality.fitted_cut(spark.createDataFrame(only, "score double, _good boolean")) == -math.inf
+
+
+def test_rows_without_score_take_no_part_in_the_cut(spark):
+    schema, missing = "score double, _good boolean", [(None, True), (None, False)] * 30
+    scored = [(0.0, False), (0.4, False), (1.0, True)]
+    assert quality.fitted_cut(spark.createDataFrame(missing + scored, schema)) == quality.best_cut(scored) == 0.7
+    assert quality.fitted_cut(spark.createDataFrame(missing, schema)) == -math.inf
+
+
+@pytest.mark.parametrize("text", ["a b c d x a b c d y " * 4 + "z", "a b c d q a b c d r", "a a a a", "a a a a a", "a a a a a a", " a b c d e\x0ba b c d e ",
+                                  "a b c d e f g h\n\n\n", "same line\n\n\nsame line\n", "\u00a0 \u2003 \U0001f600 #\u00a0", "\x1f a\x1cb \x0c"])
+def test_counts_where_only_parts_repeat(spark, text):
+    df = spark.createDataFrame([(1, text, 0, "x")], DOCS)
+    assert tuple(quality.measured(df).select("_n.*").first()) == counts(text)
+
+
+def test_texts_are_cut_once_per_pass(spark, tmp_path, monkeypatch):
+    """No filter on what is derived from a text, as it goes down to the scan and derives it a second time."""
+    rows, labels = corpus(5, 60)
+    spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    seen = []
+    cut = quality.fitted_cut
+    monkeypatch.setattr(quality, "fitted_cut", lambda scored: seen.append(scored) or cut(scored))
+    quality.fit(spark.read.parquet(f"{tmp_path}/docs"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\b(?:split|regexp_extract_all)\(text", plan)) == 1
